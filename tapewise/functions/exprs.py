@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, WindowSpec
+from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,10 +53,63 @@ def trailing(w: WindowSpec, n: int) -> WindowSpec:
 
 
 def rolling(agg, x: Column, w: WindowSpec, n: int, min_periods: int | None = None) -> Column:
-    """Aggregate over the trailing ``n`` rows; NULL below ``min_periods`` values."""
-    f = trailing(w, n)
+    """Aggregate over the trailing ``n`` rows; NULL below ``min_periods`` values.
+
+    For aggregates that need the frame itself (extremes, medians). Sums and
+    moments have constant-cost forms below.
+    """
+    need = n if min_periods is None else min_periods
+    return F.when(rolling_count(x, w, n) >= need, agg(x).over(trailing(w, n)))
+
+
+def _moving(agg: Column, w: WindowSpec, n: int) -> Column:
+    """Trailing-window total as a difference of two running totals.
+
+    Spark recomputes a sliding frame for every row; running totals cost a constant
+    per row whatever the window, which is what long windows need.
+    """
+    since_start = w.rowsBetween(Window.unboundedPreceding, 0)
+    before = w.rowsBetween(Window.unboundedPreceding, -n)
+    return F.coalesce(agg.over(since_start), F.lit(0)) - F.coalesce(agg.over(before), F.lit(0))
+
+
+def rolling_count(x: Column, w: WindowSpec, n: int) -> Column:
+    return _moving(F.count(x), w, n)
+
+
+def rolling_sum(x: Column, w: WindowSpec, n: int, min_periods: int | None = None) -> Column:
+    need = n if min_periods is None else min_periods
+    return F.when(rolling_count(x, w, n) >= need, _moving(F.sum(x), w, n))
+
+
+def rolling_mean(x: Column, w: WindowSpec, n: int, min_periods: int | None = None) -> Column:
+    c = rolling_count(x, w, n)
+    need = n if min_periods is None else min_periods
+    return F.when((c >= need) & (c > 0), _moving(F.sum(x), w, n) / c)
+
+
+def rolling_cov(x: Column, y: Column, w: WindowSpec, n: int, min_periods: int | None = None) -> Column:
+    """Sample covariance of the complete pairs in the trailing window.
+
+    Meant for returns and ratios, whose mean is small next to their spread.
+    """
     need = n if min_periods is None else min_periods
-    return F.when(F.count(x).over(f) >= need, agg(x).over(f))
+    both = x.isNotNull() & y.isNotNull()
+    xs, ys = F.when(both, x), F.when(both, y)
+    c = rolling_count(xs, w, n)
+    sx, sy, sxy = (_moving(F.sum(v), w, n) for v in (xs, ys, xs * ys))
+    return F.when((c >= need) & (c > 1), (sxy - sx * sy / c) / (c - 1))
+
+
+def rolling_var(x: Column, w: WindowSpec, n: int, min_periods: int | None = None) -> Column:
+    """Sample variance; 0 below what running totals can resolve (a constant window)."""
+    v = rolling_cov(x, x, w, n, min_periods)
+    noise = F.sum(x * x).over(w.rowsBetween(Window.unboundedPreceding, 0)) * 1e-15
+    return F.when(v.isNotNull(), F.when(v <= noise, 0.0).otherwise(v))
+
+
+def rolling_std(x: Column, w: WindowSpec, n: int, min_periods: int | None = None) -> Column:
+    return F.sqrt(rolling_var(x, w, n, min_periods))
 
 
 def first_reason(rules: list[tuple[Column, str]], otherwise: Column | None = None) -> Column:

@@ -82,25 +82,25 @@ def asof_interval(
 def next_on_or_after(left: DataFrame, calendar: DataFrame, date_col: str, out: list[tuple[str, str]]) -> DataFrame:
     """First calendar session on or after a date.
 
-    Sessions are turned into day intervals (previous session, session], exploded
-    to single days, so the lookup is an equi join on the date and a lookup table
-    bounded by the length of the calendar in days. Dates before the first session
-    take the first one; dates after the last take none.
+    Each session is widened to the days since the session before it and exploded
+    to single days, so the lookup is an equi join on the date against a table
+    bounded by the calendar's length in days. Dates before the first session take
+    the first one (a single row read on the driver), later ones take none.
     """
     cal = calendar.select("session", *[c for c, _ in out if c != "session"])
     prev = F.lag("session").over(Window.orderBy("session"))  # one row per session
-    spans = cal.withColumn("_prev", prev)
-    first = spans.where("_prev is null").select(*[F.col(c).alias(f"_f_{n}") for c, n in out],
-                                                F.col("session").alias("_first"))
-    days = spans.select(
+    days = cal.withColumn("_prev", prev).select(
         F.explode(F.when(F.col("_prev").isNull(), F.array("session"))
                   .otherwise(F.sequence(F.date_add("_prev", 1), F.col("session")))).alias("_day"),
         *[F.col(c).alias(n) for c, n in out])
+    head = cal.orderBy("session").first()
     j = left.join(F.broadcast(days), left[date_col] == F.col("_day"), "left").drop("_day")
-    j = j.join(F.broadcast(first), F.lit(True), "left")
-    for _, n in out:
-        j = j.withColumn(n, F.when(F.col(date_col) < F.col("_first"), F.col(f"_f_{n}")).otherwise(F.col(n)))
-    return j.drop("_first", *[f"_f_{n}" for _, n in out])
+    if head is None:
+        return j
+    early = F.col(date_col) < F.lit(head["session"])
+    for c, n in out:
+        j = j.withColumn(n, F.when(early, F.lit(head[c])).otherwise(F.col(n)))
+    return j
 
 
 def forward_rows(

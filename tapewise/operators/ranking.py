@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SLOTS = 64
 
@@ -25,9 +26,13 @@ def split_points(df: DataFrame, keys: list[str], order: str, slots: int = SLOTS)
         df.where(F.col(order).isNotNull())
         .select(*keys, order, F.xxhash64(order).alias("_h"))
         .groupBy(*keys, F.pmod("_h", F.lit(slots)).alias("_slot"))
-        .agg(F.min(F.struct("_h", order)).alias("_m"))
     )
-    return picked.groupBy(*keys).agg(F.array_sort(F.collect_list(f"_m.{order}")).alias("_splits"))
+    kind = df.schema[order].dataType
+    if isinstance(kind, (T.StructType, T.StringType)):
+        picked = picked.agg(F.min(F.struct("_h", order)).alias("_m")).select(*keys, F.col(f"_m.{order}").alias(order))
+    else:  # fixed width: stays in hash aggregation; the hash of one number has no collisions
+        picked = picked.agg(F.min_by(order, "_h").alias(order))
+    return picked.groupBy(*keys).agg(F.array_sort(F.collect_list(order)).alias("_splits"))
 
 
 def _in_ranges(df: DataFrame, keys: list[str], order: str, slots: int, bounded: bool) -> DataFrame:
