@@ -195,7 +195,7 @@ def iso_week_key(ts: Column) -> Column:
 def has_code(codes: Column, code: str) -> Column:
     """True when a comma- or pipe-separated code list holds ``code``."""
     parts = F.split(F.regexp_replace(F.coalesce(codes, F.lit("")), ",", "|"), r"\|")
-    return F.array_contains(F.transform(parts, F.trim), code)
+    return F.array_contains(F.transform(parts, lambda p: F.trim(p)), code)
 
 
 def blank_to(c: Column, fallback: Column) -> Column:

@@ -26,10 +26,10 @@ WEEKLY_REGIME = RegimeParams(er_trend_min=0.05, er_long_trend_min=0.01, slope_mi
 WEEKLY_MARKET = MarketParams(sma_n=40, dd_n=52, vol_n=10, vol_window=104, vol_min_periods=52,
                              dd_warn=0.35, dd_stress=0.55, vol_stress=0.95, bars_per_year=52)
 WEEKLY_UNIVERSE = UniverseParams(
-    size=60, min_history_bars=40, min_bars_since_gap=2, min_price_usd=5.0, min_adv_usd=20_000.0,
+    size=60, min_history_bars=40, min_bars_since_gap=2, min_price_usd=60.0, min_adv_usd=8_500.0,
     max_spread_bps=900.0, suspect_lookback=5, delisting_grace=3, spread_window=10, adv_bars=12,
-    spread_floors=((200_000.0, 0.5), (120_000.0, 1.0), (80_000.0, 3.0)),
-    min_lifetime_dollar_volume=150_000.0)
+    spread_floors=((16_000.0, 0.5), (12_000.0, 1.0), (9_000.0, 3.0)),
+    min_lifetime_dollar_volume=35_000.0)
 WEEKLY_GATES = GateParams(min_xs_population=5)
 WEEKLY_EDGE = EdgeParams(min_samples=20)
 

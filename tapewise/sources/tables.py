@@ -67,7 +67,7 @@ def read_candidate_lines(spark: SparkSession, path: str) -> DataFrame:
     """``asset_id,symbol`` lines; blanks and # comments are skipped, others must parse."""
     line = F.trim("value")
     rows = spark.read.text(path).where((F.length(line) > 0) & ~line.startswith("#")).withColumn(
-        "_p", F.transform(F.split(line, ","), F.trim))
+        "_p", F.transform(F.split(line, ","), lambda p: F.trim(p)))
     checked = rows.where(F.assert_true(F.size("_p") == 2, F.concat(F.lit("expected asset_id,symbol, got "), line)).isNull())
     return checked.select(F.element_at("_p", 1).alias("asset_id"), F.element_at("_p", 2).alias("symbol"))
 
