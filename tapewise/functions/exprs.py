@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,64 +52,68 @@ def trailing(w: WindowSpec, n: int) -> WindowSpec:
     return w.rowsBetween(-(n - 1), 0)
 
 
-def rolling(agg, x: Column, w: WindowSpec, n: int, min_periods: int | None = None) -> Column:
-    """Aggregate over the trailing ``n`` rows; NULL below ``min_periods`` values.
+# Trailing windows are written as SQL text over an ``over`` clause such as
+# "PARTITION BY asset_id ORDER BY ts": one parsed expression per column instead of
+# dozens of calls into the JVM. ``x`` is the SQL of the value.
 
-    For aggregates that need the frame itself (extremes, medians). Sums and
-    moments have constant-cost forms below.
-    """
-    need = n if min_periods is None else min_periods
-    return F.when(rolling_count(x, w, n) >= need, agg(x).over(trailing(w, n)))
-
-
-def _moving(agg: Column, w: WindowSpec, n: int) -> Column:
+def _moving(agg: str, over: str, n: int) -> str:
     """Trailing-window total as a difference of two running totals.
 
     Spark recomputes a sliding frame for every row; running totals cost a constant
     per row whatever the window, which is what long windows need.
     """
-    since_start = w.rowsBetween(Window.unboundedPreceding, 0)
-    before = w.rowsBetween(Window.unboundedPreceding, -n)
-    return F.coalesce(agg.over(since_start), F.lit(0)) - F.coalesce(agg.over(before), F.lit(0))
+    return (f"(coalesce({agg} OVER ({over} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0)"
+            f" - coalesce({agg} OVER ({over} ROWS BETWEEN UNBOUNDED PRECEDING AND {n} PRECEDING), 0))")
+
+
+def _need(n: int, min_periods: int | None) -> int:
+    return n if min_periods is None else min_periods
 
 
-def rolling_count(x: Column, w: WindowSpec, n: int) -> Column:
-    return _moving(F.count(x), w, n)
+def rolling(agg: str, x: str, over: str, n: int, min_periods: int | None = None) -> Column:
+    """Aggregate of the frame itself (an extreme, a median); NULL below ``min_periods`` values."""
+    frame = f"({over} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    return F.expr(f"CASE WHEN {_moving(f'count({x})', over, n)} >= {_need(n, min_periods)} THEN {agg} OVER {frame} END")
 
 
-def rolling_sum(x: Column, w: WindowSpec, n: int, min_periods: int | None = None) -> Column:
-    need = n if min_periods is None else min_periods
-    return F.when(rolling_count(x, w, n) >= need, _moving(F.sum(x), w, n))
+def rolling_sum(x: str, over: str, n: int, min_periods: int | None = None) -> Column:
+    return F.expr(f"CASE WHEN {_moving(f'count({x})', over, n)} >= {_need(n, min_periods)}"
+                  f" THEN {_moving(f'sum({x})', over, n)} END")
 
 
-def rolling_mean(x: Column, w: WindowSpec, n: int, min_periods: int | None = None) -> Column:
-    c = rolling_count(x, w, n)
-    need = n if min_periods is None else min_periods
-    return F.when((c >= need) & (c > 0), _moving(F.sum(x), w, n) / c)
+def rolling_mean(x: str, over: str, n: int, min_periods: int | None = None) -> Column:
+    c = _moving(f"count({x})", over, n)
+    return F.expr(f"CASE WHEN {c} >= {max(1, _need(n, min_periods))} THEN {_moving(f'sum({x})', over, n)} / {c} END")
 
 
-def rolling_cov(x: Column, y: Column, w: WindowSpec, n: int, min_periods: int | None = None) -> Column:
+def _cov_sql(x: str, y: str, over: str, n: int, min_periods: int | None) -> str:
+    xs, ys = (x, y) if x == y else (f"if({y} IS NULL, NULL, {x})", f"if({x} IS NULL, NULL, {y})")
+    c = _moving(f"count({xs})", over, n)
+    sx, sy, sxy = (_moving(f"sum({v})", over, n) for v in (xs, ys, f"{x} * {y}"))
+    return f"CASE WHEN {c} >= {max(2, _need(n, min_periods))} THEN ({sxy} - {sx} * {sy} / {c}) / ({c} - 1) END"
+
+
+def rolling_cov(x: str, y: str, over: str, n: int, min_periods: int | None = None) -> Column:
     """Sample covariance of the complete pairs in the trailing window.
 
     Meant for returns and ratios, whose mean is small next to their spread.
     """
-    need = n if min_periods is None else min_periods
-    both = x.isNotNull() & y.isNotNull()
-    xs, ys = F.when(both, x), F.when(both, y)
-    c = rolling_count(xs, w, n)
-    sx, sy, sxy = (_moving(F.sum(v), w, n) for v in (xs, ys, xs * ys))
-    return F.when((c >= need) & (c > 1), (sxy - sx * sy / c) / (c - 1))
+    return F.expr(_cov_sql(x, y, over, n, min_periods))
+
+
+def _var_sql(x: str, over: str, n: int, min_periods: int | None) -> str:
+    v = _cov_sql(x, x, over, n, min_periods)
+    noise = f"sum({x} * {x}) OVER ({over} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) * 1e-15"
+    return f"CASE WHEN ({v}) <= {noise} THEN 0e0 ELSE ({v}) END"
 
 
-def rolling_var(x: Column, w: WindowSpec, n: int, min_periods: int | None = None) -> Column:
+def rolling_var(x: str, over: str, n: int, min_periods: int | None = None) -> Column:
     """Sample variance; 0 below what running totals can resolve (a constant window)."""
-    v = rolling_cov(x, x, w, n, min_periods)
-    noise = F.sum(x * x).over(w.rowsBetween(Window.unboundedPreceding, 0)) * 1e-15
-    return F.when(v.isNotNull(), F.when(v <= noise, 0.0).otherwise(v))
+    return F.expr(_var_sql(x, over, n, min_periods))
 
 
-def rolling_std(x: Column, w: WindowSpec, n: int, min_periods: int | None = None) -> Column:
-    return F.sqrt(rolling_var(x, w, n, min_periods))
+def rolling_std(x: str, over: str, n: int, scale: float = 1.0, min_periods: int | None = None) -> Column:
+    return F.expr(f"sqrt({_var_sql(x, over, n, min_periods)}) * {scale!r}D")
 
 
 def first_reason(rules: list[tuple[Column, str]], otherwise: Column | None = None) -> Column:

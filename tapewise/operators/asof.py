@@ -34,6 +34,12 @@ def keep_one(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return best.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
+def beside(df: DataFrame, one_row: DataFrame, how: str = "inner") -> DataFrame:
+    """Attach the columns of a one-row frame (an aggregate without keys) to each row."""
+    side = F.broadcast(one_row.withColumn("_beside", F.lit(1)))
+    return df.withColumn("_beside", F.lit(1)).join(side, "_beside", how).drop("_beside")
+
+
 def with_validity(right: DataFrame, key: list[str], ts: str, until: str = "valid_until") -> DataFrame:
     """Add the timestamp at which the next version of the same key starts."""
     return right.withColumn(until, F.lead(ts).over(Window.partitionBy(*key).orderBy(ts)))

@@ -26,8 +26,8 @@ POISSON_CUMULATIVE = (
 
 def uniform(key: Column, replicate: Column, seed: int) -> Column:
     """Number in [0, 1) from integer arithmetic only (every product fits 63 bits)."""
-    a = ((key % PRIME) * MIX_ROW + seed) % PRIME
-    b = ((replicate + 1) * MIX_REP + seed) % PRIME
+    a = ((key.cast("long") % PRIME) * MIX_ROW + seed) % PRIME
+    b = ((replicate.cast("long") + 1) * MIX_REP + seed) % PRIME
     x = (a + b) % PRIME
     x = ((x * x) % PRIME + a) % PRIME
     x = ((x * x) % PRIME + b * MIX_OUT) % PRIME

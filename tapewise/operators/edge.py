@@ -131,11 +131,12 @@ def prefix_quantiles(use: DataFrame, keys: list[str], slots: DataFrame, value: s
 
 
 def build_edge(labels: DataFrame, grid: DataFrame, p: EdgeParams = EdgeParams(), config_hash: str = "",
-               snapshot_id: str = "") -> DataFrame:
+               snapshot_id: str = "", row_key: Column | None = None) -> DataFrame:
     """One row per (bin, as-of): statistics of the labels resolved strictly before.
 
     ``grid`` has one ``as_of`` timestamp per month. Labels are reduced to one row
     per (bin, month) before anything is accumulated; early as-of dates get n = 0.
+    ``row_key`` is the integer key of a label that seeds its bootstrap weights.
     """
     check_edge_params(p)
     resolved = labels.where(F.col("resolution_ts").isNotNull())
@@ -157,20 +158,22 @@ def build_edge(labels: DataFrame, grid: DataFrame, p: EdgeParams = EdgeParams(),
     quant = prefix_quantiles(use.select(*BIN, "realised_r_gross", "slot"), BIN, slots, "realised_r_gross", QUANTILES)
     out = stats.join(F.broadcast(quant), [*BIN, "slot"], "left")
     if p.lcb_method == "bootstrap":
-        out = _with_bootstrap_lcb(out, use, slots, p)
+        out = _with_bootstrap_lcb(out, use, slots, p, row_key)
     return out.select(*BIN, "as_of", *STATS, F.lit(config_hash).alias("config_hash"),
                       F.lit(snapshot_id).alias("data_snapshot_id"))
 
 
-def _with_bootstrap_lcb(table: DataFrame, use: DataFrame, slots: DataFrame, p: EdgeParams) -> DataFrame:
+def _with_bootstrap_lcb(table: DataFrame, use: DataFrame, slots: DataFrame, p: EdgeParams,
+                        row_key: Column | None) -> DataFrame:
     """Replace the bound by a quantile of resampled means, per bin and as-of date.
 
     A resample of a prefix is the prefix of a resample: weights are summed per
     (bin, month, replicate) and accumulated over the months.
     """
-    key = F.xxhash64("asset_id", "setup_ts", *BIN) if "asset_id" in use.columns else F.xxhash64(*use.columns)
+    names = ["asset_id", "setup_ts", *BIN] if "asset_id" in use.columns else use.columns
+    key = F.pmod(F.xxhash64(*names), F.lit(2147483629)) if row_key is None else row_key
     sums = bootstrap_means(use.where("slot is not null"), [*BIN, "slot"], F.col("realised_r_gross"),
-                           F.pmod(key, F.lit(2147483629)), p.bootstrap_iterations, p.bootstrap_seed, sums_only=True)
+                           key, p.bootstrap_iterations, p.bootstrap_seed, sums_only=True)
     all_slots = slots.agg(F.collect_list("slot").alias("_all")).withColumn("_one", F.lit(1))
     dense = sums.select(*BIN, "replicate").distinct().withColumn("_one", F.lit(1)).join(
         F.broadcast(all_slots), "_one").select(*BIN, "replicate", F.explode("_all").alias("slot"))

@@ -14,19 +14,24 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewise.functions.exprs import (first_reason, ratio, rolling, rolling_count, rolling_cov, rolling_mean,
-                                      rolling_std, rolling_sum, rolling_var, strict_greatest, trailing)
+from tapewise.functions.exprs import (first_reason, ratio, rolling, rolling_cov, rolling_mean, rolling_std,
+                                      rolling_sum, rolling_var, strict_greatest, trailing)
 from tapewise.params import FeatureParams, MarketParams, RegimeParams, UniverseParams
 
 EMA_BLOCK = 128
+BY_ASSET = "PARTITION BY asset_id ORDER BY ts"
 
 
 def over_asset():
     return Window.partitionBy("asset_id").orderBy("ts")
 
 
+def lag_sql(c: str, n: int = 1) -> str:
+    return f"lag({c}, {n}) OVER ({BY_ASSET})"
+
+
 def lagged(c: str, n: int = 1) -> Column:
-    return F.lag(c, n).over(over_asset())
+    return F.expr(lag_sql(c, n))
 
 
 def with_bar_number(df: DataFrame, name: str = "bars_available") -> DataFrame:
@@ -34,8 +39,8 @@ def with_bar_number(df: DataFrame, name: str = "bars_available") -> DataFrame:
 
 
 def true_range() -> Column:
-    prev = lagged("close")
-    return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev))
+    p = lag_sql("close")
+    return F.expr(f"greatest(high - low, abs(high - {p}), abs(low - {p}))")
 
 
 def with_ema(df: DataFrame, value: str, name: str, alpha: float, min_periods: int,
@@ -51,19 +56,16 @@ def with_ema(df: DataFrame, value: str, name: str, alpha: float, min_periods: in
         return df.withColumn(name, F.when(F.col(rn) >= min_periods, F.col(value)))
     q = 1.0 - alpha
     size = EMA_BLOCK if q > 0.01 else 32
-    k = (F.col(rn) - 1) % size
-    block = F.floor((F.col(rn) - 1) / size)
-    weight = F.when(F.col(rn) == 1, F.lit(1.0)).otherwise(F.lit(alpha))
-    inside = Window.partitionBy("asset_id", "_blk").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    before = over_asset().rowsBetween(Window.unboundedPreceding, -1)
-    carry = F.aggregate("_ends", F.lit(0.0), lambda acc, e: acc * F.lit(q ** size) + e)
+    weight = f"if({rn} = 1, 1D, {alpha!r}D)"
+    inside = "(PARTITION BY asset_id, _blk ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    before = f"({BY_ASSET} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     return (
-        df.withColumn("_blk", block).withColumn("_k", k)
-        .withColumn("_loc", F.pow(F.lit(q), F.col("_k"))
-                    * F.sum(weight * F.col(value) * F.pow(F.lit(q), -F.col("_k"))).over(inside))
-        .withColumn("_ends", F.collect_list(F.when(F.col("_k") == size - 1, F.col("_loc"))).over(before))
-        .withColumn(name, F.when(F.col(rn) >= min_periods,
-                                 F.col("_loc") + F.pow(F.lit(q), F.col("_k") + 1) * carry))
+        df.selectExpr("*", f"floor(({rn} - 1) / {size}) AS _blk", f"({rn} - 1) % {size} AS _k")
+        .selectExpr("*", f"pow({q!r}D, _k) * sum({weight} * {value} * pow({q!r}D, -_k)) OVER {inside} AS _loc")
+        .selectExpr("*", f"collect_list(if(_k = {size - 1}, _loc, NULL)) OVER {before} AS _ends")
+        .withColumn(name, F.expr(
+            f"CASE WHEN {rn} >= {min_periods} THEN _loc + pow({q!r}D, _k + 1)"
+            f" * aggregate(_ends, 0D, (acc, e) -> acc * {q ** size!r}D + e) END"))
         .drop("_blk", "_k", "_loc", "_ends")
     )
 
@@ -79,64 +81,58 @@ def with_moving_averages(df: DataFrame, fast: int, slow: int) -> DataFrame:
 
 
 def ema_spread() -> Column:
-    return ratio(F.col("ema_fast") - F.col("ema_slow"), F.col("atr_14"))
+    return F.expr("(ema_fast - ema_slow) / nullif(atr_14, 0)")
 
 
 def slope(n: int) -> Column:
-    return ratio(F.col("close") - lagged("close", n), F.col("atr_14") * math.sqrt(n))
+    return F.expr(f"(close - {lag_sql('close', n)}) / nullif(atr_14 * {math.sqrt(n)!r}D, 0)")
 
 
-def channel(c: str, agg, n: int) -> Column:
+def channel(c: str, agg: str, n: int) -> Column:
     """Extreme of the ``n`` rows before the current one."""
-    f = over_asset().rowsBetween(-n, -1)
-    return F.when(F.lag(c, n).over(over_asset()).isNotNull(), agg(c).over(f))
+    return F.expr(f"CASE WHEN {lag_sql(c, n)} IS NOT NULL THEN {agg}({c}) OVER"
+                  f" ({BY_ASSET} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) END")
 
 
 def realised_vol(n: int, bars_per_year: int) -> Column:
-    return rolling_std(F.col("_lr"), over_asset(), n) * math.sqrt(bars_per_year)
+    return rolling_std("_lr", BY_ASSET, n, math.sqrt(bars_per_year))
 
 
 def log_return() -> Column:
-    return F.log(ratio(F.col("close"), lagged("close")))
+    return F.expr(f"ln(close / nullif({lag_sql('close')}, 0))")
 
 
 def efficiency(n: int) -> Column:
-    path = rolling_sum(F.col("_step"), over_asset(), n)
+    path = rolling_sum("_step", BY_ASSET, n)
     return F.when(path > 0, F.abs(F.col("close") - lagged("close", n)) / path)
 
 
 def momentum(far: int, near: int = 0) -> Column:
-    recent = F.col("close") if near == 0 else lagged("close", near)
-    return ratio(recent, lagged("close", far)) - 1.0
+    recent = "close" if near == 0 else lag_sql("close", near)
+    return F.expr(f"{recent} / nullif({lag_sql('close', far)}, 0) - 1D")
 
 
 def with_gap(df: DataFrame, mean_n: int = 20) -> DataFrame:
-    out = df.withColumn("gap_atr", ratio(F.col("open") - lagged("close"), lagged("atr_14")))
-    return out.withColumn("gap_abs_mean_20", rolling_mean(F.abs(F.col("gap_atr")), over_asset(), mean_n))
+    out = df.withColumn("gap_atr", F.expr(f"(open - {lag_sql('close')}) / nullif({lag_sql('atr_14')}, 0)"))
+    return out.withColumn("gap_abs_mean_20", rolling_mean("abs(gap_atr)", BY_ASSET, mean_n))
 
 
 def with_overnight_share(df: DataFrame, n: int = 60) -> DataFrame:
-    out = df.withColumn("_on", F.log(ratio(F.col("open"), lagged("close")))).withColumn(
-        "_in", F.log(ratio(F.col("close"), F.col("open"))))
-    on, inn = (rolling_var(F.col(c), over_asset(), n) for c in ("_on", "_in"))
-    return out.withColumn("_von", on).withColumn("_vin", inn).withColumn(
-        "overnight_var_share_60",
-        F.when(F.col("_von") + F.col("_vin") > 0, F.col("_von") / (F.col("_von") + F.col("_vin"))),
-    ).drop("_on", "_in", "_von", "_vin")
+    out = df.selectExpr("*", f"ln(open / nullif({lag_sql('close')}, 0)) AS _on", "ln(close / nullif(open, 0)) AS _in")
+    out = out.withColumns({"_von": rolling_var("_on", BY_ASSET, n), "_vin": rolling_var("_in", BY_ASSET, n)})
+    return out.withColumn("overnight_var_share_60", F.expr("CASE WHEN _von + _vin > 0 THEN _von / (_von + _vin) END")).drop(
+        "_on", "_in", "_von", "_vin")
 
 
-def rolling_pct_rank(value: str, window, n: int, min_periods: int) -> Column:
+def rolling_pct_rank(value: str, over: str, n: int, min_periods: int) -> Column:
     """Average-tie percentile rank of the current value among the last ``n`` rows.
 
     The frame holds at most ``n`` numbers; one pass over it counts the lower and
     the equal ones.
     """
-    frame = trailing(window, n)
-    seen = F.collect_list(value).over(frame)
-    v = F.col(value)
-    score = F.aggregate(seen, F.lit(0.0),
-                        lambda acc, x: acc + F.when(x < v, 1.0).when(x == v, 0.5).otherwise(0.0))
-    return F.when(v.isNotNull() & (F.size(seen) >= min_periods), (score + 0.5) / F.size(seen))
+    seen = f"collect_list({value}) OVER ({over} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    score = f"aggregate({seen}, 0.5D, (acc, x) -> acc + CASE WHEN x < {value} THEN 1D WHEN x = {value} THEN 0.5D ELSE 0D END)"
+    return F.expr(f"CASE WHEN {value} IS NOT NULL AND size({seen}) >= {min_periods} THEN {score} / size({seen}) END")
 
 
 def with_bench_moments(df: DataFrame, benchmark: DataFrame, window: int, reference: str) -> DataFrame:
@@ -151,19 +147,17 @@ def with_bench_moments(df: DataFrame, benchmark: DataFrame, window: int, referen
     w = Window.partitionBy("asset_id", "_both").orderBy("ts")
     out = out.withColumn("_rs", F.log(ratio(F.col("close"), F.lag("close").over(w)))).withColumn(
         "_rb", F.log(ratio(F.col("_b"), F.lag("_b").over(w))))
-    need = window // 2
-    rs, rb = F.col("_rs"), F.col("_rb")
+    need, over = window // 2, "PARTITION BY asset_id, _both ORDER BY ts"
     out = out.withColumns({
-        "_cov": rolling_cov(rs, rb, w, window, need),
-        "_var": rolling_var(rb, w, window, need),
-        "_vs": rolling_var(F.when(rb.isNotNull(), rs), w, window, need),
-        "_vb": rolling_var(F.when(rs.isNotNull(), rb), w, window, need),
+        "_cov": rolling_cov("_rs", "_rb", over, window, need),
+        "_var": rolling_var("_rb", over, window, need),
+        "_vs": rolling_var("if(_rb IS NULL, NULL, _rs)", over, window, need),
+        "_vb": rolling_var("if(_rs IS NULL, NULL, _rb)", over, window, need),
     })
     own = F.col("symbol") == reference
     return out.withColumns({
-        "beta_bench_90": F.when(own, 1.0).otherwise(F.when(F.col("_both"), ratio(F.col("_cov"), F.col("_var")))),
-        "corr_bench_90": F.when(own, 1.0).otherwise(
-            F.when(F.col("_both"), ratio(F.col("_cov"), F.sqrt("_vs") * F.sqrt("_vb")))),
+        "beta_bench_90": F.when(own, 1.0).otherwise(F.expr("if(_both, _cov / nullif(_var, 0), NULL)")),
+        "corr_bench_90": F.when(own, 1.0).otherwise(F.expr("if(_both, _cov / nullif(sqrt(_vs) * sqrt(_vb), 0), NULL)")),
     }).drop("_b", "_both", "_rs", "_rb", "_cov", "_var", "_vs", "_vb")
 
 
@@ -192,7 +186,7 @@ def with_corwin_schultz(df: DataFrame, n: int, name: str = "cs_bps") -> DataFram
     out = out.withColumn("_b", F.when(pair, F.col("_hl") * F.col("_hl") + F.col("_hl1") * F.col("_hl1")))
     out = out.withColumn("_g", F.when(pair, two * two))
     k = 3.0 - 2.0 * math.sqrt(2.0)
-    beta, gamma = rolling_mean(F.col("_b"), w, n), rolling_mean(F.col("_g"), w, n)
+    beta, gamma = rolling_mean("_b", BY_ASSET, n), rolling_mean("_g", BY_ASSET, n)
     out = out.withColumn("_beta", beta).withColumn("_gamma", gamma)
     alpha = (F.sqrt(F.col("_beta") * 2.0) - F.sqrt("_beta")) / k - F.sqrt(F.col("_gamma") / k)
     e = F.exp(F.col("_alpha"))
@@ -214,8 +208,7 @@ def final_spread(cs: Column, adv: Column, p: UniverseParams) -> Column:
 
 
 def rolling_median(value: str, n: int) -> Column:
-    f = trailing(over_asset(), n)
-    return F.when(F.count(value).over(f) >= n, F.percentile(value, 0.5).over(f))
+    return rolling(f"percentile({value}, 0.5)", value, BY_ASSET, n)
 
 
 # -- labels --------------------------------------------------------------------
@@ -238,12 +231,13 @@ def regime(er: Column, er_long: Column, slope_: Column, vol_pct: Column, p: Regi
 
 def market_columns(benchmark: DataFrame, p: MarketParams) -> DataFrame:
     """Market regime per session from the one-row-per-session benchmark."""
-    w = Window.orderBy("ts")  # bounded: one row per trading session
-    out = benchmark.withColumn("_lr", F.log(ratio(F.col("close"), F.lag("close").over(w))))
-    out = out.withColumn("_sma", rolling_mean(F.col("close"), w, p.sma_n))
-    out = out.withColumn("_peak", rolling(F.max, F.col("close"), w, p.dd_n))
-    out = out.withColumn("_vol", rolling_std(F.col("_lr"), w, p.vol_n) * math.sqrt(p.bars_per_year))
-    out = out.withColumn("vol_pct", rolling_pct_rank("_vol", w, p.vol_window, p.vol_min_periods))
+    over = "ORDER BY ts"  # bounded: one row per trading session
+    out = benchmark.selectExpr("*", f"ln(close / nullif(lag(close) OVER ({over}), 0)) AS _lr")
+    out = out.withColumns({
+        "_sma": rolling_mean("close", over, p.sma_n), "_peak": rolling("max(close)", "close", over, p.dd_n),
+        "_vol": rolling_std("_lr", over, p.vol_n, math.sqrt(p.bars_per_year)),
+    })
+    out = out.withColumn("vol_pct", rolling_pct_rank("_vol", over, p.vol_window, p.vol_min_periods))
     above = F.coalesce(F.col("close") > F.col("_sma"), F.lit(False))
     dd = 1.0 - ratio(F.col("close"), F.col("_peak"))
     stressed = (F.col("spy_dd_252") >= p.dd_stress) | (F.col("vol_pct") >= p.vol_stress)
@@ -262,7 +256,7 @@ def asset_features(panel: DataFrame, benchmark: DataFrame, p: FeatureParams, r:
     df = with_bars_since_gap(with_bar_number(panel))
     df = with_atr(df, p.atr_n)
     df = with_moving_averages(df, p.ema_fast, p.ema_slow)
-    df = df.withColumn("_lr", log_return()).withColumn("_step", F.abs(F.col("close") - lagged("close")))
+    df = df.withColumn("_lr", log_return()).withColumn("_step", F.expr(f"abs(close - {lag_sql('close')})"))
     df = df.withColumns({
         "vol_20": realised_vol(p.vol_short, p.bars_per_year),
         "vol_60": realised_vol(p.vol_long, p.bars_per_year),
@@ -270,11 +264,11 @@ def asset_features(panel: DataFrame, benchmark: DataFrame, p: FeatureParams, r:
         "slope_atr_20": slope(p.slope_n),
         "efficiency_ratio_20": efficiency(p.er_n),
         "efficiency_ratio_60": efficiency(p.er_long_n),
-        "atr_percentile_1y": rolling_pct_rank("atr_pct", over_asset(), p.vol_window, p.vol_min_periods),
-        "donchian_high_20": channel("high", F.max, p.donchian_short),
-        "donchian_low_20": channel("low", F.min, p.donchian_short),
-        "donchian_high_55": channel("high", F.max, p.donchian_long),
-        "donchian_low_55": channel("low", F.min, p.donchian_long),
+        "atr_percentile_1y": rolling_pct_rank("atr_pct", BY_ASSET, p.vol_window, p.vol_min_periods),
+        "donchian_high_20": channel("high", "max", p.donchian_short),
+        "donchian_low_20": channel("low", "min", p.donchian_short),
+        "donchian_high_55": channel("high", "max", p.donchian_long),
+        "donchian_low_55": channel("low", "min", p.donchian_long),
         "mom_252_skip21": momentum(p.mom_long, p.mom_skip),
         "mom_126_skip21": momentum(p.mom_mid, p.mom_skip),
         "mom_21": momentum(p.mom_short),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tapewise.functions.exprs import ratio
 from tapewise.functions.stats import deflated_sharpe, welch, wilson_interval
-from tapewise.operators.asof import asof_backward
+from tapewise.operators.asof import asof_backward, beside
 from tapewise.operators.bootstrap import bootstrap_means, interval
 from tapewise.operators.ranking import exact_quantiles, longest_run
 from tapewise.params import DAYS_PER_YEAR, HOLDOUT_START, ResearchParams
@@ -50,7 +50,7 @@ def _years(lo: Column, hi: Column) -> Column:
 def return_risk(equity: DataFrame, p: ResearchParams = ResearchParams()) -> DataFrame:
     """Return, growth, Sharpe, Sortino, drawdown, Calmar and ulcer, one row."""
     e = with_drawdown(with_returns(equity))
-    down = F.least(F.col("ret"), F.lit(0.0))
+    down = F.when(F.col("ret") < 0, F.col("ret")).when(F.col("ret").isNotNull(), 0.0)
     a = e.agg(
         F.min_by("equity", "ts").alias("_a"), F.max_by("equity", "ts").alias("_z"), F.min("ts").alias("_t0"),
         F.max("ts").alias("_t1"), F.count(F.lit(1)).alias("_rows"), F.count("ret").alias("_n"), F.avg("ret").alias("_m"),
@@ -66,7 +66,7 @@ def return_risk(equity: DataFrame, p: ResearchParams = ResearchParams()) -> Data
         (ratio(F.col("_m"), F.col("_d")) * root).alias("sortino"), "max_drawdown_pct",
         F.when(F.col("max_drawdown_pct") > 0, F.col("cagr_pct") / F.when(F.col("max_drawdown_pct") > 0, F.col("max_drawdown_pct"))).alias("calmar"),
         "ulcer_index")
-    return out.join(F.broadcast(longest_underwater(e)), F.lit(True))  # one row each
+    return beside(out, longest_underwater(e))
 
 
 def monthly_grid(equity: DataFrame) -> DataFrame:
@@ -139,14 +139,14 @@ def pnl_share(trades: DataFrame) -> DataFrame:
     per = trades.where("realised_r is not null and symbol is not null").groupBy(F.col("symbol").alias("group")).agg(
         F.count(F.lit(1)).alias("n"), F.avg("realised_r").alias("mean_r"), F.sum("realised_r").alias("sum_r"))
     total = per.agg(F.sum(F.abs("sum_r")).alias("_t"))
-    return per.join(F.broadcast(total), F.lit(True)).select("group", "n", "mean_r", "sum_r",
+    return beside(per, total).select("group", "n", "mean_r", "sum_r",
                                                             ratio(F.col("sum_r"), F.col("_t")).alias("pnl_share"))
 
 
 def top_share(trades: DataFrame, n: int = 3) -> DataFrame:
     per = pnl_share(trades).select("group", "sum_r")
     top = per.orderBy(F.col("sum_r").desc(), "group").limit(n).agg(F.sum("sum_r").alias("_top"))
-    return per.agg(F.sum("sum_r").alias("_all")).join(F.broadcast(top), F.lit(True)).select(
+    return beside(per.agg(F.sum("sum_r").alias("_all")), top).select(
         ratio(F.col("_top"), F.col("_all")).alias("top_share"))
 
 
@@ -191,7 +191,7 @@ def activity_and_cost(trades: DataFrame, equity: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("_n"), F.sum((F.abs(F.col("qty") * F.col("entry_price")) + F.abs(F.col("qty") * F.col("exit_price"))) * 0.5).alias("_nv"),
         F.sum("fees_usd").alias("total_fees_usd"), F.sum("funding_usd").alias("total_funding_usd"),
         F.sum("borrow_usd").alias("_bw"), F.sum("gross_pnl_usd").alias("_gp"))
-    j = t.join(F.broadcast(e), F.lit(True)).join(F.broadcast(x), F.lit(True)).withColumn("_y", _years(F.col("_t0"), F.col("_t1")))
+    j = beside(beside(t, e), x).withColumn("_y", _years(F.col("_t0"), F.col("_t1")))
     y = F.when(F.col("_y") > 0, F.col("_y"))
     cost = F.col("total_fees_usd") + F.col("total_funding_usd") + F.col("_bw")
     return j.select(
@@ -246,8 +246,8 @@ def run_metrics(trades: DataFrame, equity: DataFrame, row_key: Column, order: st
              mean_r_interval(trades, row_key, p), sharpe_interval(equity, p),
              deflated_sharpe_row(return_moments(equity), n_trials)]
     out = parts[0]
-    for part in parts[1:]:  # one row each
-        out = out.join(F.broadcast(part), F.lit(True))
+    for part in parts[1:]:
+        out = beside(out, part)
     return out
 
 
@@ -259,7 +259,7 @@ def headline_metrics(trades: DataFrame, equity: DataFrame) -> DataFrame:
     n = lambda o: F.sum(F.when(F.col("outcome") == o, 1).otherwise(0)).cast("long")
     t = trades.agg(F.count(F.lit(1)).alias("n_trades"), F.avg((F.col("realised_r") > 0).cast("double")).alias("win_rate"),
                    F.avg("realised_r").alias("mean_r"), n("TARGET").alias("n_target"), n("STOP").alias("n_stop"), n("TIME").alias("n_time"))
-    return dd.join(F.broadcast(t), F.lit(True))
+    return beside(dd, t)
 
 
 def trades_per_month(trades: DataFrame) -> DataFrame:
@@ -272,7 +272,7 @@ def gap_decomposition(trades: DataFrame) -> DataFrame:
     r = F.col("realised_r")
     a = s.agg(F.count(F.lit(1)).alias("n_stop"), F.avg(r).alias("mean_r"), F.avg((r < -1.5).cast("double")).alias("frac_below_minus_1_5"))
     q = exact_quantiles(s.select("_g", "realised_r"), ["_g"], "realised_r", {"p05_r": 0.05}).drop("_g")
-    return a.join(F.broadcast(q), F.lit(True), "left").select("n_stop", "mean_r", "p05_r", "frac_below_minus_1_5")
+    return beside(a, q, "left").select("n_stop", "mean_r", "p05_r", "frac_below_minus_1_5")
 
 
 def bin_realised(bins: DataFrame, trades: DataFrame) -> DataFrame:
@@ -282,43 +282,39 @@ def bin_realised(bins: DataFrame, trades: DataFrame) -> DataFrame:
     return bins.join(got, keys, "left").withColumn("realised_n", F.coalesce("realised_n", F.lit(0)))
 
 
-def _interval_text_round(x: Column, digits: Column) -> Column:
-    """Round to significant fraction digits the way interval labels are printed."""
-    whole = F.when(x >= 0, F.floor(x)).otherwise(F.ceil(x))
-    frac = F.abs(x - whole)
-    lead = F.when((whole == 0) & (frac > 0), -F.floor(F.log10(F.when(frac > 0, frac))) - 1).otherwise(0)
-    scale = F.pow(F.lit(10.0), lead + digits)
-    return F.when(frac == 0, x).otherwise(F.rint(x * scale) / scale)
+def _shown(x: float, digits: int) -> float:
+    """An interval edge as printed: ``digits`` fraction digits after leading zeros."""
+    frac, whole = math.modf(x)
+    if frac == 0:
+        return x
+    lead = -math.floor(math.log10(abs(frac))) - 1 if whole == 0 else 0
+    return round(x, lead + digits)
 
 
 def calibration(trades: DataFrame, row_key: Column, n_buckets: int = 10, p: ResearchParams = ResearchParams()) -> DataFrame:
     """Predicted value in quantile buckets against the mean realised R.
 
-    Bucket edges are exact quantiles (equal edges merged, right-closed) held in
-    one short array; the reported middle uses the edges as printed at the fewest
-    digits (three or more) that keep them apart.
+    Bucket edges are exact quantiles, equal ones merged, right-closed. They are at
+    most ``n_buckets + 1`` numbers, read once; the reported middle uses the edges
+    as printed with the fewest digits (three or more) that keep them apart.
     """
     use = trades.where("ev_net_r_at_entry is not null and realised_r is not null").withColumn("_g", F.lit(1)).withColumn("_key", row_key)
     distinct = use.agg(F.countDistinct("ev_net_r_at_entry")).first()[0]
     k = min(n_buckets, max(1, distinct))
     probs = {f"q{i}": i / k for i in range(k + 1)}
-    edges = exact_quantiles(use.select("_g", "ev_net_r_at_entry"), ["_g"], "ev_net_r_at_entry", probs).select(
-        "_g", F.array_distinct(F.array(*probs)).alias("_e"))
-    enough = F.lit(None).cast("int")
-    for d in range(19, 2, -1):
-        shown = F.transform("_e", lambda x, d=d: _interval_text_round(x, F.lit(d)))
-        enough = F.when(F.size(F.array_distinct(shown)) == F.size("_e"), d).otherwise(enough)
-    edges = edges.withColumn("_dig", F.coalesce(enough, F.lit(3)))
-    j = use.join(F.broadcast(edges), "_g").withColumn(
-        "bucket", F.greatest(F.lit(1), F.size(F.filter("_e", lambda e: e < F.col("ev_net_r_at_entry")))))
-    lo = _interval_text_round(F.element_at("_e", F.col("bucket")), F.col("_dig"))
-    lo = F.when(F.col("bucket") == 1, lo - F.pow(F.lit(10.0), -F.col("_dig"))).otherwise(lo)
-    hi = _interval_text_round(F.try_element_at("_e", F.col("bucket") + 1), F.col("_dig"))
-    base = j.groupBy("bucket", "_e", "_dig").agg(F.avg("realised_r").alias("mean_realised_r"), F.count(F.lit(1)).alias("n"))
-    base = base.select("bucket", ((lo + hi) * 0.5).alias("predicted_mid"), "mean_realised_r", "n")
+    row = exact_quantiles(use.select("_g", "ev_net_r_at_entry"), ["_g"], "ev_net_r_at_entry", probs).first()
+    edges = sorted({row[q] for q in probs}) if row else [0.0]
+    digits = next((d for d in range(3, 20) if len({_shown(e, d) for e in edges}) == len(edges)), 3)
+    shown = [_shown(e, digits) for e in edges]
+    shown[0] -= 10.0 ** -digits
+    mids = F.array(*[F.lit(0.5 * (a + b)) for a, b in zip(shown, shown[1:])] or [F.lit(shown[0])])
+    below = F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col("ev_net_r_at_entry"))
+    j = use.withColumn("bucket", F.greatest(F.lit(1), F.size(below)))
+    base = j.groupBy("bucket").agg(F.avg("realised_r").alias("mean_realised_r"), F.count(F.lit(1)).alias("n"))
     ci = mean_r_interval(j, F.col("_key"), p, ["bucket"]).select(
         "bucket", F.col("mean_r_ci_low").alias("ci_low"), F.col("mean_r_ci_high").alias("ci_high"))
-    return base.join(F.broadcast(ci), "bucket").select("bucket", "predicted_mid", "mean_realised_r", "ci_low", "ci_high", "n")
+    return base.join(F.broadcast(ci), "bucket").select(  # one row per bucket
+        "bucket", F.element_at(mids, F.col("bucket")).alias("predicted_mid"), "mean_realised_r", "ci_low", "ci_high", "n")
 
 
 def compare_samples(df: DataFrame, flag: Column, value: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from tapewise.functions.exprs import session_of
 from tapewise.plans.inputs import Inputs, inputs
 from tapewise.plans.oracles import statement
+from tapewise.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -19,7 +20,11 @@ SQL: dict[str, str] = {}
 def query(name: str, sql: str | None = None):
     """Register ``f(inputs) -> DataFrame`` with the SQL that must agree with it."""
     def add(f: Callable[[Inputs], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: f(inputs(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            tune(spark)
+            return f(inputs(spark, sf_dir))
+
+        QUERIES[name] = run
         if sql is not None:
             SQL[name] = statement(sql)
         return f

@@ -103,7 +103,7 @@ class Inputs:
         """Resolved labels booked as trades at a fixed money risk."""
         lab = self.labels.where("outcome <> 'OPEN'")
         sign = F.when(F.col("direction") == "LONG", 1.0).otherwise(-1.0)
-        qty = F.floor(F.lit(400.0) / F.col("risk_per_unit") * 100.0) / 100.0
+        qty = F.floor(F.lit(100.0) / F.col("risk_per_unit") * 100.0) / 100.0
         t = lab.join(self.tickers.select("asset_id", F.col("sector").alias("cluster")), "asset_id").withColumn("qty", qty)
         return t.select(
             "asset_id", "symbol", "cluster", "strategy_id", "direction", sign.alias("sign"), "regime", "vol_bucket", "setup_ts",

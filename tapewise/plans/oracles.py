@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 from tapewise.plans import derived as D
-from tapewise.plans.inputs import EQUITY, WARMUPS, strategies
+from tapewise.plans.inputs import EQUITY, strategies
 
 CTE: dict[str, str] = {}
 
@@ -291,7 +291,7 @@ cte("edge_", f"""SELECT g.strategy_id, g.direction, g.vol_bucket, g.session AS a
   ON l.strategy_id = g.strategy_id AND l.direction = g.direction AND l.vol_bucket = g.vol_bucket AND l.exit_session < g.session GROUP BY 1, 2, 3, 4""")
 cte("assets_", """SELECT c.asset_id, c.symbol, coalesce(t.exchange, 'NYSE') AS exchange, CASE WHEN trim(coalesce(t.sector, '')) = '' THEN 'OTHER' ELSE t.sector END AS cluster,
   coalesce(t.is_etf, false) AS is_etf FROM cand c LEFT JOIN tick t USING (asset_id)""")
-cte("trades_", f"""SELECT l.*, t.sector AS cluster, entry_session AS ets, exit_session AS xts, floor(400e0 / risk_per_unit * 100) / 100 AS qty,
+cte("trades_", f"""SELECT l.*, t.sector AS cluster, entry_session AS ets, exit_session AS xts, floor(100e0 / risk_per_unit * 100) / 100 AS qty,
   CAST(sgn AS DOUBLE) AS sign, r AS realised_r, mom_252_xs_pct * 0.2e0 - 0.1e0 AS ev_net_r_at_entry,
   CAST(substr(l.asset_id, 2) AS BIGINT) * 2000 + CAST(floor((setup_session - DATE '1990-01-01') / 7) AS BIGINT) * 2 + CASE WHEN strategy_id = '{XS.strategy_id}' THEN 0 ELSE 1 END AS row_key
   FROM resolved l JOIN tick t ON t.asset_id = l.asset_id""")
@@ -301,4 +301,4 @@ cte("curve", f"""SELECT session, session_index, {EQUITY} + sum(coalesce(p, 0)) O
   FROM cal LEFT JOIN (SELECT xts, sum(gross_pnl_usd - fees_usd - borrow_usd) AS p FROM money GROUP BY 1) ON xts = session""")
 cte("curve2", """SELECT *, equity / lag(equity) OVER (ORDER BY session) - 1 AS ret, max(equity) OVER (ORDER BY session) AS peak,
   greatest(0e0, 1e0 - equity / max(equity) OVER (ORDER BY session)) AS dd FROM curve""")
-WARM = WARMUPS
+

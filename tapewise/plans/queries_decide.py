@@ -1 +1,383 @@
-"""placeholder"""
+"""Queries on edge, costs, decisions, allocation, holdings and sentiment."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tapewise.operators import decisions as DE
+from tapewise.operators import edge as E
+from tapewise.operators import portfolio as PF
+from tapewise.operators import sentiment as SE
+from tapewise.operators.features import FEATURE_COLUMNS
+from tapewise.operators.bootstrap import POISSON_CUMULATIVE
+from tapewise.params import CostParams, EdgeParams, PortfolioParams, SentimentParams
+from tapewise.plans import derived as D
+from tapewise.plans.catalog import query, tidy
+from tapewise.plans.inputs import EQUITY, WARMUPS, strategies
+from tapewise.plans.oracles import AGG, BIN, blocked, cte, d, i
+from tapewise.session import staged
+
+BINS = ["strategy_id", "direction", "vol_bucket"]
+STAT_COLS = "mean_r std_r ev_r_lcb mean_bars_held win_rate avg_win_r avg_loss_r target_rate stop_rate time_rate median_r p05_r p95_r"
+C, B, G = CostParams(), PortfolioParams(), D.WEEKLY_GATES
+
+
+@query("bin_statistics", f"SELECT {BIN}, n, {d(STAT_COLS)} FROM (SELECT {BIN}, {AGG} FROM resolved GROUP BY ALL)")
+def bin_statistics(x):
+    return tidy(E.bin_statistics(x.labels, p=D.WEEKLY_EDGE))
+
+
+@query("edge_table", f"SELECT {BIN}, CAST(as_of AS VARCHAR) AS as_of, n, {d(STAT_COLS)}, 'weekly' AS config_hash, 'derived' AS data_snapshot_id FROM edge_")
+def edge_table(x):
+    return tidy(E.build_edge(x.labels, x.grid, D.WEEKLY_EDGE, "weekly", "derived"))
+
+
+def _usable(p: str = "") -> str:
+    return f"coalesce({p}n >= {D.WEEKLY_EDGE.min_samples} AND {p}std_r > 0, false)"
+
+
+@query("usable_bins", f"SELECT {BIN}, CAST(as_of AS VARCHAR) AS as_of, {_usable()} AS usable FROM edge_")
+def usable_bins(x):
+    return tidy(E.check_provenance(x.edge, "weekly", "derived").select(*BINS, "as_of", E.usable_bin(D.WEEKLY_EDGE).alias("usable")))
+
+
+@query("edge_lookup", f"""SELECT s.asset_id, CAST(s.session AS VARCHAR) AS session, s.strategy_id, s.direction, CAST(e.as_of AS VARCHAR) AS as_of, e.n AS bin_n, round(e.ev_r_lcb, 6) AS bin_ev_r_lcb
+  FROM setups s ASOF LEFT JOIN edge_ e ON e.strategy_id = s.strategy_id AND e.direction = s.direction AND e.vol_bucket = s.vol_bucket AND s.session >= e.as_of""")
+def edge_lookup(x):
+    from tapewise.operators.setups import detect_setups
+    rows = detect_setups(x.features, strategies()).select("asset_id", "ts", "session", *BINS)
+    out = E.edge_at(rows, x.edge).withColumn("as_of", F.when(F.col("bin_n").isNotNull(), F.col("as_of")))
+    return tidy(out.select("asset_id", "session", "strategy_id", "direction", "as_of", "bin_n", "bin_ev_r_lcb"))
+
+
+REPS, SEED = 50, 20260827
+PRIME = 2147483647
+UNIFORM = f"""(x3 * x3) % {PRIME} / {PRIME}e0 AS u FROM (SELECT *, ((x2 * x2) % {PRIME} + b0 * 69621) % {PRIME} AS x3 FROM (SELECT *, ((x1 * x1) % {PRIME} + a0) % {PRIME} AS x2
+  FROM (SELECT *, (a0 + b0) % {PRIME} AS x1 FROM (SELECT *, ((row_key % {PRIME}) * 1103515245 + {SEED}) % {PRIME} AS a0, ((rep + 1) * 48271 + {SEED}) % {PRIME} AS b0"""
+WEIGHT = " + ".join(f"CAST(u >= {t!r} AS INT)" for t in POISSON_CUMULATIVE)
+cte("wts", f"SELECT *, {WEIGHT} AS w FROM (SELECT *, {UNIFORM} FROM trades_, (SELECT unnest(generate_series(0, {REPS - 1}))::BIGINT AS rep))))))")
+
+
+@query("edge_bootstrap_bound", f"""SELECT e.strategy_id, e.direction, e.vol_bucket, CAST(e.as_of AS VARCHAR) AS as_of, e.n, round(e.mean_r, 6) AS mean_r,
+  CASE WHEN e.n >= 2 THEN round(q, 6) END AS ev_r_lcb FROM edge_ e LEFT JOIN (SELECT {BIN}, as_of, quantile_cont(m, 0.1) AS q FROM (
+    SELECT w.strategy_id, w.direction, w.vol_bucket, g.session AS as_of, rep, sum(w * realised_r) / sum(w) AS m FROM wts w JOIN months g ON w.xts < g.session WHERE w > 0 GROUP BY ALL)
+  GROUP BY ALL) b ON b.strategy_id = e.strategy_id AND b.direction = e.direction AND b.vol_bucket = e.vol_bucket AND b.as_of = e.as_of""")
+def edge_bootstrap_bound(x):
+    p = EdgeParams(min_samples=20, lcb_method="bootstrap", bootstrap_iterations=REPS, bootstrap_seed=SEED)
+    return tidy(E.build_edge(x.labels, x.grid, p, row_key=x.row_key).select(*BINS, "as_of", "n", "mean_r", "ev_r_lcb"))
+
+
+# -- costs ----------------------------------------------------------------------------
+
+def cost_sql(notional: str, risk: str, hold: str, price: str) -> str:
+    side = f"least(greatest({notional} / {price} * {C.commission_per_share}, {C.commission_min}), {notional} * {C.commission_max_share})"
+    return f"""2e0 * {side} / {notional} * 1e4 AS fee2, CASE WHEN spread_bps_est IS NOT NULL THEN greatest(spread_bps_est, 0) * 2 END AS spread_bps, (atr_pct * {C.slippage_vol_coef} * 1e4 + {C.slippage_fixed_bps}) * 2 AS slippage_bps,
+    CASE WHEN adv_usd_60 IS NOT NULL THEN atr_pct * {C.impact_coef} * 1e4 * sqrt({notional} / greatest(adv_usd_60, 1e0)) END AS impact_bps,
+    CASE WHEN direction = 'SHORT' THEN {C.borrow_bps_per_year} * {hold} / 252e0 + {C.dividend_yield} * 1e4 * {hold} / 252e0 ELSE 0 END AS funding_bps"""
+
+
+cte("setup_cost0", f"""SELECT s.*, n.spread_bps_est, n.adv_usd_60, {EQUITY * B.risk_fraction} AS risk_capital,
+  {EQUITY * B.risk_fraction} / risk_per_unit * reference_price AS notional FROM setups s ASOF LEFT JOIN snap n ON n.asset_id = s.asset_id AND s.session >= n.session""")
+cte("setup_cost", f"""SELECT *, total_bps / 1e4 * notional / risk_capital AS cost_r FROM (SELECT *, fee2 + spread_bps + slippage_bps + impact_bps + funding_bps AS total_bps
+  FROM (SELECT *, {cost_sql('notional', 'risk_capital', '10e0', 'close_raw')} FROM setup_cost0))""")
+
+
+@query("round_trip_cost", f"""SELECT asset_id, CAST(session AS VARCHAR) AS session, strategy_id, direction, round(fee2 / 2, 4) AS entry_fee_bps, {d('spread_bps slippage_bps impact_bps funding_bps total_bps', 4)}, {d('cost_r')} FROM setup_cost""")
+def round_trip_cost(x):
+    from tapewise.operators.asof import asof_backward
+    from tapewise.operators.setups import detect_setups
+    rows = detect_setups(x.features, strategies())
+    rows = asof_backward(rows, x.snapshots.select("asset_id", F.col("ts").alias("st"), "adv_usd_60", "spread_bps_est"), ["asset_id"], "ts", "st", ["adv_usd_60", "spread_bps_est"])
+    cap = F.lit(EQUITY * B.risk_fraction)
+    notional = cap / F.col("risk_per_unit") * F.col("reference_price")
+    cols = DE.round_trip_cost(notional, cap, F.lit(10.0), F.col("close_raw"), F.col("atr_pct"), F.col("spread_bps_est"), F.col("adv_usd_60"), F.col("direction"), C)
+    rows = rows.withColumns(cols)
+    return tidy(rows.select("asset_id", "session", "strategy_id", "direction", "entry_fee_bps", "spread_bps", "slippage_bps", "impact_bps", "funding_bps", "total_bps", "cost_r"), 4, cost_r=6)
+
+
+# -- decisions ---------------------------------------------------------------------------
+
+cte("slots", f"""SELECT c.session, c.session_index, n.session AS stamp, n.asset_id, n.symbol, n.reason AS universe_reason, n.adv_usd_60, n.spread_bps_est, k.strategy_id, k.hold, k.need
+  FROM (SELECT cal.session, cal.session_index, (SELECT max(m.session) FROM months m WHERE m.session <= cal.session) AS stamp FROM cal) c JOIN snap n ON n.session = c.stamp,
+  (VALUES ('{strategies()[0].strategy_id}', {strategies()[0].max_hold_bars}, {WARMUPS[strategies()[0].strategy_id]}), ('{strategies()[1].strategy_id}', {strategies()[1].max_hold_bars}, {WARMUPS[strategies()[1].strategy_id]})) k(strategy_id, hold, need)""")
+FCOLS = "is_warm, bars_since_gap, bars_available, xs_population, atr_14, atr_pct, regime, market_regime, vol_bucket, close_raw, close, mom_252_xs_pct, beta_bench_90"
+cte("dec0", f"""SELECT l.*, {', '.join('f.' + c.strip() for c in FCOLS.split(','))}, s.direction, s.sgn, s.reference_price, s.stop_price, s.target_price, s.risk_per_unit,
+  s.reward_per_unit / s.risk_per_unit AS reward_risk_ratio, a.cluster,
+  CASE l.hold WHEN 8 THEN {blocked('l', '8')} ELSE {blocked('l', '12')} END AS earnings
+  FROM slots l LEFT JOIN feat f ON f.asset_id = l.asset_id AND f.session = l.session LEFT JOIN assets_ a ON a.asset_id = l.asset_id
+  LEFT JOIN setups s ON s.asset_id = l.asset_id AND s.session = l.session AND s.strategy_id = l.strategy_id""")
+cte("dec1", f"""SELECT t.*, e.as_of, e.n AS bin_n, e.mean_r AS bin_mean_r, e.std_r AS bin_std_r, e.ev_r_lcb AS bin_ev_r_lcb, greatest(e.mean_bars_held, 1) AS hold_bars, {_usable('e.')} AS bin_ok,
+  {EQUITY * B.risk_fraction} / risk_per_unit * reference_price AS notional
+  FROM dec0 t ASOF LEFT JOIN edge_ e ON e.strategy_id = t.strategy_id AND e.direction = t.direction AND e.vol_bucket = t.vol_bucket AND t.session >= e.as_of""")
+cte("dec2", f"""SELECT *, total / 1e4 * notional / {EQUITY * B.risk_fraction} AS cost_r0 FROM (SELECT *, fee2 + spread_bps + slippage_bps + impact_bps + funding_bps AS total
+  FROM (SELECT *, {cost_sql('notional', 'x', 'hold_bars', 'close_raw')} FROM dec1))""")
+cte("dec3", f"""SELECT *, bin_ev_r_lcb - cost_r0 AS net0, CASE WHEN universe_reason <> '' THEN universe_reason WHEN NOT coalesce(is_warm, false) THEN 'INSUFFICIENT_HISTORY'
+  WHEN bars_since_gap < 2 THEN 'DATA_GAP' WHEN xs_population < {G.min_xs_population} THEN 'THIN_CROSS_SECTION' WHEN earnings THEN 'EARNINGS_IN_WINDOW'
+  WHEN atr_14 IS NULL OR atr_14 <= 0 OR bars_available < need THEN 'INSUFFICIENT_HISTORY'
+  WHEN market_regime NOT IN ('RISK_ON', 'NEUTRAL') THEN 'MARKET_REGIME_BLOCKED'
+  WHEN strategy_id = 'donchian_breakout_v1' AND regime NOT IN ('TREND_UP', 'TREND_DOWN') THEN 'REGIME_BLOCKED'
+  WHEN direction IS NULL THEN 'NO_SETUP' WHEN NOT bin_ok THEN 'INSUFFICIENT_BIN_SAMPLES'
+  WHEN NOT coalesce(close_raw > 0, false) OR cost_r0 IS NULL OR cost_r0 <= 0 THEN 'COST_UNAVAILABLE'
+  WHEN NOT coalesce(bin_ev_r_lcb - cost_r0 >= {{min_ev}}, false) THEN 'BELOW_EV_THRESHOLD' END AS reason FROM dec2""".replace("{min_ev}", "-0.6"))
+cte("dec", f"""SELECT *, CASE WHEN reason IS NULL THEN 'ACCEPTED' WHEN reason IN ('INSUFFICIENT_BIN_SAMPLES', 'COST_UNAVAILABLE') THEN 'EDGE' WHEN reason = 'BELOW_EV_THRESHOLD' THEN 'RANK'
+  WHEN reason = 'NO_SETUP' THEN 'STRATEGY' ELSE 'GATE' END AS stage, CASE WHEN reason IS NULL OR reason = 'BELOW_EV_THRESHOLD' THEN cost_r0 END AS cost_r,
+  CASE WHEN reason IS NULL OR reason = 'BELOW_EV_THRESHOLD' THEN net0 END AS ev_net_r, CASE WHEN reason IS NULL OR reason = 'BELOW_EV_THRESHOLD' THEN net0 / hold_bars END AS ev_per_bar_r FROM dec3""")
+BOOK = PortfolioParams(min_ev_net_r=-0.6)  # the derived series has negative expectation, so keep some candidates
+
+
+def evaluated(x):
+    if "_evaluated" not in x.__dict__:
+        x.__dict__["_evaluated"] = staged(DE.evaluate(
+            x.features, x.snapshots, x.calendar, strategies(), x.edge, x.earnings, x.assets, F.lit(EQUITY), G, C, D.WEEKLY_EDGE,
+            BOOK, min_gap=2, warmups=WARMUPS))
+    return x.__dict__["_evaluated"]
+
+
+@query("decision_candidates", f"""SELECT asset_id, CAST(session AS VARCHAR) AS ts, strategy_id, reason, stage, CASE WHEN stage IN ('ACCEPTED', 'EDGE', 'RANK') THEN direction END AS direction, {d('cost_r ev_net_r ev_per_bar_r', 5)} FROM dec""")
+def decision_candidates(x):
+    return tidy(evaluated(x).select("asset_id", "ts", "strategy_id", "reason", "stage", "direction", "cost_r", "ev_net_r", "ev_per_bar_r"), 5)
+
+
+@query("decision_gates", """SELECT asset_id, CAST(session AS VARCHAR) AS ts, strategy_id, CASE WHEN universe_reason <> '' THEN universe_reason WHEN NOT coalesce(is_warm, false) THEN 'INSUFFICIENT_HISTORY'
+  WHEN bars_since_gap < 2 THEN 'DATA_GAP' WHEN bars_since_gap > 40 THEN 'STALE_DATA' WHEN xs_population < 5 THEN 'THIN_CROSS_SECTION' WHEN earnings THEN 'EARNINGS_IN_WINDOW'
+  WHEN mom_252_xs_pct < 0.4e0 THEN 'HARD_TO_BORROW' END AS gate FROM dec0""")
+def decision_gates(x):
+    from dataclasses import replace
+
+    from tapewise.operators.labels import with_earnings_flag
+    rows = DE.snapshot_rows(x.snapshots, x.calendar).join(x.features.drop("symbol", "session_index", "eligible"), ["asset_id", "ts"], "left")
+    opts = F.array(*[F.struct(F.lit(z.strategy_id).alias("strategy_id"), F.lit(z.max_hold_bars).alias("max_hold_bars")) for z in strategies()])
+    rows = rows.withColumn("_o", F.explode(opts)).select("*", "_o.*")
+    rows = with_earnings_flag(rows, x.earnings, x.calendar, x.assets.select("asset_id", "is_etf"), [z.max_hold_bars for z in strategies()], "_earn")
+    g = replace(G, skip_hard_to_borrow=False)
+    age = F.when(F.col("bars_since_gap") > 40, 3).otherwise(0)
+    gate = DE.gate_reason(g, 2, F.col("_earn"), F.lit("SHORT"), F.when(F.col("mom_252_xs_pct") < 0.4, 400.0).otherwise(30.0), age)
+    return tidy(rows.select("asset_id", "ts", "strategy_id", gate.alias("gate")))
+
+
+@query("decision_funnel", """SELECT CASE WHEN reason IS NULL THEN 'ACCEPTED' ELSE 'REJECT' END AS stage, coalesce(reason, '') AS rejection_reason, count(*) AS n FROM dec GROUP BY ALL""")
+def decision_funnel(x):
+    return DE.funnel(evaluated(x))
+
+
+cte("ranked", f"SELECT *, row_number() OVER (PARTITION BY session ORDER BY ev_per_bar_r DESC, symbol, strategy_id) AS rank FROM dec WHERE ev_net_r >= {BOOK.min_ev_net_r}")
+
+
+@query("ranked_opportunities", f"""SELECT asset_id, CAST(session AS VARCHAR) AS ts, strategy_id, direction, {d('ev_net_r ev_per_bar_r', 5)}, CAST(rank AS BIGINT) AS rank,
+  CASE WHEN rank > 3 THEN 'BELOW_TOP_N' END AS reason FROM ranked""")
+def ranked_opportunities(x):
+    r = DE.rank_opportunities(evaluated(x), BOOK.min_ev_net_r)
+    return tidy(r.select("asset_id", "ts", "strategy_id", "direction", "ev_net_r", "ev_per_bar_r", "rank", DE.below_top_n(3).alias("reason")), 5)
+
+
+@query("used_bins", f"SELECT DISTINCT {BIN}, CAST(as_of AS VARCHAR) AS as_of FROM dec WHERE stage IN ('ACCEPTED', 'RANK') AND as_of IS NOT NULL")
+def used_bins(x):
+    return tidy(E.used_bins(evaluated(x).where("stage in ('ACCEPTED', 'RANK')")))
+
+
+@query("decision_log", f"""SELECT CAST(session AS VARCHAR) AS decision_ts, symbol, strategy_id, stage, reason IS NULL AS accepted, reason AS rejection_reason, regime, vol_bucket, {d('cost_r ev_net_r', 5)},
+  CASE WHEN stage IN ('ACCEPTED', 'EDGE', 'RANK') THEN {BIN.replace(', ', " || '|' || ")} END AS bin_key, stage IN ('ACCEPTED', 'EDGE', 'RANK') AS has_json FROM dec""")
+def decision_log(x):
+    from tapewise.plans.queries_panel import scratch
+    from tapewise.sources.tables import append_decisions
+    path = scratch(x, "decisions")
+    log = DE.decision_log(evaluated(x), "run-1", [c for c in FEATURE_COLUMNS if c in evaluated(x).columns])
+    log.limit(0).write.mode("overwrite").parquet(path)
+    append_decisions(log, path)
+    back = x.spark.read.parquet(path)
+    return tidy(back.select("decision_ts", "symbol", "strategy_id", "stage", "accepted", "rejection_reason", "regime", "vol_bucket", "cost_r", "ev_net_r",
+                            "bin_key", F.col("features_json").isNotNull().alias("has_json")), 5)
+
+
+# -- sizing and allocation -----------------------------------------------------------------
+
+@query("position_size", f"""SELECT asset_id, CAST(session AS VARCHAR) AS session, strategy_id, CAST(floor(least(CAST(floor(40000 * CAST(m AS DECIMAL(18,12))) / 100 AS DECIMAL(24,12)) / dist, least(CAST(25000 AS DECIMAL(24,12)), adv) / price)) AS DOUBLE) AS qty,
+  round(m, 6) AS multiplier FROM (SELECT *, least(1e0, greatest(0.5e0, sqrt(adv_usd_60 / 2e8))) * least(1e0, greatest(0.35e0, (1e0 - 0.8e0) / (1e0 - 0.6e0))) AS m, abs(reference_price - stop_price) * (close_raw / reference_price) AS dist, adv_usd_60 * 0.005e0 AS adv, close_raw AS price FROM setup_cost0 WHERE adv_usd_60 IS NOT NULL)""")
+def position_size(x):
+    from tapewise.operators.asof import asof_backward
+    from tapewise.operators.setups import detect_setups
+    rows = detect_setups(x.features, strategies())
+    rows = asof_backward(rows, x.snapshots.select("asset_id", F.col("ts").alias("st"), "adv_usd_60"), ["asset_id"], "ts", "st", ["adv_usd_60"]).where("adv_usd_60 is not null")
+    rows = rows.withColumn("equity", F.lit(EQUITY)).withColumn("price_raw", F.col("close_raw")).withColumn(
+        "multiplier", PF.liquidity_multiplier(F.col("adv_usd_60"), B) * PF.heat_multiplier(F.lit(0.016), B))
+    out = PF.with_position_size(rows, B)
+    return tidy(out.select("asset_id", "session", "strategy_id", "qty", "multiplier"))
+
+
+def _books(x):
+    """One book per session: the trades open at it, and the equity curve's state."""
+    from pyspark.sql import Window
+    t = x.trades.select("asset_id", "symbol", "strategy_id", "setup_ts", "cluster", "sign", "qty", "entry_price", "stop_price", "entry_ts", "exit_ts")
+    cal = x.calendar.select(F.col("close_utc").alias("ts"), F.col("session_index").alias("_i"))
+    first = t.join(F.broadcast(cal.select(F.col("ts").alias("entry_ts"), F.col("_i").alias("_a"))), "entry_ts").join(
+        F.broadcast(cal.select(F.col("ts").alias("exit_ts"), F.col("_i").alias("_b"))), "exit_ts")
+    pos = first.where("_b > _a").withColumn("_i", F.explode(F.sequence(F.col("_a"), F.col("_b") - 1))).join(F.broadcast(cal), "_i")
+    beta = x.features.select("asset_id", F.col("ts").alias("setup_ts"), "beta_bench_90")
+    pos = pos.join(beta, ["asset_id", "setup_ts"], "left").withColumn("beta_bench_90", F.coalesce("beta_bench_90", F.lit(0.0)))
+    w = Window.orderBy("ts")
+    eq = x.equity.withColumn("peak_equity", F.max("equity").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
+        "day_start_equity", F.coalesce(F.lag("equity").over(w), F.lit(EQUITY)))
+    return pos, eq
+
+
+cte("held", """SELECT c.session, m.*, coalesce(f.beta_bench_90, 0) AS b FROM money m JOIN cal c ON c.session >= m.ets AND c.session < m.xts
+  LEFT JOIN feat f ON f.asset_id = m.asset_id AND f.session = m.setup_session""")
+cte("curve3", f"SELECT *, coalesce(lag(equity) OVER (ORDER BY session), {EQUITY}) AS day_start FROM curve2")
+RISK = "greatest(sign * (entry_price - stop_price), 0) * abs(qty)"
+
+
+@query("portfolio_exposure", f"""SELECT CAST(c.session AS VARCHAR) AS ts, round(coalesce(r / equity, 0), 6) AS heat_pct, round(coalesce(g / equity, 0), 6) AS gross_pct, round(coalesce(bt / equity, 0), 6) AS net_beta_pct,
+  coalesce(n, 0) AS n_positions, round(CASE WHEN peak > 0 THEN greatest(0, (peak - equity) / peak) ELSE 0 END, 6) AS drawdown_pct, round(CASE WHEN day_start > 0 THEN greatest(0, (day_start - equity) / day_start) ELSE 0 END, 6) AS day_loss_pct
+  FROM curve3 c LEFT JOIN (SELECT session, sum({RISK}) AS r, sum(abs(qty) * entry_price) AS g, sum(sign * {RISK} * b) AS bt, count(*) AS n FROM held GROUP BY 1) h ON h.session = c.session""")
+def portfolio_exposure(x):
+    pos, eq = _books(x)
+    return tidy(PF.exposures(pos, eq, ["ts"]).select("ts", "heat_pct", "gross_pct", "net_beta_pct", "n_positions", "drawdown_pct", "day_loss_pct"))
+
+
+@query("cluster_exposure", f"""SELECT CAST(h.session AS VARCHAR) AS ts, cluster, round(sum({RISK}) / any_value(equity), 6) AS cluster_risk_pct, count(*) AS cluster_positions
+  FROM held h JOIN curve3 c ON c.session = h.session GROUP BY ALL""")
+def cluster_exposure(x):
+    pos, eq = _books(x)
+    return tidy(PF.cluster_exposures(pos, eq, ["ts"]))
+
+
+@query("greedy_allocation")
+def greedy_allocation(x):
+    pos, eq = _books(x)
+    small = pos.withColumn("qty", F.col("qty") * 0.002)  # leave room below the caps
+    books = eq.select("ts", "equity", "peak_equity", "day_start_equity").withColumn("trades_today", F.lit(0)).withColumn("bars_since_breaker", F.lit(10_000))
+    r = DE.rank_opportunities(evaluated(x), BOOK.min_ev_net_r).withColumn("price_raw", F.col("close_raw")).withColumn(
+        "sentiment_multiplier", F.when(F.col("vol_bucket") == "MID", 0.6).otherwise(1.0)).withColumn("ev_r_lcb", F.col("bin_ev_r_lcb")).withColumn(
+        "step_size", F.lit(1.0)).withColumn("min_notional_usd", F.lit(0.0))
+    cols = ["ts", "rank", "symbol", "strategy_id", "direction", "cluster", "reference_price", "stop_price", "price_raw", "adv_usd_60", "atr_pct", "spread_bps_est",
+            "beta_bench_90", "ev_r_lcb", "expected_bars_held", "sentiment_multiplier", "step_size", "min_notional_usd"]
+    p = PortfolioParams(min_ev_net_r=-5.0, max_positions=40, max_per_cluster=12)
+    from tapewise.params import RiskParams
+    out = PF.allocate(r.select(*cols), books, small, ["ts"], p, RiskParams(max_drawdown=0.9, max_daily_loss=0.9), C)
+    return tidy(out.select("ts", "rank", "symbol", "strategy_id", "accepted", "reason", "qty", "notional_usd", "risk_usd", "size_multiplier", "final_cost_r"))
+
+
+# -- holdings -----------------------------------------------------------------------------------
+
+def _closed(x):
+    """Trades with the row number of their setup bar on the asset's timeline."""
+    rn = x.features.select("asset_id", F.col("ts").alias("setup_ts"), F.col("bars_available").alias("entry_rn"))
+    t = x.trades.join(rn, ["asset_id", "setup_ts"])
+    return t.withColumn("trade_id", F.concat_ws("|", "asset_id", "strategy_id", F.date_format("setup_ts", "yyyyMMdd"))).drop(
+        "fees_usd", "gross_pnl_usd", "borrow_usd", "mae_r", "mfe_r", "realised_r")
+
+
+def _line(x):
+    from tapewise.operators.indicators import with_bar_number
+    return with_bar_number(x.panel, "entry_rn")
+
+
+cte("legs", """SELECT m.*, b.session AS fs, b.bars_available - f.bars_available AS k, b.high AS bh, b.low AS bl, b.close AS bc, b.close_raw AS bcr,
+  m.asset_id || '|' || m.strategy_id || '|' || strftime(m.setup_session, '%Y%m%d') AS trade_id,
+  coalesce((SELECT product(split_ratio) FROM acts z WHERE z.asset_id = m.asset_id AND z.action_type = 'SPLIT' AND z.ex_date = b.session), 1) AS sp,
+  coalesce((SELECT sum(cash_amount) FROM acts z WHERE z.asset_id = m.asset_id AND z.action_type = 'DIVIDEND' AND z.ex_date = b.session), 0) AS dv
+  FROM money m JOIN f0 f ON f.asset_id = m.asset_id AND f.session = m.setup_session JOIN f0 b ON b.asset_id = m.asset_id AND b.bars_available > f.bars_available AND b.bars_available <= f.bars_available + m.bars_held""")
+cte("legs2", "SELECT *, qty * product(sp) OVER (PARTITION BY trade_id ORDER BY k) AS units FROM legs")
+cte("pnl0", """SELECT trade_id, any_value(sign) AS sign, any_value(qty) AS qty, any_value(entry_price) AS ep, any_value(exit_price) AS xp, any_value(abs(entry_price - stop_price)) AS risk,
+  sum(sign * units * dv) AS dividends_usd, sum(CASE WHEN sign < 0 THEN units * bcr * 30 / 1e4 / 252 ELSE 0 END) AS borrow_usd, arg_max(units, k) AS exit_qty,
+  least(0, min(least(sign * (bh * bcr / bc / (qty / units) - entry_price), sign * (bl * bcr / bc / (qty / units) - entry_price)) / abs(entry_price - stop_price))) AS mae_r,
+  greatest(0, max(greatest(sign * (bh * bcr / bc / (qty / units) - entry_price), sign * (bl * bcr / bc / (qty / units) - entry_price)) / abs(entry_price - stop_price))) AS mfe_r
+  FROM legs2 GROUP BY 1""")
+FEE = "least(greatest({q} * 0.0035e0, 0.35e0), {q} * {p} * 0.01e0)"
+cte("pnl", f"""SELECT *, gross_pnl_usd - fees_usd - borrow_usd + dividends_usd AS net_pnl_usd, (gross_pnl_usd - fees_usd - borrow_usd + dividends_usd) / (risk * qty) AS realised_r
+  FROM (SELECT *, sign * (xp - ep / (exit_qty / qty)) * exit_qty AS gross_pnl_usd, {FEE.format(q='qty', p='ep')} + {FEE.format(q='exit_qty', p='xp')} AS fees_usd FROM pnl0)""")
+
+
+@query("trade_pnl", f"SELECT trade_id, {d('gross_pnl_usd fees_usd dividends_usd borrow_usd net_pnl_usd realised_r mae_r mfe_r', 5)} FROM pnl")
+def trade_pnl(x):
+    out = PF.trade_pnl(_closed(x), _line(x), x.actions, 12)
+    return tidy(out.select("trade_id", "gross_pnl_usd", "fees_usd", "dividends_usd", "borrow_usd", "net_pnl_usd", "realised_r", "mae_r", "mfe_r"), 5)
+
+
+@query("holding_cash_flows", """SELECT trade_id, CAST(fs AS VARCHAR) AS session, round(units, 6) AS units, round(sign * units * dv, 6) AS dividend_usd FROM legs2 WHERE dv <> 0 OR sp <> 1""")
+def holding_cash_flows(x):
+    from pyspark.sql import Window
+    held = PF.holding_sessions(_closed(x), _line(x), 12)
+    day = x.actions.groupBy("asset_id", F.col("ex_date").alias("fwd_session")).agg(
+        F.product(F.when(F.col("action_type") == "SPLIT", F.col("split_ratio")).otherwise(1.0)).alias("sp"),
+        F.sum(F.when(F.col("action_type") == "DIVIDEND", F.col("cash_amount")).otherwise(0.0)).alias("dv"))
+    w = Window.partitionBy("trade_id").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    h = held.join(day, ["asset_id", "fwd_session"], "left").fillna({"sp": 1.0, "dv": 0.0}).withColumn("units", F.col("qty") * F.product("sp").over(w))
+    h = h.where("dv <> 0 or sp <> 1")
+    return tidy(h.select("trade_id", F.col("fwd_session").alias("session"), "units", (F.col("sign") * F.col("units") * F.col("dv")).alias("dividend_usd")))
+
+
+cte("mtm0", """SELECT c.session, coalesce((SELECT sum(-sign * qty * entry_price) FROM legs l WHERE l.k = 1 AND l.fs <= c.session), 0)
+  + coalesce((SELECT sum(sign * qty * exit_price) FROM legs l WHERE l.k = l.bars_held AND l.fs <= c.session), 0) AS cash FROM cal c""")
+cte("mtm1", """SELECT session, sum(v) AS unrealised FROM (SELECT c.session, l.trade_id, arg_max(l.sign * l.qty * l.bcr, l.k) AS v FROM cal c JOIN legs l ON l.fs <= c.session AND l.k < l.bars_held
+  WHERE c.session < l.xts GROUP BY 1, 2) GROUP BY 1""")
+cte("mtm", f"SELECT m.session, {EQUITY} + cash AS cash, coalesce(unrealised, 0) AS unrealised, {EQUITY} + cash + coalesce(unrealised, 0) AS equity FROM mtm0 m LEFT JOIN mtm1 u ON u.session = m.session")
+
+
+@query("marked_equity", f"""SELECT CAST(session AS VARCHAR) AS session, {d('cash unrealised equity', 3)}, round(greatest({EQUITY}, max(equity) OVER (ORDER BY session)), 3) AS peak_equity,
+  round(equity - coalesce(lag(equity) OVER (ORDER BY session), {EQUITY}), 3) AS day_pnl FROM mtm""")
+def marked_equity(x):
+    out = PF.mark_to_market(_closed(x), x.calendar, _line(x), EQUITY, 12)
+    return tidy(out.select("session", "cash", "unrealised", "equity", "peak_equity", "day_pnl"), 3)
+
+
+@query("stop_and_entry_fills", """SELECT asset_id, CAST(session AS VARCHAR) AS session, round(close_raw / close, 6) AS scale, round(open * (1 + 12.5e0 / 1e4), 6) AS long_entry, round(open * (1 - 12.5e0 / 1e4), 6) AS short_entry,
+  round(least(open, (high + low) / 2), 6) AS long_stop, round(greatest(open, (high + low) / 2), 6) AS short_stop, round(least(greatest(volume * 0.0035e0, 0.35e0), volume * close * 0.01e0), 6) AS fee FROM panel""")
+def stop_and_entry_fills(x):
+    one, neg = F.lit(1), F.lit(-1)
+    mid = (F.col("high") + F.col("low")) / 2
+    return tidy(x.panel.select(
+        "asset_id", "session", PF.raw_scale().alias("scale"), PF.entry_fill(F.col("open"), one, F.lit(12.5)).alias("long_entry"),
+        PF.entry_fill(F.col("open"), neg, F.lit(12.5)).alias("short_entry"), PF.stop_fill(F.col("open"), mid, one).alias("long_stop"),
+        PF.stop_fill(F.col("open"), mid, neg).alias("short_stop"), PF.commission(F.col("volume"), F.col("close"), C).alias("fee")))
+
+
+# -- sentiment ------------------------------------------------------------------------------------
+
+SP = SentimentParams()
+cte("obs", """SELECT 'U' || user_id AS symbol, event_type AS source, ts + INTERVAL 1 HOUR AS available_ts, greatest(-1e0, least(1e0, value / 10e0 - 1e0)) AS score,
+  CASE event_type WHEN 'click' THEN 1e0 WHEN 'view' THEN 0.5e0 ELSE 0.3e0 END AS w0, coalesce(CAST(props->>'$.k' AS DOUBLE), 0) AS k, event_id FROM events""")
+cte("asks", "SELECT DISTINCT 'U' || user_id AS symbol, date_trunc('day', ts) + INTERVAL 16 HOUR AS ts FROM events")
+cte("vis", f"""SELECT a.symbol, a.ts, o.source, o.available_ts, o.score, CAST(o.k AS INT) AS k, pow(0.5e0, age / {SP.half_life_hours}) * w0 * ln(1 + CAST(CAST(o.k AS INT) AS DOUBLE)) AS w
+  FROM (SELECT a.symbol, a.ts, o.*, epoch_us(a.ts - o.available_ts) / 3600000000e0 AS age FROM asks a JOIN obs o ON o.symbol = a.symbol AND o.available_ts <= a.ts) o, asks a
+  WHERE a.symbol = o.symbol AND a.ts = o.ts AND age <= {SP.max_age_hours}""")
+cte("per_source", "SELECT symbol, ts, source, sum(w) AS sw, sum(w * w) AS sw2, sum(w * score) AS sws, max(available_ts) AS newest, sum(k) AS samples FROM vis WHERE w > 0 GROUP BY ALL")
+cte("view0", """SELECT p.symbol, p.ts, t.mean AS score, any_value(t.sw) * any_value(t.sw) / sum(p.sw2) AS neff, sum(samples) AS sample_size, count(*) AS source_count, max(newest) AS newest,
+  CASE WHEN count(*) < 2 THEN 0 ELSE least(1e0, sqrt(sum(p.sw * pow(p.sws / p.sw - t.mean, 2)) / any_value(t.sw))) END AS disagreement
+  FROM per_source p JOIN (SELECT symbol, ts, sum(sws) / sum(sw) AS mean, sum(sw) AS sw FROM per_source GROUP BY ALL) t ON t.symbol = p.symbol AND t.ts = p.ts GROUP BY p.symbol, p.ts, t.mean""")
+cte("view1", f"""SELECT *, least(1e0, neff / {SP.n_eff_full}) * (1 - disagreement) * pow(0.5e0, fresh / {SP.freshness_half_life_bars}) AS confidence FROM (SELECT *, epoch_us(ts - newest) / 86400000000e0 AS fresh FROM view0)""")
+cte("views", f"""SELECT a.symbol, a.ts, coalesce(score, 0) AS score, coalesce(confidence, 0) AS confidence, coalesce(sample_size, 0) AS sample_size, coalesce(fresh, 0) AS freshness_bars, coalesce(source_count, 0) AS source_count,
+  coalesce(disagreement, 0) AS disagreement, coalesce(fresh > {SP.max_freshness_bars} OR neff < {SP.min_n_eff} OR confidence < {SP.min_confidence}, false) AS is_stale
+  FROM asks a LEFT JOIN view1 v ON v.symbol = a.symbol AND v.ts = a.ts""")
+TS = "strftime(ts, '%Y-%m-%d %H:%M') AS ts"
+
+
+def _asks(x):
+    e = x.table("events")
+    return e.select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("symbol"),
+                    (F.date_trunc("day", F.col("ts").cast("timestamp")) + F.expr("INTERVAL 16 HOURS")).alias("ts")).distinct()
+
+
+def _stamp(df):
+    return df.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm"))
+
+
+@query("visible_observations", f"SELECT symbol, {TS}, count(*) AS n, round(max(w), 6) AS max_w FROM vis GROUP BY ALL")
+def visible_observations(x):
+    v = SE.visible_observations(_asks(x), SE.check_bitemporal(D.observations(x.spark, x.sf_dir)))
+    return tidy(_stamp(v.groupBy("symbol", "ts").agg(F.count(F.lit(1)).alias("n"), F.max(SE.observation_weight(SP)).alias("max_w"))))
+
+
+@query("sentiment_views", f"SELECT symbol, {TS}, {d('score confidence freshness_bars disagreement')}, {i('sample_size source_count')}, is_stale FROM views")
+def sentiment_views(x):
+    return tidy(_stamp(SE.sentiment_views(_asks(x), D.observations(x.spark, x.sf_dir))))
+
+
+@query("sentiment_multiplier", f"""SELECT symbol, {TS}, CAST(sign AS BIGINT) AS sign, round(CASE WHEN is_stale OR sample_size <= 0 OR source_count = 0 THEN 1 WHEN score * sign >= 0 THEN 1
+  WHEN abs(score) * confidence >= {SP.veto} THEN 0 ELSE greatest({SP.min_multiplier}, 1 - {SP.slope} * abs(score) * confidence) END, 6) AS sentiment_multiplier FROM (SELECT *, 1 AS sign FROM views UNION ALL SELECT *, -1 FROM views)""")
+def sentiment_multiplier(x):
+    asks = _asks(x).withColumn("sign", F.explode(F.array(F.lit(1), F.lit(-1))))
+    out = SE.with_sentiment(asks, D.observations(x.spark, x.sf_dir))
+    return tidy(_stamp(out.select("symbol", "ts", "sign", "sentiment_multiplier")))
+
+

@@ -42,7 +42,7 @@ def moving_averages(x):
 @query("price_channels", f"SELECT {KEY}, {d('donchian_high_20 donchian_low_20 donchian_high_55 donchian_low_55')} FROM f4")
 def price_channels(x):
     return view(x.panel, *[I.channel(c, a, n).alias(f"donchian_{c}_{t}") for n, t in ((W.donchian_short, 20), (W.donchian_long, 55))
-                           for c, a in (("high", F.max), ("low", F.min))])
+                           for c, a in (("high", "max"), ("low", "min"))])
 
 
 @query("realised_volatility", f"SELECT {KEY}, {d('vol_20 vol_60')} FROM f4")
@@ -76,7 +76,7 @@ def efficiency_ratio(x):
 @query("volatility_percentile", f"SELECT {KEY}, {d('atr_percentile_1y')}, vol_bucket FROM feat")
 def volatility_percentile(x):
     df = I.with_atr(numbered(x), W.atr_n).withColumn(
-        "atr_percentile_1y", I.rolling_pct_rank("atr_pct", I.over_asset(), W.vol_window, W.vol_min_periods))
+        "atr_percentile_1y", I.rolling_pct_rank("atr_pct", I.BY_ASSET, W.vol_window, W.vol_min_periods))
     return view(df, "atr_percentile_1y", I.vol_bucket(F.col("atr_percentile_1y"), D.WEEKLY_REGIME).alias("vol_bucket"))
 
 

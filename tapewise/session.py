@@ -37,3 +37,12 @@ def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """
     few = df.limit(max_rows + 1).count() <= max_rows
     return F.broadcast(df) if few else df
+
+
+def tune(spark: SparkSession) -> None:
+    """Let small inputs keep their cores.
+
+    Per-asset windows do much work per byte, and merging small shuffle partitions
+    down to one would leave it to one core. Large inputs are not affected.
+    """
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
