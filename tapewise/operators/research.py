@@ -212,10 +212,11 @@ def mean_r_interval(trades: DataFrame, row_key: Column, p: ResearchParams = Rese
         F.avg((F.col("mean") <= 0).cast("double")).alias("p_value_mean_r")).drop("_g")
 
 
-def sharpe_interval(equity: DataFrame, p: ResearchParams = ResearchParams()) -> DataFrame:
+def sharpe_interval(equity: DataFrame, p: ResearchParams = ResearchParams(), row_key: Column | None = None) -> DataFrame:
     """Bootstrap interval of the annual Sharpe ratio from weighted moments."""
     e = with_returns(equity).where("ret is not null").withColumn("_g", F.lit(1))
-    s = bootstrap_means(e, ["_g"], F.col("ret"), F.unix_timestamp("ts"), p.bootstrap_iterations, p.bootstrap_seed, sums_only=True)
+    key = F.unix_timestamp("ts") if row_key is None else row_key
+    s = bootstrap_means(e, ["_g"], F.col("ret"), key, p.bootstrap_iterations, p.bootstrap_seed, sums_only=True)
     mean = F.col("weighted") / F.col("weight")
     var = (F.col("weighted_sq") - F.col("weighted") * mean) / F.when(F.col("weight") > 1, F.col("weight") - 1)
     s = s.withColumn("_sharpe", ratio(mean, F.sqrt(var)) * math.sqrt(p.bars_per_year))

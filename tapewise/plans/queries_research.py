@@ -9,7 +9,7 @@ from tapewise.params import ResearchParams
 from tapewise.plans import derived as D
 from tapewise.plans.catalog import query, tidy
 from tapewise.plans.oracles import cte, d
-from tapewise.plans.queries_decide import REPS, SEED
+from tapewise.plans.queries_decide import REPS, SEED, UNIFORM, WEIGHT
 from tapewise.sources import tables as S
 from tapewise.streaming import continuity as SC
 from tapewise.streaming import observations as SO
@@ -77,9 +77,14 @@ def mean_r_interval(x):
     return tidy(RE.mean_r_interval(x.trades, x.row_key, P))
 
 
-@query("sharpe_interval")
+cte("wts_ret", f"SELECT *, {WEIGHT} AS w FROM (SELECT *, {UNIFORM} FROM (SELECT ret, CAST(session - DATE '1990-01-01' AS BIGINT) AS row_key FROM curve2 WHERE ret IS NOT NULL), "
+    f"(SELECT unnest(generate_series(0, {REPS - 1}))::BIGINT AS rep))))))")
+
+
+@query("sharpe_interval", """SELECT round(quantile_cont(z, 0.05), 5) AS sharpe_ci_low, round(quantile_cont(z, 0.95), 5) AS sharpe_ci_high FROM (SELECT rep,
+  sum(w * ret) / sum(w) / sqrt((sum(w * ret * ret) - sum(w * ret) * sum(w * ret) / sum(w)) / (sum(w) - 1)) * sqrt(252e0) AS z FROM wts_ret GROUP BY 1)""")
 def sharpe_interval(x):
-    return tidy(RE.sharpe_interval(x.equity, P))
+    return tidy(RE.sharpe_interval(x.equity, P, F.datediff("session", F.lit("1990-01-01").cast("date"))), 5)
 
 
 MOMENTS = """count(ret) AS n_obs, avg(ret) / stddev_samp(ret) AS sharpe_per_bar, sum(pow(ret - mu, 3)) / count(ret) / pow(sum(pow(ret - mu, 2)) / count(ret), 1.5e0) AS skew,
