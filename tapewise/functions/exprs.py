@@ -6,9 +6,10 @@ poisons averages, so sources convert it once with :func:`null_if_nan`.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import Column, WindowSpec
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,7 +55,33 @@ def trailing(w: WindowSpec, n: int) -> WindowSpec:
 
 # Trailing windows are written as SQL text over an ``over`` clause such as
 # "PARTITION BY asset_id ORDER BY ts": one parsed expression per column instead of
-# dozens of calls into the JVM. ``x`` is the SQL of the value.
+# dozens of calls into the JVM. ``x`` is the SQL of the value. Each window call is
+# marked, so that ``windowed`` can compute equal calls once.
+
+def call_over(agg: str, over: str, frame: str = "") -> str:
+    return f"«{agg} OVER ({over} {frame})»"
+
+
+def windowed(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Add columns given as SQL with marked window calls, each distinct call once.
+
+    Spark evaluates a window call as often as it is written; here all calls of the
+    group are columns of one projection and the formulas use those columns.
+    """
+    calls: dict[str, str] = {}
+
+    def name(m: re.Match) -> str:
+        return calls.setdefault(m.group(1), f"_win{len(calls)}")
+
+    formulas = {k: re.sub("«(.*?)»", name, v) for k, v in columns.items()}
+    kept = [c for c in df.columns if c not in columns]
+    out = df.selectExpr("*", *[f"{sql} AS {alias}" for sql, alias in calls.items()])
+    return out.selectExpr(*[f"`{c}`" for c in kept], *[f"{v} AS {k}" for k, v in formulas.items()])
+
+
+def column(sql: str) -> Column:
+    return F.expr(sql.replace("«", "").replace("»", ""))
+
 
 def _moving(agg: str, over: str, n: int) -> str:
     """Trailing-window total as a difference of two running totals.
@@ -62,58 +89,50 @@ def _moving(agg: str, over: str, n: int) -> str:
     Spark recomputes a sliding frame for every row; running totals cost a constant
     per row whatever the window, which is what long windows need.
     """
-    return (f"(coalesce({agg} OVER ({over} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0)"
-            f" - coalesce({agg} OVER ({over} ROWS BETWEEN UNBOUNDED PRECEDING AND {n} PRECEDING), 0))")
+    now = call_over(agg, over, "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")
+    then = call_over(agg, over, f"ROWS BETWEEN UNBOUNDED PRECEDING AND {n} PRECEDING")
+    return f"(coalesce({now}, 0) - coalesce({then}, 0))"
 
 
 def _need(n: int, min_periods: int | None) -> int:
     return n if min_periods is None else min_periods
 
 
-def rolling(agg: str, x: str, over: str, n: int, min_periods: int | None = None) -> Column:
-    """Aggregate of the frame itself (an extreme, a median); NULL below ``min_periods`` values."""
-    frame = f"({over} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
-    return F.expr(f"CASE WHEN {_moving(f'count({x})', over, n)} >= {_need(n, min_periods)} THEN {agg} OVER {frame} END")
+def rolling(agg: str, x: str, over: str, n: int, min_periods: int | None = None) -> str:
+    """Aggregate of the frame itself (an extreme, say); NULL below ``min_periods`` values."""
+    frame = call_over(agg, over, f"ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW")
+    return f"CASE WHEN {_moving(f'count({x})', over, n)} >= {_need(n, min_periods)} THEN {frame} END"
 
 
-def rolling_sum(x: str, over: str, n: int, min_periods: int | None = None) -> Column:
-    return F.expr(f"CASE WHEN {_moving(f'count({x})', over, n)} >= {_need(n, min_periods)}"
-                  f" THEN {_moving(f'sum({x})', over, n)} END")
+def rolling_sum(x: str, over: str, n: int, min_periods: int | None = None) -> str:
+    return f"CASE WHEN {_moving(f'count({x})', over, n)} >= {_need(n, min_periods)} THEN {_moving(f'sum({x})', over, n)} END"
 
 
-def rolling_mean(x: str, over: str, n: int, min_periods: int | None = None) -> Column:
+def rolling_mean(x: str, over: str, n: int, min_periods: int | None = None) -> str:
     c = _moving(f"count({x})", over, n)
-    return F.expr(f"CASE WHEN {c} >= {max(1, _need(n, min_periods))} THEN {_moving(f'sum({x})', over, n)} / {c} END")
-
-
-def _cov_sql(x: str, y: str, over: str, n: int, min_periods: int | None) -> str:
-    xs, ys = (x, y) if x == y else (f"if({y} IS NULL, NULL, {x})", f"if({x} IS NULL, NULL, {y})")
-    c = _moving(f"count({xs})", over, n)
-    sx, sy, sxy = (_moving(f"sum({v})", over, n) for v in (xs, ys, f"{x} * {y}"))
-    return f"CASE WHEN {c} >= {max(2, _need(n, min_periods))} THEN ({sxy} - {sx} * {sy} / {c}) / ({c} - 1) END"
+    return f"CASE WHEN {c} >= {max(1, _need(n, min_periods))} THEN {_moving(f'sum({x})', over, n)} / {c} END"
 
 
-def rolling_cov(x: str, y: str, over: str, n: int, min_periods: int | None = None) -> Column:
+def rolling_cov(x: str, y: str, over: str, n: int, min_periods: int | None = None) -> str:
     """Sample covariance of the complete pairs in the trailing window.
 
     Meant for returns and ratios, whose mean is small next to their spread.
     """
-    return F.expr(_cov_sql(x, y, over, n, min_periods))
-
-
-def _var_sql(x: str, over: str, n: int, min_periods: int | None) -> str:
-    v = _cov_sql(x, x, over, n, min_periods)
-    noise = f"sum({x} * {x}) OVER ({over} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) * 1e-15"
-    return f"CASE WHEN ({v}) <= {noise} THEN 0e0 ELSE ({v}) END"
+    xs, ys = (x, y) if x == y else (f"if({y} IS NULL, NULL, {x})", f"if({x} IS NULL, NULL, {y})")
+    c = _moving(f"count({xs})", over, n)
+    sx, sy, sxy = (_moving(f"sum({v})", over, n) for v in (xs, ys, f"{x} * {y}"))
+    return f"CASE WHEN {c} >= {max(2, _need(n, min_periods))} THEN ({sxy} - {sx} * {sy} / {c}) / ({c} - 1) END"
 
 
-def rolling_var(x: str, over: str, n: int, min_periods: int | None = None) -> Column:
+def rolling_var(x: str, over: str, n: int, min_periods: int | None = None) -> str:
     """Sample variance; 0 below what running totals can resolve (a constant window)."""
-    return F.expr(_var_sql(x, over, n, min_periods))
+    v = rolling_cov(x, x, over, n, min_periods)
+    total = call_over(f"sum({x} * {x})", over, "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")
+    return f"CASE WHEN ({v}) <= {total} * 1e-15 THEN 0e0 ELSE ({v}) END"
 
 
-def rolling_std(x: str, over: str, n: int, scale: float = 1.0, min_periods: int | None = None) -> Column:
-    return F.expr(f"sqrt({_var_sql(x, over, n, min_periods)}) * {scale!r}D")
+def rolling_std(x: str, over: str, n: int, scale: float = 1.0, min_periods: int | None = None) -> str:
+    return f"sqrt({rolling_var(x, over, n, min_periods)}) * {scale!r}D"
 
 
 def first_reason(rules: list[tuple[Column, str]], otherwise: Column | None = None) -> Column:

@@ -8,8 +8,6 @@ so only (tasks x replicates) rows are shuffled.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,20 +22,22 @@ POISSON_CUMULATIVE = (
 )
 
 
-def uniform(key: Column, replicate: Column, seed: int) -> Column:
-    """Number in [0, 1) from integer arithmetic only (every product fits 63 bits)."""
-    a = ((key.cast("long") % PRIME) * MIX_ROW + seed) % PRIME
-    b = ((replicate.cast("long") + 1) * MIX_REP + seed) % PRIME
-    x = (a + b) % PRIME
-    x = ((x * x) % PRIME + a) % PRIME
-    x = ((x * x) % PRIME + b * MIX_OUT) % PRIME
-    x = (x * x) % PRIME
-    return x / F.lit(float(PRIME))
-
+def with_weight(df: DataFrame, key: str, replicate: str, seed: int, name: str = "_w") -> DataFrame:
+    """Add a Poisson(1) weight of an integer key and a replicate number.
 
-def poisson_weight(key: Column, replicate: Column, seed: int) -> Column:
-    u = uniform(key, replicate, seed)
-    return reduce(lambda acc, t: acc + F.when(u >= t, 1).otherwise(0), POISSON_CUMULATIVE, F.lit(0))
+    Integer arithmetic only (every product fits 63 bits), one step per projection.
+    """
+    steps = {
+        "_a": f"((CAST({key} AS BIGINT) % {PRIME}) * {MIX_ROW} + {seed}) % {PRIME}",
+        "_b": f"((CAST({replicate} AS BIGINT) + 1) * {MIX_REP} + {seed}) % {PRIME}",
+    }
+    out = df.selectExpr("*", *[f"{v} AS {k}" for k, v in steps.items()])
+    out = out.selectExpr("*", f"(_a + _b) % {PRIME} AS _x1")
+    out = out.selectExpr("*", f"((_x1 * _x1) % {PRIME} + _a) % {PRIME} AS _x2")
+    out = out.selectExpr("*", f"((_x2 * _x2) % {PRIME} + _b * {MIX_OUT}) % {PRIME} AS _x3")
+    out = out.selectExpr("*", f"(_x3 * _x3) % {PRIME} / {float(PRIME)}D AS _u")
+    counts = " ".join(f"WHEN _u < {t!r}D THEN {k}" for k, t in enumerate(POISSON_CUMULATIVE))
+    return out.withColumn(name, F.expr(f"CASE {counts} ELSE {len(POISSON_CUMULATIVE)} END")).drop("_a", "_b", "_x1", "_x2", "_x3", "_u")
 
 
 def bootstrap_means(df: DataFrame, keys: list[str], value: Column, row_key: Column, iterations: int, seed: int,
@@ -45,7 +45,7 @@ def bootstrap_means(df: DataFrame, keys: list[str], value: Column, row_key: Colu
     """Weighted mean of ``value`` per group and replicate."""
     rows = df.select(*keys, value.alias("_v"), row_key.cast("long").alias("_k")).where("_v is not null")
     reps = rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    reps = reps.withColumn("_w", poisson_weight(F.col("_k"), F.col("replicate"), seed)).where("_w > 0")
+    reps = with_weight(reps, "_k", "replicate", seed).where("_w > 0")
     sums = reps.groupBy(*keys, "replicate").agg(
         F.sum("_w").alias("weight"), F.sum(F.col("_w") * F.col("_v")).alias("weighted"),
         F.sum(F.col("_w") * F.col("_v") * F.col("_v")).alias("weighted_sq"))
@@ -74,8 +74,8 @@ def bootstrap_statistic(df: DataFrame, keys: list[str], columns: list[str], row_
     worst = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     if worst > max_rows:
         raise ValueError(f"a group holds {worst} rows; an arbitrary statistic takes at most {max_rows}")
-    jobs = rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))).withColumn(
-        "_w", poisson_weight(F.col("_k"), F.col("replicate"), seed)).where("_w > 0")
+    jobs = rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
+    jobs = with_weight(jobs, "_k", "replicate", seed).where("_w > 0")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         head = {k: [pdf[k].iloc[0]] for k in [*keys, "replicate"]}

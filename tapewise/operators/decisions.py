@@ -144,7 +144,7 @@ def evaluate(features: DataFrame, snapshots: DataFrame, calendar: DataFrame, str
         F.col("notional"), F.col("risk_capital"), F.col("expected_bars_held"), F.col("close_raw"), F.col("atr_pct"),
         F.col("spread_bps_est"), F.col("adv_usd_60"), F.col("direction"), costs))
     net, per_bar = expected_value(F.col("bin_ev_r_lcb"), F.col("cost_r"), F.col("bin_mean_bars_held"))
-    rows = rows.withColumn("ev_net_r", net).withColumn("ev_per_bar_r", per_bar)
+    rows = rows.withColumns({"ev_net_r": net, "ev_per_bar_r": per_bar})
     bin_ok = usable_bin(edge_params, "bin_")
     gate = gate_reason(g, min_gap, F.col("_earnings"))
     reason = F.coalesce(gate, first_reason([
@@ -161,12 +161,13 @@ def evaluate(features: DataFrame, snapshots: DataFrame, calendar: DataFrame, str
     ]))
     rows = rows.withColumn("reason", reason)
     later = F.col("reason").isNull() | F.col("reason").isin("BELOW_EV_THRESHOLD", "COST_UNAVAILABLE", "INSUFFICIENT_BIN_SAMPLES")
-    for c in ("direction", "reference_price", "stop_price", "target_price", "risk_per_unit", "reward_risk_ratio"):
-        rows = rows.withColumn(c, F.when(later, F.col(c)))
     priced = F.col("reason").isNull() | (F.col("reason") == "BELOW_EV_THRESHOLD")
-    for c in ("cost_r", "ev_net_r", "ev_per_bar_r"):
-        rows = rows.withColumn(c, F.when(priced, F.col(c)))
-    return rows.withColumn("stage", stage_of(F.col("reason"))).withColumn(
+    rows = rows.withColumns({
+        **{c: F.when(later, F.col(c)) for c in ("direction", "reference_price", "stop_price", "target_price", "risk_per_unit", "reward_risk_ratio")},
+        **{c: F.when(priced, F.col(c)) for c in ("cost_r", "ev_net_r", "ev_per_bar_r")},
+        "stage": stage_of(F.col("reason")),
+    })
+    return rows.withColumn(
         "bin_key", F.when(F.col("direction").isNotNull(), F.concat_ws("|", *BIN))).drop(
         "_need", "_market", "_regime", "_setup", "_earnings")
 

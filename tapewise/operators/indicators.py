@@ -14,8 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewise.functions.exprs import (first_reason, ratio, rolling, rolling_cov, rolling_mean, rolling_std,
-                                      rolling_sum, rolling_var, strict_greatest, trailing)
+from tapewise.functions.exprs import (call_over, column, first_reason, rolling, rolling_cov, rolling_mean, rolling_std,
+                                      rolling_sum, rolling_var, strict_greatest, windowed)
 from tapewise.params import FeatureParams, MarketParams, RegimeParams, UniverseParams
 
 EMA_BLOCK = 128
@@ -27,20 +27,20 @@ def over_asset():
 
 
 def lag_sql(c: str, n: int = 1) -> str:
-    return f"lag({c}, {n}) OVER ({BY_ASSET})"
+    return call_over(f"lag({c}, {n})", BY_ASSET)
 
 
 def lagged(c: str, n: int = 1) -> Column:
-    return F.expr(lag_sql(c, n))
+    return column(lag_sql(c, n))
 
 
 def with_bar_number(df: DataFrame, name: str = "bars_available") -> DataFrame:
     return df.withColumn(name, F.row_number().over(over_asset()))
 
 
-def true_range() -> Column:
+def true_range() -> str:
     p = lag_sql("close")
-    return F.expr(f"greatest(high - low, abs(high - {p}), abs(low - {p}))")
+    return f"greatest(high - low, abs(high - {p}), abs(low - {p}))"
 
 
 def with_ema(df: DataFrame, value: str, name: str, alpha: float, min_periods: int,
@@ -71,8 +71,8 @@ def with_ema(df: DataFrame, value: str, name: str, alpha: float, min_periods: in
 
 
 def with_atr(df: DataFrame, n: int = 14) -> DataFrame:
-    out = with_ema(df.withColumn("_tr", true_range()), "_tr", "atr_14", 1.0 / n, n).drop("_tr")
-    return out.withColumn("atr_pct", ratio(F.col("atr_14"), F.col("close")))
+    out = with_ema(windowed(df, {"_tr": true_range()}), "_tr", "atr_14", 1.0 / n, n).drop("_tr")
+    return out.withColumn("atr_pct", F.expr("atr_14 / nullif(close, 0)"))
 
 
 def with_moving_averages(df: DataFrame, fast: int, slow: int) -> DataFrame:
@@ -84,55 +84,57 @@ def ema_spread() -> Column:
     return F.expr("(ema_fast - ema_slow) / nullif(atr_14, 0)")
 
 
-def slope(n: int) -> Column:
-    return F.expr(f"(close - {lag_sql('close', n)}) / nullif(atr_14 * {math.sqrt(n)!r}D, 0)")
+def slope(n: int) -> str:
+    return f"(close - {lag_sql('close', n)}) / nullif(atr_14 * {math.sqrt(n)!r}D, 0)"
 
 
-def channel(c: str, agg: str, n: int) -> Column:
+def channel(c: str, agg: str, n: int) -> str:
     """Extreme of the ``n`` rows before the current one."""
-    return F.expr(f"CASE WHEN {lag_sql(c, n)} IS NOT NULL THEN {agg}({c}) OVER"
-                  f" ({BY_ASSET} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) END")
+    frame = call_over(f"{agg}({c})", BY_ASSET, f"ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING")
+    return f"CASE WHEN {lag_sql(c, n)} IS NOT NULL THEN {frame} END"
 
 
-def realised_vol(n: int, bars_per_year: int) -> Column:
+def realised_vol(n: int, bars_per_year: int) -> str:
     return rolling_std("_lr", BY_ASSET, n, math.sqrt(bars_per_year))
 
 
-def log_return() -> Column:
-    return F.expr(f"ln(close / nullif({lag_sql('close')}, 0))")
+def with_steps(df: DataFrame) -> DataFrame:
+    """Add ``_lr``, the log return, and ``_step``, the absolute price change."""
+    p = lag_sql("close")
+    return windowed(df, {"_lr": f"ln(close / nullif({p}, 0))", "_step": f"abs(close - {p})"})
 
 
-def efficiency(n: int) -> Column:
+def efficiency(n: int) -> str:
     path = rolling_sum("_step", BY_ASSET, n)
-    return F.when(path > 0, F.abs(F.col("close") - lagged("close", n)) / path)
+    return f"abs(close - {lag_sql('close', n)}) / nullif({path}, 0)"
 
 
-def momentum(far: int, near: int = 0) -> Column:
+def momentum(far: int, near: int = 0) -> str:
     recent = "close" if near == 0 else lag_sql("close", near)
-    return F.expr(f"{recent} / nullif({lag_sql('close', far)}, 0) - 1D")
+    return f"{recent} / nullif({lag_sql('close', far)}, 0) - 1D"
 
 
 def with_gap(df: DataFrame, mean_n: int = 20) -> DataFrame:
-    out = df.withColumn("gap_atr", F.expr(f"(open - {lag_sql('close')}) / nullif({lag_sql('atr_14')}, 0)"))
-    return out.withColumn("gap_abs_mean_20", rolling_mean("abs(gap_atr)", BY_ASSET, mean_n))
+    out = windowed(df, {"gap_atr": f"(open - {lag_sql('close')}) / nullif({lag_sql('atr_14')}, 0)"})
+    return windowed(out, {"gap_abs_mean_20": rolling_mean("abs(gap_atr)", BY_ASSET, mean_n)})
 
 
 def with_overnight_share(df: DataFrame, n: int = 60) -> DataFrame:
-    out = df.selectExpr("*", f"ln(open / nullif({lag_sql('close')}, 0)) AS _on", "ln(close / nullif(open, 0)) AS _in")
-    out = out.withColumns({"_von": rolling_var("_on", BY_ASSET, n), "_vin": rolling_var("_in", BY_ASSET, n)})
+    out = windowed(df, {"_on": f"ln(open / nullif({lag_sql('close')}, 0))", "_in": "ln(close / nullif(open, 0))"})
+    out = windowed(out, {"_von": rolling_var("_on", BY_ASSET, n), "_vin": rolling_var("_in", BY_ASSET, n)})
     return out.withColumn("overnight_var_share_60", F.expr("CASE WHEN _von + _vin > 0 THEN _von / (_von + _vin) END")).drop(
         "_on", "_in", "_von", "_vin")
 
 
-def rolling_pct_rank(value: str, over: str, n: int, min_periods: int) -> Column:
+def rolling_pct_rank(value: str, over: str, n: int, min_periods: int) -> str:
     """Average-tie percentile rank of the current value among the last ``n`` rows.
 
     The frame holds at most ``n`` numbers; one pass over it counts the lower and
     the equal ones.
     """
-    seen = f"collect_list({value}) OVER ({over} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    seen = call_over(f"collect_list({value})", over, f"ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW")
     score = f"aggregate({seen}, 0.5D, (acc, x) -> acc + CASE WHEN x < {value} THEN 1D WHEN x = {value} THEN 0.5D ELSE 0D END)"
-    return F.expr(f"CASE WHEN {value} IS NOT NULL AND size({seen}) >= {min_periods} THEN {score} / size({seen}) END")
+    return f"CASE WHEN {value} IS NOT NULL AND size({seen}) >= {min_periods} THEN {score} / size({seen}) END"
 
 
 def with_bench_moments(df: DataFrame, benchmark: DataFrame, window: int, reference: str) -> DataFrame:
@@ -144,11 +146,10 @@ def with_bench_moments(df: DataFrame, benchmark: DataFrame, window: int, referen
     b = benchmark.select("ts", F.col("close").alias("_b"))  # one row per session
     out = df.join(F.broadcast(b), "ts", "left").withColumn("_both", F.col("_b").isNotNull())
     # rows matched by the benchmark form their own sequence inside the asset
-    w = Window.partitionBy("asset_id", "_both").orderBy("ts")
-    out = out.withColumn("_rs", F.log(ratio(F.col("close"), F.lag("close").over(w)))).withColumn(
-        "_rb", F.log(ratio(F.col("_b"), F.lag("_b").over(w))))
     need, over = window // 2, "PARTITION BY asset_id, _both ORDER BY ts"
-    out = out.withColumns({
+    before = {c: call_over(f"lag({c})", over) for c in ("close", "_b")}
+    out = windowed(out, {"_rs": f"ln(close / nullif({before['close']}, 0))", "_rb": f"ln(_b / nullif({before['_b']}, 0))"})
+    out = windowed(out, {
         "_cov": rolling_cov("_rs", "_rb", over, window, need),
         "_var": rolling_var("_rb", over, window, need),
         "_vs": rolling_var("if(_rb IS NULL, NULL, _rs)", over, window, need),
@@ -163,37 +164,27 @@ def with_bench_moments(df: DataFrame, benchmark: DataFrame, window: int, referen
 
 def with_bars_since_gap(df: DataFrame, name: str = "bars_since_gap") -> DataFrame:
     """Position inside the current run of consecutive sessions, from 0."""
-    w = over_asset()
-    broke = F.when(F.col("session_index") - F.lag("session_index").over(w) > 1, 1).otherwise(0)
-    out = df.withColumn("_brk", broke)
-    out = out.withColumn("_run", F.sum("_brk").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    inside = Window.partitionBy("asset_id", "_run").orderBy("ts")
-    return out.withColumn(name, F.row_number().over(inside) - 1).drop("_brk", "_run")
+    out = windowed(df, {"_brk": f"if(session_index - {lag_sql('session_index')} > 1, 1, 0)"})
+    out = windowed(out, {"_run": call_over("sum(_brk)", BY_ASSET, "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")})
+    return windowed(out, {name: call_over("row_number()", "PARTITION BY asset_id, _run ORDER BY ts") + " - 1"}).drop("_brk", "_run")
 
 
 # -- spread and liquidity ------------------------------------------------------
 
 def with_corwin_schultz(df: DataFrame, n: int, name: str = "cs_bps") -> DataFrame:
     """High-low spread estimate in bps from two-bar ranges, averaged over ``n`` bars."""
-    w = over_asset()
-    h, low = F.col("high"), F.col("low")
-    ok = (h > 0) & (low > 0) & (h >= low)
-    out = df.withColumn("_hl", F.when(ok, F.log(h / low)))
-    out = out.withColumn("_hl1", F.lag("_hl").over(w)).withColumn("_ph", F.lag("high").over(w)).withColumn(
-        "_pl", F.lag("low").over(w))
-    pair = F.col("_hl").isNotNull() & F.col("_hl1").isNotNull()
-    two = F.log(F.greatest(h, F.col("_ph")) / F.least(low, F.col("_pl")))
-    out = out.withColumn("_b", F.when(pair, F.col("_hl") * F.col("_hl") + F.col("_hl1") * F.col("_hl1")))
-    out = out.withColumn("_g", F.when(pair, two * two))
     k = 3.0 - 2.0 * math.sqrt(2.0)
-    beta, gamma = rolling_mean("_b", BY_ASSET, n), rolling_mean("_g", BY_ASSET, n)
-    out = out.withColumn("_beta", beta).withColumn("_gamma", gamma)
-    alpha = (F.sqrt(F.col("_beta") * 2.0) - F.sqrt("_beta")) / k - F.sqrt(F.col("_gamma") / k)
-    e = F.exp(F.col("_alpha"))
-    bps = F.col("_spread") * 1e4
-    return out.withColumn("_alpha", alpha).withColumn("_spread", (e - 1.0) * 2.0 / (e + 1.0)).withColumn(
-        name, F.when(bps.isNotNull(), F.greatest(bps, F.lit(0.0)))
-    ).drop("_hl", "_hl1", "_ph", "_pl", "_b", "_g", "_beta", "_gamma", "_alpha", "_spread")
+    out = df.selectExpr("*", "CASE WHEN high > 0 AND low > 0 AND high >= low THEN ln(high / low) END AS _hl")
+    hl1, ph, pl = (lag_sql(c) for c in ("_hl", "high", "low"))
+    pair = f"_hl IS NOT NULL AND {hl1} IS NOT NULL"
+    two = f"ln(greatest(high, {ph}) / nullif(least(low, {pl}), 0))"
+    out = windowed(out, {"_b": f"CASE WHEN {pair} THEN _hl * _hl + {hl1} * {hl1} END",
+                         "_g": f"CASE WHEN {pair} THEN {two} * {two} END"})
+    out = windowed(out, {"_beta": rolling_mean("_b", BY_ASSET, n), "_gamma": rolling_mean("_g", BY_ASSET, n)})
+    out = out.selectExpr("*", f"(sqrt(2D * _beta) - sqrt(_beta)) / {k!r}D - sqrt(_gamma / {k!r}D) AS _alpha")
+    bps = "2D * (exp(_alpha) - 1D) / (1D + exp(_alpha)) * 1e4"
+    return out.withColumn(name, F.expr(f"CASE WHEN _alpha IS NOT NULL THEN greatest({bps}, 0D) END")).drop(
+        "_hl", "_b", "_g", "_beta", "_gamma", "_alpha")
 
 
 def spread_floor(adv: Column, p: UniverseParams) -> Column:
@@ -207,8 +198,11 @@ def final_spread(cs: Column, adv: Column, p: UniverseParams) -> Column:
     return strict_greatest(cs, spread_floor(adv, p))
 
 
-def rolling_median(value: str, n: int) -> Column:
-    return rolling(f"percentile({value}, 0.5)", value, BY_ASSET, n)
+def rolling_median(value: str, n: int) -> str:
+    """Median of a full window: the middle of its ``n`` sorted numbers."""
+    seen = f"sort_array({call_over(f'collect_list({value})', BY_ASSET, f'ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW')})"
+    return (f"aggregate(array({seen}), CAST(NULL AS DOUBLE), (acc, a) ->"
+            f" CASE WHEN size(a) = {n} THEN (a[{(n - 1) // 2}] + a[{n // 2}]) / 2 END)")
 
 
 # -- labels --------------------------------------------------------------------
@@ -232,14 +226,14 @@ def regime(er: Column, er_long: Column, slope_: Column, vol_pct: Column, p: Regi
 def market_columns(benchmark: DataFrame, p: MarketParams) -> DataFrame:
     """Market regime per session from the one-row-per-session benchmark."""
     over = "ORDER BY ts"  # bounded: one row per trading session
-    out = benchmark.selectExpr("*", f"ln(close / nullif(lag(close) OVER ({over}), 0)) AS _lr")
-    out = out.withColumns({
+    out = windowed(benchmark, {"_lr": f"ln(close / nullif({call_over('lag(close)', over)}, 0))"})
+    out = windowed(out, {
         "_sma": rolling_mean("close", over, p.sma_n), "_peak": rolling("max(close)", "close", over, p.dd_n),
         "_vol": rolling_std("_lr", over, p.vol_n, math.sqrt(p.bars_per_year)),
     })
-    out = out.withColumn("vol_pct", rolling_pct_rank("_vol", over, p.vol_window, p.vol_min_periods))
+    out = windowed(out, {"vol_pct": rolling_pct_rank("_vol", over, p.vol_window, p.vol_min_periods)})
     above = F.coalesce(F.col("close") > F.col("_sma"), F.lit(False))
-    dd = 1.0 - ratio(F.col("close"), F.col("_peak"))
+    dd = F.expr("1D - close / nullif(_peak, 0)")
     stressed = (F.col("spy_dd_252") >= p.dd_stress) | (F.col("vol_pct") >= p.vol_stress)
     return out.withColumn("spy_above_ma", above).withColumn("spy_dd_252", dd).withColumn(
         "market_regime",
@@ -256,11 +250,9 @@ def asset_features(panel: DataFrame, benchmark: DataFrame, p: FeatureParams, r:
     df = with_bars_since_gap(with_bar_number(panel))
     df = with_atr(df, p.atr_n)
     df = with_moving_averages(df, p.ema_fast, p.ema_slow)
-    df = df.withColumn("_lr", log_return()).withColumn("_step", F.expr(f"abs(close - {lag_sql('close')})"))
-    df = df.withColumns({
+    df = windowed(with_steps(df), {
         "vol_20": realised_vol(p.vol_short, p.bars_per_year),
         "vol_60": realised_vol(p.vol_long, p.bars_per_year),
-        "ema_spread_atr": ema_spread(),
         "slope_atr_20": slope(p.slope_n),
         "efficiency_ratio_20": efficiency(p.er_n),
         "efficiency_ratio_60": efficiency(p.er_long_n),
@@ -278,8 +270,9 @@ def asset_features(panel: DataFrame, benchmark: DataFrame, p: FeatureParams, r:
     return df.withColumns({
         "keltner_upper": F.col("ema_slow") + p.keltner_k * F.col("atr_14"),
         "keltner_lower": F.col("ema_slow") - p.keltner_k * F.col("atr_14"),
-        "dist_to_high_atr": ratio(F.col("donchian_high_55") - F.col("close"), F.col("atr_14")),
-        "dist_to_low_atr": ratio(F.col("close") - F.col("donchian_low_55"), F.col("atr_14")),
+        "ema_spread_atr": ema_spread(),
+        "dist_to_high_atr": F.expr("(donchian_high_55 - close) / nullif(atr_14, 0)"),
+        "dist_to_low_atr": F.expr("(close - donchian_low_55) / nullif(atr_14, 0)"),
         "vol_bucket": vol_bucket(F.col("atr_percentile_1y"), r),
         "regime": regime(F.col("efficiency_ratio_20"), F.col("efficiency_ratio_60"),
                          F.col("slope_atr_20"), F.col("atr_percentile_1y"), r),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapewise.functions.exprs import first_reason, is_true, trailing
+from tapewise.functions.exprs import first_reason, is_true, trailing, windowed
 from tapewise.operators.asof import asof_backward, keep_one, many_to_one
 from tapewise.operators.indicators import (final_spread, over_asset, rolling_median, with_bar_number,
                                            with_bars_since_gap, with_corwin_schultz)
@@ -46,7 +46,7 @@ def delisted_share(candidates: DataFrame, tickers: DataFrame) -> DataFrame:
 def panel_metrics(panel: DataFrame, p: UniverseParams) -> DataFrame:
     """Liquidity, spread, history and continuity of each asset at each bar."""
     df = with_bars_since_gap(with_bar_number(panel))
-    df = df.withColumn("adv_usd_60", rolling_median("dollar_volume", p.adv_bars))
+    df = windowed(df, {"adv_usd_60": rolling_median("dollar_volume", p.adv_bars)})
     df = with_corwin_schultz(df, p.spread_window)
     recent = F.max(F.col("is_suspect").cast("int")).over(trailing(over_asset(), p.suspect_lookback))
     return df.withColumn("spread_bps_est", final_spread(F.col("cs_bps"), F.col("adv_usd_60"), p)).withColumn(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tapewise.functions.exprs import column, windowed
 from tapewise.operators import features as FT
 from tapewise.operators import indicators as I
 from tapewise.operators import labels as L
@@ -26,29 +27,33 @@ def view(df, *cols, **kw):
     return tidy(df.select("asset_id", "session", *cols), **kw)
 
 
+def computed(df, **sql):
+    """The frame with windowed columns added, and only those shown."""
+    return view(windowed(df, sql), *sql)
+
+
 @query("true_range_atr", f"SELECT {KEY}, {d('true_range atr_14 atr_pct')} FROM f3")
 def true_range_atr(x):
-    return view(I.with_atr(numbered(x), W.atr_n).withColumn("true_range", I.true_range()), "true_range", "atr_14", "atr_pct")
+    return view(windowed(I.with_atr(numbered(x), W.atr_n), {"true_range": I.true_range()}), "true_range", "atr_14", "atr_pct")
 
 
 @query("moving_averages", f"SELECT {KEY}, {d('ema_fast ema_slow ema_spread_atr slope_atr_20 keltner_upper keltner_lower')} FROM f4")
 def moving_averages(x):
     df = I.with_moving_averages(I.with_atr(numbered(x), W.atr_n), W.ema_fast, W.ema_slow)
-    return view(df, "ema_fast", "ema_slow", I.ema_spread().alias("ema_spread_atr"), I.slope(W.slope_n).alias("slope_atr_20"),
+    return view(df, "ema_fast", "ema_slow", I.ema_spread().alias("ema_spread_atr"), column(I.slope(W.slope_n)).alias("slope_atr_20"),
                 (F.col("ema_slow") + W.keltner_k * F.col("atr_14")).alias("keltner_upper"),
                 (F.col("ema_slow") - W.keltner_k * F.col("atr_14")).alias("keltner_lower"))
 
 
 @query("price_channels", f"SELECT {KEY}, {d('donchian_high_20 donchian_low_20 donchian_high_55 donchian_low_55')} FROM f4")
 def price_channels(x):
-    return view(x.panel, *[I.channel(c, a, n).alias(f"donchian_{c}_{t}") for n, t in ((W.donchian_short, 20), (W.donchian_long, 55))
-                           for c, a in (("high", "max"), ("low", "min"))])
+    return computed(x.panel, **{f"donchian_{c}_{t}": I.channel(c, a, n) for n, t in ((W.donchian_short, 20), (W.donchian_long, 55))
+                                for c, a in (("high", "max"), ("low", "min"))})
 
 
 @query("realised_volatility", f"SELECT {KEY}, {d('vol_20 vol_60')} FROM f4")
 def realised_volatility(x):
-    df = x.panel.withColumn("_lr", I.log_return())
-    return view(df, I.realised_vol(W.vol_short, W.bars_per_year).alias("vol_20"), I.realised_vol(W.vol_long, W.bars_per_year).alias("vol_60"))
+    return computed(I.with_steps(x.panel), vol_20=I.realised_vol(W.vol_short, W.bars_per_year), vol_60=I.realised_vol(W.vol_long, W.bars_per_year))
 
 
 @query("opening_gaps", f"SELECT {KEY}, {d('gap_atr gap_abs_mean_20')} FROM f4")
@@ -63,20 +68,19 @@ def overnight_share(x):
 
 @query("momentum", f"SELECT {KEY}, {d('mom_252_skip21 mom_126_skip21 mom_21')} FROM f4")
 def momentum(x):
-    return view(x.panel, I.momentum(W.mom_long, W.mom_skip).alias("mom_252_skip21"),
-                I.momentum(W.mom_mid, W.mom_skip).alias("mom_126_skip21"), I.momentum(W.mom_short).alias("mom_21"))
+    return computed(x.panel, mom_252_skip21=I.momentum(W.mom_long, W.mom_skip), mom_126_skip21=I.momentum(W.mom_mid, W.mom_skip),
+                    mom_21=I.momentum(W.mom_short))
 
 
 @query("efficiency_ratio", f"SELECT {KEY}, {d('efficiency_ratio_20 efficiency_ratio_60')} FROM f4")
 def efficiency_ratio(x):
-    df = x.panel.withColumn("_step", F.abs(F.col("close") - I.lagged("close")))
-    return view(df, I.efficiency(W.er_n).alias("efficiency_ratio_20"), I.efficiency(W.er_long_n).alias("efficiency_ratio_60"))
+    return computed(I.with_steps(x.panel), efficiency_ratio_20=I.efficiency(W.er_n), efficiency_ratio_60=I.efficiency(W.er_long_n))
 
 
 @query("volatility_percentile", f"SELECT {KEY}, {d('atr_percentile_1y')}, vol_bucket FROM feat")
 def volatility_percentile(x):
-    df = I.with_atr(numbered(x), W.atr_n).withColumn(
-        "atr_percentile_1y", I.rolling_pct_rank("atr_pct", I.BY_ASSET, W.vol_window, W.vol_min_periods))
+    df = windowed(I.with_atr(numbered(x), W.atr_n),
+                  {"atr_percentile_1y": I.rolling_pct_rank("atr_pct", I.BY_ASSET, W.vol_window, W.vol_min_periods)})
     return view(df, "atr_percentile_1y", I.vol_bucket(F.col("atr_percentile_1y"), D.WEEKLY_REGIME).alias("vol_bucket"))
 
 

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tapewise.functions.exprs import windowed
 from tapewise.operators import features as FT
 from tapewise.operators import indicators as I
 from tapewise.params import FeatureParams, MarketParams, RegimeParams
@@ -28,7 +29,7 @@ def column(df, c):
 
 def test_true_range_first_bar_has_no_previous_close(spark):
     df = tiny(spark, [12.0, 13, 10, 15, 16], [9.0, 10, 7, 9, 13], [11.0, 12, 9, 14, 15])
-    assert column(df.withColumn("tr", I.true_range()), "tr").tolist() == [3, 3, 5, 6, 3]
+    assert column(windowed(df, {"tr": I.true_range()}), "tr").tolist() == [3, 3, 5, 6, 3]
 
 
 @pytest.mark.parametrize("alpha", [1 / 14, 2 / 51, 0.5, 0.995, 1.0])
@@ -44,8 +45,9 @@ def test_moments_and_ranks_match_pandas(spark):
     rng = np.random.default_rng(8)
     x = np.exp(np.cumsum(rng.normal(0, 0.03, 300))) * 20
     x[100:140] = x[100]  # a constant stretch has exactly zero variance
-    df = tiny(spark, x.tolist(), x.tolist(), x.tolist()).withColumn("_lr", I.log_return())
-    df = df.withColumn("v", I.realised_vol(20, 252)).withColumn("r", I.rolling_pct_rank("close", I.BY_ASSET, 50, 10))
+    df = I.with_steps(tiny(spark, x.tolist(), x.tolist(), x.tolist()))
+    df = windowed(df, {"v": I.realised_vol(20, 252), "r": I.rolling_pct_rank("close", I.BY_ASSET, 50, 10), "m": I.rolling_median("close", 6)})
+    np.testing.assert_allclose(column(df, "m"), pd.Series(x).rolling(6).median(), rtol=1e-12)
     lr = np.log(pd.Series(x) / pd.Series(x).shift(1))
     np.testing.assert_allclose(column(df, "v"), lr.rolling(20).std() * np.sqrt(252), rtol=1e-9, atol=1e-9)
     np.testing.assert_allclose(column(df, "r"), pd.Series(x).rolling(50, min_periods=10).rank(pct=True), rtol=1e-12)
@@ -54,8 +56,8 @@ def test_moments_and_ranks_match_pandas(spark):
 
 def test_channel_excludes_the_current_bar(spark):
     df = tiny(spark, [1.0, 2, 9, 3, 4], [1.0] * 5, [1.0] * 5)
-    assert pd.isna(column(df.withColumn("c", I.channel("high", "max", 2)), "c")[:2]).all()
-    assert column(df.withColumn("c", I.channel("high", "max", 2)), "c")[2:].tolist() == [2, 9, 9]
+    assert pd.isna(column(windowed(df, {"c": I.channel("high", "max", 2)}), "c")[:2]).all()
+    assert column(windowed(df, {"c": I.channel("high", "max", 2)}), "c")[2:].tolist() == [2, 9, 9]
 
 
 def test_bars_since_gap_restarts_at_zero(spark):

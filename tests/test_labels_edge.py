@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tapewise.operators import edge as E
 from tapewise.operators import labels as L
 from tapewise.operators import setups as SU
-from tapewise.operators.bootstrap import bootstrap_means, bootstrap_statistic, interval, poisson_weight
+from tapewise.operators.bootstrap import bootstrap_means, bootstrap_statistic, interval, with_weight
 from tapewise.params import EdgeParams
 
 
@@ -163,7 +163,7 @@ def test_edge_parameters_are_checked(labels):
 
 def test_bootstrap_weights_and_interval(spark, labels):
     pdf, df = labels
-    w = spark.range(400).select("id", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("r")).select(poisson_weight(F.col("id"), F.col("r"), 5).alias("w"))
+    w = with_weight(spark.range(400).select("id", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("r")), "id", "r", 5, "w")
     m = w.agg(F.avg("w").alias("m"), F.var_pop("w").alias("v")).first()
     assert m.m == pytest.approx(1, abs=.02) and m.v == pytest.approx(1, abs=.03)
     key = F.substring("asset_id", 2, 9).cast("long")
