@@ -362,7 +362,7 @@ def many_to_one_lookup(x):
     return tidy(A.many_to_one(x.bars.select("asset_id", "session", "close"), x.tickers.select("asset_id", "sector", "exchange"), ["asset_id"]))
 
 
-@query("duplicate_keys", "SELECT l_orderkey, l_linenumber, count(*) AS copies FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+@query("duplicate_keys", "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, count(*) AS copies FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def duplicate_keys(x):
     return tidy(A.duplicate_keys(x.table("lineitem"), ["l_orderkey", "l_linenumber"]))
 

@@ -184,3 +184,22 @@ def test_python_statistic_refuses_large_groups(spark, labels):
     np.testing.assert_allclose(a, b, rtol=1e-9)
     with pytest.raises(ValueError, match="at most 10"):
         bootstrap_statistic(df, ["direction"], ["realised_r_gross"], key, 5, 1, stat, max_rows=10)
+
+
+def test_resume_skips_finished_assets_and_refuses_other_settings(spark, labels, tmp_path):
+    from tapewise.sources.tables import write_labels_resumable
+    _, df = labels
+    path, seen = str(tmp_path / "run"), []
+
+    def part(limit):
+        def compute(done):
+            todo = df.where(F.substring("asset_id", 2, 9).cast("int") < limit).join(done, "asset_id", "left_anti")
+            seen.append(todo.count())
+            return todo, todo.select("asset_id").distinct()
+        return compute
+
+    write_labels_resumable(spark, path, "h", ["s"], part(100))
+    write_labels_resumable(spark, path, "h", ["s"], part(250))
+    assert seen == [100, 150] and spark.read.parquet(f"{path}/labels").count() == 250
+    with pytest.raises(ValueError, match="another configuration"):
+        write_labels_resumable(spark, path, "other", ["s"], part(300))
