@@ -1,20 +1,30 @@
-"""Session helpers: one place for checkpointing and size-checked broadcasts."""
+"""Session helpers: the shared folder, checkpoints, and the package on the workers."""
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; a private one only when unset."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    A session without the setting gets a private folder only when master and
+    workers are one process (``local[...]``, as in tests). Anywhere else the
+    setting is required, because executors can't see each other's disks.
+    """
     sc = spark.sparkContext
     named = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) \
         or sc.getConf().get("spark.checkpoint.dir")
+    if named is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="tapewise-ckpt-")
     if sc.getCheckpointDir() is None:
-        named = named or tempfile.mkdtemp(prefix="tapewise-ckpt-")
         sc.setCheckpointDir(named)
     return named
 
@@ -29,14 +39,33 @@ def staged(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_side(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Mark ``df`` for broadcast only when it is proven to be small.
+def broadcast_rows(df: DataFrame, max_rows: int) -> DataFrame:
+    """Mark a staged table of narrow rows for broadcast when it has at most ``max_rows``.
 
-    The check stops after ``max_rows + 1`` rows. A larger side is returned
-    unmarked, and the join falls back to a shuffle.
+    ``df`` must already be staged, so that counting it reads a written table. A
+    larger table is returned unmarked and its join shuffles.
     """
-    few = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if few else df
+    return F.broadcast(df) if df.count() <= max_rows else df
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package, wherever the driver was started."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="tapewise-ship-"), "tapewise_package.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)  # Spark's own file server hands it to each executor
+    _SHIPPED.add(sc.applicationId)
 
 
 def tune(spark: SparkSession) -> None:
