@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapewise.llm import decontaminate, line_dedup
+from tapewise.llm import bpe, decontaminate, line_dedup, records, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -16,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Path of an installed public tokenizer file."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def query(name: str, sql: str | None = None):
     def add(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[name] = f
@@ -31,6 +37,22 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(docs, counts=True)
 
 
+@query("op5_token_records")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.report(spark, table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+@query("op6_forced_boundary_bpe")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.report(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 @query("op9_decontamination", decontaminate.SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op10_secret_scan")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return secrets.report(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
