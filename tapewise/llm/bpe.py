@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapewise.llm.common import map_texts
-from tapewise.llm.pieces import REMEMBERED, PieceEncoder
+from tapewise.llm.pieces import AT_ONCE, REMEMBERED, PieceEncoder
 
 #: Letters of these blocks lower and compose alike in all Unicode tables in use.
 PLAIN = re.compile(r"[^\t\n\r\x20-\x7E\xA1-ſΑ-Ωα-ωА-я]|İ")
@@ -117,8 +117,10 @@ class ForcedBoundaryBPE(PieceEncoder):
         known = self.fragments
         for last, merger in ((False, self.inner), (True, self.ending)):
             new = list({k for ks in keys for k in ks if k[1] == last and k not in known})
-            for k, e in zip(new, merger.encode_batch([k[0] for k in new], add_special_tokens=False), strict=True):
-                known[k] = e.ids
+            for i in range(0, len(new), AT_ONCE):
+                some = new[i:i + AT_ONCE]
+                for k, e in zip(some, merger.encode_batch_fast([k[0] for k in some], add_special_tokens=False), strict=True):
+                    known[k] = e.ids
         return [[i for k in ks for i in known[k]] for ks in keys]
 
     def split(self, text: str) -> list[str] | None:

@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tapewise.session import checkpoint_dir
 
 #: Bytes of text that a task holds in Python at a time; a longer text is a slice by itself.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from array import array
 
 #: Pieces in a generation of what a task remembers; two generations are held.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 LONGEST = 64
+#: New pieces given to a tokenizer in one call; its results are large objects.
+AT_ONCE = 4_000
 
 
 class PieceEncoder:
@@ -21,7 +23,7 @@ class PieceEncoder:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def learn(self, pieces: list[str]) -> list[list[int]]:
+    def learn(self, pieces: list[str]) -> list[list[int] | bytes]:
         raise NotImplementedError
 
     def split(self, text: str) -> list[str] | None:
@@ -30,8 +32,8 @@ class PieceEncoder:
     def whole(self, text: str) -> list[int]:
         raise NotImplementedError
 
-    def packed(self, ids: list[int]) -> bytes:
-        return array(self.code, ids).tobytes()
+    def packed(self, ids: list[int] | bytes) -> bytes:
+        return ids if type(ids) is bytes else array(self.code, ids).tobytes()
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as an array of ``code`` in bytes; none for null."""

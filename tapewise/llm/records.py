@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapewise.llm.common import filesystem, shared_path, slices
-from tapewise.llm.pieces import REMEMBERED, PieceEncoder
+from tapewise.llm.pieces import AT_ONCE, REMEMBERED, PieceEncoder
 from tapewise.session import staged
 
 #: Fixed values of the record framing: the reflected Castagnoli polynomial and the mask.
@@ -47,6 +47,8 @@ INDEX = np.dtype([("doc_id", "<i8"), ("null", "<i8"), ("offset", "<i8"), ("n_tok
 BUFFER = 1 << 20
 #: Marks the first stretch of a text, which has no space before it.
 FIRST = "\0"
+#: The character of byte-level vocabularies that stands for the space.
+SPACE = "\u0120"
 
 
 def _tables() -> np.ndarray:
@@ -122,6 +124,9 @@ class ByteLevelPieces(PieceEncoder):
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        names = self.library.get_vocab(with_added_tokens=True)
+        self.after_space = np.zeros(max(names.values()) + 1, dtype=bool)
+        self.after_space[[i for n, i in names.items() if n[0] == SPACE]] = True
         super().__init__("H" if self.library.get_vocab_size() <= 1 << 16 else "I", remembered)
 
     def split(self, text: str) -> list[str] | None:
@@ -130,9 +135,22 @@ class ByteLevelPieces(PieceEncoder):
             return None
         return (FIRST + text).split(" ")
 
-    def learn(self, pieces: list[str]) -> list[list[int]]:
-        whole = [p[1:] if p[0] == FIRST else " " + p for p in pieces]
-        return [e.ids for e in self.library.encode_batch_fast(whole, add_special_tokens=False)]
+    def learn(self, pieces: list[str]) -> list[list[int] | bytes]:
+        """Ids of the stretches: those after a space are encoded in one string, and
+        cut again where a token begins with a space, which is where a stretch begins."""
+        behind = [p for p in pieces if p[0] != FIRST]
+        got = {}
+        for k in range(0, len(behind), AT_ONCE):
+            some = behind[k:k + AT_ONCE]
+            (e,) = self.library.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)
+            ids = np.array(e.ids, dtype=self.code)
+            at = np.flatnonzero(self.after_space[ids]) * ids.itemsize
+            raw, ends = ids.tobytes(), [*at[1:].tolist(), ids.nbytes]
+            got.update((p, raw[i:j]) for p, i, j in zip(some, at.tolist(), ends, strict=True))
+        for p in pieces:
+            if p[0] == FIRST:
+                got[p] = self.whole(p[1:])
+        return [got[p] for p in pieces]
 
     def whole(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
