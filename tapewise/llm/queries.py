@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapewise.llm import bpe, chat, decontaminate, language, line_dedup, records, secrets, vector_join
+from tapewise.llm import bpe, chat, decontaminate, jaccard_join, language, line_dedup, records, secrets, vector_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -37,6 +37,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(docs, counts=True)
 
 
+@query("op2_signature_tree_join", jaccard_join.SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.report(table(spark, sf_dir, "documents"))
+
+
 @query("op4_vector_near_dedup", vector_join.SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_join.near_duplicates(table(spark, sf_dir, "embeddings"))

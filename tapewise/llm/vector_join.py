@@ -17,8 +17,8 @@ group within the tile, not the pairs. Groups are put together by connected compo
 
 Cases: null, empty and zero vectors and those with null or non-finite components link
 with nothing and are components of their own; vectors of unequal length don't link;
-repeated rows are vectors of their own, equal to each other; a null vec_id counts as a
-link and never names a component; an empty table gives no rows; other columns are
+repeated rows are vectors of their own, equal to each other; rows without vec_id take
+no part (no links, no component); an empty table gives no rows; other columns are
 ignored.
 """
 
@@ -194,11 +194,10 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     v = F.col("v")
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<float>").alias("v"))
     good = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = rows.withColumn("good", F.coalesce(good, F.lit(False))).withColumn("k1", F.xxhash64("v")).withColumn("k2", F.hash("v", F.lit(7)))
+    rows = rows.withColumn("good", F.coalesce(good & F.col("vec_id").isNotNull(), F.lit(False))).withColumn("k1", F.xxhash64("v")).withColumn("k2", F.hash("v", F.lit(7)))
     key = ["k1", "k2"]
-    # a class is named by its smallest id, or by its content if it has none
-    named = rows.where("good").groupBy(*key).agg(F.min("vec_id").alias("low"), F.count("*").alias("n"), F.any_value("v").alias("v"))
-    named = staged(named.select(*key, "low", F.col("n").cast("long").alias("n"), F.coalesce("low", F.col("k1")).alias("rep"), as_floats("v").alias("vec")))
+    named = rows.where("good").groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.any_value("v").alias("v"))
+    named = staged(named.select(*key, "rep", F.col("n").cast("long").alias("n"), as_floats("v").alias("vec")))
     size = max(1, named.count())
     axes = max(1, math.ceil(math.log2(max(1, size / CELL))))
     placed = tiles(spread(named.select("rep", "n", "vec"), axes, t))
@@ -206,7 +205,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     found = staged(found.groupBy("rep", "root").agg(F.sum("links").alias("links")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     root = components(found.select("rep", "root"), "rep", "root").withColumnRenamed("node", "rep").withColumnRenamed("root", "top")
-    classes = (named.select(*key, "rep", "n", "low").join(links, "rep", "left").join(root, "rep", "left")
+    classes = (named.select(*key, "rep", "n").join(links, "rep", "left").join(root, "rep", "left")
                .select(*key, (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("top", "rep").alias("component_id")))
     out = rows.select("vec_id", "good", *key).join(classes.withColumn("good", F.lit(True)), [*key, "good"], "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
