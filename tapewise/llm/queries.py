@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapewise.llm import bpe, chat, decontaminate, jaccard_join, language, line_dedup, records, secrets, vector_join
+from tapewise.llm import bpe, chat, decontaminate, jaccard_join, language, line_dedup, records, secrets, toxicity, vector_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -42,6 +42,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.report(table(spark, sf_dir, "documents"))
 
 
+@query("op3_toxicity_chain")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op4_vector_near_dedup", vector_join.SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_join.near_duplicates(table(spark, sf_dir, "embeddings"))
