@@ -28,6 +28,7 @@ import re
 import struct
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapewise.llm.common import filesystem, shared_path, slices
-from tapewise.llm.pieces import AT_ONCE, REMEMBERED, PieceEncoder
+from tapewise.llm.pieces import AT_ONCE, PieceEncoder
 from tapewise.session import staged
 
 #: Fixed values of the record framing: the reflected Castagnoli polynomial and the mask.
@@ -45,6 +46,8 @@ MASK_DELTA = 0xA282EAD8
 BLOCK = 512
 INDEX = np.dtype([("doc_id", "<i8"), ("null", "<i8"), ("offset", "<i8"), ("n_tokens", "<i8"), ("before", "<i8")])
 BUFFER = 1 << 20
+#: Stretches in a generation of what a worker remembers: about 40 MB.
+REMEMBERED = 350_000
 #: Marks the first stretch of a text, which has no space before it.
 FIRST = "\0"
 #: The character of byte-level vocabularies that stands for the space.
@@ -156,6 +159,12 @@ class ByteLevelPieces(PieceEncoder):
         return self.library.encode(text, add_special_tokens=False).ids
 
 
+@lru_cache(maxsize=1)
+def loaded(path: str) -> ByteLevelPieces:
+    """One encoder for all tasks that a Python worker runs, with what it remembers."""
+    return ByteLevelPieces(path)
+
+
 def write_records(docs: DataFrame, path: str, folder: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode and write all documents; a row for each shard: shard, n_records, n_tokens, n_bytes.
 
@@ -166,7 +175,7 @@ def write_records(docs: DataFrame, path: str, folder: str, end_id: int = 0, doc_
         fs.create_dir(root, recursive=True)
         shard = TaskContext.get().partitionId()
         private = f"{root}/.{uuid.uuid4().hex}"
-        codec, check = ByteLevelPieces(path), Checksum()
+        codec, check = loaded(path), Checksum()
         width = 2 if codec.code == "H" else 4
         end = codec.packed([end_id])
         lead = bytes([width])
