@@ -23,6 +23,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from functools import lru_cache
 from operator import add
 
 import numpy as np
@@ -141,12 +142,18 @@ class ForcedBoundaryBPE(PieceEncoder):
         return " ".join(map(self.names.__getitem__, ids))
 
 
+@lru_cache(maxsize=1)
+def loaded(path: str) -> ForcedBoundaryBPE:
+    """One codec for all tasks that a Python worker runs, with what it remembers."""
+    return ForcedBoundaryBPE(path)
+
+
 def encode_decode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns ids (array of int) and decoded (string) beside the kept columns."""
     fields = [T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.StringType())]
 
     def make():
-        codec = ForcedBoundaryBPE(path)
+        codec = loaded(path)
 
         def run(texts: list[str | None]) -> list[pa.Array]:
             packed = codec.encode_many(texts)
