@@ -54,10 +54,11 @@ def frequent_lines(pages: DataFrame, host: str, text: str, ratio: float = RATIO,
 
 
 def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO,
-                     min_pages: int = MIN_PAGES, counts: bool = False) -> DataFrame:
+                     min_pages: int = MIN_PAGES, counts: bool = False, counted: str | None = None) -> DataFrame:
     """``pages`` with the boilerplate lines taken out of ``text``.
 
-    With ``counts``, the columns n_lines and n_dropped are added.
+    With ``counts``, the columns n_lines and n_dropped are added. ``counted`` names a
+    column that holds the text's length, and is set anew where lines went.
     """
     salt = F.pmod(F.xxhash64(F.col(text), *[F.col(c) for c in pages.columns if c.endswith("_id")]), F.lit(SALTS)).cast("int")
     known = (frequent_lines(pages, host, text, ratio, min_pages)
@@ -74,7 +75,9 @@ def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text",
         left = F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(F.size("_kept").cast("long"))
         extra = [n.alias("n_lines"), (n - left).alias("n_dropped")]
     clean = F.when(F.col("_drop").isNull(), F.col(text)).otherwise(F.array_join("_kept", "\n")).alias(text)
-    return out.select(*[clean if c == text else F.col(c) for c in pages.columns], *extra)
+    length = F.when(F.col("_drop").isNull(), F.col(counted)).otherwise(F.length(F.array_join("_kept", "\n"))) if counted else None
+    new = {text: clean} | ({counted: length.cast(pages.schema[counted].dataType).alias(counted)} if counted else {})
+    return out.select(*[new.get(c, F.col(c)) for c in pages.columns], *extra)
 
 
 SQL = rf"""
