@@ -38,8 +38,11 @@ from tapewise.session import staged
 COSINE = 0.9
 BLOCKS = 8
 #: Vectors that a cell may have at home on average, and in a tile at most on each side.
-CELL = 4096
-TILE = 2048
+CELL = 16384
+TILE = 16384
+#: Rows of a tile compared at a time, and the slack of the comparison in single precision.
+STRIPE = 512
+COARSE = 1e-5
 SEED = 20240229
 SLACK = 1e-9
 #: Candidate pairs verified at a time.
@@ -134,22 +137,26 @@ def tile_links(x: np.ndarray, y: np.ndarray, left: np.ndarray, right: np.ndarray
     bounds = block_bounds(y.shape[1])
     lo, hi = bounds[block]
     share = (2 - 2 * t) / y.shape[1]
-    a, b = y[left, lo:hi], y[right, lo:hi]
-    near = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * (a @ b.T) <= share * (hi - lo) + SLACK
-    if same:
-        near = np.triu(near, 1)
-    at = np.flatnonzero(near)
+    a, b = y[left, lo:hi].astype(np.float32), y[right, lo:hi].astype(np.float32)
+    # one product gives |a|^2 + |b|^2 - 2ab, in single precision with slack
+    a = np.column_stack([-2 * a, (a * a).sum(axis=1), np.ones(len(a), np.float32)])
+    b = np.ascontiguousarray(np.column_stack([b, np.ones(len(b), np.float32), (b * b).sum(axis=1)]).T)
     out_i, out_j = [], []
-    for k in range(0, len(at), PAIRS):
-        i, j = left[at[k:k + PAIRS] // len(right)], right[at[k:k + PAIRS] % len(right)]
-        linked = np.einsum("ij,ij->i", x[i], x[j]) >= t
-        i, j = i[linked], j[linked]
-        gap = (y[i] - y[j]) ** 2
-        earlier = np.zeros(len(i), bool)
-        for p, q in bounds[:block]:  # found there too: counted there
-            earlier |= gap[:, p:q].sum(axis=1) <= share * (q - p) + SLACK
-        out_i.append(i[~earlier])
-        out_j.append(j[~earlier])
+    for r in range(0, len(left), STRIPE):
+        from_col = r if same else 0
+        at = np.flatnonzero(a[r:r + STRIPE] @ b[:, from_col:] <= np.float32(share * (hi - lo) + COARSE))
+        p, q = at // (len(right) - from_col) + r, at % (len(right) - from_col) + from_col
+        if same:
+            p, q = p[p < q], q[p < q]
+        for k in range(0, len(p), PAIRS):
+            i, j = left[p[k:k + PAIRS]], right[q[k:k + PAIRS]]
+            linked = np.einsum("ij,ij->i", x[i], x[j]) >= t
+            i, j = i[linked], j[linked]
+            gap = (y[i] - y[j]) ** 2
+            found = [gap[:, u:v].sum(axis=1) <= share * (v - u) + SLACK for u, v in bounds[:block + 1]]
+            first = found[-1] & ~np.any([np.zeros(len(i), bool), *found[:-1]], axis=0)  # earlier blocks count theirs
+            out_i.append(i[first])
+            out_j.append(j[first])
     return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (np.zeros(0, int), np.zeros(0, int))
 
 
