@@ -8,9 +8,13 @@ so only (tasks x replicates) rows are shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A Mersenne prime modulus, odd multipliers, and the cumulative
 # probabilities of a Poisson variable with mean 1 for 0, 1, 2, ... 9.
@@ -22,6 +26,10 @@ POISSON_CUMULATIVE = (
 )
 
 
+#: Rows whose weights for all replicates a task holds at a time.
+CHUNK_ROWS = 256
+
+
 def with_weight(df: DataFrame, key: str, replicate: str, seed: int, name: str = "_w") -> DataFrame:
     """Add a Poisson(1) weight of an integer key and a replicate number.
 
@@ -40,15 +48,53 @@ def with_weight(df: DataFrame, key: str, replicate: str, seed: int, name: str =
     return out.withColumn(name, F.expr(f"CASE {counts} ELSE {len(POISSON_CUMULATIVE)} END")).drop("_a", "_b", "_x1", "_x2", "_x3", "_u")
 
 
+def weights(keys: np.ndarray, iterations: int, seed: int) -> np.ndarray:
+    """The weights of :func:`with_weight` for all replicates: a row for each key."""
+    a = (np.fmod(keys.astype(np.int64), PRIME) * MIX_ROW + seed) % PRIME
+    b = (np.arange(1, iterations + 1, dtype=np.int64) * MIX_REP + seed) % PRIME
+    x = (a[:, None] + b) % PRIME
+    x = ((x * x) % PRIME + a[:, None]) % PRIME
+    x = ((x * x) % PRIME + b * MIX_OUT) % PRIME
+    return np.searchsorted(POISSON_CUMULATIVE, (x * x) % PRIME / float(PRIME), side="right")
+
+
+def weighted_sums(df: DataFrame, keys: list[str], sums: dict[str, Column], row_key: Column, iterations: int, seed: int) -> DataFrame:
+    """Per group and replicate: ``weight`` and the weighted sum of each named column.
+
+    Rows with a null in any summed column are left out. Each task sums its rows of a
+    group for all replicates in arrays, ``CHUNK_ROWS`` rows at a time, so what is
+    shuffled grows with tasks, groups and replicates and not with rows.
+    """
+    rows = df.select(*keys, *[c.cast("double").alias(n) for n, c in sums.items()], row_key.cast("long").alias("_k"))
+    names = list(sums)
+    rows = rows.dropna(subset=[*names, "_k"])
+    kept = [f for f in rows.schema.fields if f.name in keys]
+    schema = T.StructType([*kept, T.StructField("replicate", T.IntegerType()), T.StructField("weight", T.DoubleType()),
+                           *[T.StructField(n, T.DoubleType()) for n in names]])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            code = pdf.groupby(keys, dropna=False, sort=False).ngroup().to_numpy() if keys else np.zeros(len(pdf), dtype=int)
+            order = np.argsort(code, kind="stable")
+            for at in np.array_split(order, max(1, -(-len(order) // CHUNK_ROWS))):
+                if not len(at):
+                    continue
+                w = weights(pdf["_k"].to_numpy()[at], iterations, seed).astype(float)
+                first = np.flatnonzero(np.diff(code[at], prepend=-1))
+                part = {"weight": np.add.reduceat(w, first, axis=0)}
+                for n in names:
+                    part[n] = np.add.reduceat(w * pdf[n].to_numpy()[at][:, None], first, axis=0)
+                head = pdf[keys].iloc[np.repeat(at[first], iterations)].reset_index(drop=True)
+                yield head.assign(replicate=np.tile(np.arange(iterations, dtype=np.int32), len(first)), **{n: v.ravel() for n, v in part.items()})
+
+    part = rows.mapInPandas(run, schema)
+    return part.groupBy(*keys, "replicate").agg(F.sum("weight").alias("weight"), *[F.sum(n).alias(n) for n in names]).where("weight > 0")
+
+
 def bootstrap_means(df: DataFrame, keys: list[str], value: Column, row_key: Column, iterations: int, seed: int,
                     sums_only: bool = False) -> DataFrame:
     """Weighted mean of ``value`` per group and replicate."""
-    rows = df.select(*keys, value.alias("_v"), row_key.cast("long").alias("_k")).where("_v is not null")
-    reps = rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    reps = with_weight(reps, "_k", "replicate", seed).where("_w > 0")
-    sums = reps.groupBy(*keys, "replicate").agg(
-        F.sum("_w").alias("weight"), F.sum(F.col("_w") * F.col("_v")).alias("weighted"),
-        F.sum(F.col("_w") * F.col("_v") * F.col("_v")).alias("weighted_sq"))
+    sums = weighted_sums(df, keys, {"weighted": value, "weighted_sq": value * value}, row_key, iterations, seed)
     return sums if sums_only else sums.withColumn("mean", F.col("weighted") / F.col("weight"))
 
 
@@ -59,28 +105,11 @@ def interval(means: DataFrame, keys: list[str], stat: str, confidence: float, lo
         F.percentile(stat, F.lit(a)).alias(low), F.percentile(stat, F.lit(1.0 - a)).alias(high))
 
 
-def bootstrap_statistic(df: DataFrame, keys: list[str], columns: list[str], row_key: Column, iterations: int,
-                        seed: int, statistic, max_rows: int = 100_000) -> DataFrame:
-    """Replicates of an arbitrary Python statistic of weighted columns.
+def bootstrap_statistic(df: DataFrame, keys: list[str], sums: dict[str, Column], row_key: Column, iterations: int,
+                        seed: int, statistic: str) -> DataFrame:
+    """Replicates of a statistic given as a SQL expression over weighted sums.
 
-    ``statistic(frame, weights)`` gets one group's rows and one replicate's
-    integer weights. A callable needs its whole sample in one task, so the size
-    of every group is checked first and a larger group is refused; sums, means
-    and ratios of sums should use :func:`bootstrap_means`, which has no limit.
+    ``sums`` names the columns to sum; the expression may use their names and
+    ``weight``, the sum of weights. Groups may have any size.
     """
-    rows = df.select(*keys, *columns, row_key.cast("long").alias("_k"))
-    if not keys:
-        rows, keys = rows.withColumn("_all", F.lit(1)), ["_all"]
-    worst = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if worst > max_rows:
-        raise ValueError(f"a group holds {worst} rows; an arbitrary statistic takes at most {max_rows}")
-    jobs = rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    jobs = with_weight(jobs, "_k", "replicate", seed).where("_w > 0")
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = {k: [pdf[k].iloc[0]] for k in [*keys, "replicate"]}
-        return pd.DataFrame({**head, "stat": [float(statistic(pdf[columns], pdf["_w"].to_numpy()))]})
-
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "replicate int", "stat double"])
-    return jobs.groupBy(*keys, "replicate").applyInPandas(one, schema)
+    return weighted_sums(df, keys, sums, row_key, iterations, seed).select(*keys, "replicate", F.expr(statistic).cast("double").alias("stat"))

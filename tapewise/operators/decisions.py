@@ -83,6 +83,8 @@ def gate_reason(g: GateParams, min_gap: int, earnings: Column, direction: Column
         out = F.when(F.lit(False), F.lit(""))
     if g.require_warm:
         out = out.when(~is_true(F.col("is_warm")), "INSUFFICIENT_HISTORY")
+    else:
+        out = out.when(F.col("is_warm").isNull(), "INSUFFICIENT_HISTORY")  # no feature row at all
     out = out.when(F.col("bars_since_gap") < min_gap, "DATA_GAP")
     if bar_age is not None:
         out = out.when(is_true(bar_age > g.max_staleness_bars), "STALE_DATA")

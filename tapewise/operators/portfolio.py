@@ -46,10 +46,12 @@ def with_position_size(df: DataFrame, p: PortfolioParams = PortfolioParams(), st
     risk_usd = round_cents((equity * F.lit(Decimal(str(p.risk_fraction))).cast(MONEY)).cast(MONEY) * mult)
     out = df.withColumn("_risk", risk_usd.cast(MONEY)).withColumn(
         "risk_distance", raw_distance(F.col("reference_price"), F.col("stop_price"), price))
-    cap = F.least((equity * F.lit(Decimal(str(p.max_position_notional))).cast(MONEY)).cast(MONEY),
+    limits = F.least((equity * F.lit(Decimal(str(p.max_position_notional))).cast(MONEY)).cast(MONEY),
                   to_decimal(F.col("adv_usd_60") * p.max_adv_share))
+    cap = F.when(F.col("adv_usd_60").isNotNull(), limits)  # no size without a known ADV
     raw = F.least((F.col("_risk") / F.when(F.col("risk_distance") > 0, F.col("risk_distance"))).cast(MONEY),
                   (cap / F.when(price > 0, price)).cast(MONEY))
+    raw = F.when(cap.isNotNull(), raw)
     out = out.withColumn("qty", round_qty(raw, F.lit(Decimal(str(step))).cast(MONEY)))
     return out.withColumn("actual_risk_usd", (F.col("qty") * F.col("risk_distance")).cast(MONEY)).drop("_risk")
 

@@ -55,7 +55,7 @@ def _offsets(ranged: DataFrame, keys: list[str], weight: Column, total: str) ->
 
 def with_position(
     df: DataFrame, keys: list[str], order: str, *, name: str = "position",
-    total: str = "group_rows", slots: int = SLOTS, bounded: bool = True,
+    total: str = "group_rows", slots: int = SLOTS, bounded: bool = False,
 ) -> DataFrame:
     """Add the 1-based position of each row in its group and the group size.
 
@@ -75,7 +75,7 @@ def with_position(
 
 
 def value_counts_with_rank(
-    df: DataFrame, keys: list[str], value: str, *, slots: int = SLOTS, bounded: bool = True,
+    df: DataFrame, keys: list[str], value: str, *, slots: int = SLOTS, bounded: bool = False,
 ) -> DataFrame:
     """One row per (group, distinct value): copies, rows below, rows in the group.
 

@@ -231,13 +231,9 @@ def return_moments(equity: DataFrame) -> DataFrame:
 
 
 def deflated_sharpe_row(moments: DataFrame, n_trials: int) -> DataFrame:
-    """Apply the deflated Sharpe formula to the one-row moments."""
-    spark, m = moments.sparkSession, moments.first()
-    value = None
-    if m["n_obs"] >= 2 and m["sharpe_per_bar"] is not None:
-        value = deflated_sharpe(m["sharpe_per_bar"], n_trials, m["n_obs"], m["skew"], m["kurtosis"])
-    return spark.createDataFrame([(value, float(n_trials), m["sharpe_per_bar"])],
-                                 "deflated_sharpe double, n_trials double, sharpe_per_bar double")
+    """The deflated Sharpe ratio of the one-row moments."""
+    value = deflated_sharpe(F.col("sharpe_per_bar"), n_trials, F.col("n_obs"), F.col("skew"), F.col("kurtosis"))
+    return moments.select(value.alias("deflated_sharpe"), F.lit(float(n_trials)).alias("n_trials"), "sharpe_per_bar")
 
 
 def run_metrics(trades: DataFrame, equity: DataFrame, row_key: Column, order: str = "_order", n_trials: int = 1,

@@ -133,8 +133,8 @@ def tickers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def earnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Urgent orders as earnings dates of the suppliers on their first lines."""
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_suppkey")
+    """Urgent orders as earnings dates of the suppliers on any of their lines."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     o = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(
         "o_orderkey", F.to_date("o_orderdate").alias("earnings_date"), "o_orderstatus")
     j = li.join(o, li.l_orderkey == o.o_orderkey)

@@ -99,7 +99,7 @@ cte("tick", """SELECT 'S' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS asset_i
   FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""")
 cte("earn", f"""SELECT DISTINCT {ASSET} AS asset_id, CAST(o_orderdate AS DATE) AS earnings_date,
   CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderdate AS DATE) - 21 END AS available
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1 AND o_orderpriority = '1-URGENT'""")
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT'""")
 cte("cand", f"""SELECT t.asset_id, t.symbol FROM tick t JOIN (SELECT asset_id, max(close * volume) AS dv FROM bars GROUP BY 1) b
   USING (asset_id) WHERE exchange IN ('NYSE', 'NASDAQ', 'NYSEARCA', 'BATS')
   AND category IN ('Domestic Common Stock', 'ETF') AND dv >= {U.min_lifetime_dollar_volume}""")

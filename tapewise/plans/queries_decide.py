@@ -50,7 +50,7 @@ def edge_lookup(x):
     return tidy(out.select("asset_id", "session", "strategy_id", "direction", "as_of", "bin_n", "bin_ev_r_lcb"))
 
 
-REPS, SEED = 50, 20260827
+REPS, SEED = 2000, 20260827
 PRIME = 2147483647
 UNIFORM = f"""(x3 * x3) % {PRIME} / {PRIME}e0 AS u FROM (SELECT *, ((x2 * x2) % {PRIME} + b0 * 69621) % {PRIME} AS x3 FROM (SELECT *, ((x1 * x1) % {PRIME} + a0) % {PRIME} AS x2
   FROM (SELECT *, (a0 + b0) % {PRIME} AS x1 FROM (SELECT *, ((row_key % {PRIME}) * 1103515245 + {SEED}) % {PRIME} AS a0, ((rep + 1) * 48271 + {SEED}) % {PRIME} AS b0"""
@@ -191,13 +191,13 @@ def decision_log(x):
 
 # -- sizing and allocation -----------------------------------------------------------------
 
-@query("position_size", f"""SELECT asset_id, CAST(session AS VARCHAR) AS session, strategy_id, CAST(floor(least(CAST(floor(40000 * CAST(m AS DECIMAL(18,12))) / 100 AS DECIMAL(24,12)) / dist, least(CAST(25000 AS DECIMAL(24,12)), adv) / price)) AS DOUBLE) AS qty,
-  round(m, 6) AS multiplier FROM (SELECT *, least(1e0, greatest(0.5e0, sqrt(adv_usd_60 / 2e8))) * least(1e0, greatest(0.35e0, (1e0 - 0.8e0) / (1e0 - 0.6e0))) AS m, abs(reference_price - stop_price) * (close_raw / reference_price) AS dist, adv_usd_60 * 0.005e0 AS adv, close_raw AS price FROM setup_cost0 WHERE adv_usd_60 IS NOT NULL)""")
+@query("position_size", f"""SELECT asset_id, CAST(session AS VARCHAR) AS session, strategy_id, CASE WHEN adv_usd_60 IS NOT NULL THEN CAST(floor(least(CAST(floor(40000 * CAST(m AS DECIMAL(18,12))) / 100 AS DECIMAL(24,12)) / dist, least(CAST(25000 AS DECIMAL(24,12)), adv) / price)) AS DOUBLE) END AS qty,
+  round(m, 6) AS multiplier FROM (SELECT *, least(1e0, greatest(0.5e0, sqrt(adv_usd_60 / 2e8))) * least(1e0, greatest(0.35e0, (1e0 - 0.8e0) / (1e0 - 0.6e0))) AS m, abs(reference_price - stop_price) * (close_raw / reference_price) AS dist, adv_usd_60 * 0.005e0 AS adv, close_raw AS price FROM setup_cost0)""")
 def position_size(x):
     from tapewise.operators.asof import asof_backward
     from tapewise.operators.setups import detect_setups
     rows = detect_setups(x.features, strategies())
-    rows = asof_backward(rows, x.snapshots.select("asset_id", F.col("ts").alias("st"), "adv_usd_60"), ["asset_id"], "ts", "st", ["adv_usd_60"]).where("adv_usd_60 is not null")
+    rows = asof_backward(rows, x.snapshots.select("asset_id", F.col("ts").alias("st"), "adv_usd_60"), ["asset_id"], "ts", "st", ["adv_usd_60"])
     rows = rows.withColumn("equity", F.lit(EQUITY)).withColumn("price_raw", F.col("close_raw")).withColumn(
         "multiplier", PF.liquidity_multiplier(F.col("adv_usd_60"), B) * PF.heat_multiplier(F.lit(0.016), B))
     out = PF.with_position_size(rows, B)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tapewise.functions import exprs as X
@@ -21,9 +23,8 @@ PANEL_SQL = f"asset_id, symbol, {s('session')}, {i('session_index')}, {d('open h
 
 
 def scratch(x, name: str) -> str:
-    """A folder of this application under the checkpoint folder."""
-    spark = x.spark
-    return f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}/{abs(hash(x.sf_dir))}/{name}"
+    """A new folder under the shared checkpoint folder: no call meets what another has left."""
+    return f"{checkpoint_dir(x.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def panel_view(df):

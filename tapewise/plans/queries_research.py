@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tapewise.functions.stats import ERF_SCALE, ERF_TERMS, expected_best
+from tapewise.operators import bootstrap as BS
 from tapewise.operators import research as RE
 from tapewise.params import ResearchParams
 from tapewise.plans import derived as D
@@ -96,7 +98,25 @@ def return_moments(x):
     return tidy(RE.return_moments(x.equity))
 
 
-@query("deflated_sharpe")
+@query("bootstrap_statistic", """SELECT direction, round(avg(z), 6) AS mean_stat, round(quantile_cont(z, 0.05), 6) AS low, round(quantile_cont(z, 0.95), 6) AS high
+  FROM (SELECT direction, rep, sum(w * greatest(realised_r, 0)) / sum(w * abs(realised_r)) AS z FROM wts WHERE realised_r IS NOT NULL GROUP BY ALL HAVING sum(w) > 0) GROUP BY 1""")
+def bootstrap_statistic(x):
+    """Share of the gains in all absolute results, over replicates."""
+    r = F.col("realised_r")
+    reps = BS.bootstrap_statistic(x.trades, ["direction"], {"gain": F.greatest(r, r * 0), "size": F.abs(r)}, x.row_key, REPS, SEED, "gain / size")
+    return tidy(reps.groupBy("direction").agg(F.avg("stat").alias("mean_stat"), F.percentile("stat", F.lit(0.05)).alias("low"),
+                                              F.percentile("stat", F.lit(0.95)).alias("high")))
+
+
+DEVIATION = "sqrt(greatest(0e0, 1 - skew * sharpe_per_bar + sharpe_per_bar * sharpe_per_bar * (kurtosis - 1) / 4e0) / (n_obs - 1))"
+ERF = "0e0"
+for _c in reversed(ERF_TERMS):
+    ERF = f"(({ERF} + {_c!r}e0) * t)"
+
+
+@query("deflated_sharpe", f"""SELECT round(CASE WHEN z < 0 THEN up ELSE 1 - up END, 6) AS deflated_sharpe, 20e0 AS n_trials, round(sharpe_per_bar, 6) AS sharpe_per_bar
+  FROM (SELECT *, {ERF} * exp(-z * z / 2) / 2 AS up FROM (SELECT *, 1 / (1 + {ERF_SCALE}e0 * abs(z) / sqrt(2e0)) AS t
+  FROM (SELECT *, (sharpe_per_bar - {expected_best(20)!r}e0 * {DEVIATION}) / {DEVIATION} AS z FROM (SELECT {MOMENTS}))))""")
 def deflated_sharpe(x):
     return tidy(RE.deflated_sharpe_row(RE.return_moments(x.equity), 20))
 
@@ -250,7 +270,7 @@ def stream_observations(x):
     src = scratch(x, "obs_feed")
     # every observation is delivered twice, in files ordered by availability
     obs.unionByName(obs).repartitionByRange(4, "available_ts").write.mode("overwrite").parquet(src)
-    out = SO.intake(x.spark, src, obs.schema, scratch(x, "obs_out"), scratch(x, "obs_state"))
+    out = SO.intake(x.spark, src, obs.schema, scratch(x, "obs_out"), scratch(x, "obs_state"), files_per_batch=2)
     return tidy(out.select("symbol", "source", "payload_hash", "raw_score"))
 
 
@@ -259,10 +279,11 @@ def stream_bar_continuity(x):
     from tapewise.plans.queries_panel import scratch
     src = scratch(x, "bar_feed")
     bars = x.panel.select("asset_id", "ts", "session_index", "close_raw", "volume")
-    # three deliveries, the files of a later one are newer
-    for n, (lo, hi) in enumerate(((-1, 119), (120, 239), (240, 1 << 30))):
-        bars.where(F.col("session_index").between(lo, hi)).coalesce(1).write.mode("append" if n else "overwrite").parquet(src)
-    out = SC.run_continuity(x.spark, src, bars.schema, scratch(x, "bar_out"), scratch(x, "bar_state"))
+    # three deliveries of any number of files
+    sink, state = scratch(x, "bar_out"), scratch(x, "bar_state")
+    for lo, hi in ((-1, 119), (120, 239), (240, 1 << 30)):
+        bars.where(F.col("session_index").between(lo, hi)).write.mode("append").parquet(src)
+        out = SC.run_continuity(x.spark, src, bars.schema, sink, state)
     return tidy(out.select("asset_id", F.col("ts").alias("session"), "bars_since_gap"))
 
 

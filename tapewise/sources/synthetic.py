@@ -26,7 +26,7 @@ def tickers(spark: SparkSession, listed: int = 50, delisted: int = 8, gone: str
 
 
 def bars(names: DataFrame, calendar: DataFrame, seed: int = 7, drift: float = 0.0, vol: float = 0.02,
-         hole: tuple[str, int, int] | None = ("FIX0003", 40, 45), split: tuple[str, int] | None = ("FIX0005", 60)) -> DataFrame:
+         hole: tuple[str, int, int] | None = ("SYN0003", 40, 45), split: tuple[str, int] | None = ("SYN0005", 60)) -> DataFrame:
     """One bar per name and session; ``hole`` leaves sessions out, ``split`` halves prices."""
     one = calendar.agg(F.collect_list(F.struct("session", "session_index")).alias("_c")).withColumn("_k", F.lit(1))
     grid = names.withColumn("_k", F.lit(1)).join(F.broadcast(one), "_k").select(
@@ -49,7 +49,7 @@ def bars(names: DataFrame, calendar: DataFrame, seed: int = 7, drift: float = 0.
         (F.lit(1_000_000.0) / scale).alias("volume"), F.lit(0.0).alias("dividend"), F.lit(1.0).alias("split_ratio"))
 
 
-def actions(calendar: DataFrame, split: tuple[str, int] = ("FIX0005", 60), dividend: tuple[str, int, float] = ("FIX0002", 30, 0.5)) -> DataFrame:
+def actions(calendar: DataFrame, split: tuple[str, int] = ("SYN0005", 60), dividend: tuple[str, int, float] = ("SYN0002", 30, 0.5)) -> DataFrame:
     s = calendar.where(F.col("session_index") == split[1]).select(
         F.lit(split[0]).alias("asset_id"), F.col("session").alias("ex_date"), F.lit("SPLIT").alias("action_type"),
         F.lit(2.0).alias("split_ratio"), F.lit(0.0).alias("cash_amount"), F.lit("").alias("new_symbol"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -162,27 +165,47 @@ def read_labels(spark: SparkSession, path: str, strategy_id: str | None = None)
     return df if strategy_id is None else df.where(F.col("strategy_id") == strategy_id)
 
 
+def _is_missing(e: AnalysisException) -> bool:
+    return e.getCondition() == "PATH_NOT_FOUND"
+
+
+def label_progress(spark: SparkSession, path: str) -> DataFrame:
+    """Finished assets of a resumable run, empty if nothing has been written."""
+    try:
+        return spark.read.parquet(f"{path}/progress")
+    except AnalysisException as e:
+        if not _is_missing(e):
+            raise
+        return spark.createDataFrame([], "asset_id string, config_hash string, strategies string, attempt string")
+
+
 def write_labels_resumable(spark: SparkSession, path: str, config_hash: str, strategy_ids: list[str], compute) -> None:
     """Append labels of the assets an interrupted run has not finished.
 
     ``compute(done)`` gets the finished assets. The progress table also holds the
-    configuration; a mismatch is refused.
+    configuration; a mismatch is refused. Labels carry the attempt that wrote them,
+    and count only once the progress table names that attempt for their asset: what a
+    crash leaves behind between the two writes is never read.
     """
     want = ",".join(sorted(strategy_ids))
-    try:
-        progress = spark.read.parquet(f"{path}/progress")
-    except Exception:  # noqa: BLE001 - nothing written yet
-        progress = spark.createDataFrame([], "asset_id string, config_hash string, strategies string")
+    progress = label_progress(spark, path)
     other = progress.where((F.col("config_hash") != config_hash) | (F.col("strategies") != want))
     if not other.isEmpty():
         raise ValueError("the stored labels belong to another configuration")
+    attempt = uuid.uuid4().hex
     labels, assets = compute(progress.select("asset_id"))
-    labels.write.partitionBy("strategy_id").mode("append").parquet(f"{path}/labels")
+    labels.withColumn("attempt", F.lit(attempt)).write.partitionBy("attempt", "strategy_id").mode("append").parquet(f"{path}/labels")
     assets.join(progress.select("asset_id"), "asset_id", "left_anti").select(
-        "asset_id", F.lit(config_hash).alias("config_hash"), F.lit(want).alias("strategies")
+        "asset_id", F.lit(config_hash).alias("config_hash"), F.lit(want).alias("strategies"), F.lit(attempt).alias("attempt")
     ).write.mode("append").parquet(f"{path}/progress")
 
 
+def read_resumable_labels(spark: SparkSession, path: str) -> DataFrame:
+    """The labels of finished assets, each from the attempt that finished it."""
+    done = label_progress(spark, path).select("asset_id", "attempt").distinct()
+    return spark.read.parquet(f"{path}/labels").join(done, ["asset_id", "attempt"], "left_semi").drop("attempt")
+
+
 def append_decisions(log: DataFrame, path: str) -> None:
     log.write.mode("append").parquet(path)
 

@@ -141,8 +141,10 @@ def test_calibration_matches_qcut(run):
 
 def test_published_statistics(spark):
     kw = dict(n_obs=1250, skew=-3, kurtosis=10, var_sr=1 / 500)
-    assert ST.deflated_sharpe(2.5 / math.sqrt(250), 100, **kw) == pytest.approx(.9004, abs=1e-4)
-    assert ST.deflated_sharpe(2.5 / math.sqrt(250), 46, **kw) == pytest.approx(.9505, abs=1e-4)
+    kw = {k: F.lit(v) for k, v in kw.items()}
+    got = spark.range(1).select(*[ST.deflated_sharpe(F.lit(2.5 / math.sqrt(250)), n, **kw).alias(f"n{n}") for n in (100, 46)]).first()
+    assert got.n100 == pytest.approx(.9004, abs=1e-4)
+    assert got.n46 == pytest.approx(.9505, abs=1e-4)
     one = spark.range(1)
     lo, hi = ST.wilson_interval(F.lit(8), F.lit(10), .95)
     assert tuple(one.select(lo, hi).first()) == (pytest.approx(.490162, abs=1e-6), pytest.approx(.943318, abs=1e-6))
@@ -195,8 +197,14 @@ def test_continuity_stream_carries_state(spark, tmp_path):
     rows = [("A", t + dt.timedelta(days=i), s, c, 1.0) for i, (s, c) in enumerate([(0, 5.0), (1, 5.0), (2, 5.0), (5, 5.0), (6, 6.0), (7, 6.0)])]
     src = str(tmp_path / "src")
     df = spark.createDataFrame(rows, "asset_id string, ts timestamp, session_index int, close_raw double, volume double")
-    df.limit(2).coalesce(1).write.parquet(src)
-    df.where("session_index >= 2").coalesce(1).write.mode("append").parquet(src)
-    got = SC.run_continuity(spark, src, df.schema, str(tmp_path / "o"), str(tmp_path / "s")).orderBy("ts").collect()
+    df.where("session_index < 2").repartition(2).write.parquet(src)
+    SC.run_continuity(spark, src, df.schema, str(tmp_path / "o"), str(tmp_path / "s"))
+    df.where("session_index >= 2").repartition(3).write.mode("append").parquet(src)
+    SC.run_continuity(spark, src, df.schema, str(tmp_path / "o"), str(tmp_path / "s"))
+    late = df.where("session_index = 1").withColumn("ts", F.col("ts") + F.expr("interval 1 second")).withColumn("session_index", F.lit(4))
+    late.write.mode("append").parquet(src)
+    out = SC.run_continuity(spark, src, df.schema, str(tmp_path / "o"), str(tmp_path / "s"))
+    assert out.where("bars_since_gap is null").count() == 1  # a bar older than what was counted
+    got = out.where("bars_since_gap is not null").orderBy("ts").collect()
     assert [r.bars_since_gap for r in got] == [0, 1, 2, 0, 1, 2]
     assert [r.stale_run for r in got] == [1, 2, 3, 1, 1, 2]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tapewise.operators import edge as E
 from tapewise.operators import labels as L
 from tapewise.operators import setups as SU
-from tapewise.operators.bootstrap import bootstrap_means, bootstrap_statistic, interval, with_weight
+from tapewise.operators.bootstrap import bootstrap_means, bootstrap_statistic, interval, weights, with_weight
 from tapewise.params import EdgeParams
 
 
@@ -175,19 +175,22 @@ def test_bootstrap_weights_and_interval(spark, labels):
         assert got[dirn].lo == pytest.approx(s.mean() - half, abs=half * .35) and got[dirn].hi == pytest.approx(s.mean() + half, abs=half * .35)
 
 
-def test_python_statistic_refuses_large_groups(spark, labels):
+def test_statistic_over_weighted_sums(spark, labels):
     _, df = labels
     key = F.substring("asset_id", 2, 9).cast("long")
-    stat = lambda f, w: np.average(f["realised_r_gross"], weights=w)
-    a = bootstrap_statistic(df, ["direction"], ["realised_r_gross"], key, 20, 1, stat).toPandas().sort_values(["direction", "replicate"]).stat.to_numpy()
+    a = bootstrap_statistic(df, ["direction"], {"s": F.col("realised_r_gross")}, key, 20, 1, "s / weight").toPandas().sort_values(["direction", "replicate"]).stat.to_numpy()
     b = bootstrap_means(df, ["direction"], F.col("realised_r_gross"), key, 20, 1).toPandas().sort_values(["direction", "replicate"])["mean"].to_numpy()
     np.testing.assert_allclose(a, b, rtol=1e-9)
-    with pytest.raises(ValueError, match="at most 10"):
-        bootstrap_statistic(df, ["direction"], ["realised_r_gross"], key, 5, 1, stat, max_rows=10)
+
+
+def test_array_weights_equal_column_weights(spark):
+    rows = spark.range(300).select(F.expr("id * 977").alias("k"), F.expr("id % 37").alias("r"))
+    got = with_weight(rows, "k", "r", 5).toPandas()
+    assert (weights(got.k.to_numpy(), 37, 5)[np.arange(300), got.r.to_numpy()] == got._w.to_numpy()).all()
 
 
 def test_resume_skips_finished_assets_and_refuses_other_settings(spark, labels, tmp_path):
-    from tapewise.sources.tables import write_labels_resumable
+    from tapewise.sources.tables import read_resumable_labels, write_labels_resumable
     _, df = labels
     path, seen = str(tmp_path / "run"), []
 
@@ -200,6 +203,8 @@ def test_resume_skips_finished_assets_and_refuses_other_settings(spark, labels,
 
     write_labels_resumable(spark, path, "h", ["s"], part(100))
     write_labels_resumable(spark, path, "h", ["s"], part(250))
-    assert seen == [100, 150] and spark.read.parquet(f"{path}/labels").count() == 250
+    assert seen == [100, 150] and read_resumable_labels(spark, path).count() == 250
+    df.limit(7).withColumn("attempt", F.lit("crashed")).write.partitionBy("attempt", "strategy_id").mode("append").parquet(f"{path}/labels")
+    assert read_resumable_labels(spark, path).count() == 250
     with pytest.raises(ValueError, match="another configuration"):
         write_labels_resumable(spark, path, "other", ["s"], part(300))

@@ -59,11 +59,11 @@ def test_calendar_daylight_saving_and_half_days(market):
 def test_synthetic_panel_keeps_holes_and_flags(market):
     p = market["panel"]
     assert p.count() == market["bars"].count()
-    fix3 = p.where("asset_id = 'FIX0003'").toPandas()
+    fix3 = p.where("asset_id = 'SYN0003'").toPandas()
     assert not set(range(40, 45)) & set(fix3.session_index)
-    assert not p.where("asset_id = 'FIX0005' and session_index = 60").first().is_suspect
+    assert not p.where("asset_id = 'SYN0005' and session_index = 60").first().is_suspect
     unexplained = P.processed_panel(market["bars"], market["actions"].where("action_type <> 'SPLIT'"), market["calendar"])
-    assert unexplained.where("asset_id = 'FIX0005' and session_index = 60").first().is_suspect is False  # ln 2 is under the limit
+    assert unexplained.where("asset_id = 'SYN0005' and session_index = 60").first().is_suspect is False  # ln 2 is under the limit
 
 
 def test_quality_flags(spark, market):
@@ -112,12 +112,12 @@ def test_next_session_edges(spark, market):
 def test_store_round_trip_and_pruning(spark, market, tmp_path):
     path = str(tmp_path / "panel")
     S.write_by_year(market["panel"], path, "ts", ["ts", "asset_id"])
-    got = S.scan_panel(spark, path, ["FIX0001", "FIX0001", "FIX0002"], "2005-01-03 21:00:00", "2005-02-01 21:00:00")
-    want = market["panel"].where("asset_id in ('FIX0001','FIX0002') and ts between '2005-01-03 21:00:00' and '2005-02-01 21:00:00'")
+    got = S.scan_panel(spark, path, ["SYN0001", "SYN0001", "SYN0002"], "2005-01-03 21:00:00", "2005-02-01 21:00:00")
+    want = market["panel"].where("asset_id in ('SYN0001','SYN0002') and ts between '2005-01-03 21:00:00' and '2005-02-01 21:00:00'")
     assert got.count() == want.count() > 0
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(year" in plan and "PushedFilters: [IsNotNull(ts)" in plan
-    assert S.scan_panel(spark, path, ["FIX0001"], "2005-02-01", "2005-01-01").count() == 0
+    assert S.scan_panel(spark, path, ["SYN0001"], "2005-02-01", "2005-01-01").count() == 0
 
 
 def test_candidate_lines(spark, tmp_path):
@@ -140,7 +140,7 @@ def test_universe_first_failure_and_no_lookahead(spark, market):
     pd.testing.assert_frame_equal(a, b)
     assert ((a.reason == "") == a.eligible).all() and len(full.toPandas()) == 12 * 24
     assert (full.where("eligible").groupBy("ts").count().toPandas()["count"] <= 8).all()
-    gone = full.where("ts > '2005-07-15' and asset_id in ('FIX0011', 'FIX0012')").select("reason").distinct().collect()
+    gone = full.where("ts > '2005-07-15' and asset_id in ('SYN0011', 'SYN0012')").select("reason").distinct().collect()
     assert [r.reason for r in gone] == ["STALE_DATA"]
 
 
