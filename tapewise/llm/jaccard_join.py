@@ -20,12 +20,13 @@ similarity reaches the threshold; linked classes form components.
    classes that hold it are the leaves of a tree. A node holds the OR of its leaves'
    token bitmaps, their range of sizes and of components, and the most tokens that a
    leaf's bitmap loses to collisions. Two trees (or a tree and itself) are traversed
-   together; a pair of nodes is pruned when the sizes are too far apart, when all of it
+   together: those of the classes outside the hash's largest component, and of all; a pair of nodes is pruned when the sizes are too far apart, when all of it
    is one component already, or when the overlap that the bitmaps allow is too small.
-   Leaf pairs that remain are compared exactly.
+   Of the leaf pairs that remain, the likeliest of each class in each other component
+   is compared first; then all that are left are. Both comparisons are exact.
 
 Hashes held by very many classes are cut into blocks, so no task sees more than two
-blocks of one hash. Sets travel only for pairs that are compared.
+blocks of one hash at a time. Sets travel only for pairs that are compared.
 
 Cases: null and wordless texts have empty sets and link with nothing; texts of fewer
 words than a shingle are one shingle; rows of one doc_id are one node, and their sets
@@ -38,6 +39,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,15 +52,16 @@ from tapewise.session import broadcast_rows, staged
 WORDS = 5
 SKETCH = 48
 SHARED = 10
-ROUNDS = 3
+ROUNDS = 2
 BITS = 2048
 FANOUT = 8
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 4096
 #: Node pairs held at a time, and ids that may be broadcast (16 MB).
 FRONTIER = 1 << 15
 BROADCAST_IDS = 1_000_000
 
 _U = np.uint64
+PAIR_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("comp", pa.int64()), ("score", pa.float64())])
 BASE = 0x9E3779B97F4A7C15
 LANES = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=_U)
 
@@ -195,7 +198,7 @@ class Tree:
         return first, np.minimum(FANOUT, len(self.levels[level - 1][0]) - first)
 
 
-def traverse(one: Tree, two: Tree, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def traverse(one: Tree, two: Tree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of leaves that no bound prunes; depth first over slices of the frontier."""
     top = max(len(one.levels), len(two.levels)) - 1
     stack = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
@@ -206,8 +209,6 @@ def traverse(one: Tree, two: Tree, same: bool) -> Iterator[tuple[np.ndarray, np.
         if not len(i):
             continue
         if level == 0:
-            if same:
-                i, j = i[i != j], j[i != j]
             yield i, j
             continue
         a, na = one.children(level, i)
@@ -216,38 +217,47 @@ def traverse(one: Tree, two: Tree, same: bool) -> Iterator[tuple[np.ndarray, np.
         parent = np.repeat(np.arange(len(i)), total)
         k = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
         x, y = a[parent] + k // nb[parent], b[parent] + k % nb[parent]
-        if same:
-            x, y = x[x <= y], y[x <= y]
         for s in range(0, len(x), FRONTIER):
             stack.append((level - 1, x[s:s + FRONTIER], y[s:s + FRONTIER]))
 
 
-def group_pairs(t: pa.Table, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs (a < b) of one tile: rows (node, n, comp, bits, side)."""
+def tile_pairs(t: pa.Table, best: bool) -> pa.RecordBatch:
+    """Candidate pairs (a, b) of one tile: rows (node, n, comp, bits, side)."""
     side, node, n, comp = (t.column(c).to_numpy() for c in ("side", "node", "n", "comp"))
     bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), dtype=_U).reshape(len(node), -1)
-    trees, names = [], []
-    for s in (0,) if same else (0, 1):
+    picks, trees = [], []
+    for s in (0, 1):
         at = np.flatnonzero(side == s)
-        at = at[np.lexsort((n[at], comp[at]))]
-        if not len(at):
-            return
-        trees.append(Tree(bits[at], n[at], comp[at]))
-        names.append(node[at])
-    for i, j in traverse(trees[0], trees[-1], same):
-        a, b = names[0][i], names[-1][j]
-        yield np.minimum(a, b), np.maximum(a, b)
-
-
-def candidates(rows: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) that the trees of each hash let through.
-
-    ``rows`` holds (token, node, n, comp, bits).
+        picks.append(at[np.lexsort((n[at], comp[at]))])
+        if len(at):
+            trees.append(Tree(bits[picks[s]], n[picks[s]], comp[picks[s]]))
+    kept = pd.DataFrame({"a": [], "b": [], "comp": [], "score": []}).astype({"a": "int64", "b": "int64", "comp": "int64"})
+    for i, j in traverse(*trees) if len(trees) == 2 else ():
+        i, j = picks[0][i], picks[1][j]
+        score = np.bitwise_count(bits[i] & bits[j]).sum(axis=1) / (n[i] + n[j])
+        new = pd.DataFrame({"a": node[i], "b": node[j], "comp": comp[j], "score": score})
+        kept = pd.concat([kept, new], ignore_index=True)
+        if best:  # the likeliest partner in each other component
+            kept = kept.sort_values(["score", "b"], ascending=[False, True]).drop_duplicates(["a", "comp"])
+    return pa.RecordBatch.from_pandas(kept, schema=PAIR_SCHEMA, preserve_index=False)
+
+
+def candidates(rows: DataFrame, best: bool) -> DataFrame:
+    """Pairs (a, b) that the trees of each hash let through: all, or the likeliest of each
+    class in each other component.
+
+    ``rows`` holds (token, node, n, comp, bits). Of each hash, the classes outside its
+    most frequent component meet all classes that hold it. Both sides are cut into
+    blocks, so no tile grows with its hash; classes of one large component, which have
+    nothing to look for among themselves, are copied once.
     """
-    count = rows.groupBy("token").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("c"))
-    r = rows.join(count, "token").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("c")).cast("int"))
-    r = r.selectExpr("token", "node", "n", "comp", "bits", "chunk", "explode(sequence(0, c - 1)) AS o").selectExpr(
-        "token", "least(chunk, o) AS i", "greatest(chunk, o) AS j", "CASE WHEN chunk <= o THEN 0 ELSE 1 END AS side", "node", "n", "comp", "bits")
+    size = rows.groupBy("token", "comp").agg(F.count("*").alias("_c"))
+    count = size.groupBy("token").agg(F.max(F.struct("_c", "comp")).alias("_m"), F.sum("_c").alias("_all")).select(
+        "token", F.col("_m.comp").alias("_main"), F.ceil((F.col("_all") - F.col("_m._c")) / BLOCK_ROWS).cast("int").alias("_few"),
+        F.ceil(F.col("_all") / BLOCK_ROWS).cast("int").alias("_every"))
+    r = rows.join(count, "token").withColumn("_h", F.xxhash64("node"))
+    seek = r.where("comp <> _main").selectExpr("token", "cast(pmod(_h, _few) AS int) AS i", "explode(sequence(0, _every - 1)) AS j", "0 AS side", "node", "n", "comp", "bits")
+    meet = r.selectExpr("token", "explode(sequence(0, _few - 1)) AS i", "cast(pmod(_h, _every) AS int) AS j", "1 AS side", "node", "n", "comp", "bits")
     key = ["token", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,12 +267,10 @@ def candidates(rows: DataFrame) -> DataFrame:
             t = pa.Table.from_batches(held).combine_chunks()
             k = np.stack([t.column(c).to_numpy().astype(np.int64) for c in key], axis=1)
             cut = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
-            ends = [*cut.tolist(), *([len(k)] if last else [])]
             begin = 0
-            for end in ends:
+            for end in [*cut.tolist(), *([len(k)] if last else [])]:
                 if end - begin > 1:
-                    for a, b in group_pairs(t.slice(begin, end - begin), bool(k[begin, 1] == k[begin, 2])):
-                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    yield tile_pairs(t.slice(begin, end - begin), best)
                 begin = end
             held[:] = t.slice(begin).to_batches() if begin < len(k) else []
 
@@ -273,7 +281,10 @@ def candidates(rows: DataFrame) -> DataFrame:
         if held:
             yield from tiles(True)
 
-    return r.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long").distinct()
+    out = seek.union(meet).repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long, comp long, score double")
+    if best:
+        out = out.groupBy("a", "comp").agg(F.max(F.struct("score", "b")).alias("_m")).select("a", F.col("_m.b").alias("b"))
+    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def with_components(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
@@ -310,10 +321,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         new = staged(compared(best, store))
         links = new if links is None else staged(links.union(new))
         comp = staged(components(links, "a", "b"))
-    alive = with_components(posts, comp)
-    found = staged(candidates(alive.join(store.select("node", "bits"), "node")))
-    links = links.union(compared(found, store))
-    comp = components(links, "a", "b")
+    for best in (True, False):  # the likeliest partners first: what they join needs no more comparisons
+        alive = staged(with_components(posts, comp))
+        found = staged(candidates(alive.join(store.select("node", "bits"), "node"), best))
+        links = staged(links.union(compared(found, store)))
+        comp = staged(components(links, "a", "b"))
     root = classes.select(*key, "node").join(comp, "node", "left").select(*key, F.coalesce("root", "node").alias("root"))
     out = rows.join(root, key, "left")
     top = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
