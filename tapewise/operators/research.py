@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewise.functions.exprs import ratio
-from tapewise.functions.stats import deflated_sharpe, welch, wilson_interval
+from tapewise.functions.stats import deflated_sharpe, student_p, welch, wilson_interval
 from tapewise.operators.asof import asof_backward, beside
 from tapewise.operators.bootstrap import bootstrap_means, interval
 from tapewise.operators.ranking import exact_quantiles, longest_run
@@ -315,12 +315,15 @@ def calibration(trades: DataFrame, row_key: Column, n_buckets: int = 10, p: Rese
 
 
 def compare_samples(df: DataFrame, flag: Column, value: str) -> DataFrame:
-    """Welch t statistic and degrees of freedom between flagged and other rows."""
+    """Welch t statistic, degrees of freedom and two-sided p-value between flagged and other rows.
+
+    With fewer than two observations on a side, all three are null.
+    """
     v, a, b = F.col(value), flag, ~flag
     m = df.agg(F.avg(F.when(a, v)).alias("m1"), F.var_samp(F.when(a, v)).alias("v1"), F.count(F.when(a, v)).alias("n1"),
                F.avg(F.when(b, v)).alias("m2"), F.var_samp(F.when(b, v)).alias("v2"), F.count(F.when(b, v)).alias("n2"))
     t, dof = welch(*[F.col(c) for c in ("m1", "v1", "n1", "m2", "v2", "n2")])
-    return m.withColumn("t_stat", t).withColumn("dof", dof)
+    return m.withColumn("t_stat", t).withColumn("dof", dof).withColumn("p_value", student_p("t_stat", "dof"))
 
 
 def win_rate_interval(trades: DataFrame, keys: list[str], confidence: float = 0.90) -> DataFrame:

@@ -11,7 +11,7 @@ from tapewise.operators.indicators import (final_spread, over_asset, rolling_med
                                            with_bars_since_gap, with_corwin_schultz)
 from tapewise.operators.panel import first_session_of_period
 from tapewise.operators.ranking import with_position
-from tapewise.params import SEED_CATEGORIES, SEED_EXCHANGES, UniverseParams
+from tapewise.params import MIN_DELISTED_SHARE, SEED_CATEGORIES, SEED_EXCHANGES, UniverseParams
 
 SNAPSHOT_COLUMNS = ("ts", "asset_id", "symbol", "eligible", "reason", "adv_usd_60", "adv_rank",
                     "spread_bps_est", "close_raw", "bars_available", "sector", "is_etf")
@@ -43,6 +43,14 @@ def delisted_share(candidates: DataFrame, tickers: DataFrame) -> DataFrame:
                  F.coalesce(F.avg(F.col("delisted_date").isNotNull().cast("double")), F.lit(0.0)).alias("delisted_share"))
 
 
+def require_delisted(share: DataFrame, least: float = MIN_DELISTED_SHARE) -> DataFrame:
+    """The one row of :func:`delisted_share`; reading it fails below the least share.
+
+    A universe with too few delisted names has survivors only.
+    """
+    return share.where(F.assert_true(F.col("delisted_share") >= least, F.lit("too few delisted candidates")).isNull())
+
+
 def panel_metrics(panel: DataFrame, p: UniverseParams) -> DataFrame:
     """Liquidity, spread, history and continuity of each asset at each bar."""
     df = with_bars_since_gap(with_bar_number(panel))

@@ -32,6 +32,16 @@ def edge_table(x):
     return tidy(E.build_edge(x.labels, x.grid, D.WEEKLY_EDGE, "weekly", "derived"))
 
 
+@query("edge_saved", f"SELECT {BIN}, CAST(as_of AS VARCHAR) AS as_of, n, {d(STAT_COLS)}, 'weekly' AS config_hash, 'derived' AS data_snapshot_id FROM edge_")
+def edge_saved(x):
+    """The edge table written, and read back for the run that it belongs to."""
+    from tapewise.plans.queries_panel import scratch
+    from tapewise.sources.outputs import read_edge, write_edge
+    path = scratch(x, "edge")
+    write_edge(x.edge, path)
+    return tidy(read_edge(x.spark, path, "weekly", "derived"))
+
+
 def _usable(p: str = "") -> str:
     return f"coalesce({p}n >= {D.WEEKLY_EDGE.min_samples} AND {p}std_r > 0, false)"
 

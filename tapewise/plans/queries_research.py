@@ -12,6 +12,7 @@ from tapewise.plans import derived as D
 from tapewise.plans.catalog import query, tidy
 from tapewise.plans.oracles import cte, d
 from tapewise.plans.queries_decide import REPS, SEED, UNIFORM, WEIGHT
+from tapewise.sources import outputs as O
 from tapewise.sources import tables as S
 from tapewise.streaming import continuity as SC
 from tapewise.streaming import observations as SO
@@ -221,7 +222,7 @@ def calibration_table(x):
   FROM (SELECT avg(realised_r) FILTER (direction = 'LONG') AS m1, var_samp(realised_r) FILTER (direction = 'LONG') AS v1, count(*) FILTER (direction = 'LONG') AS n1,
   avg(realised_r) FILTER (direction <> 'LONG') AS m2, var_samp(realised_r) FILTER (direction <> 'LONG') AS v2, count(*) FILTER (direction <> 'LONG') AS n2 FROM money))""")
 def compare_samples(x):
-    return tidy(RE.compare_samples(x.trades, F.col("direction") == "LONG", "realised_r"))
+    return tidy(RE.compare_samples(x.trades, F.col("direction") == "LONG", "realised_r").drop("p_value"))
 
 
 Z = 1.6448536269514715
@@ -261,6 +262,15 @@ def period_split(x):
     return x.table("orders").select("o_orderkey", RE.split_of(day, F.date_add(day, 7300)).alias("split"))
 
 
+@query("equity_output", """SELECT CAST(session AS VARCHAR) AS ts, round(equity, 6) AS equity, round(b.close, 6) AS benchmark, round((peak - equity) / peak, 6) AS drawdown_pct
+  FROM curve2 LEFT JOIN (SELECT session, close FROM bench) b USING (session)""")
+def equity_output(x):
+    from tapewise.plans.queries_panel import scratch
+    path = scratch(x, "equity")
+    O.write_equity(x.equity, x.benchmark.select("ts", F.col("close").alias("benchmark")), path)
+    return tidy(x.spark.read.csv(path, header=True, schema="ts timestamp, equity double, benchmark double, drawdown_pct double"))
+
+
 # -- streams ----------------------------------------------------------------------------------------
 
 @query("stream_observations", "SELECT 'U' || user_id AS symbol, event_type AS source, CAST(event_id AS VARCHAR) AS payload_hash, round(value, 6) AS raw_score FROM events")

@@ -208,3 +208,30 @@ def test_continuity_stream_carries_state(spark, tmp_path):
     got = out.where("bars_since_gap is not null").orderBy("ts").collect()
     assert [r.bars_since_gap for r in got] == [0, 1, 2, 0, 1, 2]
     assert [r.stale_run for r in got] == [1, 2, 3, 1, 1, 2]
+
+
+def test_outputs_keep_their_columns(spark, tmp_path):
+    from tapewise.sources import outputs as O
+
+    t = dt.datetime(2024, 1, 1)
+    eq = spark.createDataFrame([(t, 100.0), (t + dt.timedelta(days=1), 90.0)], "ts timestamp, equity double")
+    got = O.equity_output(eq, spark.createDataFrame([(t, 5.0)], "ts timestamp, benchmark double")).orderBy("ts").collect()
+    assert [(r.benchmark, r.drawdown_pct) for r in got] == [(5.0, 0.0), (None, pytest.approx(.1))]
+    O.write_funnel(spark.createDataFrame([("REJECT", "x", 3)], "stage string, rejection_reason string, n long"), str(tmp_path / "f"))
+    rows = spark.read.csv(str(tmp_path / "f"), header=True).collect()
+    assert {(r.stage, r.n) for r in rows} == {("REJECT", "3"), ("ACCEPTED", "0")}
+    acts = spark.createDataFrame([("SPLIT",), ("OTHER",), (None,)], "action_type string")
+    assert [r[0] for r in O.typed_actions(acts).collect()] == ["SPLIT"]
+    edge = spark.createDataFrame([(t, "h", "s")], "as_of timestamp, config_hash string, data_snapshot_id string")
+    O.write_edge(edge, str(tmp_path / "e"))
+    assert O.read_edge(spark, str(tmp_path / "e"), "h", "s").count() == 1
+    with pytest.raises(Exception, match="another run"):
+        O.read_edge(spark, str(tmp_path / "e"), "h", "other").collect()
+
+
+def test_comparison_has_a_p_value(spark):
+    df = spark.createDataFrame([(True, v) for v in (1.0, 2.0, 3.0)] + [(False, v) for v in (2.0, 3.0, 4.0)], "f boolean, v double")
+    r = RE.compare_samples(df, F.col("f"), "v").first()
+    assert r.t_stat == pytest.approx(-math.sqrt(1.5)) and r.dof == pytest.approx(4) and r.p_value == pytest.approx(.287864, abs=1e-6)
+    few = RE.compare_samples(df.where("f or v = 2"), F.col("f"), "v").first()
+    assert few.t_stat is None and few.p_value is None
