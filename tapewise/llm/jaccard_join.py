@@ -39,7 +39,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -221,25 +220,26 @@ def traverse(one: Tree, two: Tree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             stack.append((level - 1, x[s:s + FRONTIER], y[s:s + FRONTIER]))
 
 
-def tile_pairs(t: pa.Table, best: bool) -> pa.RecordBatch:
-    """Candidate pairs (a, b) of one tile: rows (node, n, comp, bits, side)."""
-    side, node, n, comp = (t.column(c).to_numpy() for c in ("side", "node", "n", "comp"))
-    bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), dtype=_U).reshape(len(node), -1)
-    picks, trees = [], []
+def tile_pairs(side: np.ndarray, node: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: np.ndarray, best: bool) -> list[np.ndarray] | None:
+    """Candidate pairs of one tile as columns a, b, component of b, score; None without any."""
+    picks = []
     for s in (0, 1):
         at = np.flatnonzero(side == s)
-        picks.append(at[np.lexsort((n[at], comp[at]))])
-        if len(at):
-            trees.append(Tree(bits[picks[s]], n[picks[s]], comp[picks[s]]))
-    kept = pd.DataFrame({"a": [], "b": [], "comp": [], "score": []}).astype({"a": "int64", "b": "int64", "comp": "int64"})
-    for i, j in traverse(*trees) if len(trees) == 2 else ():
+        if not len(at):
+            return None
+        picks.append(at[np.lexsort((n[at], comp[at]))] if len(at) > 1 else at)
+    one, two = (Tree(bits[p], n[p], comp[p]) for p in picks)
+    kept: list[np.ndarray] | None = None
+    for i, j in traverse(one, two):
         i, j = picks[0][i], picks[1][j]
-        score = np.bitwise_count(bits[i] & bits[j]).sum(axis=1) / (n[i] + n[j])
-        new = pd.DataFrame({"a": node[i], "b": node[j], "comp": comp[j], "score": score})
-        kept = pd.concat([kept, new], ignore_index=True)
+        new = [node[i], node[j], comp[j], np.bitwise_count(bits[i] & bits[j]).sum(axis=1) / (n[i] + n[j])]
+        kept = new if kept is None else [np.concatenate(c) for c in zip(kept, new, strict=True)]
         if best:  # the likeliest partner in each other component
-            kept = kept.sort_values(["score", "b"], ascending=[False, True]).drop_duplicates(["a", "comp"])
-    return pa.RecordBatch.from_pandas(kept, schema=PAIR_SCHEMA, preserve_index=False)
+            order = np.lexsort((kept[1], -kept[3], kept[2], kept[0]))
+            kept = [c[order] for c in kept]
+            first = np.concatenate([[True], (kept[0][1:] != kept[0][:-1]) | (kept[2][1:] != kept[2][:-1])])
+            kept = [c[first] for c in kept]
+    return kept
 
 
 def candidates(rows: DataFrame, best: bool) -> DataFrame:
@@ -266,12 +266,20 @@ def candidates(rows: DataFrame, best: bool) -> DataFrame:
         def tiles(last: bool) -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held).combine_chunks()
             k = np.stack([t.column(c).to_numpy().astype(np.int64) for c in key], axis=1)
+            side, node, n, comp = (t.column(c).to_numpy() for c in ("side", "node", "n", "comp"))
+            bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), dtype=_U).reshape(len(node), -1)
             cut = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
             begin = 0
+            found = []
             for end in [*cut.tolist(), *([len(k)] if last else [])]:
                 if end - begin > 1:
-                    yield tile_pairs(t.slice(begin, end - begin), best)
+                    at = slice(begin, end)
+                    pairs = tile_pairs(side[at], node[at], n[at], comp[at], bits[at], best)
+                    if pairs is not None:
+                        found.append(pairs)
                 begin = end
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], schema=PAIR_SCHEMA)
             held[:] = t.slice(begin).to_batches() if begin < len(k) else []
 
         for batch in batches:
