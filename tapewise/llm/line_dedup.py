@@ -3,7 +3,9 @@
 Lines are grouped by host. A line is boilerplate on a host when it stands on more
 than ``ratio`` of the host's pages and on at least ``min_pages`` of them; it is then
 dropped from every page of that host. Lines are compared without surrounding white
-space; blank lines are always kept.
+space; blank lines are always kept. Pages of a host with the same text are one page
+in these counts, so that a text copied often doesn't count as boilerplate itself and
+lose all its lines; ``copies_once=False`` counts every row, as the SQL below does.
 
 The lines of a host above the ratio are few whatever the host's size: the shares of
 all its distinct lines add up to its lines per page, so at most (lines per page) /
@@ -12,7 +14,8 @@ hot host spread over many tasks. Line counts are summed before their shuffle.
 
 Cases: a null host is a site of its own; null text stays null and its page counts;
 a text whose lines all go becomes empty; a line repeated on a page counts once;
-repeated rows are pages of their own; extra columns pass through unchanged.
+null texts of a host are one page with ``copies_once``; extra columns pass through
+unchanged.
 """
 
 from __future__ import annotations
@@ -40,13 +43,18 @@ def is_blank(line: Column) -> Column:
     return F.trim(F.translate(line, "\r\t", "  ")) == ""
 
 
-def frequent_lines(pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def frequent_lines(pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES, copies_once: bool = True) -> DataFrame:
     """Rows (host, lines): the keys of each host's boilerplate lines."""
     lines = F.filter(F.split(F.col(text), "\n", -1), lambda x: ~is_blank(x))
     keys = F.array_distinct(F.transform(lines, line_key))
-    counts = (pages.select(F.col(host).alias("_host"), F.explode(keys).alias("_line"))
+    own, keyed = pages.select(F.col(host).alias("_host")), pages.select(F.col(host).alias("_host"), keys.alias("_keys"))
+    if copies_once:
+        same = [F.col(host).alias("_host"), F.xxhash64(text).alias("_ta"), F.hash(F.col(text), F.lit(7)).alias("_tb"), F.length(text).alias("_tn")]
+        own = pages.select(*same).distinct()
+        keyed = pages.select(*same, keys.alias("_keys")).groupBy("_host", "_ta", "_tb", "_tn").agg(F.first("_keys").alias("_keys"))
+    counts = (keyed.select("_host", F.explode("_keys").alias("_line"))
               .groupBy("_host", "_line.a", "_line.b").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_pages))
-    totals = pages.groupBy(F.col(host).alias("_host")).agg(F.count("*").alias("_pages"))
+    totals = own.groupBy("_host").agg(F.count("*").alias("_pages"))
     c, t = counts.alias("c"), totals.alias("t")
     return (c.join(t, F.col("c._host").eqNullSafe(F.col("t._host")))
             .where(F.col("_n") > F.col("_pages") * F.lit(ratio))
@@ -54,14 +62,15 @@ def frequent_lines(pages: DataFrame, host: str, text: str, ratio: float = RATIO,
 
 
 def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO,
-                     min_pages: int = MIN_PAGES, counts: bool = False, counted: str | None = None) -> DataFrame:
+                     min_pages: int = MIN_PAGES, counts: bool = False, counted: str | None = None, copies_once: bool = True) -> DataFrame:
     """``pages`` with the boilerplate lines taken out of ``text``.
 
     With ``counts``, the columns n_lines and n_dropped are added. ``counted`` names a
-    column that holds the text's length, and is set anew where lines went.
+    column that holds the text's length, and is set anew where lines went. Without
+    ``copies_once``, pages of a host with the same text count separately.
     """
     salt = F.pmod(F.xxhash64(F.col(text), *[F.col(c) for c in pages.columns if c.endswith("_id")]), F.lit(SALTS)).cast("int")
-    known = (frequent_lines(pages, host, text, ratio, min_pages)
+    known = (frequent_lines(pages, host, text, ratio, min_pages, copies_once)
              .select(F.col("_host").alias("_known"), "_drop", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_grain")))
     p = pages.withColumn("_salt", salt)
     j = p.join(known, F.col(host).eqNullSafe(F.col("_known")) & (F.col("_salt") == F.col("_grain")), "left")

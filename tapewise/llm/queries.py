@@ -34,7 +34,7 @@ def query(name: str, sql: str | None = None):
 @query("op1_line_dedup", line_dedup.SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return line_dedup.drop_boilerplate(docs, counts=True)
+    return line_dedup.drop_boilerplate(docs, counts=True, copies_once=False)  # its SQL counts rows
 
 
 @query("op2_signature_tree_join", jaccard_join.SQL)

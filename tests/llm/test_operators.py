@@ -47,6 +47,20 @@ def test_line_dedup(spark, docs, nothing):
     assert [r[0] for r in hosts] == ["a.example.com", ""]
 
 
+def test_copies_are_one_page_in_line_dedup(spark):
+    import corpus_pipeline
+    copied = "\n".join(" ".join(f"w{chr(97 + i)}{chr(97 + j)}" for j in range(20)) for i in range(3))
+    rows = [(i, copied, "en", "a", len(copied)) for i in range(10)]
+    rows += [(10 + i, "menu\n" + " ".join(f"v{chr(97 + i)}{chr(97 + j)}" for j in range(20)), "en", "a", 0) for i in range(20)]
+    pages = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.boilerplate(spark, pages, "")
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert all(got[i]["text"] == copied and got[i]["n_chars"] == len(copied) for i in range(10))
+    assert all(got[i]["text"] == rows[i][1][5:] and got[i]["n_chars"] == len(rows[i][1]) - 5 for i in range(10, 30))
+    kept = [r["text"] for r in corpus_pipeline.near_duplicates(spark, out, "").collect()]
+    assert kept.count(copied) == 1 and len(kept) == 21
+
+
 def brute_hits(text, items):
     w, hit, found = words(text), set(), set()
     for item, t in items:
