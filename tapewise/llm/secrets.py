@@ -5,7 +5,8 @@ ids, and long hexadecimal runs. Besides, a string of letters, digits and key sym
 that mixes kinds of characters is a secret of kind ``token`` when a tiktoken vocabulary
 needs many tokens for it: words and names cost few tokens for each character, random
 strings cost many. Strings that look like digests, identifiers, paths, links, dates or
-numbers are left out of that test, and so are strings that overlap a patterned span.
+numbers are left out of that test. Patterned spans are cut out of a string, and what
+is left on either side is tested by itself.
 
 Cases: null is the empty text; spans count code points, end exclusive, and are ordered
 by start and then kind (assign, access, hex, token); a very long run is one string;
@@ -77,16 +78,27 @@ class Finder:
             return False
         return len(s) < self.efficiency * len(self.encode(s))
 
+    def pieces(self, text: str, found: list[tuple[int, int, int]]):
+        """(start, end) of the strings of a text, without the patterned spans, and long enough."""
+        cuts, k, past = sorted((x, y) for x, _, y in found), 0, 0
+        for m in STRING.finditer(text):
+            a, b = max(m.start(), past), m.end()
+            while k < len(cuts) and cuts[k][0] < b:
+                x, y = cuts[k]
+                if x - a >= TOKEN_LENGTH:
+                    yield a, x
+                past, k = max(past, y), k + 1
+                a = max(a, past)
+            if b - a >= TOKEN_LENGTH:
+                yield a, b
+
     def spans(self, text: str | None) -> list[tuple[int, int, int]]:
         if not text:
             return []
         found = self.base(text)
         more = []
-        for m in STRING.finditer(text):
-            a, b = m.span()
-            if any(x < b and a < y for x, _, y in found):
-                continue
-            if not self.is_known(m[0]) and self.is_random(m[0]):
+        for a, b in self.pieces(text, found):
+            if not self.is_known(text[a:b]) and self.is_random(text[a:b]):
                 more.append((a, 3, b))
         return sorted(found + more)
 
