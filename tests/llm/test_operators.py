@@ -316,6 +316,24 @@ def test_secrets_beside_patterned_spans():
     assert [k for _, k, _ in f.spans("password=abcdefghijklmnopqrstuvw." + key)] == [0]
 
 
+def test_secrets_among_readable_parts():
+    f, rng = finder(), np.random.default_rng(5)
+    kinds = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    for n in (16, 20, 24):
+        for before, after in (("", ""), ("authorization_header=", ""), ("signing_certificate_fingerprint_value=", ""), ("the/readable/configuration/", "/of/production/settings")):
+            keys = ["".join(rng.choice(kinds, n)) for _ in range(200)]
+            found = [any(k == 3 and a <= 2 + len(before) and b >= 2 + len(before) + n for a, k, b in f.spans("x " + before + key + after)) for key in keys]
+            assert sum(found) >= 198, (n, before)
+    letters = ["".join(rng.choice(kinds[:52], 24)) for _ in range(200)]
+    assert sum(bool(f.spans("some/readable/path/" + x)) for x in letters) >= 198
+    both = "aK9xQ2vL7mZ4pT1wR8sB/" + "the_quite_long_readable_configuration_of_production_settings/" * 3 + "Zt6Yc3Hn0Jd5Gf8Vb2Xk"
+    (a, _, b), (c, _, d) = f.spans(both)
+    assert a == 0 and 20 <= b < 30 and len(both) - 30 < c <= len(both) - 20 and d == len(both)
+    for fine in ("request_123e4567-e89b-12d3-a456-426614174000" + "_of_the_readable_name" * 3, "the/readable/D41D8CD98F00B204E9800998ECF8427E/archive" + "/readable" * 5, "getUserAccountByIdentifier",
+                 "the_readable/path/of/2021-05-03/file_12345678", "internationalization_of_everything", "9807915762804490", "z" * 30000 + "-" * 30000):
+        assert f.spans(fine) == [], fine
+
+
 def test_toxicity(spark, docs, nothing):
     rng = np.random.default_rng(7)
     fine, bad = [f"wort{chr(97 + i)}ig" for i in range(26)], ["stupix", "trashy", "morone"]
