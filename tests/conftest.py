@@ -31,10 +31,11 @@ def market(spark):
     early = spark.createDataFrame([("2004-11-26",)], "session string").select(F.to_date("session").alias("session"))
     cal = staged(build_calendar(spark, "2004-01-01", "2005-12-30", hol, early))
     names = SY.tickers(spark, 10, 2)
-    bars = staged(SY.bars(names, cal))
-    acts = SY.actions(cal)
+    planted = {"hole": (SY.asset_id(4), 52, 58), "split": (SY.asset_id(7), 75, 2.0), "dividend": (SY.asset_id(1), 33, 0.4)}
+    bars = staged(SY.bars(names, cal, holes=[planted["hole"]], splits=[planted["split"]]))
+    acts = SY.actions(cal, [planted["split"]], [planted["dividend"]])
     panel = staged(processed_panel(bars, acts, cal, keep=("session",)))
     bench = staged(panel.groupBy("ts", "session_index").agg(
         *[F.avg(c).alias(c) for c in ("open", "high", "low", "close")], F.lit(20.0).alias("vix_close")))
     return {"calendar": cal, "names": names, "bars": bars, "actions": acts, "panel": panel, "bench": bench,
-            "earnings": SY.earnings(names, cal)}
+            "earnings": SY.earnings(names, cal), "planted": planted}

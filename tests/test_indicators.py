@@ -9,6 +9,7 @@ from tapewise.functions.exprs import windowed
 from tapewise.operators import features as FT
 from tapewise.operators import indicators as I
 from tapewise.params import FeatureParams, MarketParams, RegimeParams
+from tapewise.sources.synthetic import asset_id
 
 SMALL = FeatureParams(atr_n=5, ema_fast=4, ema_slow=9, slope_n=5, donchian_short=5, donchian_long=10, er_n=5, er_long_n=10,
                       vol_short=5, vol_long=10, vol_window=60, vol_min_periods=12, gap_mean_n=5, overnight_n=10, beta_window=20,
@@ -88,7 +89,7 @@ def test_regime_thresholds_are_inclusive(spark, er, erl, slope, vol, want):
 
 def _features(market, panel, stage=False):
     snaps = market["names"].select("asset_id", "symbol").withColumn("ts", F.to_timestamp(F.lit("2004-02-02 21:00:00"))).withColumn(
-        "eligible", F.col("asset_id") != "SYN0009").withColumn("adv_usd_60", F.lit(1e7))
+        "eligible", F.col("asset_id") != asset_id(8)).withColumn("adv_usd_60", F.lit(1e7))
     return FT.compute_features(panel, market["bench"], snaps, SMALL, RegimeParams(), SMALL_MARKET, stage=stage)
 
 
@@ -97,7 +98,7 @@ def test_feature_contract_and_rank_population(market):
     assert set(FT.FEATURE_COLUMNS) <= set(f.columns)
     p = f.where("ts > '2004-06-01'").toPandas()
     assert len(p) == market["panel"].where("ts > '2004-06-01'").count()
-    assert p[p.asset_id == "SYN0009"].mom_252_xs_pct.isna().all()
+    assert p[p.asset_id == asset_id(8)].mom_252_xs_pct.isna().all()
     one = p[p.ts == p.ts.max()]
     assert (one.xs_population == one.eligible.sum()).all()
     assert one.mom_252_xs_pct.max() == 1.0

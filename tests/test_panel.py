@@ -13,6 +13,9 @@ from tapewise.operators import universe as U
 from tapewise.params import UniverseParams
 from tapewise.sources import tables as S
 from tapewise.sources import vendors as V
+from tapewise.sources.synthetic import asset_id
+
+ONE, TWO = asset_id(0), asset_id(1)
 
 
 def d(s):
@@ -59,11 +62,22 @@ def test_calendar_daylight_saving_and_half_days(market):
 def test_synthetic_panel_keeps_holes_and_flags(market):
     p = market["panel"]
     assert p.count() == market["bars"].count()
-    fix3 = p.where("asset_id = 'SYN0003'").toPandas()
-    assert not set(range(40, 45)) & set(fix3.session_index)
-    assert not p.where("asset_id = 'SYN0005' and session_index = 60").first().is_suspect
+    hole, split, dividend = (market["planted"][k] for k in ("hole", "split", "dividend"))
+    holed = p.where(F.col("asset_id") == hole[0]).toPandas()
+    assert not set(range(hole[1], hole[2])) & set(holed.session_index)
+    assert {hole[1] - 1, hole[2]} <= set(holed.session_index)
+    on_split = (F.col("asset_id") == split[0]) & (F.col("session_index") == split[1])
+    assert not p.where(on_split).first().is_suspect
     unexplained = P.processed_panel(market["bars"], market["actions"].where("action_type <> 'SPLIT'"), market["calendar"])
-    assert unexplained.where("asset_id = 'SYN0005' and session_index = 60").first().is_suspect is False  # ln 2 is under the limit
+    assert unexplained.where(on_split).first().is_suspect is False  # ln 2 is under the limit
+    # the planted cases hit rows: prices halve at the split, and earlier ones are adjusted for both actions
+    own = p.where(F.col("asset_id") == split[0]).toPandas().set_index("session_index")
+    assert (own.close_raw / own.close)[split[1] - 1] == pytest.approx(2.0) and own.close[split[1]] == own.close_raw[split[1]]
+    raw = market["bars"].where(F.col("asset_id") == split[0]).toPandas().sort_values("session").close.to_numpy()
+    assert raw[split[1]] / raw[split[1] - 1] < 0.6
+    paid = p.where(F.col("asset_id") == dividend[0]).toPandas().set_index("session_index")
+    assert (paid.close / paid.close_raw)[dividend[1] - 1] == pytest.approx(1 - dividend[2] / paid.close_raw[dividend[1] - 1])
+    assert market["actions"].count() == 2
 
 
 def test_quality_flags(spark, market):
@@ -112,12 +126,12 @@ def test_next_session_edges(spark, market):
 def test_store_round_trip_and_pruning(spark, market, tmp_path):
     path = str(tmp_path / "panel")
     S.write_by_year(market["panel"], path, "ts", ["ts", "asset_id"])
-    got = S.scan_panel(spark, path, ["SYN0001", "SYN0001", "SYN0002"], "2005-01-03 21:00:00", "2005-02-01 21:00:00")
-    want = market["panel"].where("asset_id in ('SYN0001','SYN0002') and ts between '2005-01-03 21:00:00' and '2005-02-01 21:00:00'")
+    got = S.scan_panel(spark, path, [ONE, ONE, TWO], "2005-01-03 21:00:00", "2005-02-01 21:00:00")
+    want = market["panel"].where(f"asset_id in ('{ONE}','{TWO}') and ts between '2005-01-03 21:00:00' and '2005-02-01 21:00:00'")
     assert got.count() == want.count() > 0
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(year" in plan and "PushedFilters: [IsNotNull(ts)" in plan
-    assert S.scan_panel(spark, path, ["SYN0001"], "2005-02-01", "2005-01-01").count() == 0
+    assert S.scan_panel(spark, path, [ONE], "2005-02-01", "2005-01-01").count() == 0
 
 
 def test_candidate_lines(spark, tmp_path):
@@ -140,7 +154,7 @@ def test_universe_first_failure_and_no_lookahead(spark, market):
     pd.testing.assert_frame_equal(a, b)
     assert ((a.reason == "") == a.eligible).all() and len(full.toPandas()) == 12 * 24
     assert (full.where("eligible").groupBy("ts").count().toPandas()["count"] <= 8).all()
-    gone = full.where("ts > '2005-07-15' and asset_id in ('SYN0011', 'SYN0012')").select("reason").distinct().collect()
+    gone = full.where(F.col("ts") > "2005-07-15").where(F.col("asset_id").isin([asset_id(10), asset_id(11)])).select("reason").distinct().collect()
     assert [r.reason for r in gone] == ["STALE_DATA"]
 
 
