@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapewise.llm import bpe, chat, decontaminate, jaccard_join, language, line_dedup, records, secrets, toxicity, vector_join
+from tapewise.llm import bpe, chat, decontaminate, jaccard_join, language, line_dedup, records, repair, runs, secrets, sketch, toxicity, vector_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -81,3 +81,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     return secrets.report(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op11_conversation_repair", repair.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.report(table(spark, sf_dir, "documents"))
+
+
+@query("op13_bottom_k_fingerprints", sketch.SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.report(table(spark, sf_dir, "documents"))
