@@ -113,26 +113,10 @@ def rolling_mean(x: str, over: str, n: int, min_periods: int | None = None) -> s
     return f"CASE WHEN {c} >= {max(1, _need(n, min_periods))} THEN {_moving(f'sum({x})', over, n)} / {c} END"
 
 
-def rolling_cov(x: str, y: str, over: str, n: int, min_periods: int | None = None) -> str:
-    """Sample covariance of the complete pairs in the trailing window.
-
-    Meant for returns and ratios, whose mean is small next to their spread.
-    """
-    xs, ys = (x, y) if x == y else (f"if({y} IS NULL, NULL, {x})", f"if({x} IS NULL, NULL, {y})")
-    c = _moving(f"count({xs})", over, n)
-    sx, sy, sxy = (_moving(f"sum({v})", over, n) for v in (xs, ys, f"{x} * {y}"))
-    return f"CASE WHEN {c} >= {max(2, _need(n, min_periods))} THEN ({sxy} - {sx} * {sy} / {c}) / ({c} - 1) END"
-
-
-def rolling_var(x: str, over: str, n: int, min_periods: int | None = None) -> str:
-    """Sample variance; 0 below what running totals can resolve (a constant window)."""
-    v = rolling_cov(x, x, over, n, min_periods)
-    total = call_over(f"sum({x} * {x})", over, "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")
-    return f"CASE WHEN ({v}) <= {total} * 1e-15 THEN 0e0 ELSE ({v}) END"
-
-
-def rolling_std(x: str, over: str, n: int, scale: float = 1.0, min_periods: int | None = None) -> str:
-    return f"sqrt({rolling_var(x, over, n, min_periods)}) * {scale!r}D"
+def rolling_std(x: str, over: str, n: int, scale: float = 1.0) -> str:
+    """Sample deviation of a full frame, of the frame's rows alone. Costs ``n`` for each
+    row: for tables of one row per session; assets use :mod:`tapewise.operators.series`."""
+    return f"{rolling(f'stddev_samp({x})', x, over, n)} * {scale!r}D"
 
 
 def first_reason(rules: list[tuple[Column, str]], otherwise: Column | None = None) -> Column:

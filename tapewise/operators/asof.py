@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -45,27 +46,63 @@ def with_validity(right: DataFrame, key: list[str], ts: str, until: str = "valid
     return right.withColumn(until, F.lead(ts).over(Window.partitionBy(*key).orderBy(ts)))
 
 
+#: Days (or units of a numeric time) of a block of the as-of timeline.
+BLOCK = 256
+
+
+def time_block(df: DataFrame, c: str, width: float) -> Column:
+    """Number of the block of ``width`` days or units that a time lies in; one block for other types."""
+    kind = df.schema[c].dataType
+    if isinstance(kind, T.DateType):
+        return F.floor(F.unix_date(F.col(c)) / F.lit(width)).cast("long")
+    if isinstance(kind, T.TimestampType):
+        return F.floor(F.unix_micros(F.col(c)) / F.lit(width * 86_400_000_000)).cast("long")
+    if isinstance(kind, T.NumericType):
+        return F.floor(F.col(c) / F.lit(width)).cast("long")
+    return F.lit(0).cast("long")
+
+
 def asof_backward(
     left: DataFrame, right: DataFrame, key: list[str], left_ts: str, right_ts: str,
-    payload: list[str], *, right_ts_as: str | None = None,
+    payload: list[str], *, right_ts_as: str | None = None, width: float = BLOCK,
 ) -> DataFrame:
     """Latest right row at or before each left timestamp, NULLs when there is none.
 
-    Both sides are laid on one timeline per key and the last right row is carried
-    forward, so the cost is one sort of the union and no pairs are produced. The
-    payload travels as one struct: a NULL field in the newest row stays NULL.
+    Time is cut into blocks of ``width`` days (units, for numbers) and both sides are
+    laid on one timeline per key and block, where the last right row is carried forward.
+    What a block inherits is found on a table with one row per key and block, the last
+    right row of each: a scan over the blocks of a key finds the newest one before, which
+    becomes the first row of the timeline. So a key with a third of all rows is spread over
+    tasks by time, no pairs are produced, and a task sorts what one key has in one block.
+
+    The payload travels as one struct: a NULL field in the newest row stays NULL. Rows
+    without a time match nothing. Both sides are read twice, the second time without
+    the columns of the left side: stage a side that is costly to compute.
     """
-    carried = [F.col(c) for c in payload]
-    pay = F.struct(F.col(right_ts).alias("_rts"), *carried)
-    lcols = [c for c in left.columns]
+    pay = F.struct(F.col(right_ts).alias("_rts"), *[F.col(c) for c in payload])
+    lcols = list(left.columns)
+    right = right.where(F.col(right_ts).isNotNull())
+    lblock, rblock = time_block(left, left_ts, width), time_block(right, right_ts, width)
+    ltype = left.select(F.struct(*lcols).alias("l")).schema["l"].dataType
+    rtype = right.select(pay.alias("p")).schema["p"].dataType
+    ends = right.select(*key, rblock.alias("_blk"), F.col(right_ts).alias("_t"), pay.alias("_p")).groupBy(*key, "_blk").agg(
+        F.max_by("_p", "_t").alias("_end"), F.lit(False).alias("_asks"))
+    asks = left.select(*key, lblock.alias("_blk")).where("_blk is not null").distinct().select(
+        *key, "_blk", F.lit(None).cast(rtype).alias("_end"), F.lit(True).alias("_asks"))
+    earlier = Window.partitionBy(*key).orderBy("_blk").rangeBetween(Window.unboundedPreceding, -1)  # one row per block
+    inherited = (ends.unionByName(asks).withColumn("_right", F.last("_end", ignorenulls=True).over(earlier))
+                 .where("_asks and _right is not null"))
     line = left.select(
-        *key, F.col(left_ts).alias("_t"), F.lit(1).alias("_side"),
-        F.struct(*lcols).alias("_left"), F.lit(None).cast(right.select(pay.alias("p")).schema["p"].dataType).alias("_right"),
+        *key, lblock.alias("_blk"), F.col(left_ts).alias("_t"), F.lit(1).alias("_side"),
+        F.struct(*lcols).alias("_left"), F.lit(None).cast(rtype).alias("_right"),
     ).unionByName(right.select(
-        *key, F.col(right_ts).alias("_t"), F.lit(0).alias("_side"),
-        F.lit(None).cast(left.select(F.struct(*lcols).alias("l")).schema["l"].dataType).alias("_left"), pay.alias("_right"),
+        *key, rblock.alias("_blk"), F.col(right_ts).alias("_t"), F.lit(0).alias("_side"),
+        F.lit(None).cast(ltype).alias("_left"), pay.alias("_right"),
+    )).unionByName(inherited.select(
+        *key, "_blk", F.lit(None).cast(left.schema[left_ts].dataType).alias("_t"), F.lit(0).alias("_side"),
+        F.lit(None).cast(ltype).alias("_left"), "_right",
     ))
-    w = Window.partitionBy(*key).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*key, "_blk").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
     out = line.withColumn("_hit", F.last("_right", ignorenulls=True).over(w)).where("_side = 1")
     extra = [F.col("_hit._rts").alias(right_ts_as)] if right_ts_as else []
     return out.select("_left.*", *[F.col(f"_hit.{c}").alias(c) for c in payload], *extra)

@@ -2,7 +2,9 @@
 
 Input is a panel unique on (asset_id, ts), so a window group is as long as the
 trading calendar and no longer, however rows are distributed over assets. All
-indicators use the same partitioning and ordering: one shuffle, one sort. Frames
+indicators use the same partitioning and ordering: one shuffle, one sort. Lags, extremes
+and means are window functions; averages, moments, ranks and medians are computed in one pass
+over each task's series (:mod:`tapewise.operators.series`), in array operations. Frames
 count the asset's own rows; gaps are absent rows. Every function takes a frame and
 returns it with columns added.
 """
@@ -11,14 +13,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapewise.functions.exprs import (call_over, column, first_reason, rolling, rolling_cov, rolling_mean, rolling_std,
-                                      rolling_sum, rolling_var, strict_greatest, windowed)
+from tapewise.functions import sliding as SL
+from tapewise.functions.exprs import call_over, column, first_reason, rolling, rolling_mean, rolling_std, rolling_sum, strict_greatest, windowed
+from tapewise.functions.sliding import Matrices, Step
+from tapewise.operators.series import add_series, in_series
 from tapewise.params import FeatureParams, MarketParams, RegimeParams, UniverseParams
 
-EMA_BLOCK = 128
 BY_ASSET = "PARTITION BY asset_id ORDER BY ts"
 
 
@@ -43,41 +47,33 @@ def true_range() -> str:
     return f"greatest(high - low, abs(high - {p}), abs(low - {p}))"
 
 
-def with_ema(df: DataFrame, value: str, name: str, alpha: float, min_periods: int,
-             rn: str = "bars_available") -> DataFrame:
-    """Recursive exponential average ``y = alpha * x + (1 - alpha) * y_prev``.
+def ema_step(value: str, name: str, alpha: float, min_periods: int) -> Step:
+    return lambda m: {name: SL.ema(m[value], alpha, min_periods)}
 
-    The recursion is cut into blocks of rows. Inside a block it is a running
-    weighted sum; the ends of the earlier blocks (a list of rows/128 numbers) are
-    folded into a carry. Linear in the rows, no Python, no overflow: the largest
-    weight is ``(1 - alpha) ** -127``. Values must not be null.
-    """
-    if alpha >= 1.0:
-        return df.withColumn(name, F.when(F.col(rn) >= min_periods, F.col(value)))
-    q = 1.0 - alpha
-    size = EMA_BLOCK if q > 0.01 else 32
-    weight = f"if({rn} = 1, 1D, {alpha!r}D)"
-    inside = "(PARTITION BY asset_id, _blk ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    before = f"({BY_ASSET} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    return (
-        df.selectExpr("*", f"floor(({rn} - 1) / {size}) AS _blk", f"({rn} - 1) % {size} AS _k")
-        .selectExpr("*", f"pow({q!r}D, _k) * sum({weight} * {value} * pow({q!r}D, -_k)) OVER {inside} AS _loc")
-        .selectExpr("*", f"collect_list(if(_k = {size - 1}, _loc, NULL)) OVER {before} AS _ends")
-        .withColumn(name, F.expr(
-            f"CASE WHEN {rn} >= {min_periods} THEN _loc + pow({q!r}D, _k + 1)"
-            f" * aggregate(_ends, 0D, (acc, e) -> acc * {q ** size!r}D + e) END"))
-        .drop("_blk", "_k", "_loc", "_ends")
-    )
+
+def atr_step(n: int) -> Step:
+    def step(m: Matrices) -> Matrices:
+        atr = SL.ema(m["_tr"], 1.0 / n, n)
+        return {"atr_14": atr, "atr_pct": atr / m["close"]}
+    return step
+
+
+def averages_step(fast: int, slow: int) -> Step:
+    return lambda m: {"ema_fast": SL.ema(m["close"], 2.0 / (fast + 1), fast), "ema_slow": SL.ema(m["close"], 2.0 / (slow + 1), slow)}
+
+
+def with_ema(df: DataFrame, value: str, name: str, alpha: float, min_periods: int) -> DataFrame:
+    """Recursive exponential average ``y = alpha * x + (1 - alpha) * y_prev``. Values must not be null."""
+    return add_series(in_series(df), [ema_step(value, name, alpha, min_periods)], [value], [name])
 
 
 def with_atr(df: DataFrame, n: int = 14) -> DataFrame:
-    out = with_ema(windowed(df, {"_tr": true_range()}), "_tr", "atr_14", 1.0 / n, n).drop("_tr")
-    return out.withColumn("atr_pct", F.expr("atr_14 / nullif(close, 0)"))
+    out = windowed(in_series(df), {"_tr": true_range()})
+    return add_series(out, [atr_step(n)], ["_tr", "close"], ["atr_14", "atr_pct"], drop=("_tr",))
 
 
 def with_moving_averages(df: DataFrame, fast: int, slow: int) -> DataFrame:
-    out = with_ema(df, "close", "ema_fast", 2.0 / (fast + 1), fast)
-    return with_ema(out, "close", "ema_slow", 2.0 / (slow + 1), slow)
+    return add_series(in_series(df), [averages_step(fast, slow)], ["close"], ["ema_fast", "ema_slow"])
 
 
 def ema_spread() -> Column:
@@ -94,8 +90,13 @@ def channel(c: str, agg: str, n: int) -> str:
     return f"CASE WHEN {lag_sql(c, n)} IS NOT NULL THEN {frame} END"
 
 
-def realised_vol(n: int, bars_per_year: int) -> str:
-    return rolling_std("_lr", BY_ASSET, n, math.sqrt(bars_per_year))
+def vol_step(windows: dict[str, int], bars_per_year: int) -> Step:
+    return lambda m: {name: np.sqrt(SL.covariance(m["_lr"], n)) * math.sqrt(bars_per_year) for name, n in windows.items()}
+
+
+def with_realised_vol(df: DataFrame, windows: dict[str, int], bars_per_year: int) -> DataFrame:
+    """Annualised deviation of the log returns ``_lr`` over each window."""
+    return add_series(in_series(df), [vol_step(windows, bars_per_year)], ["_lr"], list(windows))
 
 
 def with_steps(df: DataFrame) -> DataFrame:
@@ -114,27 +115,76 @@ def momentum(far: int, near: int = 0) -> str:
     return f"{recent} / nullif({lag_sql('close', far)}, 0) - 1D"
 
 
+def gap_step(mean_n: int) -> Step:
+    def step(m: Matrices) -> Matrices:
+        gap = (m["open"] - SL.lag(m["close"])) / SL.lag(m["atr_14"])
+        gap[~np.isfinite(gap)] = np.nan
+        return {"gap_atr": gap, "gap_abs_mean_20": SL.mean(np.abs(gap), mean_n)}
+    return step
+
+
 def with_gap(df: DataFrame, mean_n: int = 20) -> DataFrame:
-    out = windowed(df, {"gap_atr": f"(open - {lag_sql('close')}) / nullif({lag_sql('atr_14')}, 0)"})
-    return windowed(out, {"gap_abs_mean_20": rolling_mean("abs(gap_atr)", BY_ASSET, mean_n)})
+    return add_series(in_series(df), [gap_step(mean_n)], ["open", "close", "atr_14"], ["gap_atr", "gap_abs_mean_20"])
+
+
+def _log_ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.log(a / b)
+    out[~np.isfinite(out)] = np.nan
+    return out
+
+
+def overnight_step(n: int) -> Step:
+    def step(m: Matrices) -> Matrices:
+        night = SL.covariance(_log_ratio(m["open"], SL.lag(m["close"])), n)
+        day = SL.covariance(_log_ratio(m["close"], m["open"]), n)
+        return {"overnight_var_share_60": np.where(night + day > 0, night / (night + day), np.nan)}
+    return step
 
 
 def with_overnight_share(df: DataFrame, n: int = 60) -> DataFrame:
-    out = windowed(df, {"_on": f"ln(open / nullif({lag_sql('close')}, 0))", "_in": "ln(close / nullif(open, 0))"})
-    out = windowed(out, {"_von": rolling_var("_on", BY_ASSET, n), "_vin": rolling_var("_in", BY_ASSET, n)})
-    return out.withColumn("overnight_var_share_60", F.expr("CASE WHEN _von + _vin > 0 THEN _von / (_von + _vin) END")).drop(
-        "_on", "_in", "_von", "_vin")
+    return add_series(in_series(df), [overnight_step(n)], ["open", "close"], ["overnight_var_share_60"])
 
 
-def rolling_pct_rank(value: str, over: str, n: int, min_periods: int) -> str:
-    """Average-tie percentile rank of the current value among the last ``n`` rows.
+def rank_step(value: str, name: str, n: int, min_periods: int) -> Step:
+    return lambda m: {name: SL.pct_rank(m[value], n, min_periods)}
 
-    The frame holds at most ``n`` numbers; one pass over it counts the lower and
-    the equal ones.
-    """
-    seen = call_over(f"collect_list({value})", over, f"ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW")
-    score = f"aggregate({seen}, 0.5D, (acc, x) -> acc + CASE WHEN x < {value} THEN 1D WHEN x = {value} THEN 0.5D ELSE 0D END)"
-    return f"CASE WHEN {value} IS NOT NULL AND size({seen}) >= {min_periods} THEN {score} / size({seen}) END"
+
+def with_rolling_rank(df: DataFrame, value: str, name: str, n: int, min_periods: int, key: str | None = "asset_id") -> DataFrame:
+    """Average-tie percentile rank of the current value among the last ``n`` rows."""
+    return add_series(in_series(df, key), [rank_step(value, name, n, min_periods)], [value], [name], key)
+
+
+def bench_step(window: int) -> Step:
+    """Beta and correlation on the rows that the benchmark has too, which form their own sequence."""
+    def step(m: Matrices) -> Matrices:
+        both = ~np.isnan(m["_b"])
+        place = np.cumsum(both, axis=1) - 1
+        rows, cols = np.nonzero(both)
+        at = (rows, place[rows, cols])
+        own, bench = np.full(both.shape, np.nan), np.full(both.shape, np.nan)
+        own[at], bench[at] = m["close"][rows, cols], m["_b"][rows, cols]
+        rs, rb = _log_ratio(own, SL.lag(own)), _log_ratio(bench, SL.lag(bench))
+        need = window // 2
+        cov = SL.covariance(rs, window, rb, need)
+        beta = cov / SL.covariance(rb, window, need=need)
+        pairs = np.isnan(rs) | np.isnan(rb)
+        vs, vb = (SL.covariance(np.where(pairs, np.nan, r), window, need=need) for r in (rs, rb))
+        out = {"beta_bench_90": np.full(both.shape, np.nan), "corr_bench_90": np.full(both.shape, np.nan)}
+        out["beta_bench_90"][rows, cols] = beta[at]
+        out["corr_bench_90"][rows, cols] = (cov / (np.sqrt(vs) * np.sqrt(vb)))[at]
+        return out
+    return step
+
+
+BENCH = ["beta_bench_90", "corr_bench_90"]
+
+
+def with_bench_close(df: DataFrame, benchmark: DataFrame) -> DataFrame:
+    return df.join(F.broadcast(benchmark.select("ts", F.col("close").alias("_b"))), "ts", "left")  # one row per session
+
+
+def of_reference(reference: str) -> dict[str, Column]:
+    return {c: F.when(F.col("symbol") == reference, 1.0).otherwise(F.col(c)) for c in BENCH}
 
 
 def with_bench_moments(df: DataFrame, benchmark: DataFrame, window: int, reference: str) -> DataFrame:
@@ -143,30 +193,15 @@ def with_bench_moments(df: DataFrame, benchmark: DataFrame, window: int, referen
     Returns are taken between rows present on both sides, so a hole widens both
     returns. The variance counts benchmark returns on their own rows.
     """
-    b = benchmark.select("ts", F.col("close").alias("_b"))  # one row per session
-    out = df.join(F.broadcast(b), "ts", "left").withColumn("_both", F.col("_b").isNotNull())
-    # rows matched by the benchmark form their own sequence inside the asset
-    need, over = window // 2, "PARTITION BY asset_id, _both ORDER BY ts"
-    before = {c: call_over(f"lag({c})", over) for c in ("close", "_b")}
-    out = windowed(out, {"_rs": f"ln(close / nullif({before['close']}, 0))", "_rb": f"ln(_b / nullif({before['_b']}, 0))"})
-    out = windowed(out, {
-        "_cov": rolling_cov("_rs", "_rb", over, window, need),
-        "_var": rolling_var("_rb", over, window, need),
-        "_vs": rolling_var("if(_rb IS NULL, NULL, _rs)", over, window, need),
-        "_vb": rolling_var("if(_rs IS NULL, NULL, _rb)", over, window, need),
-    })
-    own = F.col("symbol") == reference
-    return out.withColumns({
-        "beta_bench_90": F.when(own, 1.0).otherwise(F.expr("if(_both, _cov / nullif(_var, 0), NULL)")),
-        "corr_bench_90": F.when(own, 1.0).otherwise(F.expr("if(_both, _cov / nullif(sqrt(_vs) * sqrt(_vb), 0), NULL)")),
-    }).drop("_b", "_both", "_rs", "_rb", "_cov", "_var", "_vs", "_vb")
+    out = add_series(in_series(with_bench_close(df, benchmark)), [bench_step(window)], ["close", "_b"], BENCH, drop=("_b",))
+    return out.withColumns(of_reference(reference))
 
 
 def with_bars_since_gap(df: DataFrame, name: str = "bars_since_gap") -> DataFrame:
     """Position inside the current run of consecutive sessions, from 0."""
-    out = windowed(df, {"_brk": f"if(session_index - {lag_sql('session_index')} > 1, 1, 0)"})
-    out = windowed(out, {"_run": call_over("sum(_brk)", BY_ASSET, "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")})
-    return windowed(out, {name: call_over("row_number()", "PARTITION BY asset_id, _run ORDER BY ts") + " - 1"}).drop("_brk", "_run")
+    n = call_over("row_number()", BY_ASSET)
+    out = windowed(df, {"_row": n, "_first": f"if(coalesce(session_index - {lag_sql('session_index')} > 1, true), {n}, NULL)"})
+    return windowed(out, {name: "_row - " + call_over("max(_first)", BY_ASSET, "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")}).drop("_row", "_first")
 
 
 # -- spread and liquidity ------------------------------------------------------
@@ -198,11 +233,9 @@ def final_spread(cs: Column, adv: Column, p: UniverseParams) -> Column:
     return strict_greatest(cs, spread_floor(adv, p))
 
 
-def rolling_median(value: str, n: int) -> str:
-    """Median of a full window: the middle of its ``n`` sorted numbers."""
-    seen = f"sort_array({call_over(f'collect_list({value})', BY_ASSET, f'ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW')})"
-    return (f"aggregate(array({seen}), CAST(NULL AS DOUBLE), (acc, a) ->"
-            f" CASE WHEN size(a) = {n} THEN (a[{(n - 1) // 2}] + a[{n // 2}]) / 2 END)")
+def with_rolling_median(df: DataFrame, value: str, name: str, n: int) -> DataFrame:
+    """Median of the last ``n`` rows where all have a value."""
+    return add_series(in_series(df), [lambda m: {name: SL.median(m[value], n)}], [value], [name])
 
 
 # -- labels --------------------------------------------------------------------
@@ -231,7 +264,7 @@ def market_columns(benchmark: DataFrame, p: MarketParams) -> DataFrame:
         "_sma": rolling_mean("close", over, p.sma_n), "_peak": rolling("max(close)", "close", over, p.dd_n),
         "_vol": rolling_std("_lr", over, p.vol_n, math.sqrt(p.bars_per_year)),
     })
-    out = windowed(out, {"vol_pct": rolling_pct_rank("_vol", over, p.vol_window, p.vol_min_periods)})
+    out = with_rolling_rank(out, "_vol", "vol_pct", p.vol_window, p.vol_min_periods, key=None)
     above = F.coalesce(F.col("close") > F.col("_sma"), F.lit(False))
     dd = F.expr("1D - close / nullif(_peak, 0)")
     stressed = (F.col("spy_dd_252") >= p.dd_stress) | (F.col("vol_pct") >= p.vol_stress)
@@ -246,17 +279,17 @@ def market_columns(benchmark: DataFrame, p: MarketParams) -> DataFrame:
 
 
 def asset_features(panel: DataFrame, benchmark: DataFrame, p: FeatureParams, r: RegimeParams) -> DataFrame:
-    """All per-asset feature columns (everything but ranks, regime and market)."""
-    df = with_bars_since_gap(with_bar_number(panel))
-    df = with_atr(df, p.atr_n)
-    df = with_moving_averages(df, p.ema_fast, p.ema_slow)
-    df = windowed(with_steps(df), {
-        "vol_20": realised_vol(p.vol_short, p.bars_per_year),
-        "vol_60": realised_vol(p.vol_long, p.bars_per_year),
-        "slope_atr_20": slope(p.slope_n),
+    """All per-asset feature columns (everything but ranks, regime and market).
+
+    One shuffle and one sort by asset: window functions first, then one pass of the series
+    steps, then plain columns.
+    """
+    df = in_series(with_bench_close(panel, benchmark))
+    df = windowed(with_steps(with_bars_since_gap(with_bar_number(df))), {
+        "_tr": true_range(),
+        "_back": f"close - {lag_sql('close', p.slope_n)}",
         "efficiency_ratio_20": efficiency(p.er_n),
         "efficiency_ratio_60": efficiency(p.er_long_n),
-        "atr_percentile_1y": rolling_pct_rank("atr_pct", BY_ASSET, p.vol_window, p.vol_min_periods),
         "donchian_high_20": channel("high", "max", p.donchian_short),
         "donchian_low_20": channel("low", "min", p.donchian_short),
         "donchian_high_55": channel("high", "max", p.donchian_long),
@@ -265,8 +298,14 @@ def asset_features(panel: DataFrame, benchmark: DataFrame, p: FeatureParams, r:
         "mom_126_skip21": momentum(p.mom_mid, p.mom_skip),
         "mom_21": momentum(p.mom_short),
     })
-    df = with_overnight_share(with_gap(df, p.gap_mean_n), p.overnight_n)
-    df = with_bench_moments(df, benchmark, p.beta_window, p.reference_symbol)
+    steps = [atr_step(p.atr_n), averages_step(p.ema_fast, p.ema_slow), vol_step({"vol_20": p.vol_short, "vol_60": p.vol_long}, p.bars_per_year),
+             rank_step("atr_pct", "atr_percentile_1y", p.vol_window, p.vol_min_periods), gap_step(p.gap_mean_n), overnight_step(p.overnight_n),
+             bench_step(p.beta_window)]
+    df = add_series(df, steps, ["_tr", "close", "open", "_lr", "_b"],
+                    ["atr_14", "atr_pct", "ema_fast", "ema_slow", "vol_20", "vol_60", "atr_percentile_1y", "gap_atr", "gap_abs_mean_20",
+                     "overnight_var_share_60", *BENCH], drop=("_tr", "_lr", "_step", "_b"))
+    df = df.withColumns(of_reference(p.reference_symbol)).withColumn(
+        "slope_atr_20", F.expr(f"_back / nullif(atr_14 * {math.sqrt(p.slope_n)!r}D, 0)")).drop("_back")
     return df.withColumns({
         "keltner_upper": F.col("ema_slow") + p.keltner_k * F.col("atr_14"),
         "keltner_lower": F.col("ema_slow") - p.keltner_k * F.col("atr_14"),
@@ -277,4 +316,4 @@ def asset_features(panel: DataFrame, benchmark: DataFrame, p: FeatureParams, r:
         "regime": regime(F.col("efficiency_ratio_20"), F.col("efficiency_ratio_60"),
                          F.col("slope_atr_20"), F.col("atr_percentile_1y"), r),
         "is_warm": F.col("bars_available") >= p.warmup,
-    }).drop("_lr", "_step")
+    })

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapewise.functions.exprs import is_true
@@ -43,13 +43,55 @@ def observation_weight(p: SentimentParams) -> Column:
             * F.log1p(F.col("sample_size").cast("double")))
 
 
+def decayed_totals(decisions: DataFrame, obs: DataFrame, p: SentimentParams = SentimentParams()) -> DataFrame:
+    """Totals (sw, sw2, sws, newest, samples) of the usable observations per (symbol, ts, source).
+
+    Time is cut into blocks as long as the look-back, so a decision sees the front of its
+    own block and the rear of the block before. A weight that halves every half life is
+    a product: one factor for the observation's place in its block, one for the decision's.
+    So the decayed totals of a front (or rear) are running totals of the first factor per
+    (symbol, source, block), read where the look-back ends and scaled by the second. Decisions
+    enter that timeline as two rows for each source that the block has; no decision is
+    paired with an observation, and the totals add only observations of the look-back.
+    Observations of one instant are summed before the shuffle.
+    """
+    reach, half = round(p.max_age_hours * 3_600_000_000), p.half_life_hours * 3_600_000_000
+    if reach > 400 * half:
+        raise ValueError("the look-back is longer than 400 half lives: weights at its end can't be told from zero")
+    start = F.col("blk") * F.lit(reach)
+    base = F.col("source_weight") * F.log1p(F.col("sample_size").cast("double"))
+    o = (obs.select("symbol", "source", F.unix_micros("available_ts").alias("t"), base.alias("b"), "score", "sample_size")
+         .where("b > 0").groupBy("symbol", "source", "t")
+         .agg(F.sum("b").alias("b"), F.sum(F.col("b") * F.col("b")).alias("b2"), F.sum(F.col("b") * F.col("score")).alias("bs"), F.sum("sample_size").alias("n"))
+         .withColumn("blk", F.floor(F.col("t") / F.lit(reach))))
+    grow = F.pow(F.lit(2.0), (F.col("t") - start) / half)
+    seen = o.select("symbol", "source", "blk", "t", F.lit(1).alias("side"), (F.col("b") * grow).alias("g"), (F.col("b2") * grow * grow).alias("g2"),
+                    (F.col("bs") * grow).alias("gs"), "n", F.col("t").alias("at"))
+    d = decisions.select("symbol", F.unix_micros("ts").alias("t")).distinct()
+    ends = d.select("symbol", F.explode(F.array(F.struct(F.col("t").alias("t"), F.lit(2).alias("side")),
+                                                F.struct((F.col("t") - reach).alias("t"), F.lit(0).alias("side")))).alias("e")).select(
+        "symbol", "e.*").withColumn("blk", F.floor(F.col("t") / F.lit(reach)))
+    sources = o.select("symbol", "blk", "source").distinct()  # a small closed set
+    asks = ends.join(sources, ["symbol", "blk"]).select(
+        "symbol", "source", "blk", "t", "side", *[F.lit(None).cast("double").alias(c) for c in ("g", "g2", "gs")],
+        *[F.lit(None).cast("long").alias(c) for c in ("n", "at")])
+    by = Window.partitionBy("symbol", "source", "blk")
+    front = by.orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
+    rear = by.orderBy(F.col("t").desc(), F.col("side").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    line = seen.unionByName(asks)
+    for w, end in ((front, "f"), (rear, "r")):
+        line = line.select("*", *[F.sum(c).over(w).alias(f"{end}_{c}") for c in ("g", "g2", "gs", "n")], F.max("at").over(w).alias(f"{end}_at"))
+    own = {c: F.when(F.col("side") == 2, F.col(f"f_{c}")).otherwise(F.col(f"r_{c}")) for c in ("g", "g2", "gs", "n", "at")}
+    at = F.when(F.col("side") == 2, F.col("t")).otherwise(F.col("t") + reach)
+    shrink = F.pow(F.lit(0.5), (at - start) / half)
+    return line.where("side <> 1").where(own["at"].isNotNull()).groupBy("symbol", F.timestamp_micros(at).alias("ts"), "source").agg(
+        F.sum(shrink * own["g"]).alias("sw"), F.sum(shrink * shrink * own["g2"]).alias("sw2"), F.sum(shrink * own["gs"]).alias("sws"),
+        F.timestamp_micros(F.max(own["at"])).alias("newest"), F.sum(own["n"]).alias("samples"))
+
+
 def sentiment_views(decisions: DataFrame, obs: DataFrame, p: SentimentParams = SentimentParams()) -> DataFrame:
     """One aggregated view per (symbol, ts); no usable observation gives a neutral one."""
-    w = visible_observations(decisions, obs, p).withColumn("_w", observation_weight(p)).where("_w > 0")
-    per_source = w.groupBy("symbol", "ts", "source").agg(
-        F.sum("_w").alias("sw"), F.sum(F.col("_w") * F.col("_w")).alias("sw2"),
-        F.sum(F.col("_w") * F.col("score")).alias("sws"), F.max("available_ts").alias("newest"),
-        F.sum("sample_size").alias("samples"))
+    per_source = decayed_totals(decisions, obs, p)
     # sources are a small closed set, so their means travel as one short list
     per = per_source.groupBy("symbol", "ts").agg(
         F.sum("sw").alias("_sw"), F.sum("sw2").alias("_sw2"), F.sum("sws").alias("_sws"), F.max("newest").alias("_newest"),

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapewise.functions.exprs import first_reason, is_true, trailing, windowed
+from tapewise.functions import sliding as SL
+from tapewise.functions.exprs import first_reason, is_true, trailing
 from tapewise.operators.asof import asof_backward, keep_one, many_to_one
-from tapewise.operators.indicators import (final_spread, over_asset, rolling_median, with_bar_number,
-                                           with_bars_since_gap, with_corwin_schultz)
+from tapewise.operators.indicators import final_spread, over_asset, with_bar_number, with_bars_since_gap, with_corwin_schultz
 from tapewise.operators.panel import first_session_of_period
 from tapewise.operators.ranking import with_position
+from tapewise.operators.series import add_series, in_series
 from tapewise.params import MIN_DELISTED_SHARE, SEED_CATEGORIES, SEED_EXCHANGES, UniverseParams
+from tapewise.session import staged
 
 SNAPSHOT_COLUMNS = ("ts", "asset_id", "symbol", "eligible", "reason", "adv_usd_60", "adv_rank",
                     "spread_bps_est", "close_raw", "bars_available", "sector", "is_etf")
@@ -53,12 +55,11 @@ def require_delisted(share: DataFrame, least: float = MIN_DELISTED_SHARE) -> Dat
 
 def panel_metrics(panel: DataFrame, p: UniverseParams) -> DataFrame:
     """Liquidity, spread, history and continuity of each asset at each bar."""
-    df = with_bars_since_gap(with_bar_number(panel))
-    df = windowed(df, {"adv_usd_60": rolling_median("dollar_volume", p.adv_bars)})
-    df = with_corwin_schultz(df, p.spread_window)
+    df = with_corwin_schultz(with_bars_since_gap(with_bar_number(in_series(panel))), p.spread_window)
     recent = F.max(F.col("is_suspect").cast("int")).over(trailing(over_asset(), p.suspect_lookback))
-    return df.withColumn("spread_bps_est", final_spread(F.col("cs_bps"), F.col("adv_usd_60"), p)).withColumn(
-        "suspect_in_lookback", recent == 1)
+    df = df.withColumn("suspect_in_lookback", recent == 1)
+    df = add_series(df, [lambda m: {"adv_usd_60": SL.median(m["dollar_volume"], p.adv_bars)}], ["dollar_volume"], ["adv_usd_60"])
+    return df.withColumn("spread_bps_est", final_spread(F.col("cs_bps"), F.col("adv_usd_60"), p))
 
 
 METRICS = ["close_raw", "session_index", "adv_usd_60", "spread_bps_est", "bars_available",
@@ -112,7 +113,7 @@ def build_snapshots(panel: DataFrame, candidates: DataFrame, tickers: DataFrame,
     meta = keep_one(tickers.select("asset_id", "sector", "is_etf", "delisted_date", "symbol"), ["asset_id"],
                     [F.col("symbol")]).drop("symbol")
     grid = grid.join(meta, "asset_id", "left")
-    metrics = panel_metrics(panel, p).select("asset_id", "ts", *METRICS)
+    metrics = staged(panel_metrics(panel, p).select("asset_id", "ts", *METRICS))  # the as-of join reads it twice
     got = asof_backward(grid, metrics, ["asset_id"], "ts", "ts", METRICS, right_ts_as="panel_ts")
     got = got.where(F.assert_true(F.coalesce(F.col("panel_ts") <= F.col("ts"), F.lit(True)),
                                   F.lit("snapshot used a later bar")).isNull())
@@ -127,7 +128,7 @@ def build_snapshots(panel: DataFrame, candidates: DataFrame, tickers: DataFrame,
         "sector": F.coalesce("sector", F.lit("")),
         "is_etf": is_true(F.col("is_etf")),
     })
-    out = liquidity_rank(got).withColumn("reason", eligibility_reason(p))
+    out = liquidity_rank(staged(got)).withColumn("reason", eligibility_reason(p))
     return out.withColumn("eligible", F.col("reason") == "").select(*SNAPSHOT_COLUMNS)
 
 

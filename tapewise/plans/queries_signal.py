@@ -53,7 +53,7 @@ def price_channels(x):
 
 @query("realised_volatility", f"SELECT {KEY}, {d('vol_20 vol_60')} FROM f4")
 def realised_volatility(x):
-    return computed(I.with_steps(x.panel), vol_20=I.realised_vol(W.vol_short, W.bars_per_year), vol_60=I.realised_vol(W.vol_long, W.bars_per_year))
+    return view(I.with_realised_vol(I.with_steps(I.in_series(x.panel)), {"vol_20": W.vol_short, "vol_60": W.vol_long}, W.bars_per_year), "vol_20", "vol_60")
 
 
 @query("opening_gaps", f"SELECT {KEY}, {d('gap_atr gap_abs_mean_20')} FROM f4")
@@ -79,8 +79,7 @@ def efficiency_ratio(x):
 
 @query("volatility_percentile", f"SELECT {KEY}, {d('atr_percentile_1y')}, vol_bucket FROM feat")
 def volatility_percentile(x):
-    df = windowed(I.with_atr(numbered(x), W.atr_n),
-                  {"atr_percentile_1y": I.rolling_pct_rank("atr_pct", I.BY_ASSET, W.vol_window, W.vol_min_periods)})
+    df = I.with_rolling_rank(I.with_atr(x.panel, W.atr_n), "atr_pct", "atr_percentile_1y", W.vol_window, W.vol_min_periods)
     return view(df, "atr_percentile_1y", I.vol_bucket(F.col("atr_percentile_1y"), D.WEEKLY_REGIME).alias("vol_bucket"))
 
 

@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tapewise.functions import sliding as SL
 from tapewise.functions.exprs import windowed
 from tapewise.operators import features as FT
 from tapewise.operators import indicators as I
@@ -37,7 +38,7 @@ def test_true_range_first_bar_has_no_previous_close(spark):
 def test_blocked_ema_equals_the_recursion(spark, alpha):
     rng = np.random.default_rng(5)
     x = np.exp(np.cumsum(rng.normal(0, 0.02, 700))) * 50
-    df = I.with_ema(I.with_bar_number(tiny(spark, x.tolist(), x.tolist(), x.tolist())), "close", "e", alpha, 3)
+    df = I.with_ema(tiny(spark, x.tolist(), x.tolist(), x.tolist()), "close", "e", alpha, 3)
     want = pd.Series(x).ewm(alpha=alpha, adjust=False, min_periods=3).mean()
     np.testing.assert_allclose(column(df, "e"), want, rtol=1e-12)
 
@@ -47,7 +48,7 @@ def test_moments_and_ranks_match_pandas(spark):
     x = np.exp(np.cumsum(rng.normal(0, 0.03, 300))) * 20
     x[100:140] = x[100]  # a constant stretch has exactly zero variance
     df = I.with_steps(tiny(spark, x.tolist(), x.tolist(), x.tolist()))
-    df = windowed(df, {"v": I.realised_vol(20, 252), "r": I.rolling_pct_rank("close", I.BY_ASSET, 50, 10), "m": I.rolling_median("close", 6)})
+    df = I.with_rolling_median(I.with_rolling_rank(I.with_realised_vol(df, {"v": 20}, 252), "close", "r", 50, 10), "close", "m", 6)
     np.testing.assert_allclose(column(df, "m"), pd.Series(x).rolling(6).median(), rtol=1e-12)
     lr = np.log(pd.Series(x) / pd.Series(x).shift(1))
     np.testing.assert_allclose(column(df, "v"), lr.rolling(20).std() * np.sqrt(252), rtol=1e-9, atol=1e-9)
@@ -117,3 +118,81 @@ def test_partitioning_does_not_matter(market, spark):
     cols = ["asset_id", "ts", "ema_fast", "vol_20", "mom_252_xs_pct"]
     a, b = (_features(market, market["panel"].repartition(n)).select(*cols).toPandas().sort_values(["asset_id", "ts"]).reset_index(drop=True) for n in (1, 16))
     pd.testing.assert_frame_equal(a, b, rtol=1e-12)
+
+
+# -- series in one pass ---------------------------------------------------------
+
+
+def padded(series):
+    out = np.full((len(series), max(map(len, series))), np.nan)
+    for i, x in enumerate(series):
+        out[i, :len(x)] = x
+    return out
+
+
+@pytest.fixture(scope="module")
+def ragged():
+    rng = np.random.default_rng(12)
+    out = []
+    for n in (1, 2, 7, 64, 130, 700):
+        x = rng.normal(0, 1, n).round(1)
+        x[rng.random(n) < 0.1] = np.nan
+        out.append(x)
+    return out
+
+
+@pytest.mark.parametrize("n,need", [(2, 2), (5, 5), (20, 8), (64, 64), (504, 126)])
+def test_sliding_windows_match_pandas(ragged, n, need):
+    m = padded(ragged)
+    other = np.roll(np.nan_to_num(m, nan=0.3), 1, axis=1)
+    cov, var, avg, rank, med = SL.covariance(m, n, other, need), SL.covariance(m, n, need=need), SL.mean(m, n, need), SL.pct_rank(m, n, need), SL.median(m, n)
+    for i, x in enumerate(ragged):
+        s, o = pd.Series(x), pd.Series(other[i, :len(x)])
+        np.testing.assert_allclose(var[i, :len(x)], s.rolling(n, min_periods=need).var(), rtol=1e-9, atol=1e-12)
+        np.testing.assert_allclose(avg[i, :len(x)], s.rolling(n, min_periods=need).mean(), rtol=1e-9, atol=1e-12)
+        np.testing.assert_allclose(cov[i, :len(x)], s.rolling(n, min_periods=need).cov(o.where(s.notna())), rtol=1e-9, atol=1e-12)
+        np.testing.assert_allclose(rank[i, :len(x)], s.rolling(n, min_periods=need).rank(pct=True), rtol=1e-12)
+        np.testing.assert_allclose(med[i, :len(x)], s.rolling(n).median(), rtol=1e-12)
+
+
+def test_windows_do_not_depend_on_bars_outside():
+    rng = np.random.default_rng(6)
+    calm = rng.normal(0, 1e-9, 40)
+    calm[20:] = calm[20]
+    wild = np.concatenate([rng.normal(0, 1e12, 500), calm])
+    for n in (5, 16):
+        a, b = SL.covariance(calm[None, :], n)[0, n - 1:], SL.covariance(wild[None, :], n)[0, 500 + n - 1:]
+        np.testing.assert_allclose(a, b, rtol=1e-12)
+        assert (a[-3:] == 0).all() and (b[-3:] == 0).all() and (a[:3] > 0).all()
+
+
+def test_volatility_after_a_large_early_history(spark):
+    close = np.concatenate([50.0 * 10.0 ** np.tile([0, 9], 30), 40 + 1e-7 * np.arange(60) % 3e-7])
+    df = tiny(spark, close.tolist(), close.tolist(), close.tolist())
+    v = column(I.with_realised_vol(I.with_steps(df), {"v": 20}, 252), "v")
+    lr = np.log(close[1:] / close[:-1])
+    assert v[-1] == pytest.approx(np.std(lr[-20:], ddof=1) * np.sqrt(252), rel=1e-9) and v[-1] > 0
+
+
+def test_series_are_cut_anywhere(spark, monkeypatch):
+    """Series over many Arrow batches, of very different lengths, with few cells at a time."""
+    rng = np.random.default_rng(3)
+    rows = [(f"k{a}" if a else None, int(t), float(x)) for a, n in enumerate((5, 1, 2000, 40, 3)) for t, x in enumerate(rng.normal(0, 1, n))]
+    pdf = pd.DataFrame(rows, columns=["asset_id", "ts", "close"])
+    df = spark.createDataFrame(rows, "asset_id string, ts int, close double")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = I.with_rolling_rank(df.repartition(3), "close", "r", 30, 4).toPandas().sort_values(["asset_id", "ts"], na_position="first")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    pdf = pdf.sort_values(["asset_id", "ts"], na_position="first")
+    want = pdf.groupby("asset_id", dropna=False).close.transform(lambda s: s.rolling(30, min_periods=4).rank(pct=True))
+    np.testing.assert_allclose(got.r.to_numpy(float), want.to_numpy(float), rtol=1e-12)
+    assert I.with_rolling_rank(df.where("false"), "close", "r", 30, 4).collect() == []
+
+
+def test_features_take_one_sort_by_asset(market):
+    plan = I.asset_features(market["panel"], market["bench"], SMALL, RegimeParams())._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.count("Sort [asset_id") == 1 and final.count("Exchange hashpartitioning(asset_id") == 1 and "collect_list" not in final
