@@ -38,8 +38,8 @@ def loop(bars, i, sign, risk, reward, hold, tie):
     return "OPEN", len(fwd), None, mae, mfe
 
 
-@pytest.mark.parametrize("tie", ["STOP", "TARGET"])
-def test_random_setups_match_the_loop(spark, tie):
+@pytest.mark.parametrize("tie,size,hold", [("STOP", 16, 14), ("TARGET", 16, 14), ("STOP", 4, 60), ("TARGET", 1, 25), ("STOP", 16, 200)])
+def test_random_setups_match_the_loop(spark, tie, size, hold):
     rng = np.random.default_rng(21)
     parts = []
     for a in ("a", "b"):
@@ -50,15 +50,15 @@ def test_random_setups_match_the_loop(spark, tie):
     bars = pd.concat(parts, ignore_index=True)
     rows = []
     for n, r in enumerate(bars.sample(150, random_state=1).itertuples()):
-        sign, risk = (1, -1)[n % 2], r.close * rng.uniform(.01, .08)
+        sign, risk = (1, -1)[n % 2], r.close * rng.uniform(.01, .08 if hold < 20 else .4)
         reward = None if n % 3 == 0 else risk * rng.uniform(.5, 2)
         rows.append((r.asset_id, r.ts.to_pydatetime(), f"s{n}", "LONG" if sign > 0 else "SHORT", sign, r.close, r.close - sign * risk,
-                     None if reward is None else r.close + sign * reward, risk, reward, int(rng.integers(1, 15)), 1.0))
+                     None if reward is None else r.close + sign * reward, risk, reward, int(rng.integers(1, hold + 1)), 1.0))
     schema = ("asset_id string, ts timestamp, strategy_id string, direction string, sign int, reference_price double, stop_price double, "
               "target_price double, risk_per_unit double, reward_per_unit double, max_hold_bars int, atr_14 double")
     setups = spark.createDataFrame(rows, schema)
     b = spark.createDataFrame(bars).withColumn("ts", F.col("ts").cast("timestamp"))
-    got = {r.strategy_id: r for r in L.resolve(setups, b, 14, tie).collect()}
+    got = {r.strategy_id: r for r in L.resolve(setups, b, hold, tie, size).collect()}
     assert len(got) == len(rows)
     for row in rows:
         one = bars[bars.asset_id == row[0]].reset_index(drop=True)
