@@ -2,8 +2,9 @@
 
 A text's shingles are its runs of five words (lower case for A-Z; a text of fewer words
 is one shingle). The hash of a shingle is the exclusive or of five 64-bit values, one for
-each place and word (the front of md5("place:word")), so it costs five look-ups, and the
-same numbers come from SQL. A sketch holds the ``k`` smallest distinct hashes in order.
+each place and word: the first half of the word's MD5 times the place's factor, plus the
+second half. So it costs five look-ups, and the same numbers come from SQL. A sketch
+holds the ``k`` smallest distinct hashes in order.
 
 The sketch of two parts is the ``k`` smallest of both sketches (``merged``), so texts of
 any length and groups of any size are sketched part by part. From two sketches follow
@@ -42,17 +43,38 @@ WIDTH = 5
 PART = 1 << 20
 #: Groups that a task holds before it hands on their sketches.
 GROUPS = 20_000
+#: Words whose bits a task remembers.
+REMEMBERED = 300_000
+#: The factor of each place of a shingle, odd and below 2 ** 62.
+PLACES = [(0x9E3779B97F4A7C15 * (2 * j + 1)) % (1 << 62) | 1 for j in range(WIDTH)]
 ALL = float(1 << 64)
 
 
-def _hashes(words: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
+class Words:
+    """128 bits for each word, remembered while a task reads its texts."""
+
+    def __init__(self, most: int = REMEMBERED):
+        self.most, self.known, self.bits = most, {}, bytearray()
+
+    def values(self, words: list[bytes]) -> list[np.ndarray]:
+        """For each place of a shingle, the value of each (distinct) word there."""
+        if len(self.known) > self.most:
+            self.known, self.bits = {}, bytearray()
+        known, md5 = self.known, hashlib.md5
+        fresh = [w for w in words if w not in known]
+        self.bits += b"".join([md5(w).digest() for w in fresh])
+        known.update(zip(fresh, range(len(known), len(known) + len(fresh))))
+        two = np.frombuffer(bytes(self.bits), dtype=">u8").reshape(-1, 2)[[known[w] for w in words]].astype(np.uint64)
+        return [two[:, 0] * np.uint64(c) + two[:, 1] for c in PLACES]
+
+
+def _hashes(words: list[bytes], sizes: np.ndarray, known: Words) -> list[np.ndarray]:
     """The shingle hashes of each text, whose words follow one another."""
     if not words:
         return [np.zeros(0, dtype=np.uint64) for _ in sizes]
     ids = pa.array(words, pa.binary()).dictionary_encode()
-    unique = ids.dictionary.to_pylist()
     at = ids.indices.to_numpy(zero_copy_only=False)
-    values = [np.frombuffer(b"".join(hashlib.md5(b"%d:" % j + w).digest()[:8] for w in unique), dtype=">u8").astype(np.uint64)[at] for j in range(WIDTH)]
+    values = [v[at] for v in known.values(ids.dictionary.to_pylist())]
     n = len(words)
     whole = values[0].copy()
     for j in range(1, WIDTH):
@@ -69,7 +91,7 @@ def _hashes(words: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def sketches(texts: list[str | None], k: int = K) -> list[np.ndarray]:
+def sketches(texts: list[str | None], k: int = K, known: Words | None = None) -> list[np.ndarray]:
     """The sketch of each text."""
     parts, sizes, owner = [], [], []
     for i, t in enumerate(texts):
@@ -80,7 +102,7 @@ def sketches(texts: list[str | None], k: int = K) -> list[np.ndarray]:
             sizes.append(len(own))
             owner.append(i)
     out: list[np.ndarray] = []
-    for i, h in zip(owner, _hashes(parts, np.array(sizes, dtype=np.int64)), strict=True):
+    for i, h in zip(owner, _hashes(parts, np.array(sizes, dtype=np.int64), known or Words()), strict=True):
         own = np.unique(h)[:k]
         if i < len(out):
             out[i] = merged(out[i], own, k)
@@ -124,7 +146,7 @@ def containment(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
 def add_fingerprint(df: DataFrame, text: str = "text", name: str = "fingerprint", k: int = K) -> DataFrame:
     """``df`` with the fingerprint of a text column."""
     return map_texts(df, text, df.columns, [T.StructField(name, T.StringType())],
-                     lambda: lambda texts: [pa.array([packed(s) for s in sketches(texts, k)], pa.string())])
+                     lambda: (lambda texts, known=Words(): [pa.array([packed(s) for s in sketches(texts, k, known)], pa.string())]))
 
 
 def merge_by(df: DataFrame, key: str, fingerprint: str = "fingerprint", k: int = K) -> DataFrame:
@@ -207,25 +229,29 @@ def report(docs: DataFrame, k: int = K) -> DataFrame:
             "in_edited": T.DoubleType()}
     schema = T.StructType([T.StructField(n, t) for n, t in kind.items()])
 
-    def rows(batch: pa.RecordBatch, held: tuple | None) -> tuple[list[tuple], tuple | None]:
+    def rows(batch: pa.RecordBatch, held: tuple | None, known: Words) -> tuple[list[tuple], tuple | None]:
+        # held: range, doc_id, text, and the sketch of a row of the batch before
         ranges, extras, ids, texts = (batch.column(i).to_pylist() for i in range(4))
-        own, pairs = sketches(texts, k), []
-        for r, x, i, t, s in zip(ranges, extras, ids, texts, own, strict=True):
+        pairs = []  # held row, the row's own place in the batch or None, the successor's place, the edited text
+        last = None
+        for j, (r, x, i, t) in enumerate(zip(ranges, extras, ids, texts, strict=True)):
             if held is not None and held[0] == r:
                 n = len(held[2])
-                pairs.append((*held, s, held[2][:n - n // 2] + t[:n // 2]))
-            held = None if x else (r, i, t, s)
+                pairs.append((held, last, j, held[2][:n - n // 2] + t[:n // 2]))
+            held, last = (None, None) if x else ((r, i, t, None), j)
+        own = sketches([*texts, *[p[3] for p in pairs]], k, known)
         out = []
-        for (_, i, t, s, after, e), c in zip(pairs, sketches([p[-1] for p in pairs], k), strict=True):
-            out.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), packed(s), packed(c), resemblance(s, c, k), resemblance(s, after, k),
+        for (h, at, j, e), c in zip(pairs, own[len(texts):], strict=True):
+            s = h[3] if at is None else own[at]
+            out.append((h[1], len(h[2]), hashlib.sha256(e.encode()).hexdigest(), packed(s), packed(c), resemblance(s, c, k), resemblance(s, own[j], k),
                         distinct_shingles(s, k), containment(s, c, k)))
-        return out, held
+        return out, None if held is None else held if last is None else (*held[:3], own[last])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, known = None, Words()
         for whole in batches:
             for b in slices(whole, "text"):
-                out, held = rows(b, held)
+                out, held = rows(b, held, known)
                 columns = list(zip(*out)) or [[]] * len(kind)
                 types = [whole.column(2).type, pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=schema.names)
@@ -241,7 +267,8 @@ e AS (SELECT d.i, left(d.t, CAST(length(d.t) - length(d.t) // 2 AS BIGINT)) || l
 u AS (SELECT i, false AS edited, t FROM d UNION ALL SELECT i, true, t FROM e),
 w AS (SELECT i, edited, unnest(l) AS w, generate_subscripts(l, 1) AS p, len(l) AS n
       FROM (SELECT i, edited, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l FROM u)),
-v AS (SELECT w, [CAST('0x' || left(md5(j || ':' || w), 16) AS UBIGINT) FOR j IN [0, 1, 2, 3, 4]] AS v FROM (SELECT DISTINCT w FROM w)),
+v AS (SELECT w, [CAST((CAST(CAST('0x' || left(md5(w), 16) AS UBIGINT) AS HUGEINT) * c + CAST('0x' || right(md5(w), 16) AS UBIGINT)) % 18446744073709551616 AS UBIGINT)
+         FOR c IN [{', '.join(f'CAST({c} AS HUGEINT)' for c in PLACES)}]] AS v FROM (SELECT DISTINCT w FROM w)),
 s AS (SELECT i, edited, p, n, xor(xor(xor(xor(v[1], coalesce(lead(v[2], 1) OVER o, 0)), coalesce(lead(v[3], 2) OVER o, 0)), coalesce(lead(v[4], 3) OVER o, 0)), coalesce(lead(v[5], 4) OVER o, 0)) AS h
       FROM w JOIN v USING (w) WINDOW o AS (PARTITION BY i, edited ORDER BY p)),
 h AS (SELECT DISTINCT i, edited, h FROM s WHERE p <= greatest(1, n - {WIDTH - 1})),

@@ -204,8 +204,9 @@ def shingle_set(t):
 
 def shingle_hash(s):
     h = 0
-    for j, w in enumerate(s):
-        h ^= int(hashlib.md5(f"{j}:{w}".encode()).hexdigest()[:16], 16)
+    for c, w in zip(sketch.PLACES, s):
+        bits = hashlib.md5(w.encode()).hexdigest()
+        h ^= (int(bits[:16], 16) * c + int(bits[16:], 16)) % (1 << 64)
     return h
 
 
