@@ -11,6 +11,7 @@ from tapewise.operators.labels import with_earnings_flag
 from tapewise.operators.ranking import with_position
 from tapewise.operators.setups import market_allows, regime_allows, setup_of
 from tapewise.params import BPS, SESSIONS_PER_YEAR, CostParams, EdgeParams, GateParams, PortfolioParams
+from tapewise.session import staged
 
 # The stage each rejection reason belongs to; the rest is GATE.
 STAGE_OF = {
@@ -119,59 +120,67 @@ def evaluate(features: DataFrame, snapshots: DataFrame, calendar: DataFrame, str
 
     ``reason`` is NULL for an opportunity. ``equity`` is a column (a literal or an
     input), so all sessions are evaluated at once.
+
+    The gates that don't depend on the strategy are judged on the snapshot entries, which
+    are written once. An entry that fails there gives its rows without more work; only the
+    others are unpacked by strategy, looked up in the earnings windows and the bins, and of
+    these only rows with a setup that may trade are priced.
     """
     feats = features.drop("symbol", "session_index", "eligible")
-    rows = snapshot_rows(snapshots, calendar).join(feats, ["asset_id", "ts"], "left")
-    rows = rows.join(assets.select("asset_id", "cluster", "is_etf"), "asset_id", "left")
+    entries = snapshot_rows(snapshots, calendar).join(feats, ["asset_id", "ts"], "left")
+    entries = entries.join(assets.select("asset_id", "cluster", "is_etf"), "asset_id", "left")
+    entries = staged(entries.withColumns({"_gate": gate_reason(g, min_gap, F.lit(False)), "risk_capital": equity * book.risk_fraction}))
+    names = F.array(*[F.struct(F.lit(s.strategy_id).alias("strategy_id"), F.lit(s.max_hold_bars).alias("max_hold_bars")) for s in strategies])
+    stopped = entries.where("_gate is not null").withColumn("_opt", F.explode(names)).select("*", "_opt.*").drop("_opt")
+    stopped = stopped.withColumnRenamed("_gate", "reason").withColumn("stage", stage_of(F.col("reason")))
     need = warmups or {s.strategy_id: s.warmup_bars for s in strategies}
     options = F.array(*[F.struct(
         F.lit(s.strategy_id).alias("strategy_id"), F.lit(s.max_hold_bars).alias("max_hold_bars"),
         F.lit(need[s.strategy_id]).alias("_need"), market_allows(s).alias("_market"), regime_allows(s).alias("_regime"),
         setup_of(s).alias("_setup")) for s in strategies])
-    rows = rows.withColumn("_opt", F.explode(options)).select("*", "_opt.*").drop("_opt")
+    rows = entries.where("_gate is null").drop("_gate").withColumn("_opt", F.explode(options)).select("*", "_opt.*").drop("_opt")
     rows = with_earnings_flag(rows, events, calendar, assets.select("asset_id", "is_etf"),
                               [s.max_hold_bars for s in strategies], "_earnings")
-    rows = rows.withColumns({c: F.col(f"_setup.{c}") for c in
+    first = first_reason([
+        (F.col("_earnings"), "EARNINGS_IN_WINDOW"),
+        (~present("atr_14") | (F.col("atr_14") <= 0) | (F.col("bars_available") < F.col("_need")), "INSUFFICIENT_HISTORY"),
+        (~F.col("_market") if g.require_regime else F.lit(False), "MARKET_REGIME_BLOCKED"),
+        (~F.col("_regime") if g.require_regime else F.lit(False), "REGIME_BLOCKED"),
+        (F.col("_setup").isNull(), "NO_SETUP"),
+        (F.lit(not g.skip_hard_to_borrow) & (F.col("_setup.direction") == "SHORT")
+         & F.lit(costs.borrow_bps_per_year > g.hard_to_borrow_max_bps), "HARD_TO_BORROW"),
+    ])
+    rows = rows.withColumn("_first", first)
+    going = F.col("_first").isNull()
+    rows = rows.withColumns({c: F.when(going, F.col(f"_setup.{c}")) for c in
                              ("direction", "sign", "reference_price", "stop_price", "target_price")})
     rows = edge_at(rows, edge)
     risk = F.abs(F.col("reference_price") - F.col("stop_price"))
     rows = rows.withColumns({
         "risk_per_unit": risk,
         "reward_risk_ratio": ratio(F.abs(F.col("target_price") - F.col("reference_price")), risk),
-        "risk_capital": equity * book.risk_fraction,
-        "notional": ratio(equity * book.risk_fraction, risk) * F.col("reference_price"),
+        "notional": ratio(F.col("risk_capital"), risk) * F.col("reference_price"),
         "expected_bars_held": F.greatest(F.col("bin_mean_bars_held"), F.lit(1.0)),
     })
-    rows = rows.withColumns(round_trip_cost(
+    parts = round_trip_cost(
         F.col("notional"), F.col("risk_capital"), F.col("expected_bars_held"), F.col("close_raw"), F.col("atr_pct"),
-        F.col("spread_bps_est"), F.col("adv_usd_60"), F.col("direction"), costs))
+        F.col("spread_bps_est"), F.col("adv_usd_60"), F.col("direction"), costs)
+    rows = rows.withColumns({c: F.when(going, v) for c, v in parts.items()})
     net, per_bar = expected_value(F.col("bin_ev_r_lcb"), F.col("cost_r"), F.col("bin_mean_bars_held"))
     rows = rows.withColumns({"ev_net_r": net, "ev_per_bar_r": per_bar})
-    bin_ok = usable_bin(edge_params, "bin_")
-    gate = gate_reason(g, min_gap, F.col("_earnings"))
-    reason = F.coalesce(gate, first_reason([
-        (~present("atr_14") | (F.col("atr_14") <= 0) | (F.col("bars_available") < F.col("_need")), "INSUFFICIENT_HISTORY"),
-        (~F.col("_market") if g.require_regime else F.lit(False), "MARKET_REGIME_BLOCKED"),
-        (~F.col("_regime") if g.require_regime else F.lit(False), "REGIME_BLOCKED"),
-        (F.col("_setup").isNull(), "NO_SETUP"),
-        (F.lit(not g.skip_hard_to_borrow) & (F.col("direction") == "SHORT")
-         & F.lit(costs.borrow_bps_per_year > g.hard_to_borrow_max_bps), "HARD_TO_BORROW"),
-        (~bin_ok, "INSUFFICIENT_BIN_SAMPLES"),
+    rows = rows.withColumn("reason", F.coalesce("_first", first_reason([
+        (~usable_bin(edge_params, "bin_"), "INSUFFICIENT_BIN_SAMPLES"),
         (~is_true(F.col("close_raw") > 0) | F.col("cluster").isNull() | ~is_true(F.col("risk_capital") > 0)
          | ~is_true(F.col("risk_per_unit") > 0) | ~valid_cost(), "COST_UNAVAILABLE"),
         (~is_true(F.col("ev_net_r") >= book.min_ev_net_r), "BELOW_EV_THRESHOLD"),
-    ]))
-    rows = rows.withColumn("reason", reason)
-    later = F.col("reason").isNull() | F.col("reason").isin("BELOW_EV_THRESHOLD", "COST_UNAVAILABLE", "INSUFFICIENT_BIN_SAMPLES")
+    ])))
     priced = F.col("reason").isNull() | (F.col("reason") == "BELOW_EV_THRESHOLD")
     rows = rows.withColumns({
-        **{c: F.when(later, F.col(c)) for c in ("direction", "reference_price", "stop_price", "target_price", "risk_per_unit", "reward_risk_ratio")},
         **{c: F.when(priced, F.col(c)) for c in ("cost_r", "ev_net_r", "ev_per_bar_r")},
         "stage": stage_of(F.col("reason")),
+        "bin_key": F.when(F.col("direction").isNotNull(), F.concat_ws("|", *BIN)),
     })
-    return rows.withColumn(
-        "bin_key", F.when(F.col("direction").isNotNull(), F.concat_ws("|", *BIN))).drop(
-        "_need", "_market", "_regime", "_setup", "_earnings")
+    return rows.drop("_need", "_market", "_regime", "_setup", "_earnings", "_first").unionByName(stopped, allowMissingColumns=True)
 
 
 def stage_of(reason: Column) -> Column:

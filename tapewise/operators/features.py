@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tapewise.functions.exprs import is_true
 from tapewise.operators.asof import asof_backward
 from tapewise.operators.indicators import asset_features, market_columns
-from tapewise.operators.ranking import average_pct_rank
+from tapewise.operators.ranking import average_pct_ranks
 from tapewise.params import FeatureParams, MarketParams, RegimeParams
 from tapewise.session import staged
 
@@ -33,10 +33,9 @@ def with_eligibility(df: DataFrame, snapshots: DataFrame) -> DataFrame:
 
 def with_cross_section(df: DataFrame) -> DataFrame:
     """Percentile ranks among the eligible rows of each timestamp, and their count."""
-    out = df
-    for src, dest in RANKED:
-        out = average_pct_rank(out.withColumn("_masked", F.when(F.col("eligible"), F.col(src))),
-                               ["ts"], "_masked", dest).drop("_masked")
+    masked = {f"_masked_{src}": dest for src, dest in RANKED}
+    out = df.withColumns({f"_masked_{src}": F.when(F.col("eligible"), F.col(src)) for src, _ in RANKED})
+    out = average_pct_ranks(out, ["ts"], masked).drop(*masked)
     population = df.groupBy("ts").agg(F.sum(F.col("eligible").cast("long")).alias("xs_population"))
     return out.join(F.broadcast(population), "ts")  # one row per session
 

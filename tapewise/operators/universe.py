@@ -97,12 +97,11 @@ def eligibility_reason(p: UniverseParams) -> Column:
 
 
 def liquidity_rank(grid: DataFrame) -> DataFrame:
-    """Add ``adv_rank``: 1 is the most liquid at its snapshot, ties by asset."""
-    order = F.struct((-F.col("adv_usd_60")).alias("neg"), F.col("asset_id").alias("tie"))
-    ranked = with_position(
-        grid.where(F.col("adv_usd_60").isNotNull()).select("ts", "asset_id", order.alias("_ord")),
-        ["ts"], "_ord", name="adv_rank").select("ts", "asset_id", F.col("adv_rank").cast("int").alias("adv_rank"))
-    return grid.join(ranked, ["ts", "asset_id"], "left")
+    """Add ``adv_rank``: 1 is the most liquid at its snapshot, ties by asset. Rows without ADV come last and have none."""
+    known = F.col("adv_usd_60").isNotNull()
+    order = F.struct((~known).alias("last"), (-F.col("adv_usd_60")).alias("neg"), F.col("asset_id").alias("tie"))
+    ranked = with_position(grid.withColumn("_ord", order), ["ts"], "_ord", name="adv_rank").drop("_ord", "group_rows")
+    return ranked.withColumn("adv_rank", F.when(known, F.col("adv_rank")).cast("int"))
 
 
 def build_snapshots(panel: DataFrame, candidates: DataFrame, tickers: DataFrame, calendar: DataFrame,
@@ -128,7 +127,7 @@ def build_snapshots(panel: DataFrame, candidates: DataFrame, tickers: DataFrame,
         "sector": F.coalesce("sector", F.lit("")),
         "is_etf": is_true(F.col("is_etf")),
     })
-    out = liquidity_rank(staged(got)).withColumn("reason", eligibility_reason(p))
+    out = liquidity_rank(got).withColumn("reason", eligibility_reason(p))
     return out.withColumn("eligible", F.col("reason") == "").select(*SNAPSHOT_COLUMNS)
 
 

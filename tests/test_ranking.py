@@ -20,6 +20,42 @@ def skewed(spark):
     return pdf, df
 
 
+def _with_partitions(spark, n, f):
+    """Run with ``n`` shuffle partitions that are not merged."""
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        return f()
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
+def test_hot_group_takes_many_partitions(spark, skewed):
+    pdf, df = skewed
+    order = F.struct(F.col("v").alias("a"), F.col("id").alias("b"))
+
+    def parts():
+        laid = R.laid_out(df.withColumn("o", order), ["k", "o"])
+        return laid.where("k = 'hot'").select(F.spark_partition_id().alias("p")).groupBy("p").count().toPandas()["count"]
+
+    sizes = _with_partitions(spark, 16, parts)
+    assert len(sizes) >= 10 and sizes.max() < 800  # 4,000 rows
+
+
+def test_several_ranks_in_one_pass_with_null_keys(spark):
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"k": rng.choice(["a", "b", None], 500), "u": rng.integers(0, 9, 500).astype(float), "v": rng.normal(size=500), "id": range(500)})
+    pdf.loc[rng.random(500) < 0.4, "u"] = np.nan
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "k string, u double, v double, id int")
+    got = R.average_pct_ranks(df, ["k"], {"u": "pu", "v": "pv"}).toPandas().sort_values("id")
+    assert len(got) == 500
+    g = pdf.groupby("k", dropna=False)
+    np.testing.assert_allclose(got.pu.to_numpy(float), g.u.rank(pct=True), rtol=1e-12)
+    np.testing.assert_allclose(got.pv.to_numpy(float), g.v.rank(pct=True), rtol=1e-12)
+
+
 def test_average_rank_matches_pandas(skewed):
     pdf, df = skewed
     got = R.average_pct_rank(df, ["k"], "v", "p").select("id", "p").toPandas().set_index("id")["p"].sort_index()
@@ -34,11 +70,11 @@ def test_quantiles_match_numpy(skewed):
     np.testing.assert_allclose(got.to_numpy(), want.to_numpy(), rtol=1e-12)
 
 
-@pytest.mark.parametrize("slots", [1, 5, 64])
-def test_position_is_a_permutation_for_any_number_of_ranges(skewed, slots):
+@pytest.mark.parametrize("ranges", [1, 5, 64])
+def test_position_is_a_permutation_for_any_number_of_ranges(spark, skewed, ranges):
     pdf, df = skewed
     order = F.struct(F.col("v").alias("a"), F.col("id").alias("b"))
-    got = R.with_position(df.where("v is not null").withColumn("o", order), ["k"], "o", slots=slots).select("k", "id", "position", "group_rows").toPandas()
+    got = _with_partitions(spark, ranges, lambda: R.with_position(df.where("v is not null").withColumn("o", order), ["k"], "o").select("k", "id", "position", "group_rows").toPandas())
     want = pdf.dropna().sort_values(["k", "v", "id"])
     want["position"] = want.groupby("k").cumcount() + 1
     m = got.merge(want, on=["k", "id"])
