@@ -10,7 +10,7 @@ from tapewise.operators.asof import asof_backward
 from tapewise.operators.indicators import asset_features, market_columns
 from tapewise.operators.ranking import average_pct_ranks
 from tapewise.params import FeatureParams, MarketParams, RegimeParams
-from tapewise.session import staged
+from tapewise.session import tabled
 
 # The feature contract, in order.
 FEATURE_COLUMNS = (
@@ -33,9 +33,11 @@ def with_eligibility(df: DataFrame, snapshots: DataFrame) -> DataFrame:
 
 def with_cross_section(df: DataFrame) -> DataFrame:
     """Percentile ranks among the eligible rows of each timestamp, and their count."""
+    # ranks of the narrow columns, then one join of the wide rows
+    key = ["asset_id", "ts"]
     masked = {f"_masked_{src}": dest for src, dest in RANKED}
-    out = df.withColumns({f"_masked_{src}": F.when(F.col("eligible"), F.col(src)) for src, _ in RANKED})
-    out = average_pct_ranks(out, ["ts"], masked).drop(*masked)
+    ranks = average_pct_ranks(df.select(*key, *[F.when(F.col("eligible"), F.col(src)).alias(f"_masked_{src}") for src, _ in RANKED]), ["ts"], masked)
+    out = df.join(ranks.select(*key, *masked.values()), key)
     population = df.groupBy("ts").agg(F.sum(F.col("eligible").cast("long")).alias("xs_population"))
     return out.join(F.broadcast(population), "ts")  # one row per session
 
@@ -58,7 +60,7 @@ def compute_features(panel: DataFrame, benchmark: DataFrame, snapshots: DataFram
     if emit_from is not None:
         df = df.where(F.col("ts") >= F.lit(emit_from).cast("timestamp"))
     if stage:  # three consumers follow: two ranks and the rows themselves
-        df = staged(df)
+        df = tabled(df)
     df = with_market(with_cross_section(df), benchmark, m)
     extra = [c for c in ("asset_id", "session", "session_index", "eligible", "open", "high", "low", "close_raw")
              if c in df.columns]

@@ -16,7 +16,7 @@ from tapewise.operators import edge as E
 from tapewise.operators import features as FT
 from tapewise.operators import labels as L
 from tapewise.operators import universe as U
-from tapewise.operators.panel import first_session_of_period
+from tapewise.operators.panel import first_session_of_period, processed_panel
 from tapewise.operators.setups import make_strategy
 from tapewise.plans import derived as D
 from tapewise.session import staged
@@ -42,11 +42,11 @@ class Inputs:
 
     @cached_property
     def bars(self):
-        return D.raw_bars(self.spark, self.sf_dir)
+        return staged(D.raw_bars(self.spark, self.sf_dir))
 
     @cached_property
     def actions(self):
-        return D.actions(self.spark, self.sf_dir)
+        return staged(D.actions(self.spark, self.sf_dir))
 
     @cached_property
     def calendar(self):
@@ -54,7 +54,7 @@ class Inputs:
 
     @cached_property
     def panel(self):
-        return staged(D.panel(self.spark, self.sf_dir))
+        return staged(processed_panel(self.bars, self.actions, self.calendar, keep=("session",)))
 
     @cached_property
     def benchmark(self):
@@ -66,11 +66,11 @@ class Inputs:
 
     @cached_property
     def earnings(self):
-        return D.earnings(self.spark, self.sf_dir)
+        return staged(D.earnings(self.spark, self.sf_dir))
 
     @cached_property
     def candidates(self):
-        return U.seed_candidates(self.tickers, self.bars, D.WEEKLY_UNIVERSE)
+        return staged(U.seed_candidates(self.tickers, self.bars, D.WEEKLY_UNIVERSE))
 
     @cached_property
     def snapshots(self):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +40,16 @@ def staged(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tabled(df: DataFrame) -> DataFrame:
+    """Write a wide intermediate result as Parquet to the checkpoint folder and read it back.
+
+    As :func:`staged`, for tables whose consumers need different columns: each reads its own.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_rows(df: DataFrame, max_rows: int) -> DataFrame:
     """Mark a staged table of narrow rows for broadcast when it has at most ``max_rows``.
 
