@@ -41,6 +41,10 @@ def test_line_dedup(spark, docs, nothing):
     assert got[0]["text"] == "body 0\n" and got[0]["n_dropped"] == 2 and got[0]["n_lines"] == 4
     assert got[6]["text"] is None and got[6]["n_lines"] == 0
     assert got[7]["text"] == "menu\nx" and got[8]["text"] == "menu" and got[9]["text"] == ""
+    joined = {r["doc_id"]: r for r in line_dedup.drop_boilerplate(pages, counts=True, broadcast_lines=0).collect()}
+    assert joined == got
+    tabs = spark.createDataFrame([(i, "\ta\tb \r\nx%d\n\n a b" % i, "s") for i in range(5)], "doc_id long, text string, source string")
+    assert [(r["text"], r["n_lines"], r["n_dropped"]) for r in line_dedup.drop_boilerplate(tabs, counts=True).orderBy("doc_id").collect()] == [("x%d\n" % i, 4, 2) for i in range(5)]
     assert line_dedup.drop_boilerplate(docs).count() == len(ODD)
     assert line_dedup.drop_boilerplate(nothing).collect() == []
     hosts = spark.createDataFrame([("https://u:p@A.Example.com:80/x",), ("nope",)], "u string").select(line_dedup.host_of(F.col("u"))).collect()
