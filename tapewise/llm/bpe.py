@@ -23,6 +23,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 from functools import lru_cache
 from operator import add
 
@@ -78,7 +79,12 @@ class ForcedBoundaryBPE(PieceEncoder):
         self.spaces = regex.compile(r"\s+")
         self.alphabet = byte_alphabet()
         self.inside = self._inside_pairs()
-        self.fragments: dict[tuple[str, bool], list[int]] = {}
+        letters = "abcdefghijklmnopqrstuvwxyz"
+        #: Whether letters always make one word that is only lowered, and what finds the pairs of letters that are certain cuts.
+        self.plain_words = self.words(letters) == [letters] and self.normalizer.normalize_str(letters.upper()) == letters
+        cuts = [a + b for a in letters for b in letters if a + b not in self.inside]
+        self.cut_letters = re.compile("|".join(cuts) or "(?!)").search
+        self.fragments: dict[tuple[str, bool], bytes] = {}
 
     def _inside_pairs(self) -> set[str]:
         """All pairs of neighbouring characters inside some vocabulary token."""
@@ -103,6 +109,10 @@ class ForcedBoundaryBPE(PieceEncoder):
 
     def keys(self, piece: str) -> list[tuple[str, bool]]:
         """The fragments of a stretch of text, each with whether it ends its word."""
+        if self.plain_words and piece.isascii() and piece.isalpha():  # one word, often without a certain cut
+            w = piece.lower()
+            if not self.cut_letters(w):
+                return [(w, True)]
         out = []
         for w in self.words(self.normalised(piece)):
             chars = w if w.isascii() and w.isprintable() else "".join(map(self.alphabet.__getitem__, w.encode("utf-8")))
@@ -111,18 +121,22 @@ class ForcedBoundaryBPE(PieceEncoder):
             out.append((parts[-1], True))
         return out
 
-    def learn(self, pieces: list[str]) -> list[list[int]]:
-        keys = [self.keys(p) for p in pieces]
+    def learn(self, pieces: list[str]) -> list[bytes]:
+        keys = list(map(self.keys, pieces))
         if len(self.fragments) > self.remembered:
             self.fragments.clear()
         known = self.fragments
-        for last, merger in ((False, self.inner), (True, self.ending)):
-            new = list({k for ks in keys for k in ks if k[1] == last and k not in known})
-            for i in range(0, len(new), AT_ONCE):
-                some = new[i:i + AT_ONCE]
+        new: tuple[dict, dict] = {}, {}  # inner and ending fragments
+        for ks in keys:
+            for k in ks:
+                if k not in known:
+                    new[k[1]][k] = None
+        for merger, fresh in ((self.inner, list(new[False])), (self.ending, list(new[True]))):
+            for i in range(0, len(fresh), AT_ONCE):
+                some = fresh[i:i + AT_ONCE]
                 for k, e in zip(some, merger.encode_batch_fast([k[0] for k in some], add_special_tokens=False), strict=True):
-                    known[k] = e.ids
-        return [[i for k in ks for i in known[k]] for ks in keys]
+                    known[k] = self.packed(e.ids)
+        return [known[ks[0]] if len(ks) == 1 else b"".join([known[k] for k in ks]) for ks in keys]
 
     def split(self, text: str) -> list[str] | None:
         return None if self.at_special and any(s in text for s in self.special) else text.split(" ")
@@ -131,7 +145,7 @@ class ForcedBoundaryBPE(PieceEncoder):
         """Ids of a text with special token strings, which stand for their own ids."""
         out: list[int] = []
         for part in self.at_special(text):
-            out += [self.special[part]] if part in self.special else [i for ids in self.learn(part.split(" ")) for i in ids]
+            out += [self.special[part]] if part in self.special else array(self.code, b"".join(self.learn(part.split(" ")))).tolist()
         return out
 
     def encode(self, text: str | None) -> list[int]:
