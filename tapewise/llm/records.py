@@ -24,6 +24,7 @@ become their ids, as in the library; an empty table gives no records.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -124,8 +125,16 @@ class ByteLevelPieces(PieceEncoder):
     RUN = re.compile(r" (?:\s|\Z)")
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models
         self.library = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        #: Merge rules alone, for a stretch of letters, which is one word with the space before it.
+        merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        self.merger = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges))
+        plain = "Plain letters make one word"
+        self.one_word = not model.get("ignore_merges") and self.library.encode(" " + plain, add_special_tokens=False).ids == [
+            i for w in plain.split(" ") for i in self.merger.encode(SPACE + w, add_special_tokens=False).ids]
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         names = self.library.get_vocab(with_added_tokens=True)
         self.after_space = np.zeros(max(names.values()) + 1, dtype=bool)
@@ -139,10 +148,15 @@ class ByteLevelPieces(PieceEncoder):
         return (FIRST + text).split(" ")
 
     def learn(self, pieces: list[str]) -> list[list[int] | bytes]:
-        """Ids of the stretches: those after a space are encoded in one string, and
-        cut again where a token begins with a space, which is where a stretch begins."""
-        behind = [p for p in pieces if p[0] != FIRST]
+        """Ids of the stretches: letters by the merge rules alone; others after a space in one string,
+        and cut again where a token begins with a space, which is where a stretch begins."""
         got = {}
+        letters = [p for p in pieces if p.isascii() and p.isalpha()] if self.one_word else []
+        for k in range(0, len(letters), AT_ONCE):
+            some = letters[k:k + AT_ONCE]
+            for p, e in zip(some, self.merger.encode_batch_fast([SPACE + p for p in some], add_special_tokens=False), strict=True):
+                got[p] = e.ids
+        behind = [p for p in pieces if p[0] != FIRST and p not in got]
         for k in range(0, len(behind), AT_ONCE):
             some = behind[k:k + AT_ONCE]
             (e,) = self.library.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)
@@ -151,7 +165,7 @@ class ByteLevelPieces(PieceEncoder):
             raw, ends = ids.tobytes(), [*at[1:].tolist(), ids.nbytes]
             got.update((p, raw[i:j]) for p, i, j in zip(some, at.tolist(), ends, strict=True))
         for p in pieces:
-            if p[0] == FIRST:
+            if p not in got:
                 got[p] = self.whole(p[1:])
         return [got[p] for p in pieces]
 
