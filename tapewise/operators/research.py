@@ -291,7 +291,8 @@ def _shown(x: float, digits: int) -> float:
 def calibration(trades: DataFrame, row_key: Column, n_buckets: int = 10, p: ResearchParams = ResearchParams()) -> DataFrame:
     """Predicted value in quantile buckets against the mean realised R.
 
-    Bucket edges are exact quantiles, equal ones merged, right-closed. They are at
+    Bucket edges are exact quantiles, equal ones merged, right-closed. Where all predictions
+    are equal, they fall back to one bucket of equal width on both sides. They are at
     most ``n_buckets + 1`` numbers, read once; the reported middle uses the edges
     as printed with the fewest digits (three or more) that keep them apart.
     """
@@ -301,10 +302,15 @@ def calibration(trades: DataFrame, row_key: Column, n_buckets: int = 10, p: Rese
     probs = {f"q{i}": i / k for i in range(k + 1)}
     row = exact_quantiles(use.select("_g", "ev_net_r_at_entry"), ["_g"], "ev_net_r_at_entry", probs).first()
     edges = sorted({row[q] for q in probs}) if row else [0.0]
+    flat = len(edges) == 1
+    if flat:  # a thousandth of the value to each side
+        side = 0.001 * abs(edges[0]) or 0.001
+        edges = [edges[0] - side, edges[0] + side]
     digits = next((d for d in range(3, 20) if len({_shown(e, d) for e in edges}) == len(edges)), 3)
     shown = [_shown(e, digits) for e in edges]
-    shown[0] -= 10.0 ** -digits
-    mids = F.array(*[F.lit(0.5 * (a + b)) for a, b in zip(shown, shown[1:])] or [F.lit(shown[0])])
+    if not flat:
+        shown[0] -= 10.0 ** -digits
+    mids = F.array(*[F.lit(0.5 * (a + b)) for a, b in zip(shown, shown[1:])])
     below = F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col("ev_net_r_at_entry"))
     j = use.withColumn("bucket", F.greatest(F.lit(1), F.size(below)))
     base = j.groupBy("bucket").agg(F.avg("realised_r").alias("mean_realised_r"), F.count(F.lit(1)).alias("n"))

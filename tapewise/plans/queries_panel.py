@@ -399,6 +399,11 @@ def seed_candidates(x):
     return x.candidates
 
 
+@query("delisted_guard", "SELECT count(*) AS candidates, round(coalesce(avg(CASE WHEN delisted_date IS NULL THEN 0e0 ELSE 1e0 END), 0), 6) AS delisted_share FROM cand JOIN tick USING (asset_id)")
+def delisted_guard(x):
+    return tidy(U.require_delisted(U.delisted_share(x.candidates, x.tickers), 0.05))
+
+
 @query("delisted_share", "SELECT count(*) AS candidates, round(coalesce(avg(CASE WHEN delisted_date IS NULL THEN 0e0 ELSE 1e0 END), 0), 6) AS delisted_share FROM cand JOIN tick USING (asset_id)")
 def delisted_share(x):
     return tidy(U.delisted_share(x.candidates, x.tickers))
@@ -451,7 +456,7 @@ def universe_rejections(x):
     return U.rejection_reasons(x.snapshots)
 
 
-@query("ever_eligible_panel", f"SELECT {PANEL_SQL} FROM panel WHERE asset_id IN (SELECT asset_id FROM snap WHERE eligible)")
+@query("ever_eligible_panel", f"SELECT {PANEL_SQL} FROM panel SEMI JOIN (SELECT DISTINCT asset_id FROM snap WHERE eligible) USING (asset_id)")
 def ever_eligible_panel(x):
     return panel_view(U.restrict_to(x.panel, U.ever_eligible(x.snapshots)))
 

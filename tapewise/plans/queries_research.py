@@ -213,16 +213,45 @@ def calibration_buckets(x):
     return tidy(RE.calibration(x.trades, x.row_key, 10, P).select("bucket", "n", "mean_realised_r"))
 
 
+@query("calibration_flat", """SELECT CAST(1 AS BIGINT) AS bucket, count(*) AS n, round(avg(realised_r), 6) AS mean_realised_r, 0.05e0 AS predicted_mid FROM money WHERE ev_net_r_at_entry IS NOT NULL AND realised_r IS NOT NULL""")
+def calibration_flat(x):
+    flat = x.trades.withColumn("ev_net_r_at_entry", F.when(F.col("ev_net_r_at_entry").isNotNull(), F.lit(0.05)))
+    return tidy(RE.calibration(flat, x.row_key, 10, P).select("bucket", "n", "mean_realised_r", "predicted_mid"), 6, predicted_mid=3)
+
+
+@query("funnel_written", """SELECT stage, rejection_reason, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN reason IS NULL THEN 'ACCEPTED' ELSE 'REJECT' END AS stage, coalesce(reason, '') AS rejection_reason, 1 AS n FROM dec
+  UNION ALL SELECT 'ACCEPTED', '', 0) GROUP BY ALL""")
+def funnel_written(x):
+    from tapewise.operators.decisions import funnel
+    from tapewise.plans.queries_decide import evaluated
+    from tapewise.plans.queries_panel import scratch
+    path = scratch(x, "funnel")
+    O.write_funnel(funnel(evaluated(x)), path)
+    got = x.spark.read.csv(path, header=True, schema="stage string, rejection_reason string, n long")
+    return tidy(got.withColumn("rejection_reason", F.coalesce("rejection_reason", F.lit(""))))
+
+
+@query("typed_actions", """SELECT action_type, count(*) AS n FROM acts WHERE month(ex_date) <> 1 GROUP BY 1""")
+def typed_actions(x):
+    other = x.actions.withColumn("action_type", F.when(F.month("ex_date") == 1, "RIGHTS").otherwise(F.col("action_type")))
+    return tidy(O.typed_actions(other).groupBy("action_type").agg(F.count(F.lit(1)).alias("n")))
+
+
 @query("calibration_table")
 def calibration_table(x):
     return tidy(RE.calibration(x.trades, x.row_key, 10, P))
 
 
-@query("compare_samples", f"""SELECT n1, n2, {d('m1 v1 m2 v2 t_stat dof')} FROM (SELECT *, (m1 - m2) / sqrt(v1 / n1 + v2 / n2) AS t_stat, pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)) AS dof
+#: Two-sided p-value of t_stat: one minus the density between -t and t, by Simpson's rule.
+P_VALUE = """round(1 - 2 * abs(t_stat) / 6000 * list_sum(list_transform(range(2001), lambda k: CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END
+  * exp(lgamma((dof + 1) / 2) - lgamma(dof / 2)) / sqrt(dof * pi()) * pow(1 + pow(t_stat * k / 2000, 2) / dof, -(dof + 1) / 2))), 6) AS p_value"""
+
+
+@query("compare_samples", f"""SELECT n1, n2, {d('m1 v1 m2 v2 t_stat dof')}, {P_VALUE} FROM (SELECT *, (m1 - m2) / sqrt(v1 / n1 + v2 / n2) AS t_stat, pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)) AS dof
   FROM (SELECT avg(realised_r) FILTER (direction = 'LONG') AS m1, var_samp(realised_r) FILTER (direction = 'LONG') AS v1, count(*) FILTER (direction = 'LONG') AS n1,
   avg(realised_r) FILTER (direction <> 'LONG') AS m2, var_samp(realised_r) FILTER (direction <> 'LONG') AS v2, count(*) FILTER (direction <> 'LONG') AS n2 FROM money))""")
 def compare_samples(x):
-    return tidy(RE.compare_samples(x.trades, F.col("direction") == "LONG", "realised_r").drop("p_value"))
+    return tidy(RE.compare_samples(x.trades, F.col("direction") == "LONG", "realised_r"))
 
 
 Z = 1.6448536269514715
