@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from decimal import ROUND_DOWN, Decimal
+from decimal import Decimal
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tapewise.functions.exprs import MONEY, first_reason, is_true, ratio, round_cents, round_qty, to_decimal
 from tapewise.operators.asof import asof_backward, forward_rows
-from tapewise.params import BPS, SESSIONS_PER_YEAR, CostParams, PortfolioParams, RiskParams
+from tapewise.operators.decisions import round_trip_cost
+from tapewise.params import BPS, CostParams, PortfolioParams, RiskParams
 
 
 # -- sizing ----------------------------------------------------------------------
@@ -97,95 +96,98 @@ def breaker(r: RiskParams) -> Column:
 
 # -- greedy allocation -----------------------------------------------------------
 
-_OUT = T.StructType([
-    T.StructField("rank", T.IntegerType()), T.StructField("accepted", T.BooleanType()),
-    T.StructField("reason", T.StringType()), T.StructField("qty", T.DoubleType()),
-    T.StructField("notional_usd", T.DoubleType()), T.StructField("risk_usd", T.DoubleType()),
-    T.StructField("size_multiplier", T.DoubleType()), T.StructField("final_cost_r", T.DoubleType()),
-])
-
-
-def _dec(x) -> Decimal:
-    return x if isinstance(x, Decimal) else Decimal(str(x))
-
-
-def _cost_r(row, notional: float, risk: float, c: CostParams) -> float:
-    side = min(max(notional / row.price_raw * c.commission_per_share, c.commission_min), c.commission_max_share * notional)
-    bps = 2 * side / notional * BPS + 2 * max(row.spread_bps_est, 0.0)
-    bps += 2 * (c.slippage_fixed_bps + c.slippage_vol_coef * row.atr_pct * BPS)
-    bps += c.impact_coef * row.atr_pct * BPS * (notional / max(row.adv_usd_60, c.min_adv)) ** 0.5
-    if row.direction == "SHORT":
-        bps += (c.borrow_bps_per_year + c.dividend_yield * BPS) * row.expected_bars_held / SESSIONS_PER_YEAR
-    return bps * c.multiplier / BPS * notional / risk
-
-
-def _fill_book(p: PortfolioParams, r: RiskParams, c: CostParams, keys: list[str]):
-    """Allocation of one book's few best candidates, each seeing those before it."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank")
-        first = pdf.iloc[0]
-        equity = _dec(first.equity)
-        heat, gross, beta = _dec(first.heat_usd), _dec(first.gross_usd), _dec(first.beta_usd)
-        trades, count = int(first.trades_today), int(first.n_positions)
-        taken: set[str] = set()
-        extra: dict[str, list] = {}
-        out = []
-        for row in pdf.itertuples(index=False):
-            def say(reason, *rest):
-                out.append((row.rank, reason is None, reason, *(rest or (None,) * 5)))
-            if not r.trading_enabled:
-                say("KILL_SWITCH"); continue
-            if row.tripped or trades >= r.max_trades_per_day:
-                say("CIRCUIT_BREAKER"); continue
-            if row.in_position or row.symbol in taken:
-                say("ALREADY_IN_POSITION"); continue
-            if count >= p.max_positions:
-                say("MAX_POSITIONS"); continue
-            if row.sentiment_multiplier <= 0:
-                say("SENTIMENT_VETO"); continue
-            used = float(heat / equity) / p.max_heat if equity else 0.0
-            taper = 1.0
-            if used > p.heat_taper_start:
-                room = 1.0 - p.heat_taper_start
-                taper = p.heat_min if room <= 0 else min(1.0, max(p.heat_min, (1.0 - used) / room))
-            liquid = min(1.0, max(p.liquidity_min, (row.adv_usd_60 / p.liquidity_full_adv) ** 0.5))
-            mult = row.sentiment_multiplier * liquid * taper
-            price, ref = _dec(row.price_raw), _dec(row.reference_price)
-            unit = abs(ref - _dec(row.stop_price)) * (price / ref)
-            budget = (equity * _dec(p.risk_fraction) * _dec(mult)).quantize(Decimal("0.01"), rounding=ROUND_DOWN)
-            cap = min(equity * _dec(p.max_position_notional), _dec(row.adv_usd_60 * p.max_adv_share))
-            step = _dec(row.step_size)
-            qty = (min(budget / unit, cap / price) / step).to_integral_value(ROUND_DOWN) * step
-            risk, notional = qty * unit, qty * price
-            if qty <= 0 or notional < _dec(row.min_notional_usd):
-                say("SIZE_BELOW_MIN_NOTIONAL"); continue
-            sign = 1 if row.direction == "LONG" else -1
-            c_risk, c_count = extra.get(row.cluster, [Decimal(0), 0])
-            if float((heat + risk) / equity) > p.max_heat:
-                say("PORTFOLIO_HEAT_CAP"); continue
-            if (float((_dec(row.cluster_usd) + c_risk + risk) / equity) > p.max_cluster_risk
-                    or row.cluster_positions + c_count + 1 > p.max_per_cluster):
-                say("CLUSTER_CAP"); continue
-            new_beta = beta + sign * risk * _dec(row.beta_bench_90)
-            if abs(float(new_beta / equity)) > p.max_net_beta:
-                say("BETA_CAP"); continue
-            if float((gross + notional) / equity) > p.max_gross:
-                say("GROSS_EXPOSURE_CAP"); continue
-            cost = _cost_r(row, float(notional), float(risk), c)
-            if row.ev_r_lcb - cost < p.min_ev_net_r:
-                say("BELOW_EV_THRESHOLD"); continue
-            say(None, float(qty), float(notional), float(risk), mult, cost)
-            heat, gross, beta = heat + risk, gross + notional, new_beta
-            trades, count = trades + 1, count + 1
-            taken.add(row.symbol)
-            extra[row.cluster] = [c_risk + risk, c_count + 1]
-        got = pd.DataFrame(out, columns=[f.name for f in _OUT.fields])
-        for k in keys:
-            got[k] = first[k]
-        return got[[*keys, *(f.name for f in _OUT.fields)]]
-
-    return run
+#: The verdict on a candidate.
+VERDICT = "rank int, accepted boolean, reason string, qty double, notional_usd double, risk_usd double, size_multiplier double, final_cost_r double"
+_VERDICT = [c.split() for c in VERDICT.split(", ")]
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _taken(p: PortfolioParams, r: RiskParams, c: CostParams):
+    """The step of the fold: (book so far, candidate) to the book with one more verdict."""
+    step_equity = lambda x: to_decimal(x["equity"])
+
+    def share(usd: Column, x: Column) -> Column:
+        return (usd / step_equity(x)).cast("double")
+
+    def sized(book: Column, x: Column) -> Column:
+        """Quantity, size multiplier, and what the position would risk and cost."""
+        mult = x["sentiment_multiplier"] * x["liquid"] * heat_multiplier(F.coalesce(share(book["heat"], x), F.lit(0.0)), p)
+        budget = round_cents((step_equity(x) * F.lit(Decimal(str(p.risk_fraction))).cast(MONEY)).cast(MONEY) * to_decimal(mult)).cast(MONEY)
+        raw = F.least((budget / F.when(x["unit"] > 0, x["unit"])).cast(MONEY), x["most"])
+        qty = round_qty(raw, to_decimal(x["step_size"]))
+        return F.struct(qty.alias("qty"), (qty * x["unit"]).cast(MONEY).alias("risk"), (qty * to_decimal(x["price_raw"])).cast(MONEY).alias("notional"), mult.alias("mult"))
+
+    def judged(book: Column, x: Column, s: Column) -> Column:
+        own = F.filter(book["clusters"], lambda k: k["cluster"].eqNullSafe(x["cluster"]))
+        risk_here = F.aggregate(own, F.lit(0).cast(MONEY), lambda t, k: (t + k["risk"]).cast(MONEY))
+        beta = (book["beta"] + x["sign"] * s["risk"] * to_decimal(x["beta_bench_90"])).cast(MONEY)
+        cost = round_trip_cost(s["notional"].cast("double"), s["risk"].cast("double"), x["expected_bars_held"], x["price_raw"], x["atr_pct"],
+                               x["spread_bps_est"], x["adv_usd_60"], x["direction"], c)["cost_r"]
+        reason = first_reason([
+            (F.lit(not r.trading_enabled), "KILL_SWITCH"),
+            (x["tripped"] | (book["trades"] >= r.max_trades_per_day), "CIRCUIT_BREAKER"),
+            (x["in_position"] | F.array_contains(book["symbols"], x["symbol"]), "ALREADY_IN_POSITION"),
+            (book["count"] >= p.max_positions, "MAX_POSITIONS"),
+            (x["sentiment_multiplier"] <= 0, "SENTIMENT_VETO"),
+            (~is_true(s["qty"] > 0) | (s["notional"] < to_decimal(x["min_notional_usd"])), "SIZE_BELOW_MIN_NOTIONAL"),
+            (share((book["heat"] + s["risk"]).cast(MONEY), x) > p.max_heat, "PORTFOLIO_HEAT_CAP"),
+            ((share((to_decimal(x["cluster_usd"]) + risk_here + s["risk"]).cast(MONEY), x) > p.max_cluster_risk)
+             | (x["cluster_positions"] + F.size(own) + 1 > p.max_per_cluster), "CLUSTER_CAP"),
+            (F.abs(share(beta, x)) > p.max_net_beta, "BETA_CAP"),
+            (share((book["gross"] + s["notional"]).cast(MONEY), x) > p.max_gross, "GROSS_EXPOSURE_CAP"),
+            (~is_true(x["ev_r_lcb"] - cost >= p.min_ev_net_r), "BELOW_EV_THRESHOLD"),
+        ])
+        return F.struct(reason.alias("reason"), beta.alias("beta"), cost.alias("cost"))
+
+    def add(book: Column, x: Column) -> Column:
+        def verdict(s: Column) -> Column:
+            def after(j: Column) -> Column:
+                yes = j["reason"].isNull()
+                own = [x["rank"], yes, j["reason"], *[F.when(yes, v.cast("double")) for v in (s["qty"], s["notional"], s["risk"], s["mult"], j["cost"])]]
+                out = F.struct(*[v.cast(t).alias(n) for v, (n, t) in zip(own, _VERDICT)])
+                one = F.when(yes, 1).otherwise(0)
+                return F.struct(
+                    F.when(yes, (book["heat"] + s["risk"]).cast(MONEY)).otherwise(book["heat"]).alias("heat"),
+                    F.when(yes, (book["gross"] + s["notional"]).cast(MONEY)).otherwise(book["gross"]).alias("gross"),
+                    F.when(yes, j["beta"]).otherwise(book["beta"]).alias("beta"),
+                    (book["trades"] + one).cast("long").alias("trades"), (book["count"] + one).cast("long").alias("count"),
+                    F.when(yes, F.concat(book["symbols"], F.array(x["symbol"]))).otherwise(book["symbols"]).alias("symbols"),
+                    F.when(yes, F.concat(book["clusters"], F.array(F.struct(x["cluster"].alias("cluster"), s["risk"].alias("risk"))))).otherwise(
+                        book["clusters"]).alias("clusters"),
+                    F.concat(book["verdicts"], F.array(out)).alias("verdicts"))
+            return _let(judged(book, x, s), after)
+        return _let(sized(book, x), verdict)
+
+    return add
+
+
+def _fold(head: DataFrame, keys: list[str], p: PortfolioParams, r: RiskParams, c: CostParams) -> DataFrame:
+    """Verdicts on each book's few best candidates, each seeing those before it.
+
+    A book's candidates (at most ``top_n``) are one short sorted array, folded with the book
+    as the accumulator: what it risks, holds and has judged so far.
+    """
+    price = to_decimal("price_raw")
+    cap = F.least((to_decimal("equity") * F.lit(Decimal(str(p.max_position_notional))).cast(MONEY)).cast(MONEY), to_decimal(F.col("adv_usd_60") * p.max_adv_share))
+    rows = head.withColumns({
+        "unit": raw_distance(F.col("reference_price"), F.col("stop_price"), price),
+        "most": F.when(F.col("adv_usd_60").isNotNull(), (cap / F.when(price > 0, price)).cast(MONEY)),  # no size without a known ADV
+        "liquid": liquidity_multiplier(F.col("adv_usd_60"), p),
+        "sign": F.when(F.col("direction") == "LONG", 1).otherwise(-1),
+    })
+    columns = ["rank", *[x for x in rows.columns if x not in ("rank", *keys)]]
+    books = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("_c"))
+    first = F.col("_c")[0]
+    empty = F.from_json(F.lit('{"s": [], "k": [], "v": []}'), f"s array<string>, k array<struct<cluster: string, risk: decimal(38,12)>>, v array<struct<{', '.join(f'{n}: {t}' for n, t in _VERDICT)}>>")
+    zero = F.struct(
+        to_decimal(first["heat_usd"]).alias("heat"), to_decimal(first["gross_usd"]).alias("gross"), to_decimal(first["beta_usd"]).alias("beta"),
+        first["trades_today"].cast("long").alias("trades"), first["n_positions"].cast("long").alias("count"),
+        empty["s"].alias("symbols"), empty["k"].alias("clusters"), empty["v"].alias("verdicts"))
+    return books.select(*keys, F.explode(F.aggregate("_c", zero, _taken(p, r, c))["verdicts"]).alias("_v")).select(*keys, "_v.*")
 
 
 def allocate(ranked: DataFrame, books: DataFrame, positions: DataFrame, keys: list[str],
@@ -214,8 +216,7 @@ def allocate(ranked: DataFrame, books: DataFrame, positions: DataFrame, keys: li
     rows = ranked.join(state, keys).join(clusters, [*keys, "cluster"], "left").join(held, [*keys, "symbol"], "left").fillna(
         {"cluster_usd": 0.0, "cluster_positions": 0, "in_position": False})
     head = rows.where(F.col("rank") <= p.top_n)
-    schema = T.StructType([ranked.schema[k] for k in keys] + _OUT.fields)
-    verdicts = head.groupBy(*keys).applyInPandas(_fill_book(p, r, c, keys), schema)
+    verdicts = _fold(head, keys, p, r, c)
     took = head.select(*keys, "rank", "symbol").join(verdicts.where("accepted").select(*keys, "rank"), [*keys, "rank"])
     after = took.groupBy(*keys).agg(F.count(F.lit(1)).alias("_new"), F.collect_set("symbol").alias("_took"))  # <= top_n
     tail = rows.where(F.col("rank") > p.top_n).join(after, keys, "left")
@@ -227,7 +228,7 @@ def allocate(ranked: DataFrame, books: DataFrame, positions: DataFrame, keys: li
         (F.col("n_positions") + new >= p.max_positions, "MAX_POSITIONS"),
     ], F.lit("BELOW_TOP_N"))
     tail = tail.select(*keys, "rank", F.lit(False).alias("accepted"), tail_reason.alias("reason"),
-                       *[F.lit(None).cast("double").alias(f.name) for f in _OUT.fields[3:]])
+                       *[F.lit(None).cast("double").alias(n) for n, _ in _VERDICT[3:]])
     return ranked.join(verdicts.unionByName(tail), [*keys, "rank"])
 
 

@@ -10,7 +10,7 @@ from tapewise.operators import portfolio as PF
 from tapewise.operators import sentiment as SE
 from tapewise.operators.features import FEATURE_COLUMNS
 from tapewise.operators.bootstrap import POISSON_CUMULATIVE
-from tapewise.params import CostParams, EdgeParams, PortfolioParams, SentimentParams
+from tapewise.params import CostParams, EdgeParams, PortfolioParams, RiskParams, SentimentParams
 from tapewise.plans import derived as D
 from tapewise.plans.catalog import query, tidy
 from tapewise.plans.inputs import EQUITY, WARMUPS, strategies
@@ -251,20 +251,55 @@ def cluster_exposure(x):
     return tidy(PF.cluster_exposures(pos, eq, ["ts"]))
 
 
-@query("greedy_allocation")
+GP = PortfolioParams(min_ev_net_r=-5.0, max_positions=40, max_per_cluster=12)
+GR = RiskParams(max_drawdown=0.9, max_daily_loss=0.9)
+SHRUNK = 0.002  # leaves room below the caps
+# what each book holds at first, and its few best candidates
+cte("books0", f"""SELECT c.session, c.equity, greatest(0e0, coalesce((peak - c.equity) / nullif(greatest(peak, 0), 0), 0)) >= {GR.max_drawdown}
+    OR greatest(0e0, coalesce((day_start - c.equity) / nullif(greatest(day_start, 0), 0), 0)) >= {GR.max_daily_loss} AS tripped,
+  coalesce(r, 0) * {SHRUNK} AS heat, coalesce(g, 0) * {SHRUNK} AS gross, coalesce(bt, 0) * {SHRUNK} AS beta, coalesce(n, 0) AS n
+  FROM curve3 c LEFT JOIN (SELECT session, sum({RISK}) AS r, sum(abs(qty) * entry_price) AS g, sum(sign * {RISK} * b) AS bt, count(*) AS n FROM held GROUP BY 1) h ON h.session = c.session""")
+cte("cands", f"""SELECT r.*, CASE WHEN r.direction = 'LONG' THEN 1 ELSE -1 END AS sgn2, CASE WHEN vol_bucket = 'MID' THEN 0.6e0 ELSE 1e0 END AS sm, abs(reference_price - stop_price) * close_raw / reference_price AS unit,
+  least(equity * {GP.max_position_notional}, r.adv_usd_60 * {GP.max_adv_share}) / close_raw AS most, least(1e0, greatest({GP.liquidity_min}, sqrt(r.adv_usd_60 / {GP.liquidity_full_adv}))) AS liquid,
+  coalesce(k.cu, 0) * {SHRUNK} AS cu, coalesce(k.cn, 0) AS cn, i.symbol IS NOT NULL AS inpos, b.equity, b.tripped, b.n AS n0
+  FROM ranked r JOIN books0 b ON b.session = r.session LEFT JOIN (SELECT session, cluster, sum({RISK}) AS cu, count(*) AS cn FROM held GROUP BY ALL) k ON k.session = r.session AND k.cluster = r.cluster
+  LEFT JOIN (SELECT DISTINCT session, symbol FROM held) i ON i.session = r.session AND i.symbol = r.symbol""")
+cte("walk", f"""WITH RECURSIVE w AS (
+  SELECT session, 0 AS rank, heat, gross, beta, 0 AS taken, CAST([] AS VARCHAR[]) AS syms, CAST([] AS STRUCT(c VARCHAR, r DOUBLE)[]) AS cl, CAST(NULL AS VARCHAR) AS why, 0e0 AS qty, 0e0 AS notional, 0e0 AS risk, 0e0 AS mult, 0e0 AS cost FROM books0
+  UNION ALL
+  SELECT session, rank, CASE WHEN why IS NULL THEN heat + risk ELSE heat END, CASE WHEN why IS NULL THEN gross + notional ELSE gross END, CASE WHEN why IS NULL THEN beta2 ELSE beta END, taken + CASE WHEN why IS NULL THEN 1 ELSE 0 END,
+    CASE WHEN why IS NULL THEN list_append(syms, symbol) ELSE syms END, CASE WHEN why IS NULL THEN list_append(cl, {{'c': cluster, 'r': risk}}) ELSE cl END, why, qty, notional, risk, mult, cost
+  FROM (SELECT *, CASE WHEN tripped OR taken >= {GR.max_trades_per_day} THEN 'CIRCUIT_BREAKER' WHEN inpos OR list_contains(syms, symbol) THEN 'ALREADY_IN_POSITION' WHEN n0 + taken >= {GP.max_positions} THEN 'MAX_POSITIONS'
+      WHEN sm <= 0 THEN 'SENTIMENT_VETO' WHEN NOT coalesce(qty > 0, false) THEN 'SIZE_BELOW_MIN_NOTIONAL' WHEN (heat + risk) / equity > {GP.max_heat} THEN 'PORTFOLIO_HEAT_CAP'
+      WHEN (cu + coalesce(list_sum(list_transform(list_filter(cl, lambda e: e.c = cluster), lambda e: e.r)), 0) + risk) / equity > {GP.max_cluster_risk} OR cn + len(list_filter(cl, lambda e: e.c = cluster)) + 1 > {GP.max_per_cluster} THEN 'CLUSTER_CAP'
+      WHEN abs(beta2 / equity) > {GP.max_net_beta} THEN 'BETA_CAP' WHEN (gross + notional) / equity > {GP.max_gross} THEN 'GROSS_EXPOSURE_CAP' WHEN NOT coalesce(bin_ev_r_lcb - cost >= {GP.min_ev_net_r}, false) THEN 'BELOW_EV_THRESHOLD' END AS why
+    FROM (SELECT *, (fee2 + spread_bps + slippage_bps + impact_bps + funding_bps) / 1e4 * notional / nullif(risk, 0) AS cost FROM (SELECT *, {cost_sql('nullif(notional, 0)', 'risk', 'hold_bars', 'close_raw')}
+      FROM (SELECT *, qty * unit AS risk, qty * close_raw AS notional, beta + sgn2 * qty * unit * beta_bench_90 AS beta2 FROM (SELECT *, floor(least(floor(equity * {GP.risk_fraction} * mult * 100 + 1e-7) / 100 / unit, most) + 1e-9) AS qty
+        FROM (SELECT w.heat, w.gross, w.beta, w.taken, w.syms, w.cl, c.*, sm * liquid * CASE WHEN w.heat / equity / {GP.max_heat} <= {GP.heat_taper_start} THEN 1e0
+            ELSE least(1e0, greatest({GP.heat_min}, (1 - w.heat / equity / {GP.max_heat}) / (1 - {GP.heat_taper_start}))) END AS mult
+          FROM w JOIN cands c ON c.session = w.session AND c.rank = w.rank + 1 AND c.rank <= {GP.top_n})))))))
+  SELECT * FROM w WHERE rank > 0""")
+
+
+@query("greedy_allocation", f"""SELECT CAST(c.session AS VARCHAR) AS ts, c.rank, c.symbol, c.strategy_id, c.rank <= {GP.top_n} AND w.why IS NULL AS accepted,
+  CASE WHEN c.rank <= {GP.top_n} THEN w.why WHEN tripped OR coalesce(l.taken, 0) >= {GR.max_trades_per_day} THEN 'CIRCUIT_BREAKER' WHEN inpos OR coalesce(list_contains(l.syms, c.symbol), false) THEN 'ALREADY_IN_POSITION'
+    WHEN n0 + coalesce(l.taken, 0) >= {GP.max_positions} THEN 'MAX_POSITIONS' ELSE 'BELOW_TOP_N' END AS reason,
+  CASE WHEN w.session IS NOT NULL AND w.why IS NULL THEN round(w.qty, 6) END AS qty, CASE WHEN w.session IS NOT NULL AND w.why IS NULL THEN round(w.notional, 4) END AS notional_usd,
+  CASE WHEN w.session IS NOT NULL AND w.why IS NULL THEN round(w.risk, 4) END AS risk_usd, CASE WHEN w.session IS NOT NULL AND w.why IS NULL THEN round(w.mult, 6) END AS size_multiplier,
+  CASE WHEN w.session IS NOT NULL AND w.why IS NULL THEN round(w.cost, 5) END AS final_cost_r
+  FROM cands c LEFT JOIN walk w ON w.session = c.session AND w.rank = c.rank LEFT JOIN walk l ON l.session = c.session AND l.rank = {GP.top_n}""")
 def greedy_allocation(x):
     pos, eq = _books(x)
-    small = pos.withColumn("qty", F.col("qty") * 0.002)  # leave room below the caps
+    small = pos.withColumn("qty", F.col("qty") * SHRUNK)
     books = eq.select("ts", "equity", "peak_equity", "day_start_equity").withColumn("trades_today", F.lit(0)).withColumn("bars_since_breaker", F.lit(10_000))
     r = DE.rank_opportunities(evaluated(x), BOOK.min_ev_net_r).withColumn("price_raw", F.col("close_raw")).withColumn(
         "sentiment_multiplier", F.when(F.col("vol_bucket") == "MID", 0.6).otherwise(1.0)).withColumn("ev_r_lcb", F.col("bin_ev_r_lcb")).withColumn(
         "step_size", F.lit(1.0)).withColumn("min_notional_usd", F.lit(0.0))
     cols = ["ts", "rank", "symbol", "strategy_id", "direction", "cluster", "reference_price", "stop_price", "price_raw", "adv_usd_60", "atr_pct", "spread_bps_est",
             "beta_bench_90", "ev_r_lcb", "expected_bars_held", "sentiment_multiplier", "step_size", "min_notional_usd"]
-    p = PortfolioParams(min_ev_net_r=-5.0, max_positions=40, max_per_cluster=12)
-    from tapewise.params import RiskParams
-    out = PF.allocate(r.select(*cols), books, small, ["ts"], p, RiskParams(max_drawdown=0.9, max_daily_loss=0.9), C)
-    return tidy(out.select("ts", "rank", "symbol", "strategy_id", "accepted", "reason", "qty", "notional_usd", "risk_usd", "size_multiplier", "final_cost_r"))
+    out = PF.allocate(r.select(*cols), books, small, ["ts"], GP, GR, C)
+    return tidy(out.select("ts", "rank", "symbol", "strategy_id", "accepted", "reason", "qty", "notional_usd", "risk_usd", "size_multiplier", "final_cost_r"), 6,
+                notional_usd=4, risk_usd=4, final_cost_r=5)
 
 
 # -- holdings -----------------------------------------------------------------------------------
