@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -50,6 +51,16 @@ def tabled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of rounds that are done.
+
+    Spark does so when the driver collects the plans that made them, which a loop of many
+    rounds on few driver objects may not bring about for long.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def broadcast_rows(df: DataFrame, max_rows: int) -> DataFrame:
     """Mark a staged table of narrow rows for broadcast when it has at most ``max_rows``.
 
