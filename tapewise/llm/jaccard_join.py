@@ -46,7 +46,7 @@ from pyspark.sql import types as T
 
 from tapewise.llm.common import map_texts
 from tapewise.llm.components import components
-from tapewise.session import broadcast_rows, staged
+from tapewise.session import broadcast_rows, release, staged
 
 WORDS = 5
 SKETCH = 48
@@ -150,10 +150,17 @@ def set_store(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> Data
 
 
 def compared(pairs: DataFrame, store: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link, by exact intersection."""
-    s = store.select("node", "set")
-    both = (pairs.select("a", "b").join(s.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
-            .join(s.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b"))
+    """The pairs (a, b) whose sets link, by exact intersection.
+
+    Each side of the store is cut to the nodes of that side before it is shuffled.
+    """
+    pairs = staged(pairs.select("a", "b"))
+
+    def side(c: str) -> DataFrame:
+        wanted = broadcast_rows(staged(pairs.select(F.col(c).alias("node")).distinct()), BROADCAST_IDS)
+        return store.select("node", "set").join(wanted, "node", "left_semi").select(F.col("node").alias(c), F.col("set").alias(f"s{c}"))
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -317,6 +324,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     kept = ranked.select("node", "n", F.explode(F.slice("_s.token", F.lit(1), F.size("_s") - need + 1)).alias("token"))
     posts = staged(kept)
     store = staged(set_store(docs, staged(posts.select("node").distinct()), doc_id, text))
+    del held, df, ranked, kept
+    release(docs.sparkSession)
 
     links, comp = None, None
     for k in range(ROUNDS):
@@ -329,11 +338,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         new = staged(compared(best, store))
         links = new if links is None else staged(links.union(new))
         comp = staged(components(links, "a", "b"))
+        del alive, lead, pairs, best, new
+        release(docs.sparkSession)
     for best in (True, False):  # the likeliest partners first: what they join needs no more comparisons
         alive = staged(with_components(posts, comp))
         found = staged(candidates(alive.join(store.select("node", "bits"), "node"), best))
         links = staged(links.union(compared(found, store)))
         comp = staged(components(links, "a", "b"))
+        del alive, found
+        release(docs.sparkSession)
     root = classes.select(*key, "node").join(comp, "node", "left").select(*key, F.coalesce("root", "node").alias("root"))
     out = rows.join(root, key, "left")
     top = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))

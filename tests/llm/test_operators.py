@@ -320,6 +320,12 @@ def test_secrets_beside_patterned_spans():
     assert [k for _, k, _ in f.spans("password=abcdefghijklmnopqrstuvw." + key)] == [0]
 
 
+def test_letters_of_secret_names_are_ascii():
+    import public_tokenizers
+    f = secrets.Finder(vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert f.base("paſſword=abcdefgh to\u212Aen=abcdefgh") == [] and len(f.base("PassWord=abcdefgh TOKEN: abcdefgh")) == 2
+
+
 def test_secrets_among_readable_parts():
     f, rng = finder(), np.random.default_rng(5)
     kinds = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
