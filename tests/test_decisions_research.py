@@ -96,6 +96,44 @@ def test_sentiment_is_point_in_time(spark):
     assert v[6].confidence == pytest.approx(2 / 20 * .8) and v[6].is_stale and not v[1].is_stale
 
 
+def test_sentiment_totals_match_the_pairs_for_a_hot_symbol(spark):
+    """Against all pairs of decision and observation; one symbol holds most rows, ends and instants fall together."""
+    import numpy as np
+    import pandas as pd
+    rng = np.random.default_rng(17)
+    t0 = pd.Timestamp("2024-01-01")
+    n = 500
+    obs = pd.DataFrame({"symbol": np.where(rng.random(n) < .8, "hot", "b"), "source": rng.choice(["x", "y", "z"], n), "available_ts": t0 + pd.to_timedelta(rng.integers(0, 900, n), "h"),
+                        "score": rng.uniform(-1, 1, n), "source_weight": rng.choice([0.0, .3, 1.0], n), "sample_size": rng.integers(0, 30, n)})
+    ask = pd.DataFrame({"symbol": np.where(rng.random(200) < .8, "hot", rng.choice(["b", "none"], 200)), "ts": t0 + pd.to_timedelta(rng.integers(-50, 1100, 200), "h")}).drop_duplicates()
+    p = SentimentParams()
+    m = ask.merge(obs, on="symbol")
+    age = (m.ts - m.available_ts) / pd.Timedelta("1h")
+    m["w"] = .5 ** (age / p.half_life_hours) * m.source_weight * np.log1p(m.sample_size)
+    m = m[(age >= 0) & (age <= p.max_age_hours) & (m.w > 0)]
+    m["ws"], m["w2"] = m.w * m.score, m.w ** 2
+    want = m.groupby(["symbol", "ts", "source"]).agg(sw=("w", "sum"), sw2=("w2", "sum"), sws=("ws", "sum"), newest=("available_ts", "max"), samples=("sample_size", "sum")).reset_index()
+    totals = SE.decayed_totals(spark.createDataFrame(ask), spark.createDataFrame(obs), p)
+    got = totals.toPandas().sort_values(["symbol", "ts", "source"]).reset_index(drop=True)
+    assert len(got) == len(want) > 200
+    for c in ("sw", "sw2", "sws"):
+        np.testing.assert_allclose(got[c], want[c], rtol=1e-9, atol=1e-12)
+    assert (got.newest.to_numpy() == want.newest.to_numpy()).all() and (got.samples.to_numpy() == want.samples.to_numpy()).all()
+    assert "NestedLoop" not in totals._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError, match="half lives"):
+        SE.decayed_totals(spark.createDataFrame(ask), spark.createDataFrame(obs), SentimentParams(half_life_hours=.1))
+
+
+def test_calibration_of_equal_predictions(spark):
+    import pandas as pd
+    for value in (0.05, -2.0, 0.0):
+        df = spark.createDataFrame([(value, float(i), i) for i in range(8)], "ev_net_r_at_entry double, realised_r double, k int")
+        got = RE.calibration(df, F.col("k"), 10).collect()
+        cut = pd.cut(pd.Series([value] * 8), bins=1)[0]
+        assert [(r["bucket"], r["n"], r["mean_realised_r"]) for r in got] == [(1, 8, 3.5)]
+        assert got[0]["predicted_mid"] == pytest.approx((cut.left + cut.right) / 2, abs=1e-9)
+
+
 @pytest.mark.parametrize("score,conf,sign,want", [(.9, .9, 1, 1.0), (.9, .9, -1, 0.0), (.5, .5, -1, 1 - .85 * .25), (.8, .85, -1, .422), (0.0, .9, -1, 1.0)])
 def test_sentiment_penalty(spark, score, conf, sign, want):
     df = spark.createDataFrame([(score, conf, 10, 2, False)], "score double, confidence double, sample_size int, source_count int, is_stale boolean")

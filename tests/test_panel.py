@@ -110,6 +110,28 @@ def test_asof_forms_agree_with_pandas(spark):
         assert np.array_equal(got, want, equal_nan=True)
 
 
+@pytest.mark.parametrize("width", [7, 100, 1e9])
+def test_asof_spreads_a_hot_key_over_blocks(spark, width):
+    """One key holds most rows; dates, gaps of many blocks, nulls on both sides, equal times."""
+    import numpy as np
+    rng = np.random.default_rng(8)
+    day = np.datetime64("2000-01-01")
+    left = pd.DataFrame({"k": np.where(rng.random(900) < .8, "hot", rng.choice(list("ab"), 900)), "t": day + rng.integers(0, 4000, 900), "id": range(900)})
+    right = pd.DataFrame({"k": np.where(rng.random(60) < .8, "hot", rng.choice(list("ac"), 60)), "t": day + rng.integers(100, 3000, 60)}).drop_duplicates(["k", "t"])
+    right["v"] = np.where(rng.random(len(right)) < .3, np.nan, rng.random(len(right)))
+    want = pd.merge_asof(left.sort_values("t"), right.sort_values("t"), on="t", by="k").sort_values("id").v.to_numpy()
+    schema = "k string, t date, id int"
+    rows = [(r.k, r.t.date(), int(r.id)) for r in left.itertuples()] + [("hot", None, 900), (None, d("2005-01-01"), 901)]
+    L = spark.createDataFrame(rows, schema)
+    R = spark.createDataFrame([(r.k, r.t.date(), None if r.v != r.v else float(r.v)) for r in right.itertuples()] + [("hot", None, 9.0)], "k string, t date, v double")
+    out = A.asof_backward(L, R, ["k"], "t", "t", ["v"], right_ts_as="at", width=width)
+    got = out.toPandas().sort_values("id")
+    assert np.array_equal(got.v.to_numpy(float)[:900], want, equal_nan=True) and got.v.isna().to_numpy()[900:].all() and len(got) == 902
+    if width == 7:
+        sizes = out.groupBy("k", A.time_block(out, "t", width).alias("b")).count().toPandas()["count"]
+        assert sizes.max() < 12  # no block holds much of the hot key
+
+
 def test_many_to_one_refuses_repeated_keys(spark):
     left, right = spark.createDataFrame([(1,)], "k int"), spark.createDataFrame([(1, 2), (1, 3)], "k int, v int")
     with pytest.raises(Exception, match="repeats a key"):
