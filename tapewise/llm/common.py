@@ -14,15 +14,17 @@ from tapewise.session import checkpoint_dir
 
 #: Bytes of text that a task holds in Python at a time; a longer text is a slice by itself.
 SLICE_BYTES = 2_000_000
+#: Rows of a slice of short texts.
+SLICE_ROWS = 4_096
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that each part has about ``most`` bytes in ``column``."""
+    """Cut a batch so that each part has about ``most`` bytes in ``column``, and SLICE_ROWS rows at most."""
     import pyarrow.compute as pc
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
     for i, n in enumerate(sizes.tolist()):
-        if held and held + n > most:
+        if held and held + n > most or i - start >= SLICE_ROWS:
             yield batch.slice(start, i - start)
             start, held = i, 0
         held += n

@@ -23,12 +23,13 @@ import re
 from itertools import product
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapewise.llm.common import map_texts
+from tapewise.llm.common import SLICE_BYTES, SLICE_ROWS, map_texts
 
 TRAIN_ROWS = 2_000
 BUCKETS = 4096
@@ -188,9 +189,24 @@ def report(docs: DataFrame) -> DataFrame:
     return r.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
-def accepted(docs: DataFrame) -> DataFrame:
-    """The documents whose language can be told, with their own columns."""
-    names = {c: f"_in_{i}" for i, c in enumerate(docs.columns)}
-    safe = docs.select(*[F.col(c).alias(n) for c, n in names.items()])
-    r = identify(safe, fit(docs), text=names["text"])
-    return r.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*[F.col(n).alias(c) for c, n in names.items()])
+def accepted(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The documents whose language can be told, with their own columns.
+
+    Python sees the texts alone and answers yes or no, so no text comes back from it.
+    """
+    model = fit(docs, text=text)
+
+    @F.pandas_udf("boolean")
+    def told(texts: pd.Series) -> pd.Series:
+        items, out, a = texts.tolist(), [], 0
+        while a < len(items):  # so many rows and characters at a time
+            b, size = a + 1, len(items[a] or "")
+            while b < len(items) and b - a < SLICE_ROWS and size + len(items[b] or "") <= SLICE_BYTES:
+                size += len(items[b] or "")
+                b += 1
+            names, scores, _ = model.predict(items[a:b])
+            out += [n != UNDETERMINED and s >= LEAST_SCORE for n, s in zip(names, scores, strict=True)]
+            a = b
+        return pd.Series(out, dtype=bool)
+
+    return docs.where(told(F.col(text)))
