@@ -29,8 +29,8 @@ Hashes held by very many classes are cut into blocks, so no task sees more than
 blocks of one hash at a time. Sets travel only for pairs that are compared.
 
 Cases: null and wordless texts have empty sets and link with nothing; texts of fewer
-words than a shingle are one shingle; rows of one doc_id are one node, and their sets
-link; rows without doc_id take no part and have no component; extra columns are
+words than a shingle are one shingle; rows of one doc_id belong together, so if their
+sets differ these link; texts of any length are hashed in chunks; rows without doc_id take no part and have no component; extra columns are
 ignored; an empty table gives no rows.
 """
 
@@ -58,6 +58,8 @@ BLOCK_ROWS = 4096
 #: Node pairs held at a time, and ids that may be broadcast (16 MB).
 FRONTIER = 1 << 15
 BROADCAST_IDS = 1_000_000
+#: Bytes of a text that are hashed at a time.
+CHUNK = 1 << 20
 
 _U = np.uint64
 PAIR_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("comp", pa.int64()), ("score", pa.float64())])
@@ -72,15 +74,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text, as signed 64-bit integers.
-
-    A word's hash is its polynomial in the bytes, from running sums over the whole
-    slice; a shingle's is a scrambled combination of its words' hashes.
-    """
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    joined = b" ".join(raw) + b" "
-    b = np.frombuffer(joined, dtype=np.uint8)
+def word_sums(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, sum) of the words of some bytes: polynomials in a word's bytes, from running sums."""
     upper = (b >= 65) & (b <= 90)
     low = np.where(upper, b + 32, b).astype(_U)
     space = (b == 32) | ((b >= 9) & (b <= 13))
@@ -88,27 +83,97 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     with np.errstate(over="ignore"):
         power = np.cumprod(np.concatenate([[_U(1)], np.full(max(0, len(b) - 1), BASE, dtype=_U)]))
-        run = np.concatenate([[_U(0)], np.cumsum((low + _U(1)) * power)])
+        run = np.concatenate([[_U(0)], np.cumsum((low + _U(1)) * power[:len(b)])])
         back = np.cumprod(np.concatenate([[_U(1)], np.full(max(0, len(b) - 1), pow(BASE, -1, 1 << 64), dtype=_U)]))
-        word = mix(((run[ends] - run[starts]) * back[starts]) ^ mix((ends - starts).astype(_U)))
-        offsets = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])])
-        first = np.searchsorted(starts, offsets)
-        full = np.zeros(max(0, len(word) - WORDS + 1), dtype=_U)
+        return starts, ends, (run[ends] - run[starts]) * back[starts]
+
+
+def word_hashes(sums: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(sums ^ mix(sizes.astype(_U)))
+
+
+def shingles(word: np.ndarray) -> np.ndarray:
+    """The hash of every shingle of consecutive words, as signed 64-bit integers."""
+    full = np.zeros(max(0, len(word) - WORDS + 1), dtype=_U)
+    with np.errstate(over="ignore"):
         for k in range(WORDS):
             full += word[k:len(word) - WORDS + 1 + k] * LANES[k]
-        full = mix(full ^ _U(WORDS)).view(np.int64)
-        out = []
-        for i, j in zip(first[:-1].tolist(), first[1:].tolist()):
-            n = j - i
-            if n >= WORDS:
-                out.append(np.unique(full[i:j - WORDS + 1]))
-            elif n:
-                out.append(mix((word[i:j] * LANES[:n]).sum(keepdims=True, dtype=_U) ^ _U(n)).view(np.int64))
-            else:
-                out.append(np.zeros(0, np.int64))
+        return mix(full ^ _U(WORDS)).view(np.int64)
+
+
+def one_set(word: np.ndarray) -> np.ndarray:
+    """The sorted distinct shingles of a text's words; with fewer words than a shingle, all of them as one."""
+    if len(word) >= WORDS:
+        return np.unique(shingles(word))
+    if not len(word):
+        return np.zeros(0, np.int64)
+    with np.errstate(over="ignore"):
+        return mix((word * LANES[:len(word)]).sum(keepdims=True, dtype=_U) ^ _U(len(word))).view(np.int64)
+
+
+def long_set(raw: bytes) -> np.ndarray:
+    """The set of a long text, a chunk at a time.
+
+    A word that a chunk's end cuts is continued in the next chunk, and the last words of
+    a chunk are the first ones of the next, so the set is that of the whole text.
+    """
+    found, fresh, held = np.zeros(0, np.int64), [], 0
+    last = np.zeros(0, dtype=_U)
+    part, size = _U(0), 0  # sum and bytes of the word that is cut
+    for at in range(0, len(raw), CHUNK):
+        starts, ends, sums = word_sums(np.frombuffer(raw, np.uint8, min(CHUNK, len(raw) - at), at))
+        sizes = ends - starts
+        if size and len(starts) and starts[0] == 0:
+            with np.errstate(over="ignore"):
+                sums[0] = part + sums[0] * _U(pow(BASE, size, 1 << 64))
+            sizes[0] += size
+        elif size:
+            sums, sizes, ends = np.concatenate([[part], sums]), np.concatenate([[size], sizes]), np.concatenate([[0], ends])
+        part, size = _U(0), 0
+        if len(ends) and ends[-1] == CHUNK and at + CHUNK < len(raw):
+            part, size = sums[-1], int(sizes[-1])
+            sums, sizes = sums[:-1], sizes[:-1]
+        word = np.concatenate([last, word_hashes(sums, sizes)])
+        if len(word) < WORDS:
+            last = word
+            continue
+        fresh.append(np.unique(shingles(word)))
+        held += len(fresh[-1])
+        last = word[-WORDS + 1:]
+        if held > len(found):  # merged when there is as much new as old
+            found, fresh, held = np.unique(np.concatenate([found, *fresh])), [], 0
+    found = np.unique(np.concatenate([found, *fresh])) if fresh else found
+    return found if len(found) else one_set(last)
+
+
+def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text, as signed 64-bit integers.
+
+    Short texts are hashed together, long ones each by itself in chunks.
+    """
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    short = [r for r in raw if len(r) <= CHUNK]
+    starts, ends, sums = word_sums(np.frombuffer(b" ".join(short) + b" ", dtype=np.uint8))
+    word = word_hashes(sums, ends - starts)
+    first = np.searchsorted(starts, np.concatenate([[0], np.cumsum([len(r) + 1 for r in short])])).tolist()
+    spans = iter(zip(first, first[1:]))
+    out = []
+    for r in raw:
+        if len(r) > CHUNK:
+            out.append(long_set(r))
+        else:
+            i, j = next(spans)
+            out.append(one_set(word[i:j]))
     return out
 
 
+def fingerprint(s: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit sums of a set, which with its size name it."""
+    with np.errstate(over="ignore"):
+        return int(s.sum()), int(mix(s.view(_U) ^ LANES[2]).sum(dtype=_U).view(np.int64))
+
+
 def linked(inter: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (100 * inter >= 75 * (a + b - inter)) & (inter > 0)
 
@@ -126,27 +191,52 @@ def digests(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     def run(texts: list[str | None]) -> list[pa.Array]:
         sets = shingle_sets(texts)
-        with np.errstate(over="ignore"):
-            fp1 = [int(s.sum()) for s in sets]
-            fp2 = [int(mix(s.view(_U) ^ LANES[2]).sum(dtype=_U).view(np.int64)) for s in sets]
-        return [pa.array([len(s) for s in sets], pa.int64()), pa.array(fp1, pa.int64()), pa.array(fp2, pa.int64()),
+        names = [fingerprint(s) for s in sets]
+        return [pa.array([len(s) for s in sets], pa.int64()), pa.array([f[0] for f in names], pa.int64()), pa.array([f[1] for f in names], pa.int64()),
                 pa.array([s[:SKETCH] for s in sets], pa.list_(pa.int64()))]
 
     return map_texts(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text")), "_text", ["doc_id"], fields, lambda: run)
 
 
-def set_store(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Rows (node, set, bits) of the nodes, from the texts of the documents that name them."""
-    fields = [T.StructField("set", T.BinaryType()), T.StructField("bits", T.BinaryType()), T.StructField("n", T.LongType())]
+def ids_of_several(rows: DataFrame) -> DataFrame | None:
+    """The ids (doc_id) under which rows have different sets; None without any."""
+    key = F.struct("n", "fp1", "fp2")
+    several = staged(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(key).alias("_a"), F.max(key).alias("_b"))
+                     .where("_a <> _b").select("doc_id"))
+    return None if several.isEmpty() else several
+
+
+def named(df: DataFrame, several: DataFrame | None) -> DataFrame:
+    """``df`` of (doc_id, n, fp1, fp2) with column node: the doc_id, or the set's own key where one id has different sets."""
+    if several is None:
+        return df.withColumn("node", F.col("doc_id"))
+    mark = broadcast_rows(several, BROADCAST_IDS).withColumn("_more", F.lit(True))
+    return df.join(mark, "doc_id", "left").withColumn("node", F.when(F.col("_more"), F.xxhash64("n", "fp1", "fp2")).otherwise(F.col("doc_id"))).drop("_more")
+
+
+def set_store(docs: DataFrame, owners: DataFrame, several: DataFrame | None, doc_id: str, text: str) -> DataFrame:
+    """Rows (node, set, bits, n) of the nodes, from the texts of the documents (doc_id) that name them."""
+    fields = [T.StructField("set", T.BinaryType()), T.StructField("bits", T.BinaryType()), T.StructField("n", T.LongType()),
+              T.StructField("fp1", T.LongType()), T.StructField("fp2", T.LongType())]
 
     def run(texts: list[str | None]) -> list[pa.Array]:
         sets = shingle_sets(texts)
+        names = [fingerprint(s) for s in sets]
         return [pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary()),
-                pa.array([len(s) for s in sets], pa.int64())]
+                pa.array([len(s) for s in sets], pa.int64()), pa.array([f[0] for f in names], pa.int64()), pa.array([f[1] for f in names], pa.int64())]
+
+    wanted = broadcast_rows(owners, BROADCAST_IDS)
+    some = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text")).join(wanted, "doc_id")
+    sets = named(map_texts(some, "_text", ["doc_id"], fields, lambda: run).where("n > 0"), several)
+    return sets.select("node", "set", "bits", "n").dropDuplicates(["node"])
 
-    wanted = broadcast_rows(nodes, BROADCAST_IDS)
-    some = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("_text")).join(wanted, "node")
-    return map_texts(some, "_text", ["node"], fields, lambda: run).where("n > 0").dropDuplicates(["node"])
+
+def shared_ids(rows: DataFrame, classes: DataFrame, several: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes that rows of one doc_id are in."""
+    key = ["n", "fp1", "fp2"]
+    at = rows.join(broadcast_rows(several, BROADCAST_IDS), "doc_id").select("doc_id", *key).distinct().join(classes.select(*key, "node"), key)
+    low = at.groupBy("doc_id").agg(F.min("node").alias("a"))
+    return at.join(low, "doc_id").where("a <> node").select("a", F.col("node").alias("b"))
 
 
 def compared(pairs: DataFrame, store: DataFrame) -> DataFrame:
@@ -314,8 +404,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """Per document row: doc_id, n_shingles, component_id."""
     rows = staged(digests(docs, doc_id, text))
     key = ["n", "fp1", "fp2"]
-    classes = staged(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy(*key)
-                     .agg(F.min("doc_id").alias("node"), F.any_value("sketch").alias("sketch")))
+    several = ids_of_several(rows)
+    classes = staged(named(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy(*key)
+                           .agg(F.min("doc_id").alias("doc_id"), F.any_value("sketch").alias("sketch")), several))
     held = classes.select("node", "n", F.explode("sketch").alias("token"))
     df = held.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     need = F.least(F.lit(SHARED), F.ceil(F.col("n") * 0.75)).cast("int")
@@ -323,11 +414,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
               .where(F.size("_s") >= need))
     kept = ranked.select("node", "n", F.explode(F.slice("_s.token", F.lit(1), F.size("_s") - need + 1)).alias("token"))
     posts = staged(kept)
-    store = staged(set_store(docs, staged(posts.select("node").distinct()), doc_id, text))
+    owners = posts.select("node").distinct()
+    if several is None:
+        owners = owners.withColumnRenamed("node", "doc_id")
+    else:
+        owners = classes.join(owners, "node", "left_semi").select("doc_id").distinct()
+    store = staged(set_store(docs, staged(owners), several, doc_id, text))
     del held, df, ranked, kept
     release(docs.sparkSession)
 
-    links, comp = None, None
+    links, comp = (None if several is None else staged(shared_ids(rows, classes, several))), None
     for k in range(ROUNDS):
         alive = staged(with_components(posts, comp))
         order = F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "n", "comp")
@@ -347,7 +443,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         comp = staged(components(links, "a", "b"))
         del alive, found
         release(docs.sparkSession)
-    root = classes.select(*key, "node").join(comp, "node", "left").select(*key, F.coalesce("root", "node").alias("root"))
+    root = classes.select(*key, "node", F.col("doc_id").alias("low")).join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    if several is None:  # nodes are ids, so a root is the smallest one
+        root = root.select(*key, "root")
+    else:
+        root = root.join(root.groupBy("root").agg(F.min("low").alias("_low")), "root").select(*key, F.col("_low").alias("root"))
     out = rows.join(root, key, "left")
     top = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), top.alias("component_id"))

@@ -129,6 +129,28 @@ def test_jaccard_join(spark, docs, nothing):
     assert jaccard_join.report(nothing).collect() == []
 
 
+def test_jaccard_join_of_ids_with_different_texts(spark):
+    rng = np.random.default_rng(6)
+    names = [f"w{i}" for i in range(900)]
+    a, b, c = (list(rng.choice(names, 60)) for _ in range(3))
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (6, " ".join(["x", *a])), (7, " ".join(["x", *b])), (8, " ".join(c)), (9, " ".join(["x", *c])), (9, "other words that stand alone here"),
+            (3, "other words that stand alone here"), (5, None), (5, " ".join(b)), (10, " ".join(rng.choice(names, 60)))]
+    got = {tuple(r) for r in jaccard_join.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    low = {5: 5, 6: 5, 7: 5, 8: 3, 9: 3, 3: 3, 10: 10}
+    assert got == {(i, n, low[i] if n else i) for i, n, _ in brute_components(rows)}
+
+
+def test_sets_of_long_texts_are_those_of_the_whole(monkeypatch):
+    rng = np.random.default_rng(8)
+    odd = ["a", "Bb", "\u00e9t\u00e9", "w" * 40, "x" * 300]
+    texts = ["", " \n", "one", "one two", *("".join(str(rng.choice(odd)) + str(rng.choice([" ", "\t\n", "  "])) for _ in range(n)) for n in (3, 5, 40, 400)), "y" * 1000, "z" * 128 + " q"]
+    whole = jaccard_join.shingle_sets(texts)
+    for size in (1, 7, 64, 128):
+        monkeypatch.setattr(jaccard_join, "CHUNK", size)
+        assert all((x == y).all() and len(x) == len(y) for x, y in zip(whole, jaccard_join.shingle_sets(texts)))
+        assert all(len(a) == len(b) and (a == b).all() for a, b in zip(whole, (jaccard_join.long_set(t.encode()) for t in texts)))
+
+
 def test_jaccard_join_of_chains_and_passages(spark):
     rng = np.random.default_rng(5)
     names = [f"w{i}" for i in range(400)]
