@@ -26,8 +26,9 @@ GRAM = 5
 WINDOW = SPAN - GRAM + 1
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A packed fingerprint is a hash with the word position in its low bits.
-POSITION_BITS = 26
+#: A packed fingerprint is a hash with the word position in its low bits. A string has less
+#: than 2**31 bytes, so less than 2**30 words; equal hashes of unlike words are only candidates.
+POSITION_BITS = 30
 POSITION = (1 << POSITION_BITS) - 1
 #: Fingerprint rows of the benchmark that may be broadcast: 24 bytes each, 48 MB at most.
 BROADCAST_ROWS = 2_000_000
@@ -80,18 +81,18 @@ def fingerprints(df: DataFrame, keep: list[str], short: list[int], broad: bool =
 
 
 def runs(w: str, c: str) -> str:
-    """Word positions of the hit runs of one candidate ``c`` (item words and diagonal).
+    """Word positions of the hit runs of one candidate ``c`` (item words and diagonals).
 
-    The equal stretches of the diagonal are cut where the words differ; stretches of
-    at least min(SPAN, item length) words are hits. ``diag`` is the document position
+    The equal stretches of a diagonal are cut where the words differ; stretches of
+    at least min(SPAN, item length) words are hits. A diagonal is the document position
     of the item's first word.
     """
-    lo, hi = f"greatest(0, {c}.diag)", f"least(size({w}), {c}.diag + size({c}.iw))"
-    differ = f"filter(sequence({lo}, {hi} - 1), j -> {w}[j] <> {c}.iw[j - {c}.diag])"
+    lo, hi = "greatest(0, d)", f"least(size({w}), d + size({c}.iw))"
+    differ = f"filter(sequence({lo}, {hi} - 1), j -> {w}[j] <> {c}.iw[j - d])"
     cuts = f"concat(array({lo} - 1), {differ}, array({hi}))"
     stretch = (f"transform(sequence(1, size(cuts) - 1), q -> CASE WHEN cuts[q] - cuts[q - 1] - 1 >= least({SPAN}, size({c}.iw)) "
                "THEN sequence(cuts[q - 1] + 1, cuts[q] - 1) ELSE array() END)")
-    return f"flatten(flatten(transform(array({cuts}), cuts -> {stretch})))"
+    return f"array_distinct(flatten(transform({c}.diags, d -> flatten(flatten(transform(array({cuts}), cuts -> {stretch}))))))"
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -105,22 +106,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     """
     items = staged(benchmark.where(F.col(item_id).isNotNull())
                    .select(F.col(item_id).cast("string").alias("item"), words(F.col(item_text)).alias("iw"))
-                   .where(F.size("iw") > 0).distinct())
+                   .where(F.size("iw") > 0).distinct().withColumn("row", F.monotonically_increasing_id()))
     short = sorted(r[0] for r in items.where(F.size("iw") < SPAN).select(F.size("iw")).distinct().collect())  # nine values at most
-    long_items = fingerprints(items.where(F.size("iw") >= SPAN).select("item", "iw", F.col("iw").alias("w")), ["item", "iw"], [])
-    prints = long_items
+    prints = fingerprints(items.where(F.size("iw") >= SPAN).select("row", F.col("iw").alias("w")), ["row"], [])
     for k in short:
-        prints = prints.unionByName(fingerprints(items.where(F.size("iw") == k).select("item", "iw", F.col("iw").alias("w")),
-                                                 ["item", "iw"], [k], broad=False))
-    prints = prints.select("k", "print", F.col("pos").alias("ipos"), "item", "iw")
+        prints = prints.unionByName(fingerprints(items.where(F.size("iw") == k).select("row", F.col("iw").alias("w")), ["row"], [k], broad=False))
+    prints = prints.select("k", "print", F.col("pos").alias("ipos"), "row")
     narrow = staged(prints.select("k", "print").distinct())
 
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     key = base.select("doc_id", F.xxhash64("text").alias("_t"), words(F.col("text")).alias("w"))
     met = fingerprints(key, ["doc_id", "_t"], short).join(broadcast_rows(narrow, BROADCAST_ROWS), ["k", "print"], "left_semi")
+    # words of items join once for each document and item that share a fingerprint
     cand = (met.join(prints, ["k", "print"])
-            .select("doc_id", "_t", "item", "iw", (F.col("pos") - F.col("ipos")).alias("diag")).distinct()
-            .groupBy("doc_id", "_t").agg(F.collect_list(F.struct("item", "iw", "diag")).alias("cand")))
+            .select("doc_id", "_t", "row", (F.col("pos") - F.col("ipos")).alias("diag")).distinct()
+            .groupBy("doc_id", "_t", "row").agg(F.collect_list("diag").alias("diags")).join(items, "row")
+            .groupBy("doc_id", "_t").agg(F.collect_list(F.struct("item", "iw", "diags")).alias("cand")))
     full = (base.withColumn("_t", F.xxhash64("text")).alias("b")
             .join(cand.alias("c"), F.col("b.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("b._t") == F.col("c._t")), "left")
             .select("b.doc_id", "b.text", "c.cand"))
