@@ -13,7 +13,8 @@ Cells of many vectors are cut into tiles of bounded size. A pair that several bl
 find is counted by the first of them. Equal vectors are joined once, as a class.
 
 A tile gives, for each vector, the number of its links and the smallest vector of its
-group within the tile, not the pairs. Groups are put together by connected components.
+group within the tile; pairs are folded into these as they are found, so a tile in which
+all vectors are linked holds no more than one of few links. Groups are put together by connected components.
 
 Cases: null, empty and zero vectors and those with null or non-finite components link
 with nothing and are components of their own; vectors of unequal length don't link;
@@ -45,8 +46,9 @@ STRIPE = 512
 COARSE = 1e-5
 SEED = 20240229
 SLACK = 1e-9
-#: Candidate pairs verified at a time.
+#: Candidate pairs verified at a time, and distances held at a time (4 bytes each).
 PAIRS = 20_000
+CELLS_HELD = 1 << 22
 
 
 def rotated(x: np.ndarray) -> np.ndarray:
@@ -118,9 +120,8 @@ def spread(classes: DataFrame, axes: int, t: float) -> DataFrame:
     return classes.mapInArrow(run, "dim int, block int, cell long, home boolean, rep long, n long, vec binary")
 
 
-def smallest_linked(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For nodes 0..n-1 and links (i, j), the smallest node of each one's group."""
-    root = np.arange(n)
+def smallest_linked(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest node of each node's group, given that of earlier links (``root``) and more links (i, j)."""
     while True:
         low = np.minimum(root[i], root[j])
         new = root.copy()
@@ -132,8 +133,8 @@ def smallest_linked(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = new
 
 
-def tile_links(x: np.ndarray, y: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool, block: int, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (left, right) that are linked and first found by ``block``."""
+def tile_links(x: np.ndarray, y: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool, block: int, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (left, right) that are linked and first found by ``block``, PAIRS at most at a time."""
     bounds = block_bounds(y.shape[1])
     lo, hi = bounds[block]
     share = (2 - 2 * t) / y.shape[1]
@@ -141,23 +142,23 @@ def tile_links(x: np.ndarray, y: np.ndarray, left: np.ndarray, right: np.ndarray
     # one product gives |a|^2 + |b|^2 - 2ab, in single precision with slack
     a = np.column_stack([-2 * a, (a * a).sum(axis=1), np.ones(len(a), np.float32)])
     b = np.ascontiguousarray(np.column_stack([b, np.ones(len(b), np.float32), (b * b).sum(axis=1)]).T)
-    out_i, out_j = [], []
-    for r in range(0, len(left), STRIPE):
+    rows = max(1, min(STRIPE, CELLS_HELD // max(1, len(right))))
+    for r in range(0, len(left), rows):
         from_col = r if same else 0
-        at = np.flatnonzero(a[r:r + STRIPE] @ b[:, from_col:] <= np.float32(share * (hi - lo) + COARSE))
-        p, q = at // (len(right) - from_col) + r, at % (len(right) - from_col) + from_col
-        if same:
-            p, q = p[p < q], q[p < q]
-        for k in range(0, len(p), PAIRS):
-            i, j = left[p[k:k + PAIRS]], right[q[k:k + PAIRS]]
+        at = np.flatnonzero(a[r:r + rows] @ b[:, from_col:] <= np.float32(share * (hi - lo) + COARSE))
+        for k in range(0, len(at), PAIRS):
+            some = at[k:k + PAIRS]
+            p, q = some // (len(right) - from_col) + r, some % (len(right) - from_col) + from_col
+            if same:
+                p, q = p[p < q], q[p < q]
+            i, j = left[p], right[q]
             linked = np.einsum("ij,ij->i", x[i], x[j]) >= t
             i, j = i[linked], j[linked]
             gap = (y[i] - y[j]) ** 2
             found = [gap[:, u:v].sum(axis=1) <= share * (v - u) + SLACK for u, v in bounds[:block + 1]]
             first = found[-1] & ~np.any([np.zeros(len(i), bool), *found[:-1]], axis=0)  # earlier blocks count theirs
-            out_i.append(i[first])
-            out_j.append(j[first])
-    return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (np.zeros(0, int), np.zeros(0, int))
+            if first.any():
+                yield i[first], j[first]
 
 
 def tile_result(table: pa.Table, t: float) -> pa.Table:
@@ -170,11 +171,15 @@ def tile_result(table: pa.Table, t: float) -> pa.Table:
     y = rotated(x)
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
-    i, j = tile_links(x, y, left, left if same else right, same, table.column("block")[0].as_py(), t)
-    links = np.bincount(i, weights=n[j], minlength=len(rep)) + np.bincount(j, weights=n[i], minlength=len(rep))
-    root = smallest_linked(len(rep), i, j)
+    links, root = np.zeros(len(rep), np.int64), np.arange(len(rep))
+    for i, j in tile_links(x, y, left, left if same else right, same, table.column("block")[0].as_py(), t):
+        np.add.at(links, i, n[j])
+        np.add.at(links, j, n[i])
+        apart = root[i] != root[j]  # links within a group that is known add nothing to it
+        if apart.any():
+            root = smallest_linked(root, i[apart], j[apart])
     has = np.flatnonzero(links > 0)
-    return pa.table({"rep": pa.array(rep[has], pa.int64()), "links": pa.array(links[has].astype(np.int64)), "root": pa.array(rep[root[has]], pa.int64())})
+    return pa.table({"rep": pa.array(rep[has], pa.int64()), "links": pa.array(links[has]), "root": pa.array(rep[root[has]], pa.int64())})
 
 
 def tiles(placed: DataFrame) -> DataFrame:

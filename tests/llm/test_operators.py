@@ -202,6 +202,28 @@ def test_vector_join(spark):
     assert vector_join.near_duplicates(df.where("false")).collect() == []
 
 
+def test_tile_of_a_dense_group(monkeypatch):
+    import pyarrow as pa
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(3, 16))
+    v = np.concatenate([base[k] + rng.normal(size=(60, 16)) * s for k, s in ((0, 0.05), (1, 0.3), (2, 1.0))]).astype("<f4")
+    n = rng.integers(1, 4, len(v))
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    near = (u @ u.T >= 0.9) & ~np.eye(len(v), dtype=bool)
+    monkeypatch.setattr(vector_join, "PAIRS", 50)
+    monkeypatch.setattr(vector_join, "CELLS_HELD", 1000)
+    links, root = np.zeros(len(v), int), np.arange(len(v))
+    pairs = []
+    for block in range(8):
+        t = pa.table({"side": np.zeros(len(v), int), "rep": np.arange(len(v)), "n": n, "vec": [x.tobytes() for x in v], "block": [block] * len(v), "i": [0] * len(v), "j": [0] * len(v)})
+        for r in vector_join.tile_result(t, 0.9).to_pylist():
+            links[r["rep"]] += r["links"]
+            pairs.append((r["rep"], r["root"]))
+    root = vector_join.smallest_linked(root, *np.array(pairs).T)
+    want = vector_join.smallest_linked(np.arange(len(v)), *np.nonzero(near))
+    assert (links == near @ n).all() and (root == want).all() and near.sum() > 3500
+
+
 def test_records(spark, docs, nothing):
     from tokenizers import Tokenizer
     path = vocabulary("byte_bpe_50k.json")
