@@ -419,3 +419,46 @@ def test_queries_and_pipeline_on_empty_stages(spark, docs, nothing, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns, name
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(ODD)
+
+
+def plain_pipeline(rows, items, ratio=line_dedup.RATIO, least=line_dedup.MIN_PAGES):
+    """The stages after language identification, as loops: {doc_id: text that is encoded}."""
+    drop = {}
+    for site in {r[3] for r in rows}:
+        pages = {r[1] for r in rows if r[3] == site}
+        count = {}
+        for t in pages:
+            for line in {x.strip(" \t\r") for x in t.split("\n")} - {""}:
+                count[line] = count.get(line, 0) + 1
+        drop[site] = {k for k, n in count.items() if n >= least and n > ratio * len(pages)}
+    left = [(r[0], "\n".join(x for x in r[1].split("\n") if x.strip(" \t\r") not in drop[r[3]])) for r in rows]
+    first = {d for d, _, root in brute_components(left) if d == root}
+    return {d: t for d, t in left if d in first and not brute_hits(t, items)[1]}, drop
+
+
+def test_pipeline_rows(spark, tmp_path):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+    rng = np.random.default_rng(12)
+    pools = {"aa": ["karu", "mino", "tesa", "kola", "runi"], "bb": ["schwer", "straucht", "bring", "krumpf", "zwang"], "cc": ["oueaux", "\u00e9liere", "quoi", "ieux", "jeune"]}
+    line = lambda k, n: " ".join(rng.choice(pools[k], n))
+    menu, passage, leak, copied = line("aa", 4), line("aa", 55), line("bb", 14), line("cc", 40) + "\n" + line("cc", 30)
+    rows = [(i, line(k, 40) + "\n\n" + line(k, 20), k, "ab"[i % 2], 0) for i, k in enumerate(list(pools) * 30)]
+    rows += [(100 + i, menu + "\n" + line("aa", 50), "aa", "a", 0) for i in range(12)]
+    rows += [(120 + i, line("aa", 30) + "\n " + passage + "\t\n" + line("aa", 30), "aa", "b", 0) for i in range(9)]
+    rows += [(150 - i, copied, "cc", "a", 0) for i in range(15)]  # exact copies, then near copies
+    rows += [(160 + i, copied.replace(copied.split()[9 * i + 3], "nouveau", 1), "cc", "b", 0) for i in range(3)]
+    rows += [(170 + i, line("bb", 20) + " " + leak + " " + line("bb", 20), "bb", "b", 0) for i in range(4)]
+    rows += [(180, menu, "aa", "a", 0)]
+    unknown = [(190, None, None, "a", 0), (191, "", None, None, 0), (192, "12 345 !!", None, "b", 0)]
+    items = [(1, "zz " + leak + " yy"), (2, None), (3, line("cc", 30))]
+    spark.createDataFrame(rows + unknown, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    want, drop = plain_pipeline(rows, items)
+    assert drop == {"a": {menu}, "b": {passage}}
+    assert len(want) == 90 + 12 + 9 + 1 + 1 and want[136] == copied and want[180] == "" and not any(passage in t for t in want.values())
+    lib = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    ids = {d: lib.encode(t, add_special_tokens=False).ids for d, t in want.items()}
+    got = {tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()}
+    assert got == {(d, len(v), sha(" ".join(map(str, v))), sha(lib.decode(v, skip_special_tokens=False))) for d, v in ids.items()}
