@@ -10,7 +10,7 @@ from tapewise.operators import research as RE
 from tapewise.params import ResearchParams
 from tapewise.plans import derived as D
 from tapewise.plans.catalog import query, tidy
-from tapewise.plans.oracles import cte, d
+from tapewise.plans.oracles import ORDERED_FACTORS, cte, d
 from tapewise.plans.queries_decide import REPS, SEED, UNIFORM, WEIGHT
 from tapewise.sources import outputs as O
 from tapewise.sources import tables as S
@@ -63,13 +63,13 @@ def exposed_sessions(x):
     return tidy(RE.exposed_sessions(x.trades, x.equity))
 
 
-cte("act_", f"""SELECT n / (y * 12) AS trades_per_month, (SELECT avg(CAST(open_trades > 0 AS DOUBLE)) FROM openx) AS exposure_pct, nv / me / y AS turnover_annual, total_fees_usd, total_funding_usd,
+cte("act_", f"""SELECT n / (y * 12) AS trades_per_month, (SELECT avg(CAST(open_trades > 0 AS DOUBLE)) FROM openx) AS exposure_pct, CASE WHEN me > 0 THEN nv / me / y END AS turnover_annual, total_fees_usd, total_funding_usd,
   CASE WHEN gp > 0 THEN (total_fees_usd + total_funding_usd + bw) / gp END AS cost_drag_pct FROM (SELECT count(*) AS n, sum(0.5e0 * (abs(qty * entry_price) + abs(qty * exit_price))) AS nv, sum(fees_usd) AS total_fees_usd,
   sum(funding_usd) AS total_funding_usd, sum(borrow_usd) AS bw, sum(gross_pnl_usd) AS gp FROM money), (SELECT {YEARS} AS y, avg(equity) AS me FROM curve)""")
 ACT_COLS = "trades_per_month exposure_pct turnover_annual total_fees_usd total_funding_usd cost_drag_pct"
 
 
-@query("activity_and_cost", f"SELECT {d(ACT_COLS, 5)} FROM act_")
+@query("activity_and_cost", f"SELECT {d(ACT_COLS, 5)} FROM act_", ORDERED_FACTORS)
 def activity_and_cost(x):
     return tidy(RE.activity_and_cost(x.trades, x.equity), 5)
 
@@ -122,7 +122,7 @@ def deflated_sharpe(x):
     return tidy(RE.deflated_sharpe_row(RE.return_moments(x.equity), 20))
 
 
-@query("run_metrics", f"SELECT {d(RR_COLS)}, {d(TS_COLS)}, {d(ACT_COLS, 6)} FROM (SELECT {RR}, (SELECT coalesce(days, 0) FROM under) AS max_drawdown_duration_days FROM rr), ts_, act_")
+@query("run_metrics", f"SELECT {d(RR_COLS)}, {d(TS_COLS)}, {d(ACT_COLS, 6)} FROM (SELECT {RR}, (SELECT coalesce(days, 0) FROM under) AS max_drawdown_duration_days FROM rr), ts_, act_", ORDERED_FACTORS)
 def run_metrics(x):
     m = RE.run_metrics(x.trades, x.equity, x.row_key, n_trials=20, p=P)
     return tidy(m.select(*RR_COLS.split(), *TS_COLS.split(), *ACT_COLS.split()))
