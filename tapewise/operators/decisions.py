@@ -11,7 +11,7 @@ from tapewise.operators.labels import with_earnings_flag
 from tapewise.operators.ranking import with_position
 from tapewise.operators.setups import market_allows, regime_allows, setup_of
 from tapewise.params import BPS, SESSIONS_PER_YEAR, CostParams, EdgeParams, GateParams, PortfolioParams
-from tapewise.session import staged
+from tapewise.session import broadcast_rows, staged
 
 # The stage each rejection reason belongs to; the rest is GATE.
 STAGE_OF = {
@@ -121,17 +121,53 @@ def evaluate(features: DataFrame, snapshots: DataFrame, calendar: DataFrame, str
     ``reason`` is NULL for an opportunity. ``equity`` is a column (a literal or an
     input), so all sessions are evaluated at once.
 
-    The gates that don't depend on the strategy are judged on the snapshot entries, which
-    are written once. An entry that fails there gives its rows without more work; only the
-    others are unpacked by strategy, looked up in the earnings windows and the bins, and of
-    these only rows with a setup that may trade are priced.
+    The universe gate is judged on the snapshot entries alone, the other gates that don't
+    depend on the strategy on the rest with their features, which are written once. An entry that fails
+    there gives its rows without more work; only the others are unpacked by strategy, looked
+    up in the earnings windows and the bins, and of these only rows with a setup that may
+    trade are priced. A caller that needs few columns of the entries outside the universe takes the parts.
     """
-    feats = features.drop("symbol", "session_index", "eligible")
-    entries = snapshot_rows(snapshots, calendar).join(feats, ["asset_id", "ts"], "left")
-    entries = entries.join(assets.select("asset_id", "cluster", "is_etf"), "asset_id", "left")
-    entries = staged(entries.withColumns({"_gate": gate_reason(g, min_gap, F.lit(False)), "risk_capital": equity * book.risk_fraction}))
+    inside, outside = universe_split(snapshot_rows(snapshots, calendar), assets, equity, g, book)
+    judged = evaluate_entries(inside, features, calendar, strategies, edge, events, assets, g, costs, edge_params, book, min_gap, warmups)
+    return judged.unionByName(stopped_at_universe(outside, strategies, features), allowMissingColumns=True)
+
+
+def universe_split(entries: DataFrame, assets: DataFrame, equity: Column, g: GateParams, book: PortfolioParams) -> tuple[DataFrame, DataFrame]:
+    """The entries that pass the universe gate, which comes first and needs no features, and the others."""
+    entries = entries.join(assets.select("asset_id", "cluster", "is_etf"), "asset_id", "left").withColumn("risk_capital", equity * book.risk_fraction)
+    passed = is_true(F.col("universe_reason") == "") if g.require_universe else F.lit(True)
+    return entries.where(passed), entries.where(~passed)
+
+
+def unpacked(entries: DataFrame, strategies: list) -> DataFrame:
+    """A row for each entry and strategy."""
     names = F.array(*[F.struct(F.lit(s.strategy_id).alias("strategy_id"), F.lit(s.max_hold_bars).alias("max_hold_bars")) for s in strategies])
-    stopped = entries.where("_gate is not null").withColumn("_opt", F.explode(names)).select("*", "_opt.*").drop("_opt")
+    return entries.withColumn("_opt", F.explode(names)).select("*", "_opt.*").drop("_opt")
+
+
+def stopped_at_universe(outside: DataFrame, strategies: list, features: DataFrame | None = None) -> DataFrame:
+    """Rows of the entries that the universe gate stops, beside those columns of their features that are asked for."""
+    if features is not None:
+        outside = outside.join(features.drop("symbol", "session_index", "eligible"), ["asset_id", "ts"], "left")
+    rows = unpacked(outside.withColumn("reason", F.coalesce("universe_reason", F.lit("NOT_IN_UNIVERSE"))), strategies)
+    return rows.withColumn("stage", stage_of(F.col("reason")))
+
+
+#: Entries up to which their keys are sent to the features instead of the features to them.
+KEYS_SENT = 1_000_000
+
+
+def evaluate_entries(inside: DataFrame, features: DataFrame, calendar: DataFrame, strategies: list, edge: DataFrame,
+                     events: DataFrame, assets: DataFrame, g: GateParams = GateParams(), costs: CostParams = CostParams(),
+                     edge_params: EdgeParams = EdgeParams(), book: PortfolioParams = PortfolioParams(), min_gap: int = 10,
+                     warmups: dict[str, int] | None = None) -> DataFrame:
+    """The rows of the entries that pass the universe gate; see :func:`evaluate`."""
+    inside = staged(inside)  # read by the key filter and the join
+    keys = broadcast_rows(inside.select("asset_id", "ts"), KEYS_SENT)
+    feats = features.drop("symbol", "session_index", "eligible").join(keys, ["asset_id", "ts"], "left_semi")
+    entries = inside.join(feats, ["asset_id", "ts"], "left")
+    entries = staged(entries.withColumn("_gate", gate_reason(g, min_gap, F.lit(False))))
+    stopped = unpacked(entries.where("_gate is not null"), strategies)
     stopped = stopped.withColumnRenamed("_gate", "reason").withColumn("stage", stage_of(F.col("reason")))
     need = warmups or {s.strategy_id: s.warmup_bars for s in strategies}
     options = F.array(*[F.struct(

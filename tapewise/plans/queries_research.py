@@ -332,6 +332,8 @@ def stream_decision_sink(x):
     from tapewise.plans.queries_decide import evaluated
     from tapewise.plans.queries_panel import scratch
     src = scratch(x, "decision_feed")
-    decision_log(evaluated(x), "run-1", ["close", "atr_14"], "NONE").repartition(4).write.mode("overwrite").parquet(src)
-    out = SO.append_stream(x.spark, src, x.spark.read.parquet(src).schema, scratch(x, "decision_out"), scratch(x, "decision_state"), files_per_batch=2)
+    decision_log(evaluated(x, ("regime", "vol_bucket")), "run-1", ["close", "atr_14"], "NONE").write.mode("overwrite").parquet(src)
+    feed = x.spark.read.parquet(src)
+    half = max(1, len(feed.inputFiles()) // 2)  # a few deliveries of any number of files
+    out = SO.append_stream(x.spark, src, feed.schema, scratch(x, "decision_out"), scratch(x, "decision_state"), files_per_batch=half)
     return tidy(out.select("symbol", "decision_ts", "strategy_id", "stage"))

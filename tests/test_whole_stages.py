@@ -6,8 +6,11 @@ import duckdb
 
 from pyspark.sql import functions as F
 
+from tapewise.operators import decisions as DE
 from tapewise.operators import panel as P
 from tapewise.operators import research as RE
+from tapewise.operators.setups import make_strategy
+from tapewise.params import GateParams, PortfolioParams
 from tapewise.plans import catalog
 from tapewise.plans.oracles import CTE, ORDERED_FACTORS
 
@@ -39,3 +42,24 @@ def test_factors_are_multiplied_in_a_stated_order(spark):
     bars = spark.createDataFrame([(f"A{i}", day - dt.timedelta(days=7), 10.1) for i in range(40)], "asset_id string, session date, close double")
     got = {r["event_factor"] for r in P.event_factors(actions, bars).collect()}
     assert len(got) == 1
+
+
+def test_entries_outside_the_universe_need_no_features(spark):
+    entries = spark.createDataFrame([("A", 1, "LOW_PRICE"), ("B", 1, ""), ("C", 2, None)], "asset_id string, ts int, universe_reason string")
+    assets = spark.createDataFrame([("A", "X", False), ("B", "Y", False)], "asset_id string, cluster string, is_etf boolean")
+    inside, outside = DE.universe_split(entries, assets, F.lit(100.0), GateParams(), PortfolioParams())
+    assert [r["asset_id"] for r in inside.collect()] == ["B"]
+    strategies = [make_strategy("xsec_momentum_v1"), make_strategy("donchian_breakout_v1")]
+    rows = DE.stopped_at_universe(outside, strategies)
+    assert sorted((r["asset_id"], r["strategy_id"], r["reason"], r["stage"]) for r in rows.collect()) == [
+        (a, s.strategy_id, why, "GATE") for a, why in (("A", "LOW_PRICE"), ("C", "NOT_IN_UNIVERSE")) for s in reversed(strategies)]
+    features = spark.createDataFrame([("A", 1, "CHOP", "a")], "asset_id string, ts int, regime string, symbol string").withColumns(
+        {"session_index": F.lit(1), "eligible": F.lit(True)})
+    shown = DE.stopped_at_universe(outside, strategies, features).select("asset_id", "regime").distinct().collect()
+    assert sorted((r["asset_id"], r["regime"]) for r in shown) == [("A", "CHOP"), ("C", None)]
+    # what asks for an expected value reads none of them
+    judged = spark.createDataFrame([("B", 0.5)], "asset_id string, ev_net_r double")
+    both = judged.unionByName(rows, allowMissingColumns=True).where("ev_net_r >= 0")
+    assert "Union" not in both._jdf.queryExecution().optimizedPlan().toString()
+    everyone, none = DE.universe_split(entries, assets, F.lit(100.0), GateParams(require_universe=False), PortfolioParams())
+    assert everyone.count() == 3 and none.count() == 0
