@@ -6,11 +6,15 @@ import duckdb
 
 from pyspark.sql import functions as F
 
+from tapewise.operators import bootstrap as BS
 from tapewise.operators import decisions as DE
+from tapewise.operators import features as FT
 from tapewise.operators import panel as P
 from tapewise.operators import research as RE
+from tapewise.operators import universe as U
+from tapewise.operators.asof import asof_backward
 from tapewise.operators.setups import make_strategy
-from tapewise.params import GateParams, PortfolioParams
+from tapewise.params import GateParams, PortfolioParams, UniverseParams
 from tapewise.plans import catalog
 from tapewise.plans.oracles import CTE, ORDERED_FACTORS
 
@@ -63,3 +67,58 @@ def test_entries_outside_the_universe_need_no_features(spark):
     assert "Union" not in both._jdf.queryExecution().optimizedPlan().toString()
     everyone, none = DE.universe_split(entries, assets, F.lit(100.0), GateParams(require_universe=False), PortfolioParams())
     assert everyone.count() == 3 and none.count() == 0
+
+
+def _snapshots(spark, market):
+    panel = market["panel"].select("asset_id").distinct()
+    stamps = market["calendar"].where("session_index % 21 = 3").select(F.col("close_utc").alias("ts"), "session_index")
+    return panel.crossJoin(stamps).withColumn("eligible", F.when(F.col("session_index") % 63 != 3, F.crc32("asset_id") % 3 > 0))
+
+
+def test_eligibility_is_that_of_the_newest_snapshot(spark, market):
+    snaps = _snapshots(spark, market)
+    got = {(r["asset_id"], r["ts"]): r["eligible"] for r in FT.with_eligibility(market["panel"], snaps).collect()}
+    rows = market["panel"].select("asset_id", "ts").collect()
+    per = {}
+    for s in snaps.collect():
+        per.setdefault(s["asset_id"], []).append((s["ts"], bool(s["eligible"])))
+    want = {(r["asset_id"], r["ts"]): max([(t, e) for t, e in per[r["asset_id"]] if t <= r["ts"]], default=(None, False))[1] for r in rows}
+    assert got == want and len(set(got.values())) == 2
+
+
+def test_only_eligible_rows_travel_to_their_ranks(spark, market, monkeypatch):
+    rows = FT.with_eligibility(market["panel"], _snapshots(spark, market)).withColumns(
+        {"mom_252_skip21": F.col("close"), "vol_60": F.when(F.col("volume") > 1e6, F.col("volume"))})
+    rows = rows.withColumn("eligible", F.when(F.crc32("asset_id") % 5 != 0, F.col("eligible")))  # unknown counts as not
+    show = lambda df: sorted(map(tuple, df.select("asset_id", "ts", "mom_252_xs_pct", "vol_xs_pct", "xs_population").collect()), key=str)
+    sent = show(FT.with_cross_section(rows))
+    monkeypatch.setattr(FT, "RANKS_SENT", 0)
+    assert show(FT.with_cross_section(rows)) == sent and len(sent) == market["panel"].count()
+
+
+def test_panel_is_shuffled_by_asset_once_for_its_windows(spark, market):
+    flagged = P.quality_flags(P.join_calendar(P.adjust_bars(market["bars"], market["actions"]), market["calendar"]), market["actions"], market["calendar"])
+    plan = flagged._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(session" not in plan.split("BroadcastExchange")[0]
+    # bars and events; their as-of line and its two aggregates; splits; actions; factors and days
+    before = flagged._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert before <= 12, plan
+
+
+def test_metrics_at_stamps_are_those_a_lookup_finds(spark, market):
+    stamps = market["calendar"].where("session_index % 21 = 3").select(F.col("close_utc").alias("ts"))
+    p = UniverseParams()
+    every, few = U.panel_metrics(market["panel"], p), U.panel_metrics(market["panel"], p, stamps)
+    left = market["panel"].select("asset_id").distinct().crossJoin(stamps)
+    look = lambda m: sorted(map(tuple, asof_backward(left, m, ["asset_id"], "ts", "ts", U.METRICS, right_ts_as="at").collect()), key=str)
+    assert look(few) == look(every) and few.count() < every.count() / 10
+
+
+def test_replicates_shuffled_grow_with_groups_and_not_with_tasks(spark):
+    rows = spark.range(4000).repartition(16).select(F.col("id"), (F.col("id") % 40).alias("g"), F.lit(1.0).alias("v"))
+    sums = BS.weighted_sums(rows, ["g"], {"x": F.col("v")}, F.col("id"), 50, 7)
+    assert sums.groupBy("g").count().where("count > 50").count() == 0
+    narrow = rows.repartitionByRange("g", "id")
+    pairs = narrow.select(F.spark_partition_id().alias("p"), "g").distinct().count()
+    assert pairs <= 40 + narrow.rdd.getNumPartitions()
+    assert "rangepartitioning" in sums._jdf.queryExecution().executedPlan().toString()
