@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tapewise.operators import bootstrap as BS
 from tapewise.operators import decisions as DE
 from tapewise.operators import features as FT
+from tapewise.operators import labels as L
 from tapewise.operators import panel as P
 from tapewise.operators import research as RE
 from tapewise.operators import universe as U
@@ -122,3 +123,14 @@ def test_replicates_shuffled_grow_with_groups_and_not_with_tasks(spark):
     pairs = narrow.select(F.spark_partition_id().alias("p"), "g").distinct().count()
     assert pairs <= 40 + narrow.rdd.getNumPartitions()
     assert "rangepartitioning" in sums._jdf.queryExecution().executedPlan().toString()
+
+
+def test_events_are_one_row_an_asset_and_ids_go_to_the_rows(spark, market):
+    twice = market["earnings"].unionByName(market["earnings"])
+    per = L.earnings_of_assets(twice, market["calendar"])
+    assert per.count() == market["earnings"].select("asset_id").distinct().count()
+    assert per.where(F.size("_events") > 2 * market["calendar"].count()).count() == 0
+    ids = market["panel"].where(F.crc32("asset_id") % 2 == 0).select("asset_id")
+    some = U.restrict_to(market["panel"], ids)
+    assert "Exchange hashpartitioning" not in some._jdf.queryExecution().executedPlan().toString()
+    assert some.count() == ids.count()
