@@ -12,18 +12,21 @@ similarity reaches the threshold; linked classes form components.
    nothing. Of the rest, a class leaves out its ``SHARED - 1`` most frequent hashes:
    the rarest common hash of a linked pair is left in both. Passages that many
    documents share are frequent and so drop out.
-2. Copies first. In rounds, each class is compared exactly with one other class that
-   it shares most kept hashes with, out of one leader for each hash; what links is put
-   together. Large groups of near copies become components at the price of one
-   comparison for each member.
+2. Copies first. The leader of a hash is, of the classes that hold it, the one whose
+   sketch hashes are the most frequent: of near copies, the one that was edited least.
+   Each class is compared exactly with the leader that it shares most kept hashes with;
+   what links is put together. Large groups of near copies become components at the
+   price of one comparison for each member.
 3. Signature trees. For each kept hash that still joins different components, the
    classes that hold it are the leaves of a tree. A node holds the OR of its leaves'
    token bitmaps, their range of sizes and of components, and the most tokens that a
    leaf's bitmap loses to collisions. Two trees (or a tree and itself) are traversed
    together: those of the classes outside the hash's largest component, and of all; a pair of nodes is pruned when the sizes are too far apart, when all of it
    is one component already, or when the overlap that the bitmaps allow is too small.
-   Of the leaf pairs that remain, the likeliest of each class in each other component
-   is compared first; then all that are left are. Both comparisons are exact.
+   The leaf pairs that remain are edges between components. At first the edges of a
+   spanning forest of the likeliest ones are compared, which are fewer than the classes
+   of a tile; when all of these link, so does what the others would join. Then all that
+   are left between different components are. Both comparisons are exact.
 
 Hashes held by very many classes are cut into blocks, so no task sees more than two
 blocks of one hash at a time. Sets travel only for pairs that are compared.
@@ -51,18 +54,20 @@ from tapewise.session import broadcast_rows, release, staged
 WORDS = 5
 SKETCH = 48
 SHARED = 10
-ROUNDS = 2
+FORESTS = 1
 BITS = 2048
 FANOUT = 8
 BLOCK_ROWS = 4096
 #: Node pairs held at a time, and ids that may be broadcast (16 MB).
 FRONTIER = 1 << 15
+#: Candidate pairs of a tile that are folded into its forest at a time.
+FOLD = 1 << 18
 BROADCAST_IDS = 1_000_000
 #: Bytes of a text that are hashed at a time.
 CHUNK = 1 << 20
 
 _U = np.uint64
-PAIR_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("comp", pa.int64()), ("score", pa.float64())])
+PAIR_SCHEMA = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 BASE = 0x9E3779B97F4A7C15
 LANES = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=_U)
 
@@ -174,10 +179,6 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
         return int(s.sum()), int(mix(s.view(_U) ^ LANES[2]).sum(dtype=_U).view(np.int64))
 
 
-def linked(inter: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (100 * inter >= 75 * (a + b - inter)) & (inter > 0)
-
-
 def bitmap(s: np.ndarray) -> np.ndarray:
     bits = np.zeros(BITS, dtype=bool)
     bits[(s.view(_U) >> _U(20)).astype(np.int64) & (BITS - 1)] = True
@@ -216,13 +217,13 @@ def named(df: DataFrame, several: DataFrame | None) -> DataFrame:
 
 def set_store(docs: DataFrame, owners: DataFrame, several: DataFrame | None, doc_id: str, text: str) -> DataFrame:
     """Rows (node, set, bits, n) of the nodes, from the texts of the documents (doc_id) that name them."""
-    fields = [T.StructField("set", T.BinaryType()), T.StructField("bits", T.BinaryType()), T.StructField("n", T.LongType()),
+    fields = [T.StructField("set", T.ArrayType(T.LongType(), False)), T.StructField("bits", T.BinaryType()), T.StructField("n", T.LongType()),
               T.StructField("fp1", T.LongType()), T.StructField("fp2", T.LongType())]
 
     def run(texts: list[str | None]) -> list[pa.Array]:
         sets = shingle_sets(texts)
         names = [fingerprint(s) for s in sets]
-        return [pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary()),
+        return [pa.array(sets, pa.list_(pa.int64())), pa.array([bitmap(s).tobytes() for s in sets], pa.binary()),
                 pa.array([len(s) for s in sets], pa.int64()), pa.array([f[0] for f in names], pa.int64()), pa.array([f[1] for f in names], pa.int64())]
 
     wanted = broadcast_rows(owners, BROADCAST_IDS)
@@ -250,20 +251,8 @@ def compared(pairs: DataFrame, store: DataFrame) -> DataFrame:
         wanted = broadcast_rows(staged(pairs.select(F.col(c).alias("node")).distinct()), BROADCAST_IDS)
         return store.select("node", "set").join(wanted, "node", "left_semi").select(F.col("node").alias(c), F.col("set").alias(f"s{c}"))
 
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for k in range(batch.num_rows):
-                x = np.frombuffer(batch.column("sa")[k].as_buffer(), np.int64)
-                y = np.frombuffer(batch.column("sb")[k].as_buffer(), np.int64)
-                at = np.searchsorted(x, y)
-                inter = int((x[np.minimum(at, len(x) - 1)] == y).sum())
-                keep.append(bool(linked(inter, len(x), len(y))))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    inter = F.size(F.array_intersect("sa", "sb"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(100 * inter >= 75 * (F.size("sa") + F.size("sb") - inter)).select("a", "b")
 
 
 class Tree:
@@ -317,44 +306,85 @@ def traverse(one: Tree, two: Tree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             stack.append((level - 1, x[s:s + FRONTIER], y[s:s + FRONTIER]))
 
 
-def tile_pairs(side: np.ndarray, node: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: np.ndarray, best: bool) -> list[np.ndarray] | None:
-    """Candidate pairs of one tile as columns a, b, component of b, score; None without any."""
+def spanning(u: np.ndarray, v: np.ndarray, count: int) -> np.ndarray:
+    """Positions of the edges (u, v) of the best spanning forest of ``count`` vertices; edges come best first."""
+    label, left, kept = np.arange(count), np.arange(len(u)), [np.zeros(0, np.int64)]
+    while True:
+        a, b = label[u[left]], label[v[left]]
+        apart = a != b
+        left, a, b = left[apart], a[apart], b[apart]
+        if not len(left):
+            return np.unique(np.concatenate(kept))
+        first = np.full(count, len(u))  # the best edge that leaves each tree
+        np.minimum.at(first, a, left)
+        np.minimum.at(first, b, left)
+        tree = np.flatnonzero(first < len(u))
+        edge = first[tree]
+        kept.append(edge)
+        to = np.arange(count)
+        to[tree] = label[u[edge]] + label[v[edge]] - tree
+        both = to[to] == np.arange(count)  # two trees that leave by one edge: the smaller stays
+        to[both] = np.minimum(to[both], np.flatnonzero(both))
+        while (to[to] != to).any():
+            to = to[to]
+        label = to[label]
+
+
+def tile_pairs(side: np.ndarray, node: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: np.ndarray, forest: bool) -> list[np.ndarray] | None:
+    """Candidate pairs (a, b) of one tile: all, or those of a spanning forest of the components; None without any.
+
+    Side 0 seeks, 1 is met, 2 does both here, 3 is met here and seeks in another tile.
+    """
     picks = []
-    for s in (0, 1):
-        at = np.flatnonzero(side == s)
+    for at in (np.flatnonzero((side == 0) | (side == 2)), np.flatnonzero(side != 0)):
         if not len(at):
             return None
         picks.append(at[np.lexsort((n[at], comp[at]))] if len(at) > 1 else at)
     one, two = (Tree(bits[p], n[p], comp[p]) for p in picks)
-    kept: list[np.ndarray] | None = None
+    names, vertex = np.unique(comp, return_inverse=True)
+    kept = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    fresh: list[list[np.ndarray]] = []
+
+    def fold() -> None:
+        nonlocal kept
+        kept = [np.concatenate(c) for c in zip(kept, *fresh, strict=True)]
+        fresh.clear()
+        if forest:
+            order = np.lexsort((node[kept[1]], node[kept[0]], -kept[2]))
+            i, j = kept[0][order], kept[1][order]
+            order = order[spanning(vertex[i], vertex[j], len(names))]
+            kept = [c[order] for c in kept]
+
     for i, j in traverse(one, two):
         i, j = picks[0][i], picks[1][j]
-        new = [node[i], node[j], comp[j], np.bitwise_count(bits[i] & bits[j]).sum(axis=1) / (n[i] + n[j])]
-        kept = new if kept is None else [np.concatenate(c) for c in zip(kept, new, strict=True)]
-        if best:  # the likeliest partner in each other component
-            order = np.lexsort((kept[1], -kept[3], kept[2], kept[0]))
-            kept = [c[order] for c in kept]
-            first = np.concatenate([[True], (kept[0][1:] != kept[0][:-1]) | (kept[2][1:] != kept[2][:-1])])
-            kept = [c[first] for c in kept]
-    return kept
+        once = (side[j] == 1) | (node[i] < node[j])  # a pair of two that seek is found from both
+        i, j = i[once], j[once]
+        fresh.append([i, j, np.bitwise_count(bits[i] & bits[j]).sum(axis=1) / (n[i] + n[j])])
+        if sum(len(f[0]) for f in fresh) >= FOLD:
+            fold()
+    fold()
+    return [node[kept[0]], node[kept[1]]] if len(kept[0]) else None
 
 
-def candidates(rows: DataFrame, best: bool) -> DataFrame:
-    """Pairs (a, b) that the trees of each hash let through: all, or the likeliest of each
-    class in each other component.
+def candidates(rows: DataFrame, forest: bool) -> DataFrame:
+    """Pairs (a, b) that the trees of each hash let through: all, or those of a spanning forest of
+    each tile's components.
 
     ``rows`` holds (token, node, n, comp, bits). Of each hash, the classes outside its
     most frequent component meet all classes that hold it. Both sides are cut into
-    blocks, so no tile grows with its hash; classes of one large component, which have
-    nothing to look for among themselves, are copied once.
+    blocks, so no tile grows with its hash; a hash of one block is sent once.
     """
     size = rows.groupBy("token", "comp").agg(F.count("*").alias("_c"))
     count = size.groupBy("token").agg(F.max(F.struct("_c", "comp")).alias("_m"), F.sum("_c").alias("_all")).select(
         "token", F.col("_m.comp").alias("_main"), F.ceil((F.col("_all") - F.col("_m._c")) / BLOCK_ROWS).cast("int").alias("_few"),
         F.ceil(F.col("_all") / BLOCK_ROWS).cast("int").alias("_every"))
-    r = rows.join(count, "token").withColumn("_h", F.xxhash64("node"))
-    seek = r.where("comp <> _main").selectExpr("token", "cast(pmod(_h, _few) AS int) AS i", "explode(sequence(0, _every - 1)) AS j", "0 AS side", "node", "n", "comp", "bits")
-    meet = r.selectExpr("token", "explode(sequence(0, _few - 1)) AS i", "cast(pmod(_h, _every) AS int) AS j", "1 AS side", "node", "n", "comp", "bits")
+    at = F.pmod(F.xxhash64("node"), F.lit(1 << 30))
+    to = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.when(F.col("comp") == F.col("_main"), 1).otherwise(2).alias("side"))
+    seek = F.transform(F.sequence(F.lit(0), F.col("_every") - 1), lambda j: F.struct((at % F.col("_few")).cast("int").alias("i"), j.alias("j"), F.lit(0).alias("side")))
+    meet = F.transform(F.sequence(F.lit(0), F.col("_few") - 1), lambda i: F.struct(
+        i.alias("i"), (at % F.col("_every")).cast("int").alias("j"), F.when(F.col("comp") == F.col("_main"), 1).otherwise(3).alias("side")))
+    tiles = F.when(F.col("_every") == 1, F.array(to)).when(F.col("comp") == F.col("_main"), meet).otherwise(F.concat(seek, meet))
+    sent = rows.join(count, "token").select("token", F.explode(tiles).alias("_t"), "node", "n", "comp", "bits").select("token", "_t.*", "node", "n", "comp", "bits")
     key = ["token", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,7 +401,7 @@ def candidates(rows: DataFrame, best: bool) -> DataFrame:
             for end in [*cut.tolist(), *([len(k)] if last else [])]:
                 if end - begin > 1:
                     at = slice(begin, end)
-                    pairs = tile_pairs(side[at], node[at], n[at], comp[at], bits[at], best)
+                    pairs = tile_pairs(side[at], node[at], n[at], comp[at], bits[at], forest)
                     if pairs is not None:
                         found.append(pairs)
                 begin = end
@@ -386,9 +416,7 @@ def candidates(rows: DataFrame, best: bool) -> DataFrame:
         if held:
             yield from tiles(True)
 
-    out = seek.union(meet).repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long, comp long, score double")
-    if best:
-        out = out.groupBy("a", "comp").agg(F.max(F.struct("score", "b")).alias("_m")).select("a", F.col("_m.b").alias("b"))
+    out = sent.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long")
     return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -412,7 +440,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     need = F.least(F.lit(SHARED), F.ceil(F.col("n") * 0.75)).cast("int")
     ranked = (held.join(df, "token").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("_s"))
               .where(F.size("_s") >= need))
-    kept = ranked.select("node", "n", F.explode(F.slice("_s.token", F.lit(1), F.size("_s") - need + 1)).alias("token"))
+    hub = F.aggregate("_s.df", F.lit(0.0), lambda x, d: x + F.log2(d)).cast("float")
+    kept = ranked.select("node", "n", hub.alias("hub"), F.explode(F.slice("_s.token", F.lit(1), F.size("_s") - need + 1)).alias("token"))
     posts = staged(kept)
     owners = posts.select("node").distinct()
     if several is None:
@@ -424,21 +453,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     release(docs.sparkSession)
 
     links, comp = (None if several is None else staged(shared_ids(rows, classes, several))), None
-    for k in range(ROUNDS):
-        alive = staged(with_components(posts, comp))
-        order = F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "n", "comp")
-        lead = alive.groupBy("token").agg(F.min(order).alias("l"))
-        pairs = (alive.join(lead, "token").where("comp <> l.comp AND 4 * n >= 3 * l.n AND 4 * l.n >= 3 * n")
-                 .groupBy("node", F.col("l.node").alias("leader")).agg(F.count("*").alias("c")))
-        best = pairs.groupBy("node").agg(F.max(F.struct("c", "leader")).alias("m")).select(F.col("node").alias("a"), F.col("m.leader").alias("b"))
-        new = staged(compared(best, store))
-        links = new if links is None else staged(links.union(new))
-        comp = staged(components(links, "a", "b"))
-        del alive, lead, pairs, best, new
-        release(docs.sparkSession)
-    for best in (True, False):  # the likeliest partners first: what they join needs no more comparisons
-        alive = staged(with_components(posts, comp))
-        found = staged(candidates(alive.join(store.select("node", "bits"), "node"), best))
+    alive = staged(with_components(posts, comp))
+    lead = alive.groupBy("token").agg(F.max(F.struct("hub", "node", "n", "comp")).alias("l"))
+    pairs = (alive.join(lead, "token").where("comp <> l.comp AND 4 * n >= 3 * l.n AND 4 * l.n >= 3 * n")
+             .groupBy("node", F.col("l.node").alias("leader")).agg(F.count("*").alias("c")))
+    best = pairs.groupBy("node").agg(F.max(F.struct("c", "leader")).alias("m")).select(F.col("node").alias("a"), F.col("m.leader").alias("b"))
+    new = staged(compared(best, store))
+    links = new if links is None else staged(links.union(new))
+    comp = staged(components(links, "a", "b"))
+    del alive, lead, pairs, best, new
+    release(docs.sparkSession)
+    for k in range(FORESTS + 1):  # forests of the likeliest first: what they join needs no more comparisons
+        alive = staged(with_components(posts.drop("hub"), comp))
+        found = staged(candidates(alive.join(store.select("node", "bits"), "node"), k < FORESTS))
         links = staged(links.union(compared(found, store)))
         comp = staged(components(links, "a", "b"))
         del alive, found

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tapewise.llm import bpe, chat, decontaminate, jaccard_join, language, line_dedup, records, secrets, toxicity, vector_join
 from tapewise.llm.queries import vocabulary
+from tapewise.session import staged
 
 BASE = "the quick brown fox jumps over the lazy dog and runs away from it all day long until the night comes back"
 ODD = [(1, BASE), (2, BASE), (2, BASE), (3, None), (4, ""), (5, " \n\t "), (6, "One two"), (None, BASE), (None, None), (7, "ÉCLAIR Été " + BASE),
@@ -182,6 +183,61 @@ def test_signature_trees_lose_no_pair():
     assert {p for p in ((min(q), max(q)) for q in want) if p[0] < 50 <= p[1]} <= across
 
 
+def test_candidates_of_a_group_of_near_copies_grow_with_its_members(spark, monkeypatch):
+    """A text and copies with a few words replaced, of which most pairs don't link with each other."""
+    names = [f"w{i}" for i in range(400)]
+    made = []
+    whole = jaccard_join.candidates
+
+    def counted(rows, forest):
+        out = staged(whole(rows, forest))
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "candidates", counted)
+    for size in (60, 240):
+        rng = np.random.default_rng(9)
+        base = list(rng.choice(names, 150))
+        rows = []
+        for i in range(size):
+            w = list(base)
+            for k in rng.choice(150, int(rng.integers(1, 8)), replace=False):
+                w[k] = f"x{rng.integers(10**9)}"
+            rows.append((i, " ".join(w)))
+        got = {tuple(r) for r in jaccard_join.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == brute_components(rows)
+        assert sum(made) <= 2 * size
+        made.clear()
+
+
+def test_spanning_forest():
+    rng = np.random.default_rng(3)
+    for count, edges in ((1, 0), (2, 1), (30, 25), (40, 300)):
+        u, v = rng.integers(0, count, (2, edges))
+        want, root = [], list(range(count))
+        for k in range(edges):  # one edge after the other, best first
+            a, b = root[u[k]], root[v[k]]
+            if a != b:
+                want.append(k)
+                root = [a if r == b else r for r in root]
+        assert jaccard_join.spanning(u, v, count).tolist() == want
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_blocks_of_a_hash_meet_each_other(spark, monkeypatch, block):
+    """Texts that share a passage and link in a chain, with hashes of one tile and of many."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", block)
+    monkeypatch.setattr(jaccard_join, "FOLD", 8)
+    rng = np.random.default_rng(12)
+    bits = np.stack([jaccard_join.bitmap(np.unique(rng.integers(-2**62, 2**62, 30))) for _ in range(100)])
+    comp = [int(rng.integers(8)) if i < 40 else 100 for i in range(100)]
+    bits[1::2] = bits[::2]
+    rows = spark.createDataFrame([(7, i, 30, comp[i], bytearray(bits[i].tobytes())) for i in range(100)], "token long, node long, n long, comp long, bits binary")
+    want = {(i, i + 1) for i in range(0, 100, 2) if comp[i] != comp[i + 1]}
+    assert {tuple(r) for r in jaccard_join.candidates(rows, False).collect()} == want
+    assert {tuple(r) for r in jaccard_join.candidates(rows, True).collect()} <= want
+
+
 def test_vector_join(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(40, 24))
