@@ -420,6 +420,13 @@ def candidates(rows: DataFrame, forest: bool) -> DataFrame:
     return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def joined(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components (node, root) after staged links (a, b) are added; those there were come in as stars, not as the links that made them."""
+    if comp is None:
+        return staged(components(links, "a", "b"))
+    return comp if links.isEmpty() else staged(components(links.union(comp.select("root", "node")), "a", "b"))
+
+
 def with_components(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
     """``rows`` of hashes that still join different components, with column comp."""
     r = rows.withColumn("comp", F.col("node")) if comp is None else (
@@ -452,22 +459,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     del held, df, ranked, kept
     release(docs.sparkSession)
 
-    links, comp = (None if several is None else staged(shared_ids(rows, classes, several))), None
+    comp = None if several is None else joined(None, staged(shared_ids(rows, classes, several)))
     alive = staged(with_components(posts, comp))
     lead = alive.groupBy("token").agg(F.max(F.struct("hub", "node", "n", "comp")).alias("l"))
     pairs = (alive.join(lead, "token").where("comp <> l.comp AND 4 * n >= 3 * l.n AND 4 * l.n >= 3 * n")
              .groupBy("node", F.col("l.node").alias("leader")).agg(F.count("*").alias("c")))
     best = pairs.groupBy("node").agg(F.max(F.struct("c", "leader")).alias("m")).select(F.col("node").alias("a"), F.col("m.leader").alias("b"))
-    new = staged(compared(best, store))
-    links = new if links is None else staged(links.union(new))
-    comp = staged(components(links, "a", "b"))
-    del alive, lead, pairs, best, new
+    comp = joined(comp, staged(compared(best, store)))
+    del alive, lead, pairs, best
     release(docs.sparkSession)
     for k in range(FORESTS + 1):  # forests of the likeliest first: what they join needs no more comparisons
         alive = staged(with_components(posts.drop("hub"), comp))
         found = staged(candidates(alive.join(store.select("node", "bits"), "node"), k < FORESTS))
-        links = staged(links.union(compared(found, store)))
-        comp = staged(components(links, "a", "b"))
+        comp = joined(comp, staged(compared(found, store)))
         del alive, found
         release(docs.sparkSession)
     root = classes.select(*key, "node", F.col("doc_id").alias("low")).join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
