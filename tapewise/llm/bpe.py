@@ -24,7 +24,6 @@ import json
 import re
 import unicodedata
 from array import array
-from functools import lru_cache
 from operator import add
 
 import numpy as np
@@ -33,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapewise.llm.common import map_texts
+from tapewise.llm.common import map_texts, remembered
 from tapewise.llm.pieces import AT_ONCE, REMEMBERED, PieceEncoder
 
 #: Letters of these blocks lower and compose alike in all Unicode tables in use.
@@ -156,10 +155,9 @@ class ForcedBoundaryBPE(PieceEncoder):
         return " ".join(map(self.names.__getitem__, ids))
 
 
-@lru_cache(maxsize=1)
 def loaded(path: str) -> ForcedBoundaryBPE:
-    """One codec for all tasks that a Python worker runs, with what it remembers."""
-    return ForcedBoundaryBPE(path)
+    """One codec for the tasks that a Python worker runs, with what it remembers."""
+    return remembered(("bpe", path), lambda: ForcedBoundaryBPE(path))
 
 
 def encode_decode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -179,7 +177,7 @@ def encode_decode(df: DataFrame, path: str, text: str = "text", keep: list[str]
             return [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), type=t), pa.array(text, pa.string())]
         return run
 
-    return map_texts(df, text, df.columns if keep is None else keep, fields, make)
+    return map_texts(df, text, df.columns if keep is None else keep, fields, make, holds=True)
 
 
 def report(docs: DataFrame, path: str) -> DataFrame:

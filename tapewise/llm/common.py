@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,15 +17,45 @@ from tapewise.session import checkpoint_dir
 SLICE_BYTES = 2_000_000
 #: Rows of a slice of short texts.
 SLICE_ROWS = 4_096
+#: Bytes and rows of a slice for work that takes dozens of bytes for each byte of text, or kilobytes for each row.
+PART_BYTES, PART_ROWS = 1 << 18, 512
 
+_HELD: dict[tuple, object] = {}
 
-def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that each part has about ``most`` bytes in ``column``, and SLICE_ROWS rows at most."""
+
+def remembered(key: tuple, make: Callable[[], object]):
+    """What ``make`` gives, held by a Python worker for its next tasks of this kind.
+
+    Workers serve one task after another, of all operators of a session. They hold one
+    such thing at a time.
+    """
+    if key not in _HELD:
+        forget()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def forget() -> None:
+    """Let go of what this worker holds for tasks of another kind."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+        give_back()
+
+
+def give_back() -> None:
+    """Hand the memory that is free in this worker to the system, where the executor can use it."""
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that each part has about ``most`` bytes in ``column``, and ``rows`` rows at most."""
     import pyarrow.compute as pc
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
     for i, n in enumerate(sizes.tolist()):
-        if held and held + n > most or i - start >= SLICE_ROWS:
+        if held and held + n > most or i - start >= rows:
             yield batch.slice(start, i - start)
             start, held = i, 0
         held += n
@@ -33,11 +64,14 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
 
 
 def map_texts(df: DataFrame, text: str, keep: list[str], fields: list[T.StructField],
-              make: Callable[[], Callable[[list[str | None]], list[pa.Array]]]) -> DataFrame:
+              make: Callable[[], Callable[[list[str | None]], list[pa.Array]]], most: int = SLICE_BYTES, rows: int = SLICE_ROWS,
+              holds: bool = False) -> DataFrame:
     """Columns ``keep`` of ``df`` and new ``fields`` computed from the text column.
 
     ``make()`` runs once in a task and returns the function of a list of texts that
     gives one Arrow array per field. A new field replaces a kept column of its name.
+    ``most`` bytes of text and ``rows`` rows at most are given to it at a time. ``holds``
+    says that ``make`` asks for what is :func:`remembered`.
     """
     names = {f.name for f in fields}
     kept = [c for c in keep if c not in names]
@@ -46,11 +80,14 @@ def map_texts(df: DataFrame, text: str, keep: list[str], fields: list[T.StructFi
     wanted = list(dict.fromkeys([*kept, text]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not holds:
+            forget()
         f = make()
         for whole in batches:
-            for b in slices(whole, text):
+            for b in slices(whole, text, most, rows):
                 new = [a if a.type == t else a.cast(t) for a, t in zip(f(b.column(text).to_pylist()), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], *new], names=[*kept, *[x.name for x in fields]])
+        give_back()
 
     return df.select(*wanted).mapInArrow(run, schema)
 

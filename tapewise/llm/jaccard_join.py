@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapewise.llm.common import map_texts
+from tapewise.llm.common import PART_BYTES, forget, give_back, map_texts
 from tapewise.llm.components import components
 from tapewise.session import broadcast_rows, release, staged
 
@@ -196,7 +196,7 @@ def digests(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         return [pa.array([len(s) for s in sets], pa.int64()), pa.array([f[0] for f in names], pa.int64()), pa.array([f[1] for f in names], pa.int64()),
                 pa.array([s[:SKETCH] for s in sets], pa.list_(pa.int64()))]
 
-    return map_texts(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text")), "_text", ["doc_id"], fields, lambda: run)
+    return map_texts(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text")), "_text", ["doc_id"], fields, lambda: run, PART_BYTES)
 
 
 def ids_of_several(rows: DataFrame) -> DataFrame | None:
@@ -228,7 +228,7 @@ def set_store(docs: DataFrame, owners: DataFrame, several: DataFrame | None, doc
 
     wanted = broadcast_rows(owners, BROADCAST_IDS)
     some = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text")).join(wanted, "doc_id")
-    sets = named(map_texts(some, "_text", ["doc_id"], fields, lambda: run).where("n > 0"), several)
+    sets = named(map_texts(some, "_text", ["doc_id"], fields, lambda: run, PART_BYTES).where("n > 0"), several)
     return sets.select("node", "set", "bits", "n").dropDuplicates(["node"])
 
 
@@ -388,6 +388,7 @@ def candidates(rows: DataFrame, forest: bool) -> DataFrame:
     key = ["token", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held: list[pa.RecordBatch] = []
 
         def tiles(last: bool) -> Iterator[pa.RecordBatch]:
@@ -415,6 +416,7 @@ def candidates(rows: DataFrame, forest: bool) -> DataFrame:
                 yield from tiles(False)
         if held:
             yield from tiles(True)
+        give_back()
 
     out = sent.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long")
     return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -20,6 +20,7 @@ held out. Repeated rows get equal predictions; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapewise.llm.common import SLICE_BYTES, SLICE_ROWS, map_texts
+from tapewise.llm.common import PART_BYTES, PART_ROWS, forget, give_back, map_texts
 
 TRAIN_ROWS = 2_000
 BUCKETS = 4096
@@ -160,7 +161,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     def make():
         return lambda texts: [pa.array([v.tobytes() for v in features(texts).astype(np.float16)], pa.binary())]
 
-    got = map_texts(some, "_t", ["_l", "_d"], [T.StructField("_x", T.BinaryType())], make).orderBy("_d", "_l", "_x").limit(2 * max(rows, share * len(languages))).collect()
+    got = map_texts(some, "_t", ["_l", "_d"], [T.StructField("_x", T.BinaryType())], make, PART_BYTES, PART_ROWS).orderBy("_d", "_l", "_x").limit(2 * max(rows, share * len(languages))).collect()
     taken: dict[str, int] = {}
     xs, ys = [], []
     for r in got:
@@ -180,7 +181,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
     def make():
         return lambda texts: [pa.array(c, t) for c, t in zip(model.predict(texts), (pa.string(), pa.float64(), pa.bool_()), strict=True)]
 
-    return map_texts(docs, text, docs.columns if keep is None else keep, fields, make)
+    return map_texts(docs, text, docs.columns if keep is None else keep, fields, make, PART_BYTES, PART_ROWS)
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -197,16 +198,19 @@ def accepted(docs: DataFrame, text: str = "text") -> DataFrame:
     model = fit(docs, text=text)
 
     @F.pandas_udf("boolean")
-    def told(texts: pd.Series) -> pd.Series:
-        items, out, a = texts.tolist(), [], 0
-        while a < len(items):  # so many rows and characters at a time
-            b, size = a + 1, len(items[a] or "")
-            while b < len(items) and b - a < SLICE_ROWS and size + len(items[b] or "") <= SLICE_BYTES:
-                size += len(items[b] or "")
-                b += 1
-            names, scores, _ = model.predict(items[a:b])
-            out += [n != UNDETERMINED and s >= LEAST_SCORE for n, s in zip(names, scores, strict=True)]
-            a = b
-        return pd.Series(out, dtype=bool)
+    def told(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget()
+        for texts in batches:
+            items, out, a = texts.tolist(), [], 0
+            while a < len(items):  # so many rows and characters at a time
+                b, size = a + 1, len(items[a] or "")
+                while b < len(items) and b - a < PART_ROWS and size + len(items[b] or "") <= PART_BYTES:
+                    size += len(items[b] or "")
+                    b += 1
+                names, scores, _ = model.predict(items[a:b])
+                out += [n != UNDETERMINED and s >= LEAST_SCORE for n, s in zip(names, scores, strict=True)]
+                a = b
+            yield pd.Series(out, dtype=bool)
+        give_back()
 
     return docs.where(told(F.col(text)))

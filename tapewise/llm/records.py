@@ -29,7 +29,6 @@ import re
 import struct
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapewise.llm.common import filesystem, shared_path, slices
+from tapewise.llm.common import filesystem, remembered, shared_path, slices
 from tapewise.llm.pieces import AT_ONCE, PieceEncoder
 from tapewise.session import staged
 
@@ -173,10 +172,9 @@ class ByteLevelPieces(PieceEncoder):
         return self.library.encode(text, add_special_tokens=False).ids
 
 
-@lru_cache(maxsize=1)
 def loaded(path: str) -> ByteLevelPieces:
-    """One encoder for all tasks that a Python worker runs, with what it remembers."""
-    return ByteLevelPieces(path)
+    """One encoder for the tasks that a Python worker runs, with what it remembers."""
+    return remembered(("records", path), lambda: ByteLevelPieces(path))
 
 
 def write_records(docs: DataFrame, path: str, folder: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,13 +2,16 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tapewise.llm import bpe, chat, decontaminate, jaccard_join, language, line_dedup, records, secrets, toxicity, vector_join
+from tapewise.llm import bpe, chat, common, decontaminate, jaccard_join, language, line_dedup, records, secrets, toxicity, vector_join
 from tapewise.llm.queries import vocabulary
 
 BASE = "the quick brown fox jumps over the lazy dog and runs away from it all day long until the night comes back"
@@ -355,6 +358,37 @@ def test_language(spark, docs, nothing):
     assert kept.columns == docs.columns and {3, 4, 5, 13}.isdisjoint({r["doc_id"] for r in kept.collect()})
 
 
+class Handed:
+    """Stands for a table of one batch: the function of a mapInArrow runs here, and its peak of memory is told."""
+
+    def __init__(self, batch, schema):
+        self.batch, self.schema, self.columns = batch, schema, schema.names
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, f, schema):
+        tracemalloc.start()
+        rows = sum(b.num_rows for b in f(iter([self.batch])))
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        return rows, peak
+
+
+def test_workers_take_little_at_a_time_and_forget_other_operators(spark):
+    texts = [f"{BASE} {i} {'and so on ' * 40}" for i in range(4000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(4000), pa.int64()), "_text": texts, "text": texts})
+    docs = Handed(batch, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("_text", T.StringType()), T.StructField("text", T.StringType())]))
+    codec = bpe.loaded(vocabulary("word_bpe_49k.json"))
+    assert bpe.loaded(vocabulary("word_bpe_49k.json")) is codec and list(common._HELD.values()) == [codec]
+    rows, peak = jaccard_join.digests(docs, "doc_id", "text")
+    assert rows == 4000 and peak < 60 and not common._HELD
+    x = language.features(texts[:40])
+    model = language.Model(["a", "b"], x, np.arange(40) % 2)
+    rows, peak = language.identify(docs, model, keep=["doc_id"])
+    assert rows == 4000 and peak < 60
+
+
 def test_codewords_lie_apart():
     for n in (2, 3, 4, 5, 6, 9, 40):
         c = language.codewords(n).astype(int)
