@@ -375,6 +375,22 @@ class Handed:
         return rows, peak
 
 
+def test_records_merge_words_of_plain_stretches_once():
+    from tokenizers import Tokenizer
+    path = vocabulary("byte_bpe_50k.json")
+    rng = np.random.default_rng(7)
+    marks = ["a", "B", "é", "ß", "ÿ", "×", "ª", "0", "½", "'", "'s", "'S", "'ll", ".", "_", "-", "\n", "\n\n", "\t", " ", " ", " ", "  ", "\x7f", "日", "ſ", "the", "<|endoftext|>"]
+    texts = ["".join(rng.choice(marks, rng.integers(0, 30))) for _ in range(4000)]
+    codec = records.ByteLevelPieces(path)
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(b, "<u2").tolist() for b in codec.encode_many(texts)] == want
+    stems = ["".join(rng.choice(list("abcdefgh"), 12)) for _ in range(50)]
+    merged = []
+    one, codec.merged = codec.merged, lambda w: merged.append(w) or one(w)
+    codec.encode_many([" ".join(w + e for w in stems for e in (".", ",", "!", ".\nx"))])
+    assert codec.cuts and len(merged) < 2 * len(stems)
+
+
 def test_workers_take_little_at_a_time_and_forget_other_operators(spark):
     texts = [f"{BASE} {i} {'and so on ' * 40}" for i in range(4000)]
     batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(4000), pa.int64()), "_text": texts, "text": texts})
