@@ -20,9 +20,13 @@ class PieceEncoder:
 
     def __init__(self, code: str, remembered: int = REMEMBERED):
         self.code, self.remembered = code, remembered
-        self.known: dict[str, bytes] = {}
+        self.known = self.fresh()
         self.older: dict[str, bytes] = {}
 
+    def fresh(self) -> dict[str, bytes]:
+        """An empty table of pieces and their ids."""
+        return {}
+
     def learn(self, pieces: list[str]) -> list[list[int] | bytes]:
         raise NotImplementedError
 
@@ -39,7 +43,7 @@ class PieceEncoder:
         """The ids of each text as an array of ``code`` in bytes; none for null."""
         parts = [self.split(t) if t else [] for t in texts]
         if len(self.known) > self.remembered:
-            self.known, self.older = {}, self.known
+            self.known, self.older = self.fresh(), self.known
         known, older = self.known, self.older
         missing = set().union(*(p for p in parts if p)).difference(known)
         known.update({p: older[p] for p in missing.intersection(older)})

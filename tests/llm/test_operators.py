@@ -389,6 +389,9 @@ def test_records_merge_words_of_plain_stretches_once():
     one, codec.merged = codec.merged, lambda w: merged.append(w) or one(w)
     codec.encode_many([" ".join(w + e for w in stems for e in (".", ",", "!", ".\nx"))])
     assert codec.cuts and len(merged) < 2 * len(stems)
+    small = records.ByteLevelPieces(path, remembered=20)  # tables of stretches take turns
+    assert [np.frombuffer(b, "<u2").tolist() for k in range(0, len(texts), 100) for b in small.encode_many(texts[k:k + 100])] == want
+    assert type(small.known) is records.Known and small.older
 
 
 def test_workers_take_little_at_a_time_and_forget_other_operators(spark):
