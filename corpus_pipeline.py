@@ -18,12 +18,13 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from tapewise.llm import bpe, decontaminate, jaccard_join, language, line_dedup  # noqa: E402
 from tapewise.llm.common import shared_path  # noqa: E402
 from tapewise.llm.queries import table, vocabulary  # noqa: E402
-from tapewise.session import ship  # noqa: E402
+from tapewise.session import ship, short_batches  # noqa: E402
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told stay."""
     ship(spark)
+    short_batches(spark)
     return language.accepted(docs)
 
 
@@ -35,6 +36,7 @@ def boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     ship(spark)
+    short_batches(spark)
     return jaccard_join.one_of_each(docs)
 
 
@@ -46,6 +48,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of the documents that are left, with counts and digests."""
     ship(spark)
+    short_batches(spark)
     return bpe.report(docs, vocabulary("word_bpe_49k.json"))
 
 

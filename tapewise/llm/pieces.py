@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from array import array
 
 #: Pieces in a generation of what a task remembers; two generations are held.
@@ -16,9 +17,12 @@ class PieceEncoder:
 
     ``learn`` gives the ids of pieces; ``split`` gives the pieces of a text, or None
     where ``whole`` has to encode the text at once. ``code`` is the array type of ids.
+    A task has one core, so the tokenizers library starts no threads unless
+    ``TOKENIZERS_PARALLELISM`` says so.
     """
 
     def __init__(self, code: str, remembered: int = REMEMBERED):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.code, self.remembered = code, remembered
         self.known = self.fresh()
         self.older: dict[str, bytes] = {}

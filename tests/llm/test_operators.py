@@ -1,7 +1,11 @@
 """The operators on small tables with odd cases, against brute-force versions."""
 
+import ctypes
 import hashlib
+import os
 import re
+import subprocess
+import sys
 import tracemalloc
 import zlib
 
@@ -408,6 +412,48 @@ def test_workers_take_little_at_a_time_and_forget_other_operators(spark):
     assert rows == 4000 and peak < 60
 
 
+def test_forgotten_encoders_leave_little_memory():
+    if not hasattr(ctypes.CDLL(None), "malloc_trim"):
+        pytest.skip("not glibc")
+    held = """
+import re
+import numpy as np
+from tapewise.llm import bpe, common
+from tapewise.llm.queries import vocabulary
+
+def mb():
+    return int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+
+letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+words = ["".join(w) for w in np.random.default_rng(1).choice(letters, (60_000, 9))]
+codec, before = bpe.loaded(vocabulary("word_bpe_49k.json")), mb()
+for i in range(0, len(words), 6_000):
+    codec.encode_many([" ".join(words[i:i + 6_000])])
+del codec
+common.forget()
+print(mb() - before)
+"""
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"} | {"PYTHONPATH": os.pathsep.join(sys.path)}
+    left = float(subprocess.run([sys.executable, "-c", held], env=env, capture_output=True, text=True, check=True).stdout)
+    assert left < 0  # less than with the encoder as loaded
+
+
+def test_pipeline_sends_short_batches(spark, docs):
+    import corpus_pipeline
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    try:
+        spark.conf.set(key, "10000")
+        corpus_pipeline.language_id(spark, docs, "")
+        assert spark.conf.get(key) == "1000"
+        seen = spark.range(0, 5000, 1, 1).mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in bs), "n long")
+        assert [r.n for r in seen.collect()] == [1000] * 5
+        spark.conf.set(key, "200")  # a smaller one stays
+        corpus_pipeline.near_duplicates(spark, docs, "")
+        assert spark.conf.get(key) == "200"
+    finally:
+        spark.conf.unset(key)
+
+
 def test_codewords_lie_apart():
     for n in (2, 3, 4, 5, 6, 9, 40):
         c = language.codewords(n).astype(int)
