@@ -11,9 +11,12 @@ from tapewise.operators import universe as U
 from tapewise.operators.indicators import with_bar_number
 from tapewise.operators.series import in_series
 from tapewise.params import FeatureParams, MarketParams, RegimeParams
+from tapewise.plans import derived as D
+from tapewise.plans import inputs as I
 from tapewise.session import staged, staged_in_place
 from tapewise.sources.synthetic import asset_id
 
+TABLES = "/root/testdata/sf0.001"
 SHORT = FeatureParams(er_n=5, er_long_n=10, vol_short=5, vol_long=10, vol_window=40, vol_min_periods=10, gap_mean_n=5, overnight_n=10,
                       beta_window=20, mom_long=40, mom_mid=20, mom_skip=3, mom_short=3)
 LOOSE = RegimeParams(er_trend_min=0.0, er_long_trend_min=0.0, slope_min=0.0)
@@ -93,3 +96,23 @@ def test_setups_look_at_their_own_bar_and_the_bars_that_follow(spark, market):
     got = _rows(L.within_reach(line, setups.unionByName(setups), 3), "asset_id", "_rn", "_own")
     want = [(asset_id(2), n, n in (5, 7, 40)) for n in (5, 6, 7, 8, 9, 10, 40, 41, 42, 43)] + [(asset_id(5), n, n == 1) for n in (1, 2, 3, 4)]
     assert got == sorted(want, key=str)
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    """The stages of a query on trades, with how often shuffle files were let go."""
+    freed = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(I, "release", lambda s: freed.append(s))
+        x = I.Inputs(spark, TABLES)
+        x.labels  # noqa: B018
+    return x, set(x.__dict__), freed
+
+
+def test_trades_need_neither_written_bars_nor_all_features(spark, labelled):
+    x, written, _ = labelled
+    assert {"panel", "snapshots", "setup_features"} <= written and not {"bars", "features"} & written
+    every = FT.compute_features(x.panel, x.benchmark, x.snapshots, D.WEEKLY, D.WEEKLY_REGIME, D.WEEKLY_MARKET)
+    assert x.setup_features.count() < every.count() / 2
+    want = L.label_setups(every, x.panel, I.strategies(), x.snapshots, x.earnings, x.tickers.select("asset_id", "is_etf"), x.calendar)
+    assert _rows(x.labels, *L.LABEL_COLUMNS) == _rows(want, *L.LABEL_COLUMNS) and x.labels.count() > 50
