@@ -116,3 +116,8 @@ def test_trades_need_neither_written_bars_nor_all_features(spark, labelled):
     assert x.setup_features.count() < every.count() / 2
     want = L.label_setups(every, x.panel, I.strategies(), x.snapshots, x.earnings, x.tickers.select("asset_id", "is_etf"), x.calendar)
     assert _rows(x.labels, *L.LABEL_COLUMNS) == _rows(want, *L.LABEL_COLUMNS) and x.labels.count() > 50
+
+
+def test_shuffle_files_go_when_a_stage_is_written(labelled):
+    x, _, freed = labelled
+    assert len(freed) == 3 and all(s is x.spark for s in freed)  # panel, snapshots, labels
