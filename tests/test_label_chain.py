@@ -121,3 +121,9 @@ def test_trades_need_neither_written_bars_nor_all_features(spark, labelled):
 def test_shuffle_files_go_when_a_stage_is_written(labelled):
     x, _, freed = labelled
     assert len(freed) == 3 and all(s is x.spark for s in freed)  # panel, snapshots, labels
+
+
+def test_all_features_serve_the_labels_once_they_are_there(spark):
+    x = I.Inputs(spark, TABLES)
+    x.__dict__["features"] = every = spark.range(1)
+    assert x.setup_features is every
